@@ -33,7 +33,7 @@ CLOSING_ID = 1
 #: Distinct words whose ids a worker keeps between batches; beyond it the cache starts anew.
 CACHED_WORDS = 1_500_000
 #: Pieces of one length ranked by one window partition.
-RANKED_TOGETHER = 250_000
+RANKED_TOGETHER = 2_000
 
 
 class WordEncoder:
