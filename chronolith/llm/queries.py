@@ -21,6 +21,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolith.llm.debruijn import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolith.llm.secrets import secret_spans
 
@@ -35,5 +41,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op4_media_columns, op6_secret_scans, op7_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing)}
 ORACLE_SQL: dict[str, str] = {}
