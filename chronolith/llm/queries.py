@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolith.llm.frames import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolith.llm.jaccard import similarity_groups
+
+    return similarity_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolith.llm.toxicity import toxicity
 
@@ -41,5 +47,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing)}
 ORACLE_SQL: dict[str, str] = {}
