@@ -141,7 +141,7 @@ def held_out(doc_id):
 
 def fit(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Model:
     """Two passes over the bounded sample: presence counts by class, then the kept features of each row."""
-    rows = durable(training_rows(documents, labels, limit).repartition(8, "doc_id"))
+    rows = durable(training_rows(documents, labels, limit)).coalesce(8)  # a bounded sample: 8 tasks, so 8 vectors of counts
 
     def counts(batches):
         sums = np.zeros((2, BUCKETS), np.int32)
