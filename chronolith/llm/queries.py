@@ -47,5 +47,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing)}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolith.llm.suffixes import remove_matches
+
+    return remove_matches(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
