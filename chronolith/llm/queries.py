@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolith.llm import contamination
 from chronolith.llm.frames import table
 
 
@@ -53,5 +54,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_matches(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolith.llm.contamination import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op10_decontamination": contamination.oracle_sql()}
