@@ -16,6 +16,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolith.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolith.llm.toxicity import toxicity
 
@@ -54,11 +60,23 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_matches(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronolith.llm.pii import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "spans")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronolith.llm.contamination import contained_items
 
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup, op10_decontamination)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scans, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup, op9_pii_surrogates, op10_decontamination, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op10_decontamination": contamination.oracle_sql()}
