@@ -37,7 +37,10 @@ from chronolith.llm.kernels import U64, mix, shingles, text_bytes, whole_sequenc
 
 #: Bytes of input files for each hash range.
 RANGE_BYTES = 4 << 20
-CLASSES = 8  # by the top three bits of a token
+#: Hash classes of the frequency order, by the top three bits of a token: the first holds 3/8 of all tokens,
+#: so it holds the whole prefix of nearly every set (0.15 n + 1 tokens), and unshared tokens come first in it.
+_CLASS_OF = np.array([0, 0, 0, 1, 1, 1, 2, 2])
+CLASSES = 3
 BLOCK_DOCS = 512
 BLOCK_TOKENS = 1 << 19
 #: A token in more than this share of all distinct sets is frequent; at most mean set size / share of them exist.
@@ -71,7 +74,7 @@ def _set_id(tokens: np.ndarray) -> int:
 
 def _class_ends(tokens: np.ndarray) -> np.ndarray:
     """How many tokens lie in the first 1, 2, ... hash classes."""
-    return np.searchsorted(tokens >> U64(61), np.arange(1, CLASSES + 1), side="left").astype(np.int32)
+    return np.searchsorted(_CLASS_OF[tokens >> U64(61)], np.arange(1, CLASSES + 1), side="left").astype(np.int32)
 
 
 def _reach(tokens: np.ndarray, percent: int) -> int:
@@ -178,7 +181,7 @@ def _prefixes(percent: int):
         sids, sizes = known.column("sid").to_numpy()[mine], known.column("n").to_numpy()[mine]
         raw = known.column("ends").to_pylist()
         ends = np.stack([np.zeros(CLASSES + 1, np.int64), *(np.r_[0, np.frombuffer(raw[i], np.int32)] for i in mine.tolist())])[1:]
-        level = (token >> U64(61)).astype(np.int64)
+        level = _CLASS_OF[token >> U64(61)]
         order = np.lexsort((token, df, level, sid))
         token, df, sid, level = token[order], df[order], sid[order], level[order]
         if len(sid):  # a frequent token reaches a set once from every flush that holds it
@@ -201,6 +204,9 @@ def _forest(width: int, percent: int):
     """Work of one pair of blocks: candidates by two hash orders, exact verification, spanning forest and links."""
 
     def reduce(table: pa.Table) -> pa.Table:
+        rows = list(zip(table.column("doc_id").to_pylist(), table.column("tokens").to_pylist(), strict=True))
+        if len(dict.fromkeys(rows)) < len(rows):  # repeated rows of one document
+            table = table.take([rows.index(r) for r in dict.fromkeys(rows)])
         sets = [np.frombuffer(v, U64) for v in table.column("tokens").to_pylist()]
         docs, copies = table.column("doc_id").to_numpy(), table.column("copies").to_numpy()
         n = np.array([len(s) for s in sets])
@@ -252,28 +258,32 @@ def _forest(width: int, percent: int):
     return reduce
 
 
-def _blocks(prefixes: DataFrame, known: DataFrame) -> DataFrame:
-    """(sid, key, doc_id, copies, block): candidate groups, roughly gathered, cut into bounded blocks."""
+def _blocks(prefixes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(sid, key, doc_id, copies, step, block): candidate groups, roughly gathered, cut into bounded blocks.
+
+    A block holds sets of one size step; partners are at most one step apart.
+    """
     home = prefixes.groupBy("sid").agg(F.min("token").alias("home"))
     for _ in range(2):  # groups need not be complete: pairs of blocks that share a token meet anyway
         nearest = prefixes.join(home, "sid").groupBy("token").agg(F.min("home").alias("home"))
         home = prefixes.join(nearest, "token").groupBy("sid").agg(F.min("home").alias("home"))
-    homes = durable(known.join(home, "sid"))
+    step = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)
+    homes = durable(known.join(home, "sid").withColumn("step", step).withColumn("home", F.xxhash64("home", "step")))
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("chunks"))
-    return homes.join(sizes, "home").select("sid", "key", "doc_id", "copies", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("chunks"))).alias("block"))
+    return homes.join(sizes, "home").select("sid", "key", "doc_id", "copies", "step", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("chunks"))).alias("block"))
 
 
 def _links(keyed: DataFrame, known: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v, links): spanning forest edges between representatives, and links counted per pair of blocks."""
-    blocks = durable(_blocks(prefixes, known))
-    places = durable(prefixes.join(blocks.select("sid", "block"), "sid").select("token", "block").distinct())
+    blocks = durable(_blocks(prefixes, known, percent))
+    places = durable(prefixes.join(blocks.select("sid", "block", "step"), "sid").select("token", "step", "block").distinct())
     many = places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     crossing = places.join(many, "token")
-    other = crossing.select("token", F.col("block").alias("b"))
-    pairs = crossing.withColumnRenamed("block", "a").join(other, "token").where("a < b").select("a", "b").distinct()
+    near = crossing.select("token", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("block").alias("b"), F.col("step").alias("own"))
+    pairs = crossing.withColumnRenamed("block", "a").join(near, ["token", "step"]).where("own < step or a < b").select("a", "b").distinct()
     alone = blocks.groupBy(F.col("block").alias("a")).agg(F.count("*").alias("k")).where("k > 1").select("a", F.col("a").alias("b"))
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("block")).unionByName(alone.select("a", "b", F.col("a").alias("block")))
-    texts = chosen(keyed, key_bitmap(blocks.select("key")), True).drop("doc_id").join(blocks.hint("shuffle_hash"), "key").dropDuplicates(["key"])
+    texts = chosen(keyed, key_bitmap(blocks.select("key")), True).drop("doc_id").join(blocks.hint("shuffle_hash"), "key")
 
     def kernel(batch: pa.RecordBatch) -> dict:
         return {"block": batch.column("block"), "doc_id": batch.column("doc_id"), "copies": batch.column("copies"), "tokens": [s.tobytes() for s in sets_of(batch, width)]}
