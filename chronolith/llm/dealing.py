@@ -24,7 +24,7 @@ from chronolith.llm.frames import arrow_schema, slices
 from chronolith.llm.kernels import mix
 
 #: Postings a map task holds before it emits them.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Bits of the bitmap of owners with answers: 1 MB, however many owners there are.
 BITS = 1 << 23
 

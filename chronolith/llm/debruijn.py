@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.dealing import chosen, column, deal, joined, key_bitmap, owners_of, part_of, split, with_key
-from chronolith.llm.frames import SLICE_BYTES, durable, map_batches, parts_for, slices
+from chronolith.llm.dealing import chosen, deal, joined, key_bitmap, owners_of, part_of, split, with_key
+from chronolith.llm.frames import durable, map_batches, parts_for
 from chronolith.llm.kernels import U64, mix, shingles, text_bytes, words_of
 
 WIDTH = 13
@@ -113,11 +113,12 @@ def _repeated(parts: int):
     return reduce
 
 
-_ANSWERS = "key long, windows binary, colours binary, least binary"
+_ANSWERS = "key long, windows binary, which binary, pairs binary"
 
 
 def _by_owner(table: pa.Table) -> pa.Table:
-    """All answers to each owner of one range, as one row: windows (7 of 8 bytes), colours, smallest doc_ids."""
+    """All answers to each owner of one range, as one row: windows (7 of 8 bytes), and for each the number
+    of its pair (colour, smallest doc_id) among the owner's distinct pairs."""
     keys, windows, colours, least = [], [], [], []
     for v, w, p, s, k in zip(*(table.column(n).to_pylist() for n in ("windows", "pair", "pairs", "sizes", "keys")), strict=True):
         pairs = np.frombuffer(p, np.int64).reshape(2, -1)[:, np.frombuffer(w, np.uint32)]
@@ -129,12 +130,15 @@ def _by_owner(table: pa.Table) -> pa.Table:
     order = np.argsort(key, kind="stable")
     key, window, colour, first = key[order], window[order], joined(colours, np.int64)[order], joined(least, np.int64)[order]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    cuts = list(zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=False))
-    return pa.table({"key": pa.array(key[start]), "windows": pa.array([window[a:b].tobytes() for a, b in cuts], pa.binary()), "colours": pa.array([colour[a:b].tobytes() for a, b in cuts], pa.binary()), "least": pa.array([first[a:b].tobytes() for a, b in cuts], pa.binary())})
+    out = []
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=False):
+        pairs, which = np.unique(np.stack([colour[a:b], first[a:b]]), axis=1, return_inverse=True)
+        out.append((int(key[a]), window[a:b].tobytes(), which.reshape(-1).astype(np.uint16 if pairs.shape[1] < 1 << 16 else np.uint32).tobytes(), pairs.tobytes()))
+    return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("key", pa.int64()), ("windows", pa.binary()), ("which", pa.binary()), ("pairs", pa.binary())))})
 
 
 def repeated_windows(keyed: DataFrame, width: int) -> DataFrame:
-    """(key, windows, colours, least): for each text with repeated windows, which and whose."""
+    """(key, windows, which, pairs): for each text with repeated windows, which they are and whose."""
     parts = parts_for(keyed, RANGE_BYTES)
     dealt = deal(keyed, lambda batch: _windows(batch, width), _emit_windows(parts), "part int, windows binary, owner binary, owner_size int, keys binary, docs binary")
     found = dealt.groupBy("part").applyInArrow(_repeated(parts), "part int, windows binary, pair binary, pairs binary, sizes binary, keys binary")
@@ -163,8 +167,9 @@ def _stretches(width: int):
             place = np.minimum(np.searchsorted(known, edge & mask, sorter=order), len(known) - 1)
             at = order[place]
             hit = known[at] == edge & mask
-            colour = np.frombuffer(batch.column("colours")[i].as_py(), np.int64)[at]
-            least = np.frombuffer(batch.column("least")[i].as_py(), np.int64)[at]
+            which = batch.column("which")[i].as_py()
+            which = np.frombuffer(which, np.uint16 if len(which) == 2 * len(raw) else np.uint32)
+            colour, least = np.frombuffer(batch.column("pairs")[i].as_py(), np.int64).reshape(2, -1)[:, which[at]]
             opens = hit.copy()
             opens[1:] &= ~(hit[:-1] & (colour[1:] == colour[:-1]) & (least[1:] == least[:-1]))
             start = np.flatnonzero(opens)
@@ -179,10 +184,10 @@ def _stretches(width: int):
             once = np.zeros(len(edge), bool)
             once[np.unique(edge, return_index=True)[1]] = True
             once &= hit
-            colours, which = np.unique(colour[hit], return_inverse=True)
+            colours, place = np.unique(colour[hit], return_inverse=True)
             content = np.zeros(len(colours), U64)
             with np.errstate(over="ignore"):
-                np.add.at(content, which, np.where(once[hit], mix(edge[hit] ^ U64(0x5851F42D4C957F2D)), U64(0)))
+                np.add.at(content, place, np.where(once[hit], mix(edge[hit] ^ U64(0x5851F42D4C957F2D)), U64(0)))
             held = content[np.searchsorted(colours, colour[start])]
             out["key"].extend([int(keys[i])] * len(start))
             out["doc_id"].extend([docs[i]] * len(start))

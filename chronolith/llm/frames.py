@@ -10,23 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes a kernel works on at once; bounds a Python worker's memory at every input size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: With it Spark deletes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on
-    one machine) a temporary one is used.
+    one machine) a temporary one is used. The shuffle files that led to it go at once, so the
+    disk holds one step's shuffle and not those of all steps.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolith-"))
-    return df.checkpoint()
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolith-"))
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame takes the setting up when it is made
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def input_bytes(df: DataFrame) -> int:
