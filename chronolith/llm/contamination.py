@@ -95,7 +95,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, width: int = WID
 def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """The documents that contain no item, with all their columns; rows without doc_id stay."""
     dirty = contained_items(documents, benchmark, width, share).select("doc_id").distinct()
-    return documents.join(dirty, "doc_id", "left_anti").select(*documents.columns)
+    return documents.join(dirty.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
 
 
 def oracle_sql(width: int = WIDTH, share: int = SHARE) -> str:

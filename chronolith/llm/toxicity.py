@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from chronolith.llm.frames import durable, keyed_text, map_batches
+from chronolith.llm.frames import durable, keyed_text, map_batches, slices
 from chronolith.llm.kernels import text_bytes
 
 BUCKETS = 1 << 18
@@ -225,6 +226,21 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return map_batches(keyed_text(documents), kernel, "doc_id long, score double")
 
 
+def with_scores(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents with all their columns and a score, in one pass without a join."""
+    weight, intercept = model
+    kept = weight != 0
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in slices(batches):
+            text, bucket = presence(*text_bytes(batch.column(at)), kept)
+            margin = np.bincount(text, weight[bucket].astype(np.float64), batch.num_rows) + intercept
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], names=[*batch.schema.names, "score"])
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("score", DoubleType())]))
+
+
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     scored = score(documents, fit(documents, labels))
