@@ -4,15 +4,15 @@ A byte goes when a ``length``-byte string that covers it also starts anywhere el
 ``keep_first``, starts anywhere before). Suffix order over the whole corpus is not sortable in one
 place, so suffixes meet only where equal strings can be:
 
-1. *Anchors.* In every ``length``-byte window the 32-byte gram of least hash is an anchor, so equal
-   windows have equal anchors at equal offsets; anchors are about 2 in 170 of the positions. An
-   anchor's context holds every window that it stands for. Anchors are dealt by hash with a digest
-   of their context; those that occur once are dropped.
+1. *Anchors.* In every ``length``-byte window the 32-byte gram of least hash (the leftmost of equal
+   ones) is its anchor, so equal windows have equal anchors at equal offsets; anchors are about 2
+   in 170 of the positions. An anchor's context is the bytes of the windows that it stands for.
+   Anchors are dealt by hash with a digest of their context; those that occur once are dropped.
 2. *Pre-aggregation.* Equal contexts are counted, not gathered: all their windows are repeats,
    however many thousand copies there are, and one of them stands for all.
-3. *Suffix order.* Anchors with more than one distinct context send each distinct context once. The
-   contexts of a hash range are one string with ends; prefix doubling ranks its suffixes by their
-   first ``length`` bytes. In suffix order, ties sorted by position in the corpus, the previous and
+3. *Suffix order.* Anchors with more than one distinct context send each distinct context once.
+   Contexts of some anchors together are one string with ends; ranks of short prefixes, combined
+   into ranks of prefixes three times as long, order its suffixes by their first ``length`` bytes. In suffix order, ties sorted by position in the corpus, the previous and
    next smaller positions of a suffix give its longest previous factor; a factor of ``length`` is an
    earlier match, and the mirrored array (next larger positions) a later one.
 4. *Cut.* Matched windows go back to their documents, whose covered bytes are removed.
@@ -55,36 +55,54 @@ def sliding(value: np.ndarray, width: int, pick: np.ufunc, neutral) -> np.ndarra
     return pick(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+_PLACE_BITS = 24
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, position, hash, context digest, context start, context end) of every anchor of the batch."""
+    """(row, hash, context digest, first window, windows) of every anchor of the batch.
+
+    Windows are numbered within their text. A sliding minimum over (hash, place) packed into 64 bits
+    finds every window's anchor at once; equal consecutive minima are one anchor's windows.
+    """
     n, many = len(data), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none.view(U64), none.view(U64), none, none
+        return none, none.view(U64), none.view(U64), none, none
     up, down = powers(n + 1)
+    bits = U64(max(_PLACE_BITS, n.bit_length()))
     with np.errstate(over="ignore"):
         run = np.zeros(n + 1, U64)
         np.cumsum(_CODES[data] * up[:n], out=run[1:])
         value = mix((run[GRAM:] - run[:-GRAM]) * down[: n - GRAM + 1])
-    value[value == _TOP] = 0
-    least = sliding(value, many, np.minimum, _TOP)
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    least[np.arange(len(least)) + length > ends[: len(least)]] = _TOP  # windows across texts
-    least[least == _TOP] = 0
-    padded = np.zeros(len(least) + 2 * (many - 1), U64)
-    padded[many - 1 : many - 1 + len(least)] = least
-    at = np.flatnonzero((sliding(padded, many, np.maximum, U64(0)) == value) & (value != 0))
-    row = np.searchsorted(offsets, at, side="right") - 1
-    start, end = np.maximum(offsets[row], at - (many - 1)), np.minimum(offsets[row + 1], at + length)
-    with np.errstate(over="ignore"):
-        digest = mix((run[end] - run[start]) * down[start] + mix((at - start).astype(U64) * U64(1 << 20) + (end - start).astype(U64)))
-    return row, at - offsets[row], value[at], digest, start - offsets[row], end - offsets[row]
+        packed = (value >> bits << bits) | np.arange(len(value), dtype=U64)
+        least = sliding(packed, many, np.minimum, _TOP)
+        ends = np.repeat(offsets[1:], np.diff(offsets))
+        whole = np.arange(len(least)) + length <= ends[: len(least)]  # windows within one text
+        opens = whole.copy()
+        opens[1:] &= (least[1:] != least[:-1]) | ~whole[:-1]
+        first = np.flatnonzero(opens)
+        last = np.flatnonzero(whole & np.r_[(least[1:] != least[:-1]) | ~whole[1:], True])
+        at = (least[first] & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        row = np.searchsorted(offsets, first, side="right") - 1
+        end = last + length
+        digest = mix((run[end] - run[first]) * down[first] + mix((at - first).astype(U64) * U64(1 << 20) + (end - first).astype(U64)))
+    return row, value[at], digest, first - offsets[row], last - first + 1
+
+
+def _place(first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """First window and number of windows (below 256) in one number."""
+    return first.astype(np.uint64) << U64(8) | windows.astype(np.uint64)
+
+
+def _windows_at(places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(places, np.uint64)
+    return (both >> U64(8)).astype(np.int64), (both & U64(255)).astype(np.int64)
 
 
 def _anchor_kernel(length: int):
     def kernel(batch: pa.RecordBatch) -> list:
-        row, at, value, digest, _, _ = anchors(*text_bytes(batch.column("text")), length)
-        return [value, digest, at.astype(np.uint32), row, batch.column("key").to_numpy(), batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()]
+        row, value, digest, at, windows = anchors(*text_bytes(batch.column("text")), length)
+        return [value, digest, _place(at, windows), row, batch.column("key").to_numpy(), batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()]
 
     return kernel
 
@@ -92,7 +110,7 @@ def _anchor_kernel(length: int):
 def _emit_anchors(parts: int):
     def emit(gathered: list[list]):
         base = np.cumsum([0, *(len(g[4]) for g in gathered)])
-        value, digest, at = (joined([g[i] for g in gathered], kind) for i, kind in ((0, U64), (1, U64), (2, np.uint32)))
+        value, digest, at = (joined([g[i] for g in gathered], kind) for i, kind in ((0, U64), (1, U64), (2, U64)))
         owner = joined([g[3] + b for g, b in zip(gathered, base, strict=False)], np.int64)
         key, doc = joined([g[4] for g in gathered], np.int64), joined([g[5] for g in gathered], np.int64)
         for part, (v, d, p, o) in split(part_of(value, parts), [value, digest, at, owner]):
@@ -126,10 +144,10 @@ def _repeated_anchors(parts: int):
             own = np.frombuffer(o, np.uint32)
             value.append(np.frombuffer(v, U64))
             digest.append(np.frombuffer(d, U64))
-            at.append(np.frombuffer(p, np.uint32))
+            at.append(np.frombuffer(p, U64))
             key.append(np.frombuffer(k, np.int64)[own])
             doc.append(np.frombuffer(i, np.int64)[own])
-        value, digest, at, key, doc = joined(value, U64), joined(digest, U64), joined(at, np.uint32), joined(key, np.int64), joined(doc, np.int64)
+        value, digest, at, key, doc = joined(value, U64), joined(digest, U64), joined(at, U64), joined(key, np.int64), joined(doc, np.int64)
         order = np.argsort(value)
         head = np.r_[True, value[order][1:] != value[order][:-1]] if len(value) else np.zeros(0, bool)
         run = np.cumsum(head) - 1
@@ -175,9 +193,9 @@ def _send_contexts(length: int, parts: int):
             chosen_ones = np.flatnonzero(flag & _SEND)
             if not len(chosen_ones):
                 continue
-            at, value = np.frombuffer(places, np.uint32)[chosen_ones].astype(np.int64), np.frombuffer(values, U64)[chosen_ones]
-            size = int(offsets[i + 1] - offsets[i])
-            start, end = np.maximum(0, at - (length - GRAM)), np.minimum(size, at + length)
+            value = np.frombuffer(values, U64)[chosen_ones]
+            start, windows = (x[chosen_ones] for x in _windows_at(places))
+            end = start + windows - 1 + length
             key, doc = batch.column("key")[i].as_py(), batch.column("doc_id")[i].as_py()
             body = data[offsets[i] : offsets[i + 1]]
             for v, s, e, f in zip(value.tolist(), start.tolist(), end.tolist(), flag[chosen_ones].tolist(), strict=True):
@@ -189,32 +207,50 @@ def _send_contexts(length: int, parts: int):
         value = np.array([r[0] for r in every], U64)
         for part, (index,) in split(part_of(value, parts), [np.arange(len(every))]):
             own = [every[i] for i in index.tolist()]
-            yield part, b"".join(r[1] for r in own), np.array([len(r[1]) for r in own], np.uint32).tobytes(), np.array([r[2] for r in own], np.int64).tobytes(), np.array([r[3] for r in own], np.uint8).tobytes(), np.array([r[4] for r in own], np.int64).tobytes(), np.array([r[5] for r in own], np.int64).tobytes()
+            yield part, value[index].tobytes(), b"".join(r[1] for r in own), np.array([len(r[1]) for r in own], np.uint32).tobytes(), np.array([r[2] for r in own], np.int64).tobytes(), np.array([r[3] for r in own], np.uint8).tobytes(), np.array([r[4] for r in own], np.int64).tobytes(), np.array([r[5] for r in own], np.int64).tobytes()
 
     return kernel, emit
 
 
-_CONTEXT_ROWS = "part int, data binary, sizes binary, starts binary, flags binary, keys binary, docs binary"
+_CONTEXT_ROWS = "part int, anchors binary, data binary, sizes binary, starts binary, flags binary, keys binary, docs binary"
 
 
 def suffix_ranks(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all suffixes with ``length`` bytes left in their string, and their rank by these bytes.
 
-    Equal ranks mean equal bytes; the order of ranks is the order of the suffixes. Prefix doubling
-    from seven bytes, each step one sort of rank pairs.
+    Equal ranks mean equal bytes; the order of ranks is the order of the suffixes. The first prefix is
+    as many bytes as fit in 63 bits; each step packs the ranks of as many consecutive prefixes as
+    fit, and sorts once.
     """
     ends = np.repeat(np.cumsum(sizes), sizes)
     left = ends - np.arange(len(data))
-    wide = np.zeros(len(data) + 8, np.int64)
-    wide[: len(data)] = data.astype(np.int64) + 1
+    letters, letter = np.unique(data, return_inverse=True)
+    bits = int(len(letters)).bit_length()
+    depth = min(length, 63 // bits)
+    wide = np.zeros(len(data) + depth, np.int64)
+    wide[: len(data)] = letter + 1
     rank = np.zeros(len(data), np.int64)
-    for i in range(7):
-        rank = rank << 9 | np.where(left > i, wide[i : i + len(data)], 0)
-    rank, depth = _dense(rank), 7
-    while 2 * depth < length:
-        rank, depth = _dense(rank * (len(data) + 2) + _shifted(rank, left, depth)), 2 * depth
+    for i in range(depth):
+        rank = rank << bits | np.where(left > i, wide[i : i + len(data)], 0)
+    rank = _dense(rank)
+    while True:
+        bits = int(rank.max(initial=0) + 1).bit_length()
+        times = max(2, 63 // bits)
+        if 2 * bits > 63:
+            raise ValueError("too many suffixes at once")
+        if times * depth >= length:
+            break
+        more = rank + 1
+        for i in range(1, times):
+            more = more << bits | _shifted(rank, left, i * depth)
+        rank, depth = _dense(more), times * depth
     starts = np.flatnonzero(left >= length)
-    return starts, _dense(rank[starts] * (len(data) + 2) + rank[starts + length - depth])
+    out = rank[starts] + 1
+    at = 0
+    while at + depth < length:  # the last prefix may overlap the one before
+        at = min(at + depth, length - depth)
+        out = out << bits | (rank[starts + at] + 1)
+    return starts, _dense(out)
 
 
 def _shifted(rank: np.ndarray, left: np.ndarray, by: int) -> np.ndarray:
@@ -271,33 +307,54 @@ def longest_previous_factor(data: bytes) -> list[int]:
 _SPAN_ROWS = "part int, starts binary, counts binary, keys binary"
 
 
+#: Bytes of contexts whose suffixes are sorted together; an anchor's contexts stay together beyond it.
+SORTED_BYTES = 1 << 20
+
+
 def _match_contexts(length: int, keep_first: bool, parts: int):
     """Reducer of one range of distinct contexts: runs of matched windows, dealt to their texts."""
 
-    def reduce(table: pa.Table) -> pa.Table:
-        names = (("data", np.uint8), ("sizes", np.uint32), ("starts", np.int64), ("flags", np.uint8), ("keys", np.int64), ("docs", np.int64))
-        data, sizes, begin, flags, key, doc = (joined([np.frombuffer(v, kind) for v in table.column(n).to_pylist()], kind) for n, kind in names)
-        sizes = sizes.astype(np.int64)
+    def some(data, sizes, begin, flags, key, doc):
         starts, rank = suffix_ranks(data, sizes, length)
-        if not len(starts):
-            return _table(_SPAN_ROWS, [])
         owner = np.repeat(np.arange(len(sizes)), sizes)[starts]
-        inside = starts - (np.cumsum(sizes) - sizes)[owner]
-        place = begin[owner] + inside
-        # two anchors of one text may send the same window twice: it counts once
-        order = np.lexsort((place, key[owner], doc[owner], rank))
+        place = begin[owner] + starts - (np.cumsum(sizes) - sizes)[owner]
+        # repeated rows send their windows twice: they count once
+        order = np.lexsort((place, key[owner], rank))
         again = np.zeros(len(order), bool)
         again[order[1:]] = (rank[order][1:] == rank[order][:-1]) & (place[order][1:] == place[order][:-1]) & (key[owner][order][1:] == key[owner][order][:-1])
         rest = np.flatnonzero(~again)
         earlier, later = factor_matches(rank[rest], (doc[owner][rest], key[owner][rest], place[rest]))
         hit = earlier if keep_first else earlier | later
-        wanted = hit & (np.ones(len(rest), bool) if keep_first else flags[owner[rest]] & _FULL == 0)
-        rest = rest[wanted]
-        k, p = key[owner[rest]], place[rest]
-        order = np.lexsort((p, k))
-        k, p = k[order], p[order]
+        rest = rest[hit & (keep_first | (flags[owner[rest]] & _FULL == 0))]
+        return key[owner[rest]], place[rest]
+
+    def reduce(table: pa.Table) -> pa.Table:
+        names = (("anchors", U64), ("data", np.uint8), ("sizes", np.uint32), ("starts", np.int64), ("flags", np.uint8), ("keys", np.int64), ("docs", np.int64))
+        value, data, sizes, begin, flags, key, doc = (joined([np.frombuffer(v, kind) for v in table.column(n).to_pylist()], kind) for n, kind in names)
+        sizes = sizes.astype(np.int64)
+        ends = np.cumsum(sizes)
+        order = np.argsort(value, kind="stable")
+        upto = np.cumsum(sizes[order])
+        fresh = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        lots, lot_start = [], 0
+        for a, b in zip(fresh.tolist(), [*fresh[1:].tolist(), len(order)], strict=False):
+            if a > lot_start and upto[b - 1] - (upto[lot_start - 1] if lot_start else 0) > SORTED_BYTES:
+                lots.append((lot_start, a))
+                lot_start = a
+        if len(order):
+            lots.append((lot_start, len(order)))
+        keys, places = [], []
+        for a, b in lots:
+            own = order[a:b]
+            index = np.repeat(ends[own] - sizes[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(int(sizes[own].sum()))
+            k, p = some(data[index], sizes[own], begin[own], flags[own], key[own], doc[own])
+            keys.append(k)
+            places.append(p)
+        k, p = joined(keys, np.int64), joined(places, np.int64)
         if not len(p):
             return _table(_SPAN_ROWS, [])
+        order = np.lexsort((p, k))
+        k, p = k[order], p[order]
         cut = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)])
         count = np.diff(np.r_[cut, len(p)])
         return _table(_SPAN_ROWS, [(part, s.tobytes(), c.tobytes(), o.tobytes()) for part, (s, c, o) in split(part_of(k[cut].view(U64), parts), [p[cut], count, k[cut]])])
@@ -310,8 +367,8 @@ def matched_spans(keyed: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     parts = parts_for(keyed, RANGE_BYTES)
     dealt = deal(keyed, _anchor_kernel(length), _emit_anchors(parts), _ANCHOR_ROWS)
     answers = dealt.groupBy("part").applyInArrow(_repeated_anchors(parts), _ANSWER_ROWS)
-    answers = durable(answers.groupBy("part").applyInArrow(_by_key([("places", np.uint32), ("flags", np.uint8), ("anchors", U64)], "key long, places binary, flags binary, anchors binary"), "key long, places binary, flags binary, anchors binary"))
-    texts = chosen(keyed, key_bitmap(answers.select("key")), True).dropDuplicates(["key"]).join(answers.hint("shuffle_hash"), "key")
+    answers = durable(answers.groupBy("part").applyInArrow(_by_key([("places", U64), ("flags", np.uint8), ("anchors", U64)], "key long, places binary, flags binary, anchors binary"), "key long, places binary, flags binary, anchors binary"))
+    texts = chosen(keyed, key_bitmap(answers.select("key")), True).join(answers.hint("shuffle_hash"), "key")
     contexts = deal(texts, *_send_contexts(length, parts), _CONTEXT_ROWS)
     spans = contexts.groupBy("part").applyInArrow(_match_contexts(length, keep_first, parts), _SPAN_ROWS)
     spans = spans.groupBy("part").applyInArrow(_by_key([("starts", np.int64), ("counts", np.int64)], "key long, starts binary, counts binary"), "key long, starts binary, counts binary")
@@ -321,13 +378,13 @@ def matched_spans(keyed: DataFrame, length: int = LENGTH, keep_first: bool = Fal
 def covered(size: int, length: int, places: bytes, flags: bytes, starts: bytes | None, counts: bytes | None, keep_first: bool) -> np.ndarray:
     """Which of a text's bytes its matched windows cover."""
     edge = np.zeros(size + 1, np.int64)
-    at, flag = np.frombuffer(places, np.uint32).astype(np.int64), np.frombuffer(flags, np.uint8)
+    first, windows = _windows_at(places)
+    flag = np.frombuffer(flags, np.uint8)
     whole = flag & _FULL > 0
     if keep_first:
         whole &= flag & _FIRST == 0
-    lo, hi = np.maximum(0, at[whole] - (length - GRAM)), np.minimum(size, at[whole] + length)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi, -1)
+    np.add.at(edge, first[whole], 1)
+    np.add.at(edge, (first + windows - 1 + length)[whole], -1)
     if starts:
         first, many = np.frombuffer(starts, np.int64), np.frombuffer(counts, np.int64)
         np.add.at(edge, first, 1)
