@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 RELATIONAL_CUES = ("depends on", "depend on", "relies on", "what does", "which crate", "which project", "which component", "which module", "who maintains", "part of", "supersedes", "superseded")
 
 
+def stripped(text: Column) -> Column:
+    """Without (Unicode) white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Search tokens: lower-cased runs of letters and digits of at least two UTF-8 bytes."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
@@ -23,7 +28,7 @@ def folded_tokens(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct lower-cased words between (Unicode) white space."""
-    words = F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"(?U)\s+")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+")
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
@@ -36,7 +41,7 @@ def set_jaccard(a: Column, b: Column) -> Column:
 
 def normalized_label(text: Column) -> Column:
     """Lower-cased with single spaces, for comparing labels and aliases."""
-    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    return F.lower(F.regexp_replace(stripped(text), r"(?U)\s+", " "))
 
 
 def snippet(text: Column, length: int = 240) -> Column:

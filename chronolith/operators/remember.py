@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.names import name_similarity
+from chronolith.functions.text import stripped
 from chronolith.operators.frames import small, top_k
 
 MERGE_AT, FLAG_AT, RECENT = 0.95, 0.85, 100
@@ -13,7 +14,7 @@ MERGE_AT, FLAG_AT, RECENT = 0.95, 0.85, 100
 
 def valid_request() -> Column:
     """A request needs a name, a type and, where it has observations, non-empty ones."""
-    return (F.trim("name") != "") & (F.trim("entity_type") != "") & ~F.exists("observations", lambda o: F.trim(o) == "")
+    return (stripped(F.col("name")) != "") & (stripped(F.col("entity_type")) != "") & ~F.exists("observations", lambda o: stripped(o) == "")
 
 
 def natural_id(*parts: Column) -> Column:

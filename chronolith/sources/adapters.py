@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.functions.text import path_allowed
+from chronolith.functions.text import path_allowed, stripped
 
 CHAT_SCHEMA = "channel string, user string, ts long, text string"
 
@@ -19,14 +19,14 @@ def parse_notes(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, observations, relations): the first H1 names an event, each H2 section is an observation,
     and an ``Attendees:`` line gives has_participant edges."""
     text = F.col("text")
-    titled = files.select("uri", "text", F.trim(F.regexp_extract(text, r"(?m)^#[ \t]+(.+)$", 1)).alias("title")).where("title <> ''")
+    titled = files.select("uri", "text", stripped(F.regexp_extract(text, r"(?m)^#[ \t]+(.+)$", 1)).alias("title")).where("title <> ''")
     entities = titled.select(F.col("title").alias("name"), F.lit("event").alias("entity_type"), F.col("uri").alias("source"))
     sections = titled.select("title", "uri", F.posexplode(F.slice(F.split(text, r"(?m)^##[ \t]+"), F.lit(2), F.lit(1_000_000))).alias("place", "section"))
-    head = F.trim(F.substring_index("section", "\n", 1))
-    body = F.trim(F.regexp_replace(F.col("section"), r"^[^\n]*\n?", ""))
+    head = stripped(F.substring_index("section", "\n", 1))
+    body = stripped(F.regexp_replace(F.col("section"), r"^[^\n]*\n?", ""))
     observations = sections.select(F.col("title").alias("entity"), "place", head.alias("section"), F.concat_ws(": ", head, F.when(body != "", body)).alias("content"), F.col("uri").alias("source"))
     people = titled.select("title", F.explode(F.split(F.regexp_extract(text, r"(?mi)^Attendees:[ \t]*(.+)$", 1), ",")).alias("who"))
-    relations = people.where(F.trim("who") != "").select(F.col("title").alias("from_entity"), F.lit("has_participant").alias("relation_type"), F.trim("who").alias("to_entity"))
+    relations = people.where(stripped(F.col("who")) != "").select(F.col("title").alias("from_entity"), F.lit("has_participant").alias("relation_type"), stripped(F.col("who")).alias("to_entity"))
     return entities, observations, relations
 
 
@@ -68,7 +68,9 @@ QUERY_SCHEMA = "id string, text string, category string, relevant array<struct<k
 
 def query_set(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queries, judgments) from text lines ``value``; blank lines and comments are skipped, repeated ids fail."""
-    rows = lines.where("trim(value) <> '' and not startswith(trim(value), '#')").select(F.from_json("value", QUERY_SCHEMA, {"mode": "FAILFAST"}).alias("q")).select("q.*")
+    line = stripped(F.col("value"))
+    real = F.when((line != "") & ~F.startswith(line, F.lit("#")), line)  # not a filter, which the parser could run before
+    rows = lines.select(F.from_json(real, QUERY_SCHEMA, {"mode": "FAILFAST"}).alias("q")).where("q is not null").select("q.*")
     ids = rows.groupBy("id").agg(F.count("*").alias("n"))
     once = rows.join(ids, "id").withColumn("n", checked(F.col("n") == 1, F.col("n").cast("int"), "repeated query id")).where("n = 1").drop("n")
     judgments = once.select(F.col("id").alias("query_id"), F.explode("relevant").alias("r")).select("query_id", "r.key", F.coalesce("r.relevance", F.lit(1)).alias("relevance"))
