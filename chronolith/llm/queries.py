@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import contamination
 from chronolith.llm.frames import table
+from chronolith.llm.oracles import ORACLE_SQL
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +78,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scans, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup, op9_pii_surrogates, op10_decontamination, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op10_decontamination": contamination.oracle_sql()}
