@@ -134,6 +134,35 @@ def prune(entities: DataFrame, observations: DataFrame, relations: DataFrame, no
     return entities.join(orphans(entities, left, relations, now).select("id"), "id", "left_anti"), left
 
 
+def set_tier(observations: DataFrame, changes: DataFrame) -> DataFrame:
+    """Observations with new tiers from (id, memory_tier); unknown tiers are refused and change nothing."""
+    fine = changes.where(F.col("memory_tier").isin("episodic", "semantic", "procedural")).groupBy("id").agg(F.max("memory_tier").alias("new_tier"))
+    return observations.join(small(fine), "id", "left").withColumn("memory_tier", F.coalesce("new_tier", "memory_tier")).select(*observations.columns)
+
+
+def add_relations(relations: DataFrame, new: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations, refused): new relations (id, from_entity, to_entity, ...) whose ends exist are appended, the others refused."""
+    ids = entities.select("id").distinct()
+    ends = new.join(ids.withColumnRenamed("id", "from_entity"), "from_entity", "left_semi").join(ids.withColumnRenamed("id", "to_entity"), "to_entity", "left_semi")
+    return relations.unionByName(ends.select(*new.columns), allowMissingColumns=True), new.join(ends.select("id"), "id", "left_anti")
+
+
+def destruction_preview(observations: DataFrame, relations: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entity_id, observations, relations, digest): what destroying each entity would take, and a digest that
+    a confirmation must repeat, so that nothing is destroyed that was not shown."""
+    wanted = small(ids.select(F.col("id").alias("entity_id")).distinct())
+    obs = observations.join(wanted, "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("observations"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
+    ends = relations.select("id", F.explode(F.array_distinct(F.array("from_entity", "to_entity"))).alias("entity_id")).join(wanted, "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("relations"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("rel_mark"))
+    rows = wanted.join(obs, "entity_id", "left").join(ends, "entity_id", "left")
+    digest = F.sha2(F.concat_ws("\0", F.col("entity_id").cast("string"), F.coalesce("mark", F.lit(0)).cast("string"), F.coalesce("rel_mark", F.lit(0)).cast("string")), 256)
+    return rows.select("entity_id", F.coalesce("observations", F.lit(0)).alias("observations"), F.coalesce("relations", F.lit(0)).alias("relations"), digest.alias("digest"))
+
+
+def confirmed(preview: DataFrame, confirmations: DataFrame) -> DataFrame:
+    """Entities whose confirmation (entity_id, digest) repeats what the preview shows now."""
+    return preview.join(confirmations, ["entity_id", "digest"], "left_semi").select(F.col("entity_id").alias("id"))
+
+
 def supersede(observations: DataFrame, changes: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
     """(observations, links): each change (id, new_id, content) closes a live row and adds its successor.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.time import live_now, no_stub
+from chronolith.functions.time import live_now, no_stub, unexpired
 from chronolith.operators.frames import top_k
 
 
@@ -65,6 +65,20 @@ def resolve(entities: DataFrame, names: DataFrame, most: int = 64) -> DataFrame:
     return counted.select("name", outcome.alias("outcome"), "id", F.least("n", F.lit(most)).alias("candidates"), (F.col("n") > most).alias("truncated"))
 
 
+def entity_records(resolved: DataFrame, observations: DataFrame, relations: DataFrame, now: int, latest: int = 10) -> DataFrame:
+    """(name, outcome, id, observations, outgoing, incoming): each resolved name's record, with its latest live
+    observations as an array bounded by ``latest``."""
+    wanted = resolved.where("id is not null").select("id").distinct()
+    live = observations.where(live_now(now)).join(wanted.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi")
+    newest = top_k(live.select("entity_id", "id", "observed_at"), [F.desc("observed_at"), F.col("id")], latest, ["entity_id"], "nth")
+    facts = newest.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("facts")).select(F.col("entity_id").alias("id"), F.col("facts.id").alias("observations"))
+    current = relations.where(unexpired(now))
+    out = current.groupBy(F.col("from_entity").alias("id")).agg(F.count("*").alias("outgoing"))
+    into = current.groupBy(F.col("to_entity").alias("id")).agg(F.count("*").alias("incoming"))
+    rows = resolved.join(facts, "id", "left").join(out, "id", "left").join(into, "id", "left")
+    return rows.select("name", "outcome", "id", "observations", F.coalesce("outgoing", F.lit(0)).alias("outgoing"), F.coalesce("incoming", F.lit(0)).alias("incoming"))
+
+
 def upsert_sources(sources: DataFrame, updates: DataFrame) -> DataFrame:
     """Latest row per uri, keeping the first created_at."""
     every = sources.unionByName(updates)

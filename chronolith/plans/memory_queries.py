@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronolith.operators import evaluation, graph, history, lifecycle, merge, recall, remember, search, store
+from chronolith.operators import evaluation, gates, graph, history, lifecycle, merge, recall, remember, search, spaces, store
 from chronolith.plans import fixtures as fx
 from chronolith.plans.queries import _SCORE, _TOKENS, query
 from chronolith.sources import adapters
@@ -566,3 +566,78 @@ def baseline_compare(spark, sf_dir):
 @query("select distinct doc_id as key from labels where doc_id not in (select vec_id from embeddings)")
 def unknown_keys(spark, sf_dir):
     return evaluation.unknown_keys(fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")), fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key")))
+
+
+_REPORT = "select o_orderpriority as category, round(avg(o_totalprice) / 500000, 6) as recall, round(avg(o_totalprice) / 400000, 6) as mrr, round(avg(o_totalprice) / 300000, 6) as ndcg, count(*) as n, o_orderpriority <> '5-LOW' as judgments_complete from orders where {0} group by o_orderpriority union all select null, round(avg(o_totalprice) / 500000, 6), round(avg(o_totalprice) / 400000, 6), round(avg(o_totalprice) / 300000, 6), count(*), true from orders where {0}"
+
+
+def _report(spark, sf_dir, where):
+    o = fx.table(spark, sf_dir, "orders").where(where)
+    means = [F.round(F.avg("o_totalprice") / d, 6).alias(m) for m, d in (("recall", 500000), ("mrr", 400000), ("ndcg", 300000))]
+    by = o.groupBy(F.col("o_orderpriority").alias("category")).agg(*means, F.count("*").alias("n")).withColumn("judgments_complete", F.col("category") != "5-LOW")
+    return by.unionByName(o.agg(*means, F.count("*").alias("n")).select(F.lit(None).cast("string").alias("category"), "*", F.lit(True).alias("judgments_complete")))
+
+
+@query(f"""with cur as ({_REPORT.format("o_orderkey % 3 = 0 and o_orderpriority <> '1-URGENT'")}), base as ({_REPORT.format("o_orderkey % 3 = 1")}),
+  c as (select base.category, base.ndcg - cur.ndcg as d, base.judgments_complete and cur.judgments_complete as whole from base join cur on cur.category = base.category),
+  m as (select 'recall' as metric, b.recall - a.recall as d from base b, cur a where b.category is null and a.category is null union all select 'mrr', b.mrr - a.mrr from base b, cur a where b.category is null and a.category is null union all select 'ndcg', b.ndcg - a.ndcg from base b, cur a where b.category is null and a.category is null)
+  select 'category:' || category as gate, case when round(d, 9) <= 0.001 then 'pass' when whole then 'fail' else 'indeterminate' end as verdict from c
+  union all select 'aggregate:' || metric, case when round(d, 9) > 0.001 then 'fail' else 'pass' end from m
+  union all select 'category_coverage', case when (select count(*) from base where category is not null and category not in (select category from cur where category is not null)) = 0 then 'pass' else 'fail' end""")
+def gate_outcomes(spark, sf_dir):
+    cur, base = _report(spark, sf_dir, "o_orderkey % 3 = 0 and o_orderpriority <> '1-URGENT'"), _report(spark, sf_dir, "o_orderkey % 3 = 1")
+    limits = gates.Limits(category_drop=0.001, aggregate_drop=0.001)
+    return gates.category_gates(cur, base, limits).unionByName(gates.aggregate_gate(cur, base, limits)).unionByName(gates.coverage_gate(cur, base)).select("gate", "verdict")
+
+
+_CATALOG = """sp as (select 'sp' || s_suppkey as id, case when s_suppkey % 3 = 0 then 'user' else 'team' end as owner_kind, case when s_suppkey % 3 = 0 then 'p' || s_suppkey % 40 else 't' || s_suppkey % 25 end as owner_id from supplier),
+  pr as (select 'p' || c_custkey as id, case when c_custkey % 11 = 0 then 'closed' else 'active' end as state from customer where c_custkey < 60),
+  tm as (select 't' || n_nationkey as id, case when n_nationkey % 6 = 0 then 'closed' else 'active' end as state from nation),
+  ms as (select 't' || c_nationkey as team_id, 'p' || c_custkey as principal_id, case when c_custkey % 2 = 0 then 'reader' else 'writer' end as role, case when c_custkey % 5 = 0 then 10 when c_custkey % 7 = 0 then 1000 end as expires_at from customer where c_custkey < 60)"""
+
+
+@query(f"""with {_CATALOG} select pr.id as principal_id, sp.id as space_id, 'maintainer' as role from sp join pr on pr.id = sp.owner_id and owner_kind = 'user' where pr.state = 'active'
+  union all select pr.id, sp.id, ms.role from sp join tm on tm.id = sp.owner_id and owner_kind = 'team' join ms on ms.team_id = tm.id join pr on pr.id = ms.principal_id where pr.state = 'active' and tm.state = 'active' and (expires_at is null or expires_at > 100)""")
+def effective_roles(spark, sf_dir):
+    s, c, n = (fx.table(spark, sf_dir, t) for t in ("supplier", "customer", "nation"))
+    k = F.col("s_suppkey")
+    sp = s.select(F.concat(F.lit("sp"), k).alias("id"), F.when(k % 3 == 0, "user").otherwise("team").alias("owner_kind"), F.when(k % 3 == 0, F.concat(F.lit("p"), k % 40)).otherwise(F.concat(F.lit("t"), k % 25)).alias("owner_id"))
+    few, p = c.where("c_custkey < 60"), F.col("c_custkey")
+    pr = few.select(F.concat(F.lit("p"), p).alias("id"), F.when(p % 11 == 0, "closed").otherwise("active").alias("state"))
+    tm = n.select(F.concat(F.lit("t"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 6 == 0, "closed").otherwise("active").alias("state"))
+    ms = few.select(F.concat(F.lit("t"), "c_nationkey").alias("team_id"), F.concat(F.lit("p"), p).alias("principal_id"), F.when(p % 2 == 0, "reader").otherwise("writer").alias("role"), F.when(p % 5 == 0, 10).when(p % 7 == 0, 1000).alias("expires_at"))
+    return spaces.effective_roles(sp, pr, tm, ms, 100)
+
+
+@query("select event_id as sequence, event_type from events where event_id > 500 order by event_id limit 25")
+def events_after(spark, sf_dir):
+    return spaces.events_after(fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("sequence"), "event_type"), 500, 25)
+
+
+@query(f"""{T('entities', 'observations', 'relations')}, r as (select name, id from entities where id like 'c%' and source <> 'partition:stub' and name in (select c_name from customer where c_custkey % 50 = 0)),
+  f as (select entity_id, list(id order by observed_at desc, id) as obs from (select *, row_number() over (partition by entity_id order by observed_at desc, id) as nth from observations where {_LIVE}) where nth <= 3 group by entity_id)
+  select r.name, 'unique' as outcome, r.id, f.obs as observations, (select count(*) from relations x where x.from_entity = r.id and (valid_until is null or valid_until > {NOW})) as outgoing, (select count(*) from relations x where x.to_entity = r.id and (valid_until is null or valid_until > {NOW})) as incoming from r left join f on f.entity_id = r.id""")
+def entity_records(spark, sf_dir):
+    asked = fx.table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_name").alias("name"))
+    found = store.resolve(fx.entities(spark, sf_dir), asked).where("outcome = 'unique'")
+    return store.entity_records(found, fx.observations(spark, sf_dir), fx.relations(spark, sf_dir), NOW, 3)
+
+
+@query(f"{T('observations')} select id, case when id % 20 = 0 then 'procedural' else memory_tier end as memory_tier from observations")
+def tier_change(spark, sf_dir):
+    rows = fx.observations(spark, sf_dir)
+    wanted = rows.where("id % 20 = 0").select("id", F.lit("procedural").alias("memory_tier")).unionByName(rows.where("id % 31 = 0 and id % 20 > 0").select("id", F.lit("eternal").alias("memory_tier")))
+    return lifecycle.set_tier(rows, wanted).select("id", "memory_tier")
+
+
+@query(f"""{T('observations', 'relations')}, w as (select 'c' || c_custkey as entity_id from customer where c_custkey % 25 = 0)
+  select w.entity_id, (select count(*) from observations o where o.entity_id = w.entity_id) as observations, (select count(*) from relations r where r.from_entity = w.entity_id or r.to_entity = w.entity_id) as relations from w""")
+def destruction_preview(spark, sf_dir):
+    ids = fx.table(spark, sf_dir, "customer").where("c_custkey % 25 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    return lifecycle.destruction_preview(fx.observations(spark, sf_dir), fx.relations(spark, sf_dir), ids).drop("digest")
+
+
+@query(f"{T('entities', 'relations')} select count(*) as entities, (select count(*) from relations) as relations from entities")
+def domain_totals(spark, sf_dir):
+    report = store.domain_report(fx.entities(spark, sf_dir), fx.relations(spark, sf_dir), 8)
+    return report.agg(F.sum("entities").alias("entities"), F.sum(F.col("local") + F.col("crossing")).alias("relations"))
