@@ -40,10 +40,11 @@ def score_queries(ranked: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
     )
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "key"))
     ideal = positive.groupBy("query_id", "key").agg(F.max("relevance").alias("relevance")).withColumn("at", order).where(F.col("at") <= k).groupBy("query_id").agg(F.sum(gain / F.log2(F.col("at") + 1.0)).alias("ideal"))
-    return found.join(ideal, "query_id").select(
+    asked = judgments.select("query_id").distinct()  # queries without a relevant judgment score 0
+    return asked.join(found, "query_id", "left").join(ideal, "query_id", "left").select(
         "query_id",
-        F.round(F.col("hit") / F.col("judged"), 6).alias("recall"),
-        F.round(F.col("hit_keys") / F.least(F.col("keys"), F.lit(k)), 6).alias("capacity_recall"),
+        F.round(F.coalesce(F.col("hit") / F.col("judged"), F.lit(0.0)), 6).alias("recall"),
+        F.round(F.coalesce(F.col("hit_keys") / F.least(F.col("keys"), F.lit(k)), F.lit(0.0)), 6).alias("capacity_recall"),
         F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"),
         F.round(F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0)), 6).alias("ndcg"),
     )

@@ -70,13 +70,19 @@ def promote_successors(hits: DataFrame, chain: DataFrame, k: int) -> DataFrame:
     return top_k(once, [F.col("at"), F.col("item")], k, ["query_id"], "place").select("query_id", "place", "item")
 
 
-def routed(queries: DataFrame, gloss: DataFrame, content: DataFrame, relational: DataFrame, k: int) -> DataFrame:
-    """Routed retrieval: the query's intent names its first route; the others fill up behind it.
+def routed(queries: DataFrame, gloss: DataFrame, content: DataFrame, relational: DataFrame, k: int, engaged: bool = True, pinned: bool = False) -> DataFrame:
+    """Routed retrieval: the query's intent names its first route; the others are appended, never interleaved.
 
-    The routes are (query_id, rank, item); ``queries`` has query_id and intent. Lookups fill from
-    content and content from gloss, relational questions from both.
+    The routes are (query_id, rank, item); ``queries`` has query_id and intent. Behind the first route
+    come content and then gloss. Content has no validity, so queries pinned to an instant leave it out
+    and a content question becomes a lookup; a store too small to engage answers from content only.
     """
-    plan = [("lookup", gloss, 0), ("lookup", content, 1), ("content", content, 0), ("content", gloss, 1), ("relational", relational, 0), ("relational", gloss, 1), ("relational", content, 2)]
+    if pinned:
+        plan = [("lookup", gloss, 0), ("content", gloss, 0), ("relational", relational, 0), ("relational", gloss, 2)]
+    elif not engaged:
+        plan = [(intent, content, 0) for intent in ("lookup", "content", "relational")]
+    else:
+        plan = [("lookup", gloss, 0), ("lookup", content, 1), ("content", content, 0), ("content", gloss, 2), ("relational", relational, 0), ("relational", content, 1), ("relational", gloss, 2)]
     parts = None
     for intent, route, place in plan:
         part = route.join(queries.where(F.col("intent") == intent).select("query_id"), "query_id", "left_semi").select("query_id", F.lit(place).alias("route"), "rank", "item")

@@ -20,10 +20,10 @@ TOMBSTONE_TTL = 14 * 86_400
 class Consolidation:
     """Settings of a consolidation run."""
 
-    threshold: float = 0.8
-    min_age: int = 7 * 86_400
+    threshold: float = 0.95
+    min_age: int = 86_400
     decay_rate: float = 0.01
-    prune_floor: float = 0.1
+    prune_floor: float = 0.05
     ttl: int = TOMBSTONE_TTL
 
 

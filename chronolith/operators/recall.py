@@ -11,7 +11,8 @@ from chronolith.functions.scores import SCORE_FLOOR, SPREAD_DECAY, ranked_score,
 from chronolith.functions.time import unexpired, valid_at
 from chronolith.operators.frames import small, top_k
 
-ENTITY_TYPES = ("person", "project", "concept", "tool", "organization", "place", "event", "document", "technology")
+# The known entity types.
+ENTITY_TYPES = ("person", "project", "concept", "tool", "preference", "fact", "event", "location", "organization")
 
 
 @dataclass(frozen=True)

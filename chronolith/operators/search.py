@@ -7,8 +7,15 @@ with map-side partial sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronolith.functions.scores import bm25_term, cosine, idf, norm
 from chronolith.functions.text import tokens
@@ -79,18 +86,59 @@ def prefix_terms(posted: DataFrame, queries: DataFrame, least: int = 4) -> DataF
     return short.unionByName(found.select("query_id", F.col("word").alias("term"), "times")).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
 
 
+#: Query vectors that a task holds at once; a larger query set is joined block-wise by Spark instead.
+HELD_QUERIES = 20_000
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: tuple[str, ...] = ("uri", "chunk_index"), vector: str = "vector") -> DataFrame:
     """(query_id, rank, *key, score) by exact cosine similarity.
 
-    A stated query set against all rows: the queries are broadcast within a bound of their size,
-    norms are computed once per row, and each partition keeps k rows per query.
+    A stated query set against all rows. Up to ``HELD_QUERIES`` query vectors are collected (the one action
+    here) and every Arrow batch of rows meets them in matrix products, each batch passing on its k
+    best rows per query and their ties; beyond that, and for vectors of mixed lengths, the pairs are
+    scored by column functions.
     """
-    rows = vectors.where(F.col(vector).isNotNull()).select(*key, F.col(vector).alias("v"), norm(F.col(vector)).alias("nv"))
-    asked = queries.select("query_id", F.col(vector).alias("q"), norm(F.col(vector)).alias("nq"))
-    scored = rows.crossJoin(small(asked)).select("query_id", *key, F.round(cosine(F.col("v"), F.col("q"), F.col("nv"), F.col("nq")), 6).alias("score"))
+    rows = vectors.where(F.col(vector).isNotNull()).select(*key, F.col(vector).alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("q"))
+    held = asked.limit(HELD_QUERIES + 1).collect()
+    if 0 < len(held) <= HELD_QUERIES and len({len(r["q"]) for r in held}) == 1:
+        scored = _matrix_scores(rows, asked, held, k, key)
+    else:
+        sized = asked.withColumn("nq", norm(F.col("q")))
+        scored = rows.withColumn("nv", norm(F.col("v"))).crossJoin(small(sized)).select("query_id", *key, F.round(cosine(F.col("v"), F.col("q"), F.col("nv"), F.col("nq")), 6).alias("score"))
     return top_k(scored, [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
 
 
+def _matrix_scores(rows: DataFrame, asked: DataFrame, held: list, k: int, key: tuple[str, ...]) -> DataFrame:
+    matrix = np.array([r["q"] for r in held], np.float64)
+    size = np.sqrt((matrix * matrix).sum(axis=1))
+    matrix = np.divide(matrix, size[:, None], out=np.zeros_like(matrix), where=size[:, None] > 0)
+    ids = [r["query_id"] for r in held]
+    schema = StructType([asked.schema["query_id"], *(rows.schema[c] for c in key), StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(ids, arrow.field("query_id").type)
+        for batch in batches:
+            column = batch.column("v")
+            same = pc.fill_null(pc.equal(pc.list_value_length(column), matrix.shape[1]), False).to_numpy(zero_copy_only=False)
+            unit = np.zeros((batch.num_rows, matrix.shape[1]))
+            flat = np.asarray(column.filter(pa.array(same)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, matrix.shape[1])
+            length = np.sqrt((flat * flat).sum(axis=1))
+            unit[same] = np.divide(flat, length[:, None], out=np.zeros_like(flat), where=length[:, None] > 0)
+            for lo in range(0, len(ids), 128):
+                score = np.round(unit @ matrix[lo : lo + 128].T, 6) + 0.0
+                if batch.num_rows > k:
+                    least = np.partition(score, batch.num_rows - k, axis=0)[batch.num_rows - k]
+                    row, query = np.nonzero(score >= least)
+                else:
+                    row, query = np.nonzero(np.ones_like(score, bool))
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query + lo)), *(batch.column(c).take(taken) for c in key), pa.array(score[row, query])], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def rrf_fuse(vector: DataFrame, keyword: DataFrame, k: int, alpha: float = 0.7, rrf_k: float = 60.0, key: tuple[str, ...] = ("uri", "chunk_index")) -> DataFrame:
     """Reciprocal rank fusion, scaled so that first in both lists is 1: union and one aggregate, no join."""
 

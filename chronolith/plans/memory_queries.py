@@ -259,7 +259,7 @@ def append_dedup(spark, sf_dir):
 
 
 @query(f"""with {_ROUTES}, q as (select distinct query_id, case query_id % 3 when 0 then 'lookup' when 1 then 'content' else 'relational' end as intent from routes),
-  pl(intent, route, place) as (values ('lookup', 0, 0), ('lookup', 1, 1), ('content', 1, 0), ('content', 0, 1), ('relational', 2, 0), ('relational', 0, 1), ('relational', 1, 2)),
+  pl(intent, route, place) as (values ('lookup', 0, 0), ('lookup', 1, 1), ('content', 1, 0), ('content', 0, 1), ('relational', 2, 0), ('relational', 1, 1), ('relational', 0, 2)),
   once as (select r.query_id, r.item, min((pl.place, r.rank)) as spot from routes r join q using (query_id) join pl on pl.intent = q.intent and pl.route = r.route group by all),
   p as (select query_id, row_number() over (partition by query_id order by spot, item) as place, item from once) select * from p where place <= 10""")
 def routed_retrieval(spark, sf_dir):
@@ -283,7 +283,7 @@ def retention_scores(spark, sf_dir):
 _SETTINGS = lifecycle.Consolidation(decay_rate=0.001, prune_floor=0.1, threshold=0.6)
 
 
-@query(f"{T('observations')} select id, round({_KEPT}, 6) as retention from observations where not tombstoned and {NOW} - observed_at >= 604800 and round({_KEPT}, 6) < 0.1")
+@query(f"{T('observations')} select id, round({_KEPT}, 6) as retention from observations where not tombstoned and {NOW} - observed_at >= 86400 and round({_KEPT}, 6) < 0.1")
 def prune_candidates(spark, sf_dir):
     return lifecycle.prune_candidates(fx.observations(spark, sf_dir), NOW, _SETTINGS)
 
@@ -475,8 +475,8 @@ _EVAL = f"""toks as (select doc_id, {_TOKENS.format("text")} as ws from document
   pos as (select query_id, key, max(relevance) as relevance, count(*) as times from jd where relevance > 0 group by all),
   m as (select p.*, r.rank from pos p left join ranked r using (query_id, key)),
   f as (select query_id, sum(times) as judged, sum(case when rank is not null then times else 0 end) as hit, count(*) as keys, count(rank) as hit_keys, min(rank) as first, coalesce(sum(case when rank is not null then (pow(2, relevance) - 1) / log2(rank + 1) end), 0) as dcg from m group by query_id),
-  i as (select query_id, sum((pow(2, relevance) - 1) / log2(spot + 1)) as ideal from (select *, row_number() over (partition by query_id order by relevance desc, key) as spot from pos) where spot <= 10 group by query_id),
-  scored as (select query_id, round(hit / judged, 6) as recall, round(hit_keys / least(keys, 10), 6) as capacity_recall, round(coalesce(1e0 / first, 0), 6) as mrr, round(coalesce(dcg / ideal, 0), 6) as ndcg from f join i using (query_id)),
+  ideals as (select query_id, sum((pow(2, relevance) - 1) / log2(spot + 1)) as ideal from (select *, row_number() over (partition by query_id order by relevance desc, key) as spot from pos) where spot <= 10 group by query_id),
+  scored as (select query_id, round(coalesce(hit / judged, 0), 6) as recall, round(coalesce(hit_keys / least(keys, 10), 0), 6) as capacity_recall, round(coalesce(1e0 / first, 0), 6) as mrr, round(coalesce(dcg / ideal, 0), 6) as ndcg from (select distinct query_id from jd) left join f using (query_id) left join ideals using (query_id)),
   qs as (select item_id as query_id, 'cat' || item_id % 3 as category, item_id % 7 = 0 as expect_abstention, item_id % 5 = 0 as waived, case when item_id % 2 = 0 then 'human' else 'auto' end as judgment_source from benchmark)"""
 
 
