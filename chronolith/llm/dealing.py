@@ -24,7 +24,7 @@ from chronolith.llm.frames import arrow_schema, slices
 from chronolith.llm.kernels import mix
 
 #: Postings a map task holds before it emits them.
-FLUSH = 1_000_000
+FLUSH = 700_000
 #: Bits of the bitmap of owners with answers: 1 MB, however many owners there are.
 BITS = 1 << 23
 
@@ -89,11 +89,6 @@ def owners_of(index: np.ndarray, *tables: np.ndarray) -> tuple[np.ndarray, list[
     return local.astype(np.uint32), [t[used] for t in tables]
 
 
-def column(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
-    """A binary column's values as arrays."""
-    return [np.frombuffer(v, dtype) for v in table.column(name).to_pylist()]
-
-
 def joined(arrays: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.zeros(0, dtype)
 
@@ -120,13 +115,14 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def chosen(keyed: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame:
-    """Rows whose key's bit is set (or is not)."""
+def chosen(keyed: DataFrame, bitmap: np.ndarray, inside: bool, by: str = "key") -> DataFrame:
+    """Rows whose key's bit is set (or is not); nulls have no bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.mod(batch.column("key").to_numpy(), BITS)
-            hit = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            column = batch.column(by)
+            bit = np.mod(column.fill_null(0).to_numpy(), BITS)
+            hit = ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) & column.is_valid().to_numpy(zero_copy_only=False)
             out = batch.filter(pa.array(hit if inside else ~hit))
             if out.num_rows:
                 yield out

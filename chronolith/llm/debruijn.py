@@ -36,11 +36,11 @@ from chronolith.llm.kernels import U64, mix, shingles, text_bytes, words_of
 
 WIDTH = 13
 #: Bytes of input files for each hash range.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 2 << 20
 
 
 def _windows(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
-    """[window hash, row of the batch, key and doc_id of each row] of all distinct windows per text."""
+    """[window hash, row of the batch, doc_id of each row] of all windows of texts with a doc_id."""
     w = words_of(*text_bytes(batch.column("text")))
     value = shingles(w.hash, width)
     count = np.diff(w.first)
@@ -50,7 +50,7 @@ def _windows(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     doc = batch.column("doc_id")
     known = np.asarray(doc.is_valid())
     keep = known[row]
-    return [value[at][keep], row[keep], batch.column("key").to_numpy(), doc.fill_null(0).to_numpy()]
+    return [value[at][keep], row[keep], doc.fill_null(0).to_numpy()]
 
 
 def _emit_windows(parts: int):
@@ -58,12 +58,12 @@ def _emit_windows(parts: int):
         base = np.cumsum([0, *(len(g[2]) for g in gathered)])
         value = joined([g[0] for g in gathered], U64)
         owner = joined([g[1] + b for g, b in zip(gathered, base, strict=False)], np.int64)
-        key, doc = joined([g[2] for g in gathered], np.int64), joined([g[3] for g in gathered], np.int64)
+        doc = joined([g[2] for g in gathered], np.int64)
         for part, (v, o) in split(part_of(value, parts), [value, owner]):
-            local, (keys, docs) = owners_of(o, key, doc)
-            small = local.astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)
+            local, (docs,) = owners_of(o, doc)
+            small = local.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32)
             # the range is known, so seven of eight bytes name a window in it
-            yield part, v.view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), small.tobytes(), small.itemsize, keys.tobytes(), docs.tobytes()
+            yield part, v.view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), small.tobytes(), small.itemsize, docs.tobytes()
 
     return emit
 
@@ -72,16 +72,15 @@ def _repeated(parts: int):
     """Reducer of one hash range: repeated windows, their smallest doc_id and colour, dealt to their owners."""
 
     def reduce(table: pa.Table) -> pa.Table:
-        values, owners, keys, docs, base = [], [], [], [], 0
-        for v, o, size, k, d in zip(*(table.column(n).to_pylist() for n in ("windows", "owner", "owner_size", "keys", "docs")), strict=True):
+        values, owners, docs, base = [], [], [], 0
+        for v, o, size, d in zip(*(table.column(n).to_pylist() for n in ("windows", "owner", "owner_size", "docs")), strict=True):
             wide = np.zeros((len(v) // 7, 8), np.uint8)
             wide[:, :7] = np.frombuffer(v, np.uint8).reshape(-1, 7)
             values.append(wide.view(U64).reshape(-1))
             owners.append(np.frombuffer(o, np.uint16 if size == 2 else np.uint32).astype(np.int64) + base)
-            keys.append(np.frombuffer(k, np.int64))
             docs.append(np.frombuffer(d, np.int64))
-            base += len(keys[-1])
-        value, owner, key, doc = joined(values, U64), joined(owners, np.int64), joined(keys, np.int64), joined(docs, np.int64)
+            base += len(docs[-1])
+        value, owner, doc = joined(values, U64), joined(owners, np.int64), joined(docs, np.int64)
         order = np.argsort(value)
         value, owner = value[order], owner[order]
         head = np.r_[True, value[1:] != value[:-1]]
@@ -99,21 +98,22 @@ def _repeated(parts: int):
             sums = np.r_[U64(0), np.cumsum(np.where(fresh, mix(ids.view(U64)), U64(0)))]
             start = np.flatnonzero(head)
             colour = (sums[np.r_[start[1:], len(ids)]] - sums[start])[group]
-        shared = np.bincount(group, fresh)[group] > 1 if len(group) else np.zeros(0, bool)
+        # a document is answered once for each of its windows
+        shared = fresh & (np.bincount(group, fresh)[group] > 1) if len(group) else np.zeros(0, bool)
         least = ids[start][group]
         out = []
-        for part, (v, o, c, m) in split(part_of(key[owner[shared]].view(U64), parts), [value[shared], owner[shared], colour[shared], least[shared]]):
+        for part, (v, o, c, m) in split(part_of(ids[shared].view(U64), parts), [value[shared], ids[shared], colour[shared], least[shared]]):
             used, local = np.unique(o, return_inverse=True)
             by = np.argsort(local, kind="stable")
             sizes = np.bincount(local)
             pairs, which = np.unique(np.stack([c[by].view(np.int64), m[by]]), axis=1, return_inverse=True)
-            out.append((part, v[by].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), which.astype(np.uint32).tobytes(), pairs.tobytes(), sizes.astype(np.uint32).tobytes(), key[used].tobytes()))
+            out.append((part, v[by].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), which.astype(np.uint32).tobytes(), pairs.tobytes(), sizes.astype(np.uint32).tobytes(), used.tobytes()))
         return pa.table({n: pa.array([r[i] for r in out], type=t) for i, (n, t) in enumerate((("part", pa.int32()), ("windows", pa.binary()), ("pair", pa.binary()), ("pairs", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())))})
 
     return reduce
 
 
-_ANSWERS = "key long, windows binary, which binary, pairs binary"
+_ANSWERS = "doc_id long, windows binary, which binary, pairs binary"
 
 
 def _by_owner(table: pa.Table) -> pa.Table:
@@ -134,13 +134,16 @@ def _by_owner(table: pa.Table) -> pa.Table:
     for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=False):
         pairs, which = np.unique(np.stack([colour[a:b], first[a:b]]), axis=1, return_inverse=True)
         out.append((int(key[a]), window[a:b].tobytes(), which.reshape(-1).astype(np.uint16 if pairs.shape[1] < 1 << 16 else np.uint32).tobytes(), pairs.tobytes()))
-    return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("key", pa.int64()), ("windows", pa.binary()), ("which", pa.binary()), ("pairs", pa.binary())))})
+    return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("doc_id", pa.int64()), ("windows", pa.binary()), ("which", pa.binary()), ("pairs", pa.binary())))})
 
 
 def repeated_windows(keyed: DataFrame, width: int) -> DataFrame:
-    """(key, windows, which, pairs): for each text with repeated windows, which they are and whose."""
+    """(doc_id, windows, which, pairs): for each document with repeated windows, which they are and whose.
+
+    Texts of one doc_id share their answers: a text looks up only the windows that it has.
+    """
     parts = parts_for(keyed, RANGE_BYTES)
-    dealt = deal(keyed, lambda batch: _windows(batch, width), _emit_windows(parts), "part int, windows binary, owner binary, owner_size int, keys binary, docs binary")
+    dealt = deal(keyed, lambda batch: _windows(batch, width), _emit_windows(parts), "part int, windows binary, owner binary, owner_size int, docs binary")
     found = dealt.groupBy("part").applyInArrow(_repeated(parts), "part int, windows binary, pair binary, pairs binary, sizes binary, keys binary")
     return found.groupBy("part").applyInArrow(_by_owner, _ANSWERS)
 
@@ -200,7 +203,7 @@ def _stretches(width: int):
 
 def stretches(keyed: DataFrame, answers: DataFrame, members: np.ndarray, width: int) -> DataFrame:
     """(key, doc_id, start, edges, head, tail, digest, colour, source, content) of every nonbranching stretch in every text."""
-    texts = chosen(keyed, members, True).join(answers.hint("shuffle_hash"), "key")
+    texts = chosen(keyed, members, True, "doc_id").join(answers.hint("shuffle_hash"), "doc_id")
     return map_batches(texts, _stretches(width), _STRETCHES)
 
 
@@ -227,9 +230,16 @@ def paths(found: DataFrame) -> DataFrame:
 
 
 def repeated_spans(found: DataFrame) -> DataFrame:
-    """(key, doc_id, start, edges, source, path, place): stretches that their source's coordinates confirm."""
+    """(key, doc_id, start, edges, source, path, place): stretches that their source's coordinates confirm.
+
+    Where a document of the colour has several texts, no single text need hold all of the colour's edges;
+    such colours count as they are.
+    """
     confirmed = found.groupBy("colour", "content").agg(F.min("doc_id").alias("holder"))
-    return found.join(confirmed, ["colour", "content"]).where("holder = source").join(paths(found), "digest").select("key", "doc_id", "start", "edges", "source", "path", "place")
+    several = found.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("doc_id")
+    loose = found.join(several, "doc_id", "left_semi").select("colour").distinct().withColumn("loose", F.lit(True))
+    kept = found.join(confirmed, ["colour", "content"]).join(loose, "colour", "left").where("holder = source or loose")
+    return kept.join(paths(found), "digest").select("key", "doc_id", "start", "edges", "source", "path", "place")
 
 
 def _result_columns() -> str:
@@ -264,7 +274,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     keyed = with_key(documents)
     answers = durable(repeated_windows(keyed, width))
-    found = durable(stretches(keyed, answers, key_bitmap(answers.select("key")), width))
+    found = durable(stretches(keyed, answers, key_bitmap(answers.select(F.col("doc_id").alias("key"))), width))
     removed = repeated_spans(found).where("source < doc_id").groupBy("key").agg(F.collect_set(F.struct("start", "edges")).alias("spans"))
     removed = durable(removed)
     members = key_bitmap(removed.select("key"))

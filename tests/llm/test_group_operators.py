@@ -110,6 +110,9 @@ def test_windows_of_repeated_and_nameless_rows(spark, docs):
     odd = spark.createDataFrame([(5, text), (5, text), (5, "pre " + text), (9, text), (None, text)], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in debruijn.remove_repeats(odd).collect())
     assert got == [(-1, 20, 0), (5, 20, 0), (5, 20, 0), (5, 21, 0), (9, 20, 20)]
+    other = " ".join(f"v{i}" for i in range(20))
+    split = spark.createDataFrame([(5, text), (5, other), (9, text + " x " + other)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in debruijn.remove_repeats(split).collect()) == [(5, 20, 0), (5, 20, 0), (9, 41, 40)]
     assert debruijn.remove_repeats(docs.where("false")).count() == 0
 
 
