@@ -16,6 +16,7 @@ documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from functools import lru_cache
@@ -32,8 +33,9 @@ WINDOW = 2048
 CLOSING_ID = 1
 #: Distinct words whose ids a worker keeps between batches; beyond it the cache starts anew.
 CACHED_WORDS = 1_500_000
-#: Pieces of one length ranked by one window partition.
-RANKED_TOGETHER = 2_000
+#: Pieces of one length ranked by one window partition, at least; the square root of their number where that is more,
+#: so that neither a group nor the list of groups outgrows a task.
+RANKED_TOGETHER = 500
 
 
 class WordEncoder:
@@ -169,7 +171,8 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, closing: in
     cut = durable(pieces(documents, tokenizer, window, closing))
     sizes = cut.groupBy("length").count().collect()  # at most `window` rows
     layout = _layout(plan({r["length"]: r["count"] for r in sizes}, window))
-    salts = max(1, -(-max([0, *(r["count"] for r in sizes)]) // RANKED_TOGETHER) * 2)
+    most = max([0, *(r["count"] for r in sizes)])
+    salts = max(1, -(-most // max(RANKED_TOGETHER, math.isqrt(most))) * 2)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     group = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
