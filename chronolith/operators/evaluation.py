@@ -62,13 +62,16 @@ def quality(scored: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def latency(times: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
-    """Mean, nearest-rank percentiles and maximum."""
+    """Mean, nearest-rank percentiles and maximum; windows run over distinct values with counts, not over rows."""
+    counts = times.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("times"))
+    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("upto", F.sum("times").over(upto)).withColumn("size", F.sum("times").over(Window.partitionBy(*by)))
 
     def nearest(q: float) -> Column:
-        return F.max(F.when(F.col("place") == F.greatest(F.ceil(F.lit(q) * F.col("size")), F.lit(1)), F.col(value)))
+        return F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(q) * F.col("size")), F.lit(1)), F.col(value)))
 
-    ordered = times.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(value))).withColumn("size", F.count("*").over(Window.partitionBy(*by)))
-    return ordered.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), nearest(0.5).alias("p50"), nearest(0.95).alias("p95"), nearest(0.99).alias("p99"), F.max(value).alias("max"))
+    mean = F.sum(F.col(value) * F.col("times")) / F.sum("times")
+    return run.groupBy(*by).agg(F.sum("times").alias("n"), F.round(mean, 6).alias("mean"), nearest(0.5).alias("p50"), nearest(0.95).alias("p95"), nearest(0.99).alias("p99"), F.max(value).alias("max"))
 
 
 def recall_ceiling(judgments: DataFrame, queries: DataFrame, k: int) -> DataFrame:

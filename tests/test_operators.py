@@ -192,3 +192,51 @@ def test_domain_report_adds_up(spark):
     rels = spark.createDataFrame([(str(i), str(i + 1)) for i in range(49)], "from_entity string, to_entity string")
     got = store.domain_report(ents, rels, 4).agg(F.sum("entities"), F.sum(F.col("local") + F.col("crossing"))).first()
     assert tuple(got) == (50, 49)
+
+
+def test_vector_paths_agree(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(70)] + [(90, [0.0] * 6), (91, None), (92, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "id int, vector array<float>").repartition(3)
+    asked = vectors.where("id % 10 = 0 and id <= 90").withColumnRenamed("id", "query_id")
+    one = {tuple(r) for r in search.vector_topk(vectors, asked, 5, ("id",)).collect()}
+    monkeypatch.setattr(search, "HELD_QUERIES", 2)
+    assert {tuple(r) for r in search.vector_topk(vectors, asked, 5, ("id",)).collect()} == one and len(one) == 40
+
+
+def test_gate_verdicts(spark):
+    from chronolith.operators import gates
+
+    def report(rows):
+        return spark.createDataFrame([(c, v, v, v, 5, whole) for c, v, whole in rows], "category string, recall double, mrr double, ndcg double, n int, judgments_complete boolean")
+
+    base = report([(None, 0.8, True), ("a", 0.8, True), ("b", 0.8, False), ("c", 0.5, True)])
+    now = report([(None, 0.795, True), ("a", 0.7, True), ("b", 0.7, True)])
+    got = {r["gate"]: r["verdict"] for r in gates.category_gates(now, base).unionByName(gates.aggregate_gate(now, base)).unionByName(gates.coverage_gate(now, base)).collect()}
+    assert got == {"category:a": "fail", "category:b": "indeterminate", "category_coverage": "fail", "aggregate:recall": "pass", "aggregate:mrr": "pass", "aggregate:ndcg": "pass"}
+    ceiling = spark.createDataFrame([(None, 0.9, None, 0)], "category string, mean_ceiling double, min_ceiling double, capped int")
+    assert [r["verdict"] for r in gates.ceiling_gates(ceiling).collect()] == ["fail", "indeterminate", "pass"]
+    both = gates.comparability_gate({"k": "1"}, {"k": "2"}, spark).unionByName(gates.comparability_gate({}, {"k": "2"}, spark))
+    assert gates.overall(both).first()[:] == ("fail", 1, 1)
+
+
+def test_layers_and_authority(spark):
+    from chronolith.operators import spaces
+
+    roles = spark.createDataFrame([("p", "s1", "reader"), ("p", "s2", "writer")], "principal_id string, space_id string, role string")
+    rows = spark.createDataFrame([(1, "s1"), (2, "s2"), (3, "s3")], "id int, space_id string")
+    assert {r["id"] for r in spaces.readable(rows, roles, "p", ["s1", "s3"]).collect()} == {1}
+    with pytest.raises(ValueError, match="at most"):
+        spaces.readable(rows, roles, "p", list("abcde"))
+    assert spaces.authority_digest(roles).first()["digest"] != spaces.authority_digest(roles.where("space_id = 's1'")).first()["digest"]
+
+
+def test_destruction_needs_the_shown_digest(spark):
+    obs = spark.createDataFrame([(1, "a"), (2, "a")], "id int, entity_id string")
+    rels = spark.createDataFrame([("r", "a", "b")], "id string, from_entity string, to_entity string")
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    shown = lifecycle.destruction_preview(obs, rels, ids)
+    assert {(r["entity_id"], r["observations"], r["relations"]) for r in shown.collect()} == {("a", 2, 1), ("b", 0, 1)}
+    signed = shown.select("entity_id", "digest")
+    later = lifecycle.destruction_preview(obs.unionByName(spark.createDataFrame([(3, "a")], obs.schema)), rels, ids)
+    assert {r["id"] for r in lifecycle.confirmed(later, signed).collect()} == {"b"}
