@@ -41,7 +41,7 @@ RANGE_BYTES = 4 << 20
 #: so it holds the whole prefix of nearly every set (0.15 n + 1 tokens), and unshared tokens come first in it.
 _CLASS_OF = np.array([0, 0, 0, 1, 1, 1, 2, 2])
 CLASSES = 3
-BLOCK_DOCS = 512
+BLOCK_DOCS = 256
 BLOCK_TOKENS = 1 << 19
 #: A token in more than this share of all distinct sets is frequent; at most mean set size / share of them exist.
 FREQUENT = 0.001
@@ -265,7 +265,7 @@ def _blocks(prefixes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """
     home = prefixes.groupBy("sid").agg(F.min("token").alias("home"))
     for _ in range(2):  # groups need not be complete: pairs of blocks that share a token meet anyway
-        nearest = prefixes.join(home, "sid").groupBy("token").agg(F.min("home").alias("home"))
+        nearest = durable(prefixes.join(home, "sid").groupBy("token").agg(F.min("home").alias("home")))  # so that a hot token's join can be split
         home = prefixes.join(nearest, "token").groupBy("sid").agg(F.min("home").alias("home"))
     step = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)
     homes = durable(known.join(home, "sid").withColumn("step", step).withColumn("home", F.xxhash64("home", "step")))
