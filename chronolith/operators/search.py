@@ -26,9 +26,10 @@ MAX_FETCH = 4096
 
 
 def postings(chunks: DataFrame, text: str = "text", key: tuple[str, ...] = ("uri", "chunk_index")) -> DataFrame:
-    """(term, *key, tf, dl): term frequencies, counted inside each row without a shuffle."""
+    """(term, *key, tf, dl): term frequencies. Outer explode, since an inner one makes Spark tokenize every text
+    a second time for a filter on empty arrays."""
     words = chunks.select(*key, tokens(F.col(text)).alias("words"))
-    return words.select(*key, F.size("words").cast("double").alias("dl"), F.explode("words").alias("term")).groupBy("term", *key, "dl").agg(F.count("*").cast("double").alias("tf"))
+    return words.select(*key, F.size("words").cast("double").alias("dl"), F.explode_outer("words").alias("term")).where("term is not null").groupBy("term", *key, "dl").agg(F.count("*").cast("double").alias("tf"))
 
 
 def fielded_postings(chunks: DataFrame, weights: dict[str, float], key: tuple[str, ...] = ("uri", "chunk_index")) -> DataFrame:
@@ -54,6 +55,12 @@ def corpus_stats(posted: DataFrame, key: tuple[str, ...] = ("uri", "chunk_index"
     return docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
+def document_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """The same row from the texts themselves: one scan, no explode, no shuffle but of partial sums."""
+    sizes = chunks.select(F.size(tokens(F.col(text))).cast("double").alias("dl"))
+    return sizes.agg(F.count_if(F.col("dl") > 0).alias("n_docs"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avg_dl"))
+
+
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, term, times): repeated query terms count again."""
     return queries.select("query_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -63,7 +70,7 @@ def bm25(posted: DataFrame, stats: DataFrame, terms: DataFrame, key: tuple[str,
     """(query_id, *key, score) of every document with a query term."""
     wanted = terms.select("term").distinct()
     matching = posted.join(small(wanted), "term", "left_semi")
-    df = matching.groupBy("term").agg(F.count("*").alias("df"))
+    df = matching.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # naming tf keeps the plan equal to the join's side, so its exchange is reused
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", (idf(F.col("n_docs"), F.col("df")) * F.col("times")).alias("weight"), "avg_dl")
     scored = matching.join(small(weighted), "term")
     return scored.groupBy("query_id", *key).agg(F.sum(bm25_term(F.col("tf"), F.col("dl"), F.col("avg_dl"), F.col("weight"))).alias("score"))

@@ -36,7 +36,7 @@ def _hits(spark, sf_dir):
     talk = fx.talk(spark, sf_dir)
     posted = search.postings(talk.select("id", "content"), "content", ("id",))
     asked = talk.where("id % 20000 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("content")), 1, 6), " ").alias("text"))
-    found = search.keyword_topk(posted, search.corpus_stats(posted, ("id",)), asked, search.fetch_bound(5, 1 << 30, True), ("id",))
+    found = search.keyword_topk(posted, search.document_stats(talk, "content"), asked, search.fetch_bound(5, 1 << 30, True), ("id",))
     return found.select("query_id", "id", F.col("score").alias("raw"))
 
 
@@ -481,9 +481,10 @@ _EVAL = f"""toks as (select doc_id, {_TOKENS.format("text")} as ws from document
 
 
 def _ranked(spark, sf_dir):
-    posted = search.postings(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), key=("doc_id",))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    posted = search.postings(docs, key=("doc_id",))
     asked = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.keyword_topk(posted, search.corpus_stats(posted, ("doc_id",)), asked, 10, ("doc_id",)).withColumnRenamed("doc_id", "key")
+    return search.keyword_topk(posted, search.document_stats(docs), asked, 10, ("doc_id",)).withColumnRenamed("doc_id", "key")
 
 
 def _judged(spark, sf_dir, ranked):

@@ -56,8 +56,8 @@ def _item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
   s as (select query_id, p.doc_id, round({_SCORE}, 6) as score from q join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id)
   select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10""")
 def bm25_topk(spark, sf_dir):
-    posted = search.postings(_docs(spark, sf_dir), key=_KEY)
-    return search.keyword_topk(posted, search.corpus_stats(posted, _KEY), _item_queries(spark, sf_dir), 10, _KEY)
+    docs = _docs(spark, sf_dir)
+    return search.keyword_topk(search.postings(docs, key=_KEY), search.document_stats(docs), _item_queries(spark, sf_dir), 10, _KEY)
 
 
 @query("""with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0),
@@ -80,7 +80,7 @@ def _hybrid(spark, sf_dir, mode="hybrid", k=10):
     posted = search.postings(rows, key=_KEY)
     some = rows.where("doc_id % 100 = 0 and vector is not null")
     asked = some.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 8), " ").alias("text"), "vector")
-    return search.hybrid_search(rows, posted, search.corpus_stats(posted, _KEY), asked, k, mode, key=_KEY)
+    return search.hybrid_search(rows, posted, search.document_stats(rows), asked, k, mode, key=_KEY)
 
 
 @query(f"with {_BM25}, {_HYBRID_Q} select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from fused) where rank <= 10")
@@ -107,9 +107,10 @@ def fielded_bm25(spark, sf_dir):
   s as (select query_id, p.doc_id, round({_SCORE}, 6) as score from q join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id)
   select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10""")
 def prefix_search(spark, sf_dir):
-    posted = search.postings(_docs(spark, sf_dir), key=_KEY)
+    docs = _docs(spark, sf_dir)
+    posted = search.postings(docs, key=_KEY)
     asked = spark.createDataFrame([(1, "than er"), (2, "lett"), (3, "unge")], "query_id int, text string")
-    scored = search.bm25(posted, search.corpus_stats(posted, _KEY), search.prefix_terms(posted, asked), _KEY).withColumn("score", F.round("score", 6))
+    scored = search.bm25(posted, search.document_stats(docs), search.prefix_terms(posted, asked), _KEY).withColumn("score", F.round("score", 6))
     return search.top_k(scored, [F.desc("score"), F.col("doc_id")], 10, ["query_id"])
 
 
@@ -124,7 +125,7 @@ def _deep(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir)
     posted = search.postings(rows, key=_KEY)
     asked = rows.where("doc_id % 100 = 0 and vector is not null").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 8), " ").alias("text"), "vector")
-    fused = search.rrf_fuse(search.vector_topk(rows, asked, 30, _KEY), search.keyword_topk(posted, search.corpus_stats(posted, _KEY), asked, 30, _KEY), 30, key=_KEY)
+    fused = search.rrf_fuse(search.vector_topk(rows, asked, 30, _KEY), search.keyword_topk(posted, search.document_stats(rows), asked, 30, _KEY), 30, key=_KEY)
     return fused.select("query_id", F.concat(F.lit("doc://"), "doc_id").alias("uri"), F.lit(0).alias("chunk_index"), "score", "rank")
 
 
