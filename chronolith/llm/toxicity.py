@@ -34,7 +34,7 @@ TRAINING_ROWS = 10_000
 SMOOTHING = 1.0
 #: Standard errors by which a feature's log-count ratio must differ from 0.
 STANDS_OUT = 4.0
-PENALTY = 0.002
+PENALTY = 0.02
 STEPS = 300
 
 
