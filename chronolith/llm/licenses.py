@@ -5,7 +5,7 @@ longest increasing subsequence of their places keeps the order, and every gap be
 is aligned in the same way, where other words have become unique; equal words next to an anchor or
 a gap's border extend it. Coverage is the share of the template's words that are aligned. A match
 must reach ``coverage``, lie within ``SPREAD`` times the template's length, and hold one of the
-template's key words; it is looked for around each occurrence of a key word, so several licenses,
+template's key words; it is looked for where each occurrence of a key word would place the template, so several licenses,
 and several copies of one, are found in one text.
 
 Defined results: null or empty text has no match; overlapping matches are resolved by aligned words,
@@ -122,13 +122,16 @@ def find_licenses(words: list[str], known: list[Template], coverage: float = COV
     found: set[Match] = set()
     for template in known if keys else []:
         size = len(template.words)
-        vocabulary, reach = set(template.words), int(SPREAD * size) + 2
+        vocabulary, slack = set(template.words), int((SPREAD - 1) * size / 2) + 2
+        places: dict[str, list[int]] = {}
+        for j, w in enumerate(template.words):
+            if w in KEY_WORDS:
+                places.setdefault(w, []).append(j)
         done = -1
-        for key in keys:
-            if words[key] not in vocabulary or key <= done:
-                continue
-            lo, hi = max(0, key - reach), min(len(words), key + reach)
-            if len(vocabulary.intersection(words[lo:hi])) < coverage * len(vocabulary) - 1:
+        # where the template would start, for each key word of the text and each of its places in the template
+        for start in sorted({key - j for key in keys for j in places.get(words[key], ())}):
+            lo, hi = max(0, start - slack), min(len(words), start + size + slack)
+            if start < done or len(vocabulary.intersection(words[lo:hi])) < coverage * len(vocabulary) - 1:
                 continue
             pairs = patience(words[lo:hi], template.words)
             # drop outliers at the ends until the match is compact

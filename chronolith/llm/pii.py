@@ -49,7 +49,8 @@ _CARD = re.compile(r"(?<![0-9A-Za-z+])[3-6](?:[ -]?\d){12,18}(?![0-9A-Za-z])")
 _PHONE = re.compile(r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
-_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(FORMS, key=len, reverse=True)) + r")\.?[ ]((?:[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+[ ]?){1,3})")
+_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(FORMS, key=len, reverse=True)) + r")\.?[ ](?=[^\W\d_])")
+_NAME_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
 _PATTERNS = (("email", _EMAIL), ("iban", _IBAN), ("ip", _IP), ("card", _CARD), ("national", _NATIONAL), ("phone", _PHONE))
 
@@ -87,14 +88,15 @@ def find_mentions(text: str) -> list[Mention]:
                 if kind != "iban" or _iban_ok(entity) or entity[:2] in IBAN_COUNTRIES and sum(c.isdigit() for c in entity) >= 10:
                     found.append(Mention(m.start(), m.end(), kind, entity))
     for m in _NAME.finditer(text):
-        words = [w for w in re.finditer(r"\S+", m.group(2))]
-        size = 0
-        while size < len(words) and words[size].group()[0].isupper():
-            size += 1
-        for i, w in enumerate(words[:size]):
-            last = i == size - 1
-            kind = "surname" if last else "given_" + _gender(m.group(1), words[0].group())
-            found.append(Mention(m.start(2) + w.start(), m.start(2) + w.end(), kind, w.group().casefold()))
+        words, at = [], m.end()
+        while len(words) < 3 and (w := _NAME_WORD.match(text, at)) and len(w.group()) > 1 and w.group()[0].isupper() and w.group() not in FORMS:
+            words.append(w)
+            at = w.end() + 1
+            if text[w.end() : at] != " ":
+                break
+        for i, w in enumerate(words):
+            kind = "surname" if i == len(words) - 1 else "given_" + _gender(m.group(1), words[0].group())
+            found.append(Mention(w.start(), w.end(), kind, w.group().casefold()))
     rank = {kind: i for i, (kind, _) in enumerate(_PATTERNS)}
     out: list[Mention] = []
     taken: list[tuple[int, int]] = []
