@@ -13,7 +13,7 @@ from chronolith.sources import adapters
 NOW, TALK_NOW = fx.NOW, fx.TALK_NOW
 T = fx.with_tables
 
-# --- recall: talk turns as observations, one query per room that is divisible by 20 -----------------
+# --- recall: talk turns as observations; every id divisible by 100, a room's first turn, asks with its whole text
 
 _HITS = f"""toks as (select id, {_TOKENS.format("content")} as ws from talk),
   post as (select id as doc_id, term, count(*)::double as tf from (select id, unnest(ws) as term from toks) group by all),
@@ -35,7 +35,7 @@ _VALID = "not tombstoned and coalesce(valid_from, observed_at) <= {t} and (valid
 def _hits(spark, sf_dir):
     talk = fx.talk(spark, sf_dir)
     posted = search.postings(talk.select("id", "content"), "content", ("id",))
-    asked = talk.where("id % 20000 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("content")), 1, 6), " ").alias("text"))
+    asked = talk.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("text"))
     found = search.keyword_topk(posted, search.document_stats(talk, "content"), asked, search.fetch_bound(5, 1 << 30, True), ("id",))
     return found.select("query_id", "id", F.col("score").alias("raw"))
 
