@@ -146,24 +146,29 @@ def _matrix_scores(rows: DataFrame, asked: DataFrame, held: list, k: int, key: t
     return rows.mapInArrow(run, schema)
 
 
-def rrf_fuse(vector: DataFrame, keyword: DataFrame, k: int, alpha: float = 0.7, rrf_k: float = 60.0, key: tuple[str, ...] = ("uri", "chunk_index")) -> DataFrame:
-    """Reciprocal rank fusion, scaled so that first in both lists is 1: union and one aggregate, no join."""
+def rrf_fuse(vector: DataFrame, keyword: DataFrame, k: int, alpha: float = 0.7, rrf_k: float = 60.0, key: tuple[str, ...] = ("uri", "chunk_index"), bare: DataFrame | None = None) -> DataFrame:
+    """Reciprocal rank fusion, scaled so that first in both lists is 1: union and one aggregate, no join.
+
+    Queries in ``bare`` (query_id) have no vector: their keyword hits keep their own scores."""
 
     def part(df: DataFrame, weight: float) -> DataFrame:
-        return df.select("query_id", *key, (F.lit(weight * (rrf_k + 1)) / (F.lit(rrf_k) + F.col("rank"))).alias("part"))
+        scaled = F.lit(weight * (rrf_k + 1)) / (F.lit(rrf_k) + F.col("rank"))
+        return df.select("query_id", *key, (F.when(F.col("own"), F.col("score")).otherwise(scaled) if "own" in df.columns else scaled).alias("part"))
 
+    if bare is not None:
+        keyword = keyword.join(small(bare.select("query_id").distinct().withColumn("own", F.lit(True))), "query_id", "left")
     fused = part(vector, alpha).unionByName(part(keyword, 1 - alpha)).groupBy("query_id", *key).agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(fused, [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
 
 
 def hybrid_search(chunks: DataFrame, posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int, mode: str = "hybrid", alpha: float = 0.7, rrf_k: float = 60.0, key: tuple[str, ...] = ("uri", "chunk_index")) -> DataFrame:
     """Search in one of three modes; each arm of a hybrid search fetches 3 k. A hybrid search without a vector
-    column is a keyword search with its own scores."""
+    column is a keyword search with its own scores, and so is that of a query whose vector is null."""
     if mode == "vector":
         return vector_topk(chunks, queries, k, key)
     if mode == "keyword" or "vector" not in queries.columns:
         return keyword_topk(posted, stats, queries, k, key)
-    return rrf_fuse(vector_topk(chunks, queries, 3 * k, key), keyword_topk(posted, stats, queries, 3 * k, key), k, alpha, rrf_k, key)
+    return rrf_fuse(vector_topk(chunks, queries, 3 * k, key), keyword_topk(posted, stats, queries, 3 * k, key), k, alpha, rrf_k, key, queries.where("vector is null"))
 
 
 def search(hits: DataFrame, k: int, prefix: str | None = None, min_score: float | None = None) -> DataFrame:

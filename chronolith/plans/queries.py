@@ -75,11 +75,15 @@ _HYBRID_Q = f"""qt as (select doc_id as query_id, term, count(*) as times from (
   fused as (select query_id, doc_id, round(sum(part), 6) as score from (select query_id, doc_id, 0.7e0 * 61e0 / (60e0 + r) as part from ve where r <= 30 union all select query_id, doc_id, 0.3e0 * 61e0 / (60e0 + r) from kw where r <= 30) group by query_id, doc_id)"""
 
 
+def _asked(rows: DataFrame) -> DataFrame:
+    """Every document whose id is divisible by 100 as a query: its whole text, and its vector where it has one."""
+    return rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text", "vector")
+
+
 def _hybrid(spark, sf_dir, mode="hybrid", k=10):
     rows = fx.chunks(spark, sf_dir)
     posted = search.postings(rows, key=_KEY)
-    some = rows.where("doc_id % 100 = 0 and vector is not null")
-    asked = some.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 8), " ").alias("text"), "vector")
+    asked = _asked(rows)
     return search.hybrid_search(rows, posted, search.document_stats(rows), asked, k, mode, key=_KEY)
 
 
@@ -124,8 +128,8 @@ def search_prefix(spark, sf_dir):
 def _deep(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir)
     posted = search.postings(rows, key=_KEY)
-    asked = rows.where("doc_id % 100 = 0 and vector is not null").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 8), " ").alias("text"), "vector")
-    fused = search.rrf_fuse(search.vector_topk(rows, asked, 30, _KEY), search.keyword_topk(posted, search.document_stats(rows), asked, 30, _KEY), 30, key=_KEY)
+    asked = _asked(rows)
+    fused = search.rrf_fuse(search.vector_topk(rows, asked, 30, _KEY), search.keyword_topk(posted, search.document_stats(rows), asked, 30, _KEY), 30, key=_KEY, bare=asked.where("vector is null"))
     return fused.select("query_id", F.concat(F.lit("doc://"), "doc_id").alias("uri"), F.lit(0).alias("chunk_index"), "score", "rank")
 
 
