@@ -210,8 +210,8 @@ _SUPER = """o as (select o_orderkey, o_custkey, lag(o_orderkey) over (partition
     union all select start, hop + 1, nxt, list_append(seen, nxt) from chain join step using (id) where hop < 8 and not list_contains(seen, nxt))"""
 
 
-def _chain(spark, sf_dir):
-    return graph.supersession_chain(_supersedes(spark, sf_dir), fx.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id")))
+def _chain(spark, sf_dir, starts="o_orderkey % 10 = 0"):
+    return graph.supersession_chain(_supersedes(spark, sf_dir), fx.table(spark, sf_dir, "orders").where(starts).select(F.col("o_orderkey").alias("id")))
 
 
 @query(f"with recursive {_SUPER} select start, hop, id from chain")
@@ -220,8 +220,8 @@ def supersession_chain(spark, sf_dir):
 
 
 def _ranked_orders(spark, sf_dir):
-    """Per customer segment of ten: orders divisible by 10, dearest first."""
-    o = fx.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    """Per customer segment of ten: all orders, dearest first."""
+    o = fx.table(spark, sf_dir, "orders")
     by = Window.partitionBy(F.floor(F.col("o_custkey") / 10)).orderBy(F.desc("o_totalprice"), "o_orderkey")
     return o.select(F.floor(F.col("o_custkey") / 10).alias("query_id"), F.row_number().over(by).alias("rank"), F.col("o_orderkey").alias("item"), "o_orderpriority")
 
@@ -234,7 +234,7 @@ _RANKED_SQL = "hits as (select o_custkey // 10 as query_id, row_number() over (p
   e as (select query_id, rank, 0 as behind, coalesce(head, item) as item from b union all select query_id, rank, 1, item from b where head <> item),
   once as (select query_id, item, min((rank, behind)) as spot from e group by all), p as (select query_id, row_number() over (partition by query_id order by spot, item) as place, item from once) select * from p where place <= 10""")
 def successor_promotion(spark, sf_dir):
-    return graph.promote_successors(_ranked_orders(spark, sf_dir).drop("o_orderpriority"), _chain(spark, sf_dir), 10)
+    return graph.promote_successors(_ranked_orders(spark, sf_dir).drop("o_orderpriority"), _chain(spark, sf_dir, "true"), 10)
 
 
 @query(f"""with {_RANKED_SQL}, l as (select query_id, left(o_orderpriority, 1) as space, ascii(o_orderpriority) as space_pos, row_number() over (partition by query_id, o_orderpriority order by rank) as rank, item from hits),
@@ -603,10 +603,10 @@ def effective_roles(spark, sf_dir):
     s, c, n = (fx.table(spark, sf_dir, t) for t in ("supplier", "customer", "nation"))
     k = F.col("s_suppkey")
     sp = s.select(F.concat(F.lit("sp"), k).alias("id"), F.when(k % 3 == 0, "user").otherwise("team").alias("owner_kind"), F.when(k % 3 == 0, F.concat(F.lit("p"), k % 40)).otherwise(F.concat(F.lit("t"), k % 25)).alias("owner_id"))
-    few, p = c.where("c_custkey < 60"), F.col("c_custkey")
-    pr = few.select(F.concat(F.lit("p"), p).alias("id"), F.when(p % 11 == 0, "closed").otherwise("active").alias("state"))
+    p = F.col("c_custkey")
+    pr = c.select(F.concat(F.lit("p"), p).alias("id"), F.when(p % 11 == 0, "closed").otherwise("active").alias("state"))
     tm = n.select(F.concat(F.lit("t"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 6 == 0, "closed").otherwise("active").alias("state"))
-    ms = few.select(F.concat(F.lit("t"), "c_nationkey").alias("team_id"), F.concat(F.lit("p"), p).alias("principal_id"), F.when(p % 2 == 0, "reader").otherwise("writer").alias("role"), F.when(p % 5 == 0, 10).when(p % 7 == 0, 1000).alias("expires_at"))
+    ms = c.select(F.concat(F.lit("t"), "c_nationkey").alias("team_id"), F.concat(F.lit("p"), p).alias("principal_id"), F.when(p % 2 == 0, "reader").otherwise("writer").alias("role"), F.when(p % 5 == 0, 10).when(p % 7 == 0, 1000).alias("expires_at"))
     return spaces.effective_roles(sp, pr, tm, ms, 100)
 
 
