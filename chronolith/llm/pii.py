@@ -1,8 +1,10 @@
 """Personal data: detection, and keyed surrogates of the same type, gender, script and format.
 
 Detected are e-mail addresses, telephone numbers, payment card numbers, IPv4 addresses, national
-identity numbers written 123-45-6789, account numbers (IBAN), and names
-after a form of address. Every mention is reduced to entities (a name to its given name and its
+identity numbers written 123-45-6789, account numbers (IBAN), names
+after a form of address, however many words and initials they have, and every other place of the
+text where a word of such a name stands alone. In scripts without case nothing marks a name's end but
+the first sign other than a letter or a space. Every mention is reduced to entities (a name to its given name and its
 surname), so "Dr. Ann Poe" and "Ms. Poe" share a surname's surrogate. A surrogate is made from an
 HMAC of (type, entity, attempt) under a secret key:
 
@@ -13,7 +15,8 @@ HMAC of (type, entity, attempt) under a secret key:
 
 Collision checks run over all distinct entities of the corpus: where two entities of a type would
 share a surrogate, or a surrogate equals an entity that occurs, the entity gets the next attempt,
-until all are distinct. Equal entities have equal surrogates everywhere.
+until all are distinct. Later attempts draw from wider spaces, so none is ever full: names and e-mail
+addresses grow, numbers take letters (cards, another first digit), and private addresses other private ranges, then public ones. Equal entities have equal surrogates everywhere.
 
 Defined results: null text stays null and has no entities; a document without entities is returned
 unchanged; repeated rows are repeated; without doc_id rows are treated like any other.
@@ -25,6 +28,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -45,12 +49,16 @@ IBAN_COUNTRIES = frozenset("AD AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU I
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IP = re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)")
-_CARD = re.compile(r"(?<![0-9A-Za-z+])[3-6](?:[ -]?\d){12,18}(?![0-9A-Za-z])")
+_CARD = re.compile(r"(?<![0-9A-Za-z+])(?:[3-6]|2(?=[ -]?(?:2[ -]?(?:2[ -]?[1-9]|[3-9][ -]?\d)|[3-6][ -]?\d[ -]?\d|7[ -]?(?:[01][ -]?\d|2[ -]?0))))(?:[ -]?\d){12,18}(?![0-9A-Za-z])")
 _PHONE = re.compile(r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(FORMS, key=len, reverse=True)) + r")\.?[ ](?=[^\W\d_])")
-_NAME_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
+# A letter, or a mark that follows one: combining, Hebrew, Arabic, Indic.
+_MARK = r"\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0903\u093a-\u094f"
+_NAME_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARK}]|['’-](?=[^\W\d_])(?![sS](?!\w)))*")
+# Words that begin a sentence after a name and are no part of it.
+_BEGINNERS = frozenset("The They This That It I We And But".split())
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
 _PATTERNS = (("email", _EMAIL), ("iban", _IBAN), ("ip", _IP), ("card", _CARD), ("national", _NATIONAL), ("phone", _PHONE))
 
@@ -77,6 +85,39 @@ def _gender(form: str, given: str) -> str:
     return told if told != "n" else "f" if given[-1:].lower() in ("a", "e", "я", "а") else "m"
 
 
+def _uncased(word: str) -> bool:
+    return word.lower() == word.upper()
+
+
+def _name_words(text: str, at: int) -> list[re.Match]:
+    """The words of the name that begins at a place: capital or uncased, with initials."""
+    words: list[re.Match] = []
+    while (w := _NAME_WORD.match(text, at)) and (w.group()[0].isupper() or _uncased(w.group()[0])) and w.group() not in FORMS:
+        initial = len(w.group()) == 1 and text[w.end() : w.end() + 1] == "."
+        if w.group() in _BEGINNERS and not initial:
+            break
+        words.append(w)
+        at = w.end() + initial
+        if text[at : at + 1] == " ":
+            at += 1
+        elif not initial:
+            break
+    return words
+
+
+def _bare(text: str, named: dict[str, str]) -> list[Mention]:
+    """All places of the names (folded word to kind): whole words with a capital, uncased ones anywhere."""
+    out = []
+    cased, uncased = ([w for w in sorted(named, key=len, reverse=True) if _uncased(w) == flag] for flag in (False, True))
+    if cased:
+        pattern = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, cased))})(?![^\W\d_]|[{_MARK}])", re.IGNORECASE)
+        # longer matches of other folded length (ß and ss) are not names found here
+        out += [(m, m.group().casefold()) for m in pattern.finditer(text) if m.group()[0].isupper()]
+    if uncased:
+        out += [(m, m.group()) for m in re.finditer("|".join(map(re.escape, uncased)), text)]
+    return [Mention(m.start(), m.end(), named[entity], entity) for m, entity in out if entity in named]
+
+
 def find_mentions(text: str) -> list[Mention]:
     """Non-overlapping mentions, leftmost first; at one place the earlier type of the list above wins."""
     found: list[Mention] = []
@@ -87,22 +128,25 @@ def find_mentions(text: str) -> list[Mention]:
                 entity = value.lower() if kind == "email" else value if kind == "ip" else re.sub(r"[^0-9A-Z]", "", value)
                 if kind != "iban" or _iban_ok(entity) or entity[:2] in IBAN_COUNTRIES and sum(c.isdigit() for c in entity) >= 10:
                     found.append(Mention(m.start(), m.end(), kind, entity))
+    named: dict[str, str] = {}
     for m in _NAME.finditer(text):
-        words, at = [], m.end()
-        while len(words) < 3 and (w := _NAME_WORD.match(text, at)) and len(w.group()) > 1 and w.group()[0].isupper() and w.group() not in FORMS:
-            words.append(w)
-            at = w.end() + 1
-            if text[w.end() : at] != " ":
-                break
+        words = _name_words(text, m.end())
         for i, w in enumerate(words):
-            kind = "surname" if i == len(words) - 1 else "given_" + _gender(m.group(1), words[0].group())
-            found.append(Mention(w.start(), w.end(), kind, w.group().casefold()))
+            word = w.group().casefold()
+            initial = len(word) == 1 and not _uncased(word)
+            kind = "initial" if initial else "surname" if i == len(words) - 1 else "given_" + _gender(m.group(1), words[0].group())
+            found.append(Mention(w.start(), w.end(), kind, word))
+            if not initial:
+                named.setdefault(word, kind)
+    if named:
+        found += _bare(text, named)
     rank = {kind: i for i, (kind, _) in enumerate(_PATTERNS)}
     out: list[Mention] = []
     taken: list[tuple[int, int]] = []
     for mention in sorted(found, key=lambda x: (rank.get(x.kind, 9), x.start)):
-        if not any(a < mention.end and mention.start < b for a, b in taken):
-            taken.append((mention.start, mention.end))
+        i = bisect_left(taken, (mention.start, mention.end))
+        if (i == 0 or taken[i - 1][1] <= mention.start) and (i == len(taken) or mention.end <= taken[i][0]):
+            taken.insert(i, (mention.start, mention.end))
             out.append(mention)
     return sorted(out)
 
@@ -123,7 +167,10 @@ class _Stream:
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxz"
 # Alphabets of other scripts, as ranges of lower-case letters.
-_SCRIPTS = (("α", "ω"), ("а", "я"), ("ա", "ֆ"), ("א", "ת"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "鿋"))
+_SCRIPTS = (("α", "ω"), ("а", "я"), ("ա", "ֆ"), ("א", "ת"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "鿋"), ("ء", "غ"), ("ف", "ي"), ("가", "힣"), ("अ", "ह"), ("ก", "ฮ"), ("ა", "ჰ"))
+#: Attempts from which a surrogate is drawn from a wider space, and from the widest.
+WIDER, WIDEST = 8, 24
+_DIGITS, _WIDE_DIGITS = "0123456789", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _letter(char: str, stream: _Stream) -> str:
@@ -132,13 +179,23 @@ def _letter(char: str, stream: _Stream) -> str:
         pool = _VOWELS if low in _VOWELS + "y" else _CONSONANTS
         new = pool[stream.below(len(pool))]
     else:
-        first, last = next(((a, b) for a, b in _SCRIPTS if a <= char.lower() <= b), (char, char))
-        new = chr(ord(first) + stream.below(ord(last) - ord(first) + 1))
+        first, last = next(((a, b) for a, b in _SCRIPTS if a <= char.lower() <= b), ("", ""))
+        if first:
+            new = chr(ord(first) + stream.below(ord(last) - ord(first) + 1))
+        else:  # letters of the neighbourhood, which is of the same script
+            near = [c for c in map(chr, range(ord(char.lower()) & ~63, (ord(char.lower()) | 63) + 1)) if c.isalpha() and c == c.lower()]
+            new = near[stream.below(len(near))] if near else char
     return new.upper() if char.isupper() and len(new.upper()) == 1 else new
 
 
-def _same_shape(value: str, stream: _Stream) -> str:
-    return "".join(str(stream.below(10)) if c.isdigit() else _letter(c, stream) if c.isalpha() else c for c in value)
+def _same_shape(value: str, stream: _Stream, digits: str = _DIGITS) -> str:
+    return "".join(digits[stream.below(len(digits))] if c.isdigit() else _letter(c, stream) if c.isalpha() else c for c in value)
+
+
+def _grown(like: str, attempt: int, stream: _Stream) -> str:
+    """Letters of the same script that later attempts add."""
+    last = next((c for c in reversed(like) if c.isalpha() and not c.isascii()), "")
+    return "".join(_letter("ba"[i % 2] if like.isascii() else last or "a", stream) for i in range(max(0, attempt - 3)))
 
 
 def surrogate(kind: str, entity: str, attempt: int, key: str = KEY) -> str:
@@ -147,24 +204,29 @@ def surrogate(kind: str, entity: str, attempt: int, key: str = KEY) -> str:
     if kind == "email":
         name, _, domain = entity.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_same_shape(name, stream)}@{_same_shape(host, stream)}.{top}"
+        return f"{_same_shape(name, stream)}{_grown(name, attempt, stream)}@{_same_shape(host, stream)}.{top}"
     if kind == "ip":
         parts = entity.split(".")
         public = [i for i in range(1, 224) if i not in (10, 127, 169, 172, 192, 198, 203)]
         private = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
+        if private and attempt >= WIDER:  # the largest private range, then any
+            parts, private = ["10", *parts[1:]], 1 if attempt < WIDEST else 0
         return ".".join([*parts[:private], *(str(public[stream.below(len(public))] if i == 0 else 1 + stream.below(254)) for i in range(private, 4))])
     if kind == "card":
-        body = entity[0] + "".join(str(stream.below(10)) for _ in entity[2:])
+        head = str(2221 + stream.below(500)) if entity[0] == "2" else entity[0]
+        if attempt >= WIDEST:
+            head = str(3 + stream.below(4))
+        body = head + "".join(str(stream.below(10)) for _ in entity[len(head) + 1 :])
         check = next(d for d in "0123456789" if _luhn(body + d) == 0)
         return body + (check if _luhn(entity) == 0 else str((int(check) + 1 + stream.below(9)) % 10))
     if kind == "iban":
-        body = "".join(str(stream.below(10)) if c.isdigit() else _letter(c, stream) for c in entity[4:])
+        body = _same_shape(entity[4:], stream, _DIGITS if attempt < WIDEST else _WIDE_DIGITS)
         number = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
         return f"{entity[:2]}{98 - number % 97:02d}{body}"
     if kind in ("phone", "national"):
         code = max(0, len(entity) - 10)  # a country code stays
-        return entity[:code] + _same_shape(entity[code:], stream)
-    new = _same_shape(entity, stream) + "".join(_letter("ba"[i % 2], stream) for i in range(max(0, attempt - 3)) if entity.isascii())
+        return entity[:code] + _same_shape(entity[code:], stream, _DIGITS if attempt < WIDER else _WIDE_DIGITS)
+    new = _same_shape(entity, stream) + _grown(entity, attempt, stream)
     if kind.startswith("given_") and entity[-1:] < "ɐ":
         new = new[:-1] + ("a" if kind == "given_f" else "o" if kind == "given_m" else new[-1])
     return new
@@ -198,7 +260,7 @@ def mentions(keyed: DataFrame) -> DataFrame:
     return map_batches(keyed, kernel, "key long, start int, end int, kind string, entity string")
 
 
-def surrogates(found: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
+def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, entity, surrogate), distinct within each kind and apart from all entities of the kind."""
 
     def propose(entities: DataFrame) -> DataFrame:
@@ -212,7 +274,7 @@ def surrogates(found: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
     entities = found.groupBy("kind", "entity").agg(F.lit(0).alias("attempt"))
     now = durable(propose(entities))
     real = now.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-    for _ in range(rounds):
+    while True:
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct(F.col("attempt") * -1, "entity"))["entity"].alias("keeper"))
         checked = now.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         marked = durable(checked.withColumn("clash", (F.col("entity") != F.col("keeper")) | F.coalesce("real", F.lit(False))))
@@ -221,7 +283,6 @@ def surrogates(found: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
         fine = marked.where("not clash").select("kind", "entity", "attempt", "surrogate")
         again = propose(marked.where("clash").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
         now = durable(fine.unionByName(again))
-    raise RuntimeError("surrogates did not become distinct")
 
 
 _RESULT = "key long, doc_id long, text string, n_entities int, spans string"
