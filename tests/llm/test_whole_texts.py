@@ -1,6 +1,10 @@
 """Names, numbers, layers, licenses and rows that operators once left out."""
 
-from chronolith.llm import pii
+import base64
+import textwrap
+import zlib
+
+from chronolith.llm import pii, secrets
 
 
 def named(text):
@@ -29,3 +33,29 @@ def test_full_surrogate_spaces_widen(spark):
     assert len({(r["kind"], r["surrogate"]) for r in rows}) == len(rows) == len(short + arabic)
     assert not {(r["kind"], r["surrogate"]) for r in rows} & {(r["kind"], r["entity"]) for r in rows}
     assert [pii.surrogate("ip", "192.168.1.1", attempt).split(".")[0] for attempt in (0, pii.WIDER)] == ["192", "10"]
+
+
+def spans(text):
+    base, every = secrets.find_secrets(text)
+    return {(secrets.KINDS[kind], text[a:b]) for a, kind, b in every} - {(secrets.KINDS[kind], text[a:b]) for a, kind, b in base}
+
+
+def test_wrapped_base64():
+    plain = "".join(f"line {i} of {i * 7919} and more words\n" for i in range(40)) + "password=hunter2secret"
+    for width in (64, 76):
+        for raw in (zlib.compress(plain.encode()), plain.encode()):
+            lines = "\n".join(textwrap.wrap(base64.b64encode(raw).decode(), width))
+            assert any(kind == "assign" and lines.startswith(run) and len(run) > len(lines) - 4 for kind, run in spans(f"see\n{lines}\nend"))
+            assert any(kind == "assign" for kind, _ in spans(f"-----BEGIN CERTIFICATE-----\n{lines}\n-----END CERTIFICATE-----"))
+            assert any(kind == "assign" for kind, _ in spans("data: " + lines.replace("\n", "\r\n ")))
+
+
+def test_layers_of_any_characters():
+    for raw in ("\ufeffpassword=hunter2secret\u00a0\u200b\f".encode(), "password=hunter2secret".encode("utf-16-le"), "password=hunter2secret".encode("utf-16"), "café password=hunter2secret".encode("latin-1")):
+        run = base64.b64encode(raw).decode()
+        assert ("assign", run) in spans(f"x {run} y")
+
+
+def test_nesting_has_no_last_level():
+    text = "password%" + "25" * 150 + "3Dhunter2secret"
+    assert ("assign", text) in spans(text)
