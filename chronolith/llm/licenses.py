@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from math import ceil
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -123,6 +124,8 @@ def find_licenses(words: list[str], known: list[Template], coverage: float = COV
     for template in known if keys else []:
         size = len(template.words)
         vocabulary, slack = set(template.words), int((SPREAD - 1) * size / 2) + 2
+        # a match may lack this many words of the template, each of which may be the only one of its kind
+        least = len(vocabulary) - (size - ceil(coverage * size))
         places: dict[str, list[int]] = {}
         for j, w in enumerate(template.words):
             if w in KEY_WORDS:
@@ -131,7 +134,7 @@ def find_licenses(words: list[str], known: list[Template], coverage: float = COV
         # where the template would start, for each key word of the text and each of its places in the template
         for start in sorted({key - j for key in keys for j in places.get(words[key], ())}):
             lo, hi = max(0, start - slack), min(len(words), start + size + slack)
-            if start < done or len(vocabulary.intersection(words[lo:hi])) < coverage * len(vocabulary) - 1:
+            if start < done or len(vocabulary.intersection(words[lo:hi])) < least:
                 continue
             pairs = patience(words[lo:hi], template.words)
             # drop outliers at the ends until the match is compact

@@ -3,8 +3,9 @@
 import base64
 import textwrap
 import zlib
+from collections import Counter
 
-from chronolith.llm import pii, secrets
+from chronolith.llm import licenses, pii, secrets
 
 
 def named(text):
@@ -59,3 +60,16 @@ def test_layers_of_any_characters():
 def test_nesting_has_no_last_level():
     text = "password%" + "25" * 150 + "3Dhunter2secret"
     assert ("assign", text) in spans(text)
+
+
+def test_licenses_with_other_words():
+    for template in licenses.templates():
+        if template.name in ("MIT", "Apache-2.0", "GPL-3.0"):
+            words, often = list(template.words), Counter(template.words)
+            once = [i for i, w in enumerate(words) if often[w] == 1 and w not in licenses.KEY_WORDS]
+            room = int(len(words) * (1 - licenses.COVERAGE) * 0.7)  # neighbours of changed words may be lost too
+            for i in once[:: max(1, len(once) // room)][:room]:
+                words[i] = f"other{i}"
+            found = licenses.find_licenses(words, [template])
+            aligned = len(licenses.patience(words, template.words))
+            assert aligned >= licenses.COVERAGE * len(words) and [m.aligned for m in found] == [aligned], template.name
