@@ -93,9 +93,11 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, width: int = WID
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """The documents that contain no item, with all their columns; rows without doc_id stay."""
-    dirty = contained_items(documents, benchmark, width, share).select("doc_id").distinct()
-    return documents.join(dirty.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
+    """The documents that contain no item, with all their columns. Rows are told apart by doc_id and text, so
+    a clean text stays whatever shares its doc_id, and a contaminated one goes even without doc_id."""
+    keyed = documents.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    dirty = contained_items(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, width, share).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(dirty.hint("shuffle_hash"), "__key", "left_anti").select(*documents.columns)
 
 
 def oracle_sql(width: int = WIDTH, share: int = SHARE) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import contamination, jaccard, packing, pii, toxicity
-from chronolith.llm.frames import table
+from chronolith.llm.frames import durable, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +25,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingle sets are 0.8 similar; rows without words or doc_id stay."""
-    groups = jaccard.similarity_groups(docs, width=5, percent=80)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    once = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    return once.select(*docs.columns)
+    """One document of each group of texts whose five-word shingle sets are 0.8 similar, that of the smallest doc_id.
+
+    Rows are told apart by doc_id and text, and one of several equal rows stays; rows without words all stay."""
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    groups = jaccard.similarity_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), width=5, percent=80)
+    rows = durable(groups.where("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id"))
+    several = rows.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
+    members = rows.join(several, "component_id").groupBy("component_id", "__key").agg(F.count("*").alias("copies"))
+    named = durable(members.join(keyed.select("__key", "doc_id").distinct(), "__key"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__key"))["__key"].alias("first"))
+    told = durable(named.join(first, "component_id").select("__key", "copies", (F.col("__key") == F.col("first")).alias("stays")))
+    once = keyed.join(told.where("not stays or copies > 1").select("__key").hint("shuffle_hash"), "__key", "left_anti")
+    repeated = keyed.join(told.where("stays and copies > 1").select("__key").hint("shuffle_hash"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(repeated).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

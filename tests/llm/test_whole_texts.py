@@ -5,7 +5,8 @@ import textwrap
 import zlib
 from collections import Counter
 
-from chronolith.llm import licenses, pii, secrets
+import corpus_pipeline
+from chronolith.llm import contamination, licenses, pii, secrets
 
 
 def named(text):
@@ -73,3 +74,14 @@ def test_licenses_with_other_words():
             found = licenses.find_licenses(words, [template])
             aligned = len(licenses.patience(words, template.words))
             assert aligned >= licenses.COVERAGE * len(words) and [m.aligned for m in found] == [aligned], template.name
+
+
+def test_rows_not_ids_decide(spark):
+    one, two, item = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two", "item"))
+    rows = [(1, one), (1, one), (2, two), (2, one + " tail"), (None, one), (None, "lone words of a row without id"), (None, "lone words of a row without id"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(1, one), (2, two), (None, "lone words of a row without id"), (4, None), (4, None)], key=repr)
+    held = spark.createDataFrame([(1, item), (1, one), (None, item), (None, two)], "doc_id long, text string")
+    clean = contamination.clean_documents(held, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted([(1, one), (None, two)], key=repr)
