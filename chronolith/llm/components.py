@@ -20,21 +20,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge (u, v) reaches.
 
-    Every step keeps the components; the edge list becomes stars after O(log**2) steps. Edges are
-    turned so that u > v. Nodes without edges don't occur. Hot nodes only meet partial minima.
+    Every step keeps the components; the edge list becomes stars after O(log**2) steps, and a step
+    that changes nothing ends the loop. Edges are turned so that u > v. Nodes without edges don't
+    occur. Hot nodes only meet partial minima.
     """
     now = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    seen = None
-    for _ in range(rounds):
-        now = durable(_star(_star(now, True), False))
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    seen = _mark(now)
+    while True:
+        now = durable(_star(_star(now, True), False), rows=seen["n"])  # a step adds no edges
+        mark = _mark(now)
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     leaf = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return leaf.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(leaf.select("node"), "node", "left_anti"))
+
+
+def _mark(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

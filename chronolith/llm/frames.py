@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,30 +20,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: With it Spark deletes a query's shuffle files when the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a checkpoint file where their number is known beforehand: small results lie in few files.
+ROWS_A_FILE = 100_000
 
 
-def durable(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the context's checkpoint folder, else ``spark.checkpoint.dir``.
+
+    Only a local master may do without (tests on one machine); elsewhere a temporary folder of
+    the driver would be out of the executors' reach, so its lack is an error.
+    """
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return context._jsc.sc().getCheckpointDir().get()
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if home is None:
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        home = tempfile.mkdtemp(prefix="chronolith-")
+    context.setCheckpointDir(home)
+    return home
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on
-    one machine) a temporary one is used. The shuffle files that led to it go at once, so the
-    disk holds one step's shuffle and not those of all steps.
+    The shuffle files that led to it go at once, so the disk holds one step's shuffle and not
+    those of all steps. ``rows`` is an upper bound of the frame's rows, where one is known: it bounds
+    the number of files. The result's plan knows nothing of what it was made from; the
+    optimizer's estimates of a loop's frames would otherwise double their digits in every round.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolith-"))
+    shared_folder(spark)
+    if rows is not None:
+        df = df.coalesce(-(-max(rows, 1) // ROWS_A_FILE))
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()  # a frame takes the setting up when it is made
+        kept = df.select("*").checkpoint()  # a frame takes the setting up when it is made
     finally:
         spark.conf.set(_CLEANUP, before)
+    plan = kept._jdf.queryExecution().logical()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), kept._jdf.schema(), False), spark)
 
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the frame's size; for a plain scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:
