@@ -115,14 +115,19 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys' bits are set: all that were put in, and by chance few others."""
+    bit = np.mod(keys, BITS)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
 def chosen(keyed: DataFrame, bitmap: np.ndarray, inside: bool, by: str = "key") -> DataFrame:
     """Rows whose key's bit is set (or is not); nulls have no bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(by)
-            bit = np.mod(column.fill_null(0).to_numpy(), BITS)
-            hit = ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) & column.is_valid().to_numpy(zero_copy_only=False)
+            hit = in_bitmap(bitmap, column.fill_null(0).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
             out = batch.filter(pa.array(hit if inside else ~hit))
             if out.num_rows:
                 yield out

@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from chronolith.llm import contamination, debruijn, jaccard, suffixes
+from chronolith.llm import contamination, dealing, debruijn, jaccard, suffixes
 from chronolith.llm.components import components
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
@@ -118,10 +121,55 @@ def test_windows_of_repeated_and_nameless_rows(spark, docs):
 
 def test_paths_are_compacted(spark):
     rows = [("a", 1, 2), ("b", 2, 3), ("c", 3, 4), ("d", 3, 5), ("e", 7, 8)]
-    found = spark.createDataFrame([(hash(n) % 1000 * 10 + i, h, t, 1) for i, (n, h, t) in enumerate(rows)], "digest long, head long, tail long, edges long")
-    ids = {n: hash(n) % 1000 * 10 + i for i, (n, _, _) in enumerate(rows)}
-    got = {r["digest"]: (r["path"], r["place"]) for r in debruijn.paths(found).collect()}
-    assert got[ids["b"]] == (ids["a"], 1) and got[ids["c"]] == (ids["c"], 0) and got[ids["e"]] == (ids["e"], 0)
+    found = spark.createDataFrame([(n.encode(), h, t) for n, h, t in rows], "piece binary, head long, tail long")
+    got = {bytes(r["piece"]): (bytes(r["path"]), r["place"]) for r in debruijn.paths(found).collect()}
+    assert got == {b"a": (b"a", 0), b"b": (b"a", 1), b"c": (b"c", 0), b"d": (b"d", 0), b"e": (b"e", 0)}
+
+
+@pytest.mark.parametrize("ring", [2, 3, 4])
+def test_closed_chains_stay_single_pieces(spark, ring):
+    rows = [(b"r%d" % i, i, (i + 1) % ring) for i in range(ring)] + [(b"s%03d" % i, 100 + i, 101 + i) for i in range(40)]
+    began = time.monotonic()
+    got = {bytes(r["piece"]): (bytes(r["path"]), r["place"]) for r in debruijn.paths(spark.createDataFrame(rows, "piece binary, head long, tail long")).collect()}
+    assert time.monotonic() - began < 60
+    assert all(got[b"r%d" % i] == (b"r%d" % i, 0) for i in range(ring)) and all(got[b"s%03d" % i] == (b"s000", i) for i in range(40))
+
+
+def test_ten_thousand_pieces_in_a_row(spark):
+    began = time.monotonic()
+    rows = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 6, "0").cast("binary").alias("piece"), F.col("id").alias("head"), (F.col("id") + 1).alias("tail"))
+    got = debruijn.paths(rows).groupBy("path").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()
+    assert [(bytes(r["path"]), r["n"], r["last"]) for r in got] == [(b"000000", 10_000, 9_999)] and time.monotonic() - began < 60
+
+
+def test_unitigs_of_branches_and_rings():
+    #       0-1-2-3, 2-4, ring 7-8-9-7, loop 5-5, 3 alone
+    head, tail = np.array([0, 1, 2, 2, 7, 8, 9, 5]), np.array([1, 2, 3, 4, 8, 9, 7, 5])
+    first, place = debruijn.unitigs(head.astype(np.uint64), tail.astype(np.uint64), np.array([5, 6, 7, 8, 30, 10, 20, 9], np.uint64), np.zeros(8, bool))
+    assert first.tolist() == [0, 0, 2, 3, 5, 5, 5, 7] and place.tolist() == [0, 1, 0, 0, 2, 0, 1, 0]
+
+
+def test_long_spans_follow_compacted_paths(spark):
+    """A passage of which a third document holds the middle is one span, although its pieces differ in colour."""
+    words = [f"w{i}" for i in range(80)]
+    docs = spark.createDataFrame([(1, " ".join(["a", *words, "b"])), (2, " ".join(["c", *words, "d"])), (3, " ".join(["e", *words[30:50], "f"]))], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["words"]) for r in debruijn.long_spans(docs).collect())
+    assert got == [(2, 1, 80)]
+    assert sorted((r["doc_id"], r["start"], r["words"]) for r in debruijn.long_spans(docs, words=13).collect()) == [(2, 1, 80), (3, 1, 20)]
+
+
+def test_colliding_windows_remove_nothing(spark, monkeypatch):
+    """With window hashes of a few bits, only words that are equal at their source go."""
+    monkeypatch.setattr(debruijn, "shingles", lambda value, width: value[: max(0, len(value) - width + 1)] % np.uint64(7))
+    docs = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(60))) for i in range(6)], "doc_id long, text string").coalesce(1)
+    keyed = dealing.with_key(docs)
+    batch = pa.RecordBatch.from_pandas(keyed.toPandas())
+    assert batch.num_rows == 6  # the kernels run here, where the weak hash is in force
+    table = pa.Table.from_batches([dealing.rows(pa.schema([("part", pa.int32()), ("windows", pa.binary()), ("owner", pa.binary()), ("owner_size", pa.int32()), ("docs", pa.binary())]), list(debruijn._emit_windows(1)([debruijn._windows(batch, 13)])))])
+    answers = debruijn._by_owner(debruijn._repeated(1, np.zeros(dealing.BITS // 8, np.uint8))(table)).to_pandas()
+    both = pa.RecordBatch.from_pandas(keyed.toPandas().merge(answers, on="doc_id"))
+    out = debruijn._pieces(13)(both)
+    assert len(out["piece"]) and len(set(out["piece"])) == len(out["piece"])
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
