@@ -12,9 +12,10 @@ place, so suffixes meet only where equal strings can be:
    however many thousand copies there are, and one of them stands for all.
 3. *Suffix order.* Anchors with more than one distinct context send each distinct context once.
    Contexts of some anchors together are one string with ends; ranks of short prefixes, combined
-   into ranks of prefixes three times as long, order its suffixes by their first ``length`` bytes. In suffix order, ties sorted by position in the corpus, the previous and
-   next smaller positions of a suffix give its longest previous factor; a factor of ``length`` is an
-   earlier match, and the mirrored array (next larger positions) a later one.
+   into ranks of prefixes several times as long, order its suffixes by their first ``length`` bytes.
+   In suffix order the previous and the next smaller position in the corpus of a suffix give its
+   longest previous factor; a factor of ``length`` is an earlier match, and the same array over the
+   reversed positions (the longest next factor) a later one.
 4. *Cut.* Matched windows go back to their documents, whose covered bytes are removed.
 
 Memory: a reducer holds one hash range of anchors, or of distinct contexts; ranges grow in number
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.dealing import chosen, deal, joined, key_bitmap, owners_of, part_of, split, with_key
+from chronolith.llm.dealing import chosen, deal, joined, key_bitmap, only_chosen, owners_of, part_of, split, with_key
 from chronolith.llm.frames import durable, map_batches, parts_for
 from chronolith.llm.kernels import _CODES, U64, mix, powers, text_bytes
 
@@ -268,40 +269,43 @@ def _dense(value: np.ndarray) -> np.ndarray:
     return out
 
 
-def factor_matches(rank: np.ndarray, position: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix, whether its longest previous and its longest next factor reach the ranked length.
+def common_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many of the first ``most`` bytes from a[i] on equal those from b[i] on; both places have that many."""
+    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    for step in range(most):
+        live = live[data[a[live] + step] == data[b[live] + step]]
+        if not len(live):
+            break
+        out[live] = step + 1
+    return out
+
 
-    In suffix order, suffixes of equal rank stand together, by position: a suffix's previous smaller
-    position there is the one before it and its next larger position the one after it; any other
-    neighbour shares fewer bytes.
+def longest_factors(position: np.ndarray, common: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factor of every suffix: the most bytes that it shares with a suffix of smaller position.
+
+    The suffixes come in suffix order; ``common[i]`` is what i shares with the one before. The longest previous
+    factor is shared with the nearest smaller position on either side, and is the least ``common`` on the way
+    there. All suffixes walk at once: one whose neighbour has a larger position goes on to where that
+    neighbour has got to. Factors shorter than ``least`` count as 0, so walks end where less is shared.
     """
-    order = np.lexsort((*reversed(position), rank))
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
-
-
-def longest_previous_factor(data: bytes) -> list[int]:
-    """The full LPF array of one string, from its suffix array's previous and next smaller positions."""
-    n = len(data)
-    suffixes = sorted(range(n), key=lambda i: data[i:])
-    common = [0] * (n + 1)
-    for i in range(1, n):
-        a, b = suffixes[i - 1], suffixes[i]
-        while max(a, b) + common[i] < n and data[a + common[i]] == data[b + common[i]]:
-            common[i] += 1
-    out, stack = [0] * n, []
-    for i in range(n + 1):
-        place, shared = (suffixes[i], common[i]) if i < n else (-1, 0)
-        while stack and place < stack[-1][0]:
-            top, before = stack.pop()
-            out[top] = max(before, shared)
-            shared = min(before, shared)
-        if i < n:
-            stack.append((place, shared))
-    return out
+    back = _to_smaller(position, common, least)
+    ahead = _to_smaller(position[::-1], np.r_[common[:0], 0, common[:0:-1]][: len(common)], least)[::-1]
+    return np.maximum(back, ahead)
+
+
+def _to_smaller(position: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Bytes shared with the previous smaller position."""
+    near, shared = np.arange(-1, len(position) - 1), common.copy()
+    shared[:1] = 0
+    live = np.flatnonzero(shared >= least)
+    live = live[position[near[live]] > position[live]]
+    while len(live):
+        at = near[live]
+        further, both = near[at], np.minimum(shared[live], shared[at])
+        near[live], shared[live] = further, both
+        live = live[both >= least]
+        live = live[position[near[live]] > position[live]]
+    return np.where(shared >= least, shared, 0)
 
 
 _SPAN_ROWS = "part int, starts binary, counts binary, keys binary"
@@ -318,15 +322,22 @@ def _match_contexts(length: int, keep_first: bool, parts: int):
         starts, rank = suffix_ranks(data, sizes, length)
         owner = np.repeat(np.arange(len(sizes)), sizes)[starts]
         place = begin[owner] + starts - (np.cumsum(sizes) - sizes)[owner]
-        # repeated rows send their windows twice: they count once
-        order = np.lexsort((place, key[owner], rank))
-        again = np.zeros(len(order), bool)
-        again[order[1:]] = (rank[order][1:] == rank[order][:-1]) & (place[order][1:] == place[order][:-1]) & (key[owner][order][1:] == key[owner][order][:-1])
-        rest = np.flatnonzero(~again)
-        earlier, later = factor_matches(rank[rest], (doc[owner][rest], key[owner][rest], place[rest]))
-        hit = earlier if keep_first else earlier | later
-        rest = rest[hit & (keep_first | (flags[owner[rest]] & _FULL == 0))]
-        return key[owner[rest]], place[rest]
+        order = np.lexsort((place, key[owner], doc[owner]))
+        position = np.empty(len(order), np.int64)
+        fresh = np.ones(len(order), bool)
+        for column in (place, key[owner]):
+            fresh[1:] &= column[order][1:] == column[order][:-1]
+        fresh[1:] = ~fresh[1:]
+        position[order] = np.cumsum(fresh) - 1  # repeated rows send their windows twice: they count once
+        rest = order[fresh]
+        rest = rest[np.argsort(rank[rest])]
+        # only whole windows matter, so neighbours of other rank (who share less) end a walk
+        common = np.r_[np.zeros(min(1, len(rest)), np.int64), np.where(rank[rest][1:] == rank[rest][:-1], length, 0)]
+        hit = longest_factors(position[rest], common, length) >= length
+        if not keep_first:
+            hit |= longest_factors(-position[rest], common, length) >= length
+            hit &= flags[owner[rest]] & _FULL == 0
+        return key[owner[rest[hit]]], place[rest[hit]]
 
     def reduce(table: pa.Table) -> pa.Table:
         names = (("anchors", U64), ("data", np.uint8), ("sizes", np.uint32), ("starts", np.int64), ("flags", np.uint8), ("keys", np.int64), ("docs", np.int64))
@@ -421,6 +432,6 @@ def remove_matches(documents: DataFrame, length: int = LENGTH, keep_first: bool
     keyed = with_key(documents)
     spans = matched_spans(keyed, length, keep_first)
     members = key_bitmap(spans.select("key"))
-    plain = map_batches(chosen(keyed, members, False), _cut(length, keep_first, False), _RESULT)
+    plain = map_batches(keyed, _cut(length, keep_first, False), _RESULT, only=only_chosen(members, False))
     cut = map_batches(chosen(keyed, members, True).join(spans.hint("shuffle_hash"), "key", "left"), _cut(length, keep_first, True), _RESULT)
     return plain.unionByName(cut)

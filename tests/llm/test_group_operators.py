@@ -223,6 +223,17 @@ def test_contained_items(spark, docs, rows):
     assert contamination.contained_items(docs.where("false"), benchmark).count() == 0 and contamination.contained_items(docs, benchmark.where("false")).count() == 0
 
 
+def test_sketches_hold_few_hashes(spark):
+    """One item of a single shingle, or many items, leave the documents' sketches short."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"v{k}" for k in range(3000)], k=400)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [(k, " ".join(t.split()[9 : 9 + 12 + k])) for k, t in enumerate(texts[:20])] + [(99, "zz yy xx ww vv")]
+    report = contamination.sketch_report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sum(r["items"] for r in report) == 21 and {r["part"] for r in report} == {0, 3, 4}
+    assert report[0]["sketched"] < 0.05 * report[0]["shingles"] and all(r["held"] > 0 for r in report if r["part"])
+
+
 def test_sketches_never_miss():
     for largest in (1, 3, 7, 15, 31, 63, 127):
         for n in range(largest // 2 + 1, largest + 1):

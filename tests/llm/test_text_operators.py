@@ -224,12 +224,48 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(new)) == len(new) == 48 and not set(new) & {r["entity"] for r in table}
 
 
-def test_longest_previous_factor_brute_force():
+def test_longest_factors_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        data = bytes(rng.choices(b"abc"[: rng.randint(1, 3)], k=rng.randint(0, 40)))
+        order = np.array(sorted(range(len(data)), key=lambda i: data[i:]), np.int64)
+        common = np.zeros(len(data), np.int64)
+        for i in range(1, len(data)):
+            a, b = data[order[i - 1] :], data[order[i] :]
+            common[i] = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        want = np.array([max((k for j in range(i) for k in range(len(data) - i + 1) if data[j : j + k] == data[i : i + k]), default=0) for i in range(len(data))], np.int64)
+        got = np.zeros(len(data), np.int64)
+        for least in (1, 4):
+            got[order] = suffixes.longest_factors(order, common, least)
+            assert got.tolist() == np.where(want >= least, want, 0).tolist()
+
+
+def test_common_bytes():
+    rng = random.Random(3)
+    data = np.frombuffer(bytes(rng.choices(b"ab", k=400)), np.uint8)
+    a, b = (np.array(rng.choices(range(380), k=300)) for _ in range(2))
+    want = [next((k for k in range(20) if data[i + k] != data[j + k]), 20) for i, j in zip(a, b, strict=True)]
+    assert suffixes.common_bytes(data, a, b, 20).tolist() == want
+
+
+def test_matches_come_from_longest_factors(spark, monkeypatch):
+    """Passages that only part of two documents share are found by the factors and by nothing else."""
+    rng = random.Random(5)
+    passage, noise = ("".join(rng.choices("abcdefghij ", k=n)) for n in (700, 3000))
+    docs = spark.createDataFrame([(1, noise[:400] + passage + noise[400:900]), (2, noise[1000:1300] + passage + noise[1300:1700])], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_matches(docs).collect()}
+    assert got[1] == got[2] and got[1] >= 700
+    monkeypatch.setattr(suffixes, "longest_factors", lambda position, common, least=1: np.zeros(len(position), np.int64))
+    reduce = suffixes._match_contexts(200, False, 1)
+    data = np.frombuffer(passage.encode(), np.uint8)
+    table = pa.table({"anchors": [np.zeros(2, np.uint64).tobytes()], "data": [np.r_[data, data].tobytes()], "sizes": [np.array([700, 700], np.uint32).tobytes()], "starts": [np.zeros(2, np.int64).tobytes()], "flags": [np.full(2, suffixes._SEND, np.uint8).tobytes()], "keys": [np.array([1, 2]).tobytes()], "docs": [np.array([1, 2]).tobytes()]})
+    assert reduce(table).num_rows == 0
+    monkeypatch.undo()
+    assert reduce(table).num_rows == 1
+
+
+def test_suffix_ranks():
     rng = random.Random(8)
-    for _ in range(60):
-        data = bytes(rng.choices(b"ab", k=rng.randint(0, 14)))
-        want = [max((k for j in range(i) for k in range(len(data) - i + 1) if data[j : j + k] == data[i : i + k]), default=0) for i in range(len(data))]
-        assert suffixes.longest_previous_factor(data) == want
     data = bytes(rng.choices(b"ab", k=3000))
     starts, rank = suffixes.suffix_ranks(np.frombuffer(data, np.uint8), np.array([1000, 0, 2000]), 12)
     strings = [data[s : s + 12] for s in starts]
