@@ -86,11 +86,90 @@ def test_general_jpeg_scan():
     assert coef[:, 0].tolist() == [5, 5, 5] and media.thumbnail(grey, coef).tolist() == [[138, 138, 138]]
     colour = media.parse(_jpeg([(1, 2, 2), (2, 1, 1), (3, 1, 1)], 16, 16, [[plus, zero, plus, zero, zero, zero]]))
     assert media.thumbnail(colour, media.coefficients(colour)).tolist() == [[138, 138], [148, 148]]
-    for broken in (b"", b"\xff\xd8\xff\xd9", b"\xff\xd8" + media._segment(0xC2, bytes(9))):
+    for broken in (b"", b"\xff\xd8\xff\xd9", b"\xff\xd8" + media._segment(0xC2, bytes(9)), b"\xff\xd8\xff"):
         with pytest.raises(ValueError):
             media.parse(broken)
 
 
+def _separate(width, height, parts):
+    """Three components (2x2, 1x1, 1x1), each in a scan of its own, in the order given."""
+    whole = _jpeg([(1, 2, 2), (2, 1, 1), (3, 1, 1)], width, height, [])
+    out = whole[: whole.index(b"\xff\xda")]
+    for ident, blocks in parts:
+        bits = "".join(blocks)
+        bits += "1" * (-len(bits) % 8)
+        out += media._segment(0xDA, bytes([1, ident, 0, 0, 63, 0])) + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    return out + b"\xff\xd9"
+
+
+def test_scans_of_single_components():
+    plus, zero = "01" + "101" + "00", "00" + "00"
+    jpeg = media.parse(_separate(16, 16, [(2, [zero]), (1, [plus, zero, plus, zero]), (3, [zero])]))
+    assert media.thumbnail(jpeg, media.coefficients(jpeg)).tolist() == [[138, 138], [148, 148]]
+
+
+@pytest.mark.parametrize("few", [0, 12, 10**9])
+def test_one_decoder_for_many_and_few_segments(monkeypatch, few):
+    """Random tables and values with runs, read back together and one by one."""
+    monkeypatch.setattr(media, "FEW", few)
+    rng = random.Random(6)
+    payload = np.array(rng.choices(range(256), k=64 * 90), np.uint8)
+    blocks = np.array([1, 40, 7, 42])
+    files = [media.parse(x) for x in media.encode_payloads(payload, blocks)]
+    found = [media.payload_of(j, c) for j, c in zip(files, media.decode(files), strict=True)]
+    assert b"".join(found) == payload.tobytes() and [len(f) for f in found] == (64 * blocks).tolist()
+    # DC categories 0..5 and AC (run, size) symbols in codes of mixed length
+    dc, ac = [(2, 3), (2, 1), (3, 0), (3, 2), (4, 4), (4, 5)], [(1, 0x00), (3, 0x11), (3, 0x02), (4, 0xF0), (4, 0x23), (5, 0x01), (5, 0x45)]
+
+    def codes(table):
+        code, last, out = 0, 0, {}
+        for length, symbol in table:
+            code <<= length - last
+            last = length
+            out[symbol] = format(code, f"0{length}b")
+            code += 1
+        return out
+
+    def number(value, size):
+        return format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else ""
+
+    dcs, acs, bits, want, before = codes(dc), codes(ac), "", [], 0
+    for _ in range(60):
+        block, k = [0] * 64, 1
+        size = rng.choice([s for _, s in dc])
+        diff = rng.choice([-1, 1]) * rng.randint(1 << (size - 1), (1 << size) - 1) if size else 0
+        before += diff
+        block[0] = before
+        bits += dcs[size] + number(diff, size)
+        while k < 64:
+            symbol = rng.choice([s for _, s in ac])
+            run, size = divmod(symbol, 16)
+            if k + run > 63 or symbol == 0:
+                bits += acs[0]
+                break
+            bits += acs[symbol]
+            k += run
+            if size:
+                block[k] = rng.choice([-1, 1]) * rng.randint(1 << (size - 1), (1 << size) - 1)
+                bits += number(block[k], size)
+            k += 1
+        want.append(block)
+    bits += "1" * (-len(bits) % 8)
+    raw = b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes([1] * 64)) + media._dht(0, dc) + media._dht(16, ac) + media._segment(0xC0, struct.pack(">BHHB3B", 8, 80, 48, 1, 1, 0x11, 0)) + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
+    jpeg = media.parse(raw)
+    assert [c.tolist() for c in media.decode([jpeg] * 3)] == [want] * 3
+    assert media.coefficients(jpeg, full=False)[:, 0].tolist() == [b[0] for b in want]
+    assert isinstance(media.decode([jpeg._replace(data=jpeg.data[:-9])])[0], ValueError) and isinstance(media.decode([jpeg._replace(huffman={})])[0], ValueError)
+
+
+def test_broken_files_give_errors(spark):
+    good = media.encode_payloads(np.zeros(64 * 3, np.uint8), np.array([3]))[0]
+    rows = [(1, good), (2, good[:-40]), (3, b"GIF89a"), (4, None), (5, b""), (6, good[:300]), (7, good.replace(b"\xff\xdb", b"\xff\xfe")), (8, b"\xff\xd8" + bytes(50))]
+    got = {r["doc_id"]: r for r in media.jpeg_columns(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1]["width"] == 24 and got[1]["error"] is None and got[4]["error"] is None and got[4]["width"] is None
+    assert all(got[i]["width"] is None and got[i]["error"] for i in (2, 3, 5, 6, 7, 8))
+
+
 def test_packing_tiles_every_document(odd, empty):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     got = packing.pack(odd, TOKENIZER, window=64).collect()
