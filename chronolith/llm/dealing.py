@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.frames import arrow_schema, slices
+from chronolith.llm.frames import arrow_schema, release, slices, small_batches
 from chronolith.llm.kernels import mix
 
 #: Postings a map task holds before it emits them.
-FLUSH = 700_000
+FLUSH = 500_000
 #: Bits of the bitmap of owners with answers: 1 MB, however many owners there are.
 BITS = 1 << 23
 
@@ -65,9 +65,12 @@ def deal(df: DataFrame, kernel: Callable, emit: Callable, schema: str, column: s
                 for lot in _lots(emit(gathered)):
                     yield rows(target, lot)
                 gathered, size = [], 0
+                release()
         if gathered:
             for lot in _lots(emit(gathered)):
                 yield rows(target, lot)
+        gathered = None
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -95,6 +98,7 @@ def joined(arrays: list[np.ndarray], dtype) -> np.ndarray:
 
 def with_key(documents: DataFrame) -> DataFrame:
     """(key, doc_id, text): the key tells rows of one doc_id but other text apart."""
+    small_batches(documents.sparkSession)
     two = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return two.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
@@ -121,15 +125,24 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
+def only_chosen(bitmap: np.ndarray, inside: bool, by: str = "key") -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Filter of a batch's rows whose key's bit is set (or is not); nulls have no bit."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(by)
+        hit = in_bitmap(bitmap, column.fill_null(0).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array(hit if inside else ~hit))
+
+    return run
+
+
 def chosen(keyed: DataFrame, bitmap: np.ndarray, inside: bool, by: str = "key") -> DataFrame:
-    """Rows whose key's bit is set (or is not); nulls have no bit."""
+    """The rows that ``only_chosen`` leaves, as a frame; a kernel that follows at once takes the filter itself."""
+    only = only_chosen(bitmap, inside, by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(by)
-            hit = in_bitmap(bitmap, column.fill_null(0).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
-            out = batch.filter(pa.array(hit if inside else ~hit))
-            if out.num_rows:
-                yield out
+        for batch in map(only, batches):
+            if batch.num_rows:
+                yield batch
 
     return keyed.mapInArrow(run, "key long, doc_id long, text string")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.dealing import chosen, deal, in_bitmap, joined, key_bitmap, owners_of, part_of, split, with_key
+from chronolith.llm.dealing import chosen, deal, in_bitmap, joined, key_bitmap, only_chosen, owners_of, part_of, split, with_key
 from chronolith.llm.frames import durable, map_batches, parts_for
 from chronolith.llm.kernels import U64, mix, shingles, text_bytes, words_of
 
@@ -393,6 +393,6 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     found = _found(keyed, width)
     removed = durable(repeated_spans(found).groupBy("key").agg(F.collect_list(F.struct("path", "runs")).alias("items")))
     members = key_bitmap(removed.select("key"))
-    plain = map_batches(chosen(keyed, members, False), _kept(width, False), _result_columns())
+    plain = map_batches(keyed, _kept(width, False), _result_columns(), only=only_chosen(members, False))
     cut = map_batches(chosen(keyed, members, True).join(removed.hint("shuffle_hash"), "key", "left"), _kept(width, True), _result_columns())
     return plain.unionByName(cut)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Text bytes a kernel works on at once; bounds a Python worker's memory at every input size.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch between the JVM and Python, where the session has Spark's default of 10,000: whole
+#: texts are some kB each, and both sides hold a batch at once.
+BATCH_ROWS = 1_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,12 +96,36 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str, column: str = "text") -> DataFrame:
-    """Apply ``kernel`` to bounded Arrow slices of the frame."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for frames that hold whole texts; a setting of the session's own stays."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, BATCH_ROWS)
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str, column: str = "text", only: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """Apply ``kernel`` to bounded Arrow slices of the frame, of the rows that ``only`` leaves."""
     target = arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, column):
+        for piece in slices(batches if only is None else map(only, batches), column):
             out = kernel(piece)
             if isinstance(out, dict):
                 out = pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
@@ -115,4 +144,5 @@ def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
 
 def keyed_text(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so that clashing names elsewhere cannot matter."""
+    small_batches(documents.sparkSession)
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,7 +1,7 @@
 """Personal data: detection, and keyed surrogates of the same type, gender, script and format.
 
-Detected are e-mail addresses, telephone numbers, payment card numbers, IPv4 addresses, national
-identity numbers written 123-45-6789, account numbers (IBAN), names
+Detected are e-mail addresses (of any script), telephone numbers, payment card numbers, IPv4 and IPv6
+addresses, national identity numbers written 123-45-6789 or 123 45 6789, account numbers (IBAN), names
 after a form of address, however many words and initials they have, and every other place of the
 text where a word of such a name stands alone. In scripts without case nothing marks a name's end but
 the first sign other than a letter or a space. Every mention is reduced to entities (a name to its given name and its
@@ -32,13 +32,14 @@ from bisect import bisect_left
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.dealing import chosen, key_bitmap, with_key
 from chronolith.llm.frames import durable, map_batches
 
-KEY = "chronolith-surrogates"
+#: The session's setting that holds the secret key of registered queries.
+KEY_SETTING = "spark.chronolith.surrogates.key"
 
 # Forms of address and the gender they tell (f, m or n).
 FORMS = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Señorita": "f", "Doña": "f", "Dr": "n", "Prof": "n", "Professor": "n"}
@@ -46,12 +47,15 @@ FORMS = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Se
 # Countries whose account numbers are taken even with wrong check digits.
 IBAN_COUNTRIES = frozenset("AD AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split())
 
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+# Begins only where a run of its characters does, so that a long word without @ is read once.
+_EMAIL = re.compile(r"(?<![\w.%+-])[._%+-]*+([^\W_][\w.%+-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,})")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IP = re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)")
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+_IPV6 = re.compile(rf"(?<![\w:.])(?:{_GROUP}(?::{_GROUP}){{7}}|(?=[0-9A-Fa-f:]*::)(?:{_GROUP}(?::{_GROUP}){{0,5}})?::(?:{_GROUP}(?::{_GROUP}){{0,5}})?)(?![\w:]|\.\d)")
 _CARD = re.compile(r"(?<![0-9A-Za-z+])(?:[3-6]|2(?=[ -]?(?:2[ -]?(?:2[ -]?[1-9]|[3-9][ -]?\d)|[3-6][ -]?\d[ -]?\d|7[ -]?(?:[01][ -]?\d|2[ -]?0))))(?:[ -]?\d){12,18}(?![0-9A-Za-z])")
-_PHONE = re.compile(r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])")
-_NATIONAL = re.compile(r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])")
+_PHONE = re.compile(r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3} \d{3} \d{4})(?![0-9A-Za-z])")
+_NATIONAL = re.compile(r"(?<![0-9A-Za-z-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4})(?![0-9A-Za-z-])")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(FORMS, key=len, reverse=True)) + r")\.?[ ](?=[^\W\d_])")
 # A letter, or a mark that follows one: combining, Hebrew, Arabic, Indic.
@@ -59,8 +63,8 @@ _MARK = r"\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0903\u093a-\u094f"
 _NAME_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARK}]|['’-](?=[^\W\d_])(?![sS](?!\w)))*")
 # Words that begin a sentence after a name and are no part of it.
 _BEGINNERS = frozenset("The They This That It I We And But".split())
-_DIGIT_OR_AT = re.compile(r"[0-9@]")
-_PATTERNS = (("email", _EMAIL), ("iban", _IBAN), ("ip", _IP), ("card", _CARD), ("national", _NATIONAL), ("phone", _PHONE))
+_DIGIT_OR_AT = re.compile(r"[0-9@]|::")
+_PATTERNS = (("email", _EMAIL), ("iban", _IBAN), ("ip", _IP), ("ipv6", _IPV6), ("card", _CARD), ("national", _NATIONAL), ("phone", _PHONE))
 
 
 class Mention(NamedTuple):
@@ -124,10 +128,12 @@ def find_mentions(text: str) -> list[Mention]:
     if _DIGIT_OR_AT.search(text):
         for kind, pattern in _PATTERNS:
             for m in pattern.finditer(text):
-                value = m.group()
-                entity = value.lower() if kind == "email" else value if kind == "ip" else re.sub(r"[^0-9A-Z]", "", value)
+                value, start = (m[1], m.start(1)) if kind == "email" else (m.group(), m.start())
+                entity = value.lower() if kind in ("email", "ipv6") else value if kind == "ip" else re.sub(r"[^0-9A-Z]", "", value)
+                if kind == "ipv6" and not any(c.isdigit() for c in value):  # a::b in code
+                    continue
                 if kind != "iban" or _iban_ok(entity) or entity[:2] in IBAN_COUNTRIES and sum(c.isdigit() for c in entity) >= 10:
-                    found.append(Mention(m.start(), m.end(), kind, entity))
+                    found.append(Mention(start, m.end(), kind, entity))
     named: dict[str, str] = {}
     for m in _NAME.finditer(text):
         words = _name_words(text, m.end())
@@ -151,6 +157,12 @@ def find_mentions(text: str) -> list[Mention]:
     return sorted(out)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key of registered queries and the pipeline: the session's setting. Without one a fixed key stands in,
+    with which surrogates are consistent but no secret."""
+    return spark.conf.get(KEY_SETTING, None) or "no secret"
+
+
 class _Stream:
     """Keyed pseudo-random numbers for one (type, entity, attempt)."""
 
@@ -198,7 +210,7 @@ def _grown(like: str, attempt: int, stream: _Stream) -> str:
     return "".join(_letter("ba"[i % 2] if like.isascii() else last or "a", stream) for i in range(max(0, attempt - 3)))
 
 
-def surrogate(kind: str, entity: str, attempt: int, key: str = KEY) -> str:
+def surrogate(kind: str, entity: str, attempt: int, key: str) -> str:
     """The canonical surrogate of an entity at one attempt; later attempts of names may grow longer."""
     stream = _Stream(key, kind, entity, attempt)
     if kind == "email":
@@ -212,6 +224,12 @@ def surrogate(kind: str, entity: str, attempt: int, key: str = KEY) -> str:
         if private and attempt >= WIDER:  # the largest private range, then any
             parts, private = ["10", *parts[1:]], 1 if attempt < WIDEST else 0
         return ".".join([*parts[:private], *(str(public[stream.below(len(public))] if i == 0 else 1 + stream.below(254)) for i in range(private, 4))])
+    if kind == "ipv6":  # loopback, link-local, private and multicast prefixes stay; later attempts fill all eight groups
+        groups = entity.split(":")
+        keep = 1 if groups[0][:2] in ("fc", "fd", "fe", "ff") and attempt < WIDEST else 0
+        if attempt >= WIDER or "::" in entity and sum(map(bool, groups)) < 3:
+            groups = [*groups[:keep], *["0000"] * (8 - keep)]
+        return ":".join(g if i < keep or not g else f"{(1 if len(g) == 1 else 16 ** (len(g) - 1)) + stream.below(15 * 16 ** (len(g) - 1)):x}" for i, g in enumerate(groups))
     if kind == "card":
         head = str(2221 + stream.below(500)) if entity[0] == "2" else entity[0]
         if attempt >= WIDEST:
@@ -239,8 +257,8 @@ def _written(kind: str, mention: str, new: str) -> str:
         return "".join(next(left) if c.isalnum() else c for c in mention)
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new, strict=True)) if len(mention) == len(new) else new
-    if kind == "ip":
-        return new
+    if kind in ("ip", "ipv6"):
+        return new.upper() if kind == "ipv6" and mention != mention.lower() else new
     if mention.isupper() and len(mention) > 1:
         return new.upper()
     return "".join(n.upper() if i < len(mention) and mention[i].isupper() else n for i, n in enumerate(new))
@@ -260,7 +278,7 @@ def mentions(keyed: DataFrame) -> DataFrame:
     return map_batches(keyed, kernel, "key long, start int, end int, kind string, entity string")
 
 
-def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(kind, entity, surrogate), distinct within each kind and apart from all entities of the kind."""
 
     def propose(entities: DataFrame) -> DataFrame:
@@ -302,7 +320,7 @@ def _replace(batch: pa.RecordBatch) -> dict:
     return {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "text": texts, "n_entities": counts, "spans": spans}
 
 
-def pseudonymize(documents: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(documents: DataFrame, key: str) -> DataFrame:
     """(key, doc_id, text, n_entities, spans) of every row: spans are kind:start:end in the original text."""
     keyed = with_key(documents)
     found = durable(mentions(keyed).dropDuplicates(["key", "start"]))
@@ -314,7 +332,7 @@ def pseudonymize(documents: DataFrame, key: str = KEY) -> DataFrame:
     return plain.unionByName(changed)
 
 
-def pseudonymized_documents(documents: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymized_documents(documents: DataFrame, key: str) -> DataFrame:
     """The documents with surrogates in place and n_chars counted anew where the text changed; other columns as they were."""
     new = pseudonymize(documents, key).where("n_entities > 0").select(F.col("key").alias("__key"), F.col("text").alias("__text")).dropDuplicates(["__key"])
     keyed = documents.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))

@@ -61,9 +61,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chronolith.llm.pii import pseudonymize
+    from chronolith.llm.pii import pseudonymize, session_key
 
-    return pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "spans")
+    return pseudonymize(table(spark, sf_dir, "documents"), session_key(spark)).select("doc_id", "text", "n_entities", "spans")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scans, op3_toxicity, op4_media_columns, op5_substring_dedup, op6_secret_scans, op7_packing, op8_suffix_dedup, op9_pii_surrogates, op10_decontamination, pipeline)}
+_ALL = (
+    op1_ngram_jaccard,
+    op2_license_scans,
+    op3_toxicity,
+    op4_media_columns,
+    op5_substring_dedup,
+    op6_secret_scans,
+    op7_packing,
+    op8_suffix_dedup,
+    op9_pii_surrogates,
+    op10_decontamination,
+    pipeline,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

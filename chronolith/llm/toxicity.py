@@ -16,6 +16,7 @@ with no training rows, or one class only, every score is the share of toxic rows
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from chronolith.llm.frames import durable, keyed_text, map_batches, slices
+from chronolith.llm.frames import durable, keyed_text, map_batches, slices, small_batches
 from chronolith.llm.kernels import text_bytes
 
 BUCKETS = 1 << 18
@@ -133,16 +134,42 @@ def training_rows(documents: DataFrame, labels: DataFrame, limit: int = TRAINING
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return keyed_text(documents).join(F.broadcast(chosen), "doc_id")  # at most `limit` rows of 12 bytes
+    found = keyed_text(documents).join(F.broadcast(chosen), "doc_id")  # at most `limit` rows of 12 bytes
+    # rows that share a doc_id count once, by one of their texts
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("doc_id", "text", "label")
 
 
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, stands_out: float = STANDS_OUT, penalty: float = PENALTY) -> Model:
+    """A model from at most ``limit`` labelled rows that are not held out."""
+    return _fitted(durable(training_rows(documents, labels, limit)), stands_out, penalty)
+
+
+def cross_validate(documents: DataFrame, labels: DataFrame, settings: list[tuple[float, float]], folds: int = 4, limit: int = TRAINING_ROWS) -> DataFrame:
+    """(stands_out, penalty, rows, log_loss, missed, wronged) of each setting over the training rows alone: every row is scored
+    by a model fitted without its fold. Held-out rows take no part, so settings may be chosen by this."""
+    rows = durable(training_rows(documents, labels, limit).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds))))
+    spark, out = documents.sparkSession, []
+    for stands_out, penalty in settings:
+        parts = []
+        for fold in range(folds):
+            model = _fitted(rows.where(F.col("fold") != fold).drop("fold"), stands_out, penalty)
+            tested = rows.where(F.col("fold") == fold)
+            parts.append(score(tested, model).join(tested.select("doc_id", (F.col("label") > 0).alias("toxic")), "doc_id"))
+        every = functools.reduce(DataFrame.unionByName, parts)
+        likely = F.when(F.col("toxic"), F.col("score")).otherwise(1 - F.col("score"))
+        missed, wronged = F.col("toxic") & (F.col("score") < 0.5), ~F.col("toxic") & (F.col("score") >= 0.5)
+        got = every.agg(F.count("*"), F.avg(-F.log(F.greatest(likely, F.lit(1e-12)))), F.count_if(missed), F.count_if(wronged)).first()
+        out.append((stands_out, penalty, *got))
+    return spark.createDataFrame(out, "stands_out double, penalty double, rows long, log_loss double, missed long, wronged long")
+
+
+def _fitted(sample: DataFrame, stands_out: float, penalty: float) -> Model:
     """Two passes over the bounded sample: presence counts by class, then the kept features of each row."""
-    rows = durable(training_rows(documents, labels, limit)).coalesce(8)  # a bounded sample: 8 tasks, so 8 vectors of counts
+    rows = sample.coalesce(8)  # a bounded sample: 8 tasks, so 8 vectors of counts
 
     def counts(batches):
         sums = np.zeros((2, BUCKETS), np.int32)
@@ -165,7 +192,7 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) ->
     ratio = np.log((SMOOTHING + p) / (SMOOTHING + p).sum()) - np.log((SMOOTHING + q) / (SMOOTHING + q).sum())
     rate = (p + q) / n.sum()
     error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n[0] + 1 / n[1]))
-    kept = (p + q >= 5) & (np.abs(p / n[1] - q / n[0]) >= STANDS_OUT * error)
+    kept = (p + q >= 5) & (np.abs(p / n[1] - q / n[0]) >= stands_out * error)
 
     def vectors(batches):
         for batch in batches:
@@ -177,10 +204,10 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) ->
 
     found = rows.mapInArrow(vectors, "label int, features binary").collect()  # at most `limit` rows
     columns = [np.frombuffer(r["features"], np.int32) for r in found]
-    return _logistic(columns, np.array([r["label"] > 0 for r in found], np.float64), ratio, kept)
+    return _logistic(columns, np.array([r["label"] > 0 for r in found], np.float64), ratio, kept, penalty)
 
 
-def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, kept: np.ndarray) -> Model:
+def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, kept: np.ndarray, penalty: float = PENALTY) -> Model:
     """Nesterov gradient steps on the mean log loss plus an L2 penalty, on log-count scaled presence."""
     number = np.cumsum(kept) - 1
     row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
@@ -190,19 +217,19 @@ def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, kept:
     weight, intercept = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
     ahead, ahead_b, before, before_b = weight.copy(), intercept, weight, intercept
     largest = np.bincount(row, value * value, len(y)).max(initial=0.0) + 1
-    step = 1 / (0.25 * max(1.0, largest * 0.1) + PENALTY)
+    step = 1 / (0.25 * max(1.0, largest * 0.1) + penalty)
     loss_before = np.inf
     for k in range(1, STEPS + 1):
         margin = np.bincount(row, value * ahead[column], len(y)) + ahead_b
         miss = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y
-        loss = float(np.mean(np.logaddexp(0, margin) - y * margin) + PENALTY / 2 * ahead @ ahead)
+        loss = float(np.mean(np.logaddexp(0, margin) - y * margin) + penalty / 2 * ahead @ ahead)
         if loss > loss_before + 1e-9:
             step *= 0.5
             ahead, ahead_b = before.copy(), before_b
             loss_before = np.inf
             continue
         loss_before = loss
-        weight = ahead - step * (np.bincount(column, value * miss[row], size) / len(y) + PENALTY * ahead)
+        weight = ahead - step * (np.bincount(column, value * miss[row], size) / len(y) + penalty * ahead)
         intercept = ahead_b - step * miss.mean()
         momentum = k / (k + 3)
         ahead, ahead_b = weight + momentum * (weight - before), intercept + momentum * (intercept - before_b)
@@ -226,8 +253,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return map_batches(keyed_text(documents), kernel, "doc_id long, score double")
 
 
-def with_scores(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents with all their columns and a score, in one pass without a join."""
+def with_scores(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The documents with all their columns and a score under ``name``, in one pass without a join."""
+    small_batches(documents.sparkSession)
     weight, intercept = model
     kept = weight != 0
     at = documents.columns.index("text")
@@ -236,9 +264,9 @@ def with_scores(documents: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             text, bucket = presence(*text_bytes(batch.column(at)), kept)
             margin = np.bincount(text, weight[bucket].astype(np.float64), batch.num_rows) + intercept
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], names=[*batch.schema.names, name])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("score", DoubleType())]))
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ def _longest(values):
 def test_surrogates(spark, odd, empty):
     texts = ["Mail Ann.Lee@Example.org or ann.lee@example.org, call +1 (555) 123-4567.", "Card 4111-1111-1111-1111 and 4952935900253052, host 10.1.2.3 or 8.8.8.8.", "Dr. Anna Poe met Mrs. Poe and Mr. Иван Петров.", "clean text 12 and v1.2.3"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.pseudonymize(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymize(docs, "k").collect()}
     first = got[0]["text"]
     for secret in ("Ann.Lee", "ann.lee", "123-4567"):
         assert secret not in first
@@ -288,9 +288,9 @@ def test_surrogates(spark, odd, empty):
     assert [m.kind for m in names] == ["given_f", "surname", "surname", "given_m", "surname"] and names[1].entity == names[2].entity and "Poe" not in got[2]["text"]
     assert "а" <= names[3].entity[0] <= "я"
     assert got[3]["text"] == texts[3] and got[3]["n_entities"] == 0
-    assert [r["text"] for r in pii.pseudonymize(odd).where("n_entities = 0").orderBy("doc_id").collect()][1:3] == ["", " "]
-    assert pii.pseudonymize(empty).count() == 0
-    kept = pii.pseudonymized_documents(odd)
+    assert [r["text"] for r in pii.pseudonymize(odd, "k").where("n_entities = 0").orderBy("doc_id").collect()][1:3] == ["", " "]
+    assert pii.pseudonymize(empty, "k").count() == 0
+    kept = pii.pseudonymized_documents(odd, "k")
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert pii.pseudonymize(docs, key="other").where("doc_id = 0").first()["text"] != first
 
@@ -298,7 +298,7 @@ def test_surrogates(spark, odd, empty):
 def test_surrogates_stay_distinct(spark):
     mails = spark.createDataFrame([(i, f"{a}@{b}.co") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "stuvwx")], "doc_id long, text string")
     found = pii.mentions(pii.with_key(mails))
-    table = pii.surrogates(found).collect()
+    table = pii.surrogates(found, "k").collect()
     new = [r["surrogate"] for r in table]
     assert len(set(new)) == len(new) == 48 and not set(new) & {r["entity"] for r in table}
 

@@ -1,7 +1,10 @@
 """Names, numbers, layers, licenses and rows that operators once left out."""
 
 import base64
+import gzip
+import random
 import textwrap
+import urllib.parse
 import zlib
 from collections import Counter
 
@@ -25,16 +28,32 @@ def test_two_series_cards():
     for card, found in (("2221 0000 0000 0009", True), ("2720-9999-9999-9996", True), ("2220 9999 9999 9999", False), ("2721 0000 0000 0000", False)):
         assert [m.kind for m in pii.find_mentions(f"card {card}.")] == ["card"] * found
         if found:
-            assert 2221 <= int(pii.surrogate("card", card.replace(" ", "").replace("-", ""), 0)[:4]) <= 2720
+            assert 2221 <= int(pii.surrogate("card", card.replace(" ", "").replace("-", ""), 0, "k")[:4]) <= 2720
+
+
+def test_more_forms_of_numbers_and_addresses():
+    text = "to jürgen@bücher.example, 2001:db8::8a2e:370:7334 or fe80::1, id 123 45 6789, call 555 123 4567; std::vec a::b 12:30:45"
+    got = named(text)
+    assert got == [("email", "jürgen@bücher.example"), ("ipv6", "2001:db8::8a2e:370:7334"), ("ipv6", "fe80::1"), ("national", "123 45 6789"), ("phone", "555 123 4567")]
+    new = pii.surrogate("ipv6", "fe80::1", 0, "k")
+    assert new.startswith("fe80:") and new != "fe80::1" and len({pii.surrogate("ipv6", "::1", a, "k") for a in range(40)}) > 30
+    assert named("x" * 300_000) == []
+
+
+def test_a_full_space_of_addresses(spark):
+    """All hundred addresses of one shape occur: none of them may stand for another."""
+    every = [("email", f"{v}@{c}.co") for v in "aeiou" for c in "bcdfghjklmnpqrstvwxz"]
+    got = pii.surrogates(spark.createDataFrame(every, "kind string, entity string"), "k").collect()
+    assert len({r["surrogate"] for r in got}) == len(every) and not {r["surrogate"] for r in got} & {e for _, e in every}
 
 
 def test_full_surrogate_spaces_widen(spark):
     short = [("email", f"{a}@x.co") for a in "abcdefghijklmnopqrstuvwxyz"]
     arabic = [("surname", c) for c in "ابتثجح"] + [("surname", c) for c in map(chr, range(0x10D0, 0x10F1))]
-    rows = pii.surrogates(spark.createDataFrame(short + arabic, "kind string, entity string")).collect()
+    rows = pii.surrogates(spark.createDataFrame(short + arabic, "kind string, entity string"), "k").collect()
     assert len({(r["kind"], r["surrogate"]) for r in rows}) == len(rows) == len(short + arabic)
     assert not {(r["kind"], r["surrogate"]) for r in rows} & {(r["kind"], r["entity"]) for r in rows}
-    assert [pii.surrogate("ip", "192.168.1.1", attempt).split(".")[0] for attempt in (0, pii.WIDER)] == ["192", "10"]
+    assert [pii.surrogate("ip", "192.168.1.1", attempt, "k").split(".")[0] for attempt in (0, pii.WIDER)] == ["192", "10"]
 
 
 def spans(text):
@@ -58,6 +77,49 @@ def test_layers_of_any_characters():
         assert ("assign", run) in spans(f"x {run} y")
 
 
+def test_compressed_data_behind_escapes():
+    plain = ("many words " * 30 + "password=hunter2secret").encode()
+    for pack in (zlib.compress, gzip.compress):
+        raw = pack(plain)
+        assert any(kind == "assign" for kind, _ in spans(f"see ?q={urllib.parse.quote(raw)}&r=1"))
+        assert any(kind == "assign" for kind, _ in spans(f"see {urllib.parse.quote_plus(raw)} end"))
+        assert any(kind == "assign" for kind, _ in spans("see " + "".join(f"%{b:02X}" for b in raw) + " end"))
+        assert any(kind == "assign" for kind, _ in spans("see " + "".join(f"\\u{b:04x}" for b in raw) + " end"))
+        assert any(kind == "assign" for kind, _ in spans("see " + base64.b64encode(pack(pack(raw))).decode()))
+
+
+def test_words_glued_to_base64():
+    run = base64.b64encode(b"password=hunter2secret").decode().rstrip("=")
+    for glued in (f"x/{run}", f"path/to/{run}", f"a-b_{run}", f"key+{run}"):
+        assert ("assign", glued) in spans(f"see {glued} end")
+
+
+def test_unpacked_in_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "UNPACKED", 5000)
+    plain = b"words " * 3000 + b"password=hunter2secret " + b"words " * 3000
+    assert any(kind == "assign" for kind, _ in spans(base64.b64encode(zlib.compress(plain)).decode()))
+
+
+def test_random_nesting_against_its_recipe():
+    """A secret under random layers is found, and its span covers the outermost of them."""
+    rng = random.Random(9)
+    for _ in range(120):
+        inner, steps = "token: " + "".join(rng.choices("abcdefgh0123456789", k=rng.randint(6, 30))), rng.randint(1, 4)
+        for _ in range(steps):
+            inner = rng.choice(
+                [
+                    lambda t: urllib.parse.quote(t, safe="").replace("-", "%2D"),
+                    lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+                    lambda t: base64.b64encode(t.encode()).decode(),
+                    lambda t: base64.urlsafe_b64encode(zlib.compress(t.encode())).decode(),
+                    lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+                ]
+            )(inner)
+        text = f"before {inner} after"
+        _, every = secrets.find_secrets(text)
+        assert any(kind == 0 and 0 <= a < b <= len(text) and a >= 6 and b <= 8 + len(inner) for a, kind, b in every), inner
+
+
 def test_nesting_has_no_last_level():
     text = "password%" + "25" * 150 + "3Dhunter2secret"
     assert ("assign", text) in spans(text)
