@@ -321,7 +321,8 @@ def paths(distinct: DataFrame) -> DataFrame:
 def repeated_spans(found: DataFrame) -> DataFrame:
     """(key, doc_id, path, place, source, runs): the pieces of every text that stand earlier in another document,
     by the compacted path they lie on. source is (doc_id, key, start), where the same words stand first."""
-    distinct = durable(found.groupBy("piece").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.min(F.struct("doc_id", "key", "start")).alias("source")))
+    distinct = found.groupBy("piece").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.min(F.struct("doc_id", "key", "start")).alias("source"))
+    distinct = durable(distinct, rows=found.count())
     known = distinct.select("piece", "source").join(paths(distinct), "piece")
     return found.select("key", "doc_id", "piece", "runs").join(known, "piece").where("source.doc_id < doc_id").select("key", "doc_id", "path", "place", "source", "runs")
 

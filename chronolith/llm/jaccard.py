@@ -258,25 +258,26 @@ def _forest(width: int, percent: int):
     return reduce
 
 
-def _blocks(prefixes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _blocks(prefixes: DataFrame, known: DataFrame, percent: int, most: int) -> DataFrame:
     """(sid, key, doc_id, copies, step, block): candidate groups, roughly gathered, cut into bounded blocks.
 
     A block holds sets of one size step; partners are at most one step apart.
     """
     home = prefixes.groupBy("sid").agg(F.min("token").alias("home"))
     for _ in range(2):  # groups need not be complete: pairs of blocks that share a token meet anyway
-        nearest = durable(prefixes.join(home, "sid").groupBy("token").agg(F.min("home").alias("home")))  # so that a hot token's join can be split
+        nearest = durable(prefixes.join(home, "sid").groupBy("token").agg(F.min("home").alias("home")), rows=most)  # so that a hot token's join can be split
         home = prefixes.join(nearest, "token").groupBy("sid").agg(F.min("home").alias("home"))
     step = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)
-    homes = durable(known.join(home, "sid").withColumn("step", step).withColumn("home", F.xxhash64("home", "step")))
+    homes = durable(known.join(home, "sid").withColumn("step", step).withColumn("home", F.xxhash64("home", "step")), rows=most)
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("chunks"))
     return homes.join(sizes, "home").select("sid", "key", "doc_id", "copies", "step", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("chunks"))).alias("block"))
 
 
 def _links(keyed: DataFrame, known: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v, links): spanning forest edges between representatives, and links counted per pair of blocks."""
-    blocks = durable(_blocks(prefixes, known, percent))
-    places = durable(prefixes.join(blocks.select("sid", "block", "step"), "sid").select("token", "step", "block").distinct())
+    most = prefixes.count()  # of each of the frames below
+    blocks = durable(_blocks(prefixes, known, percent, most), rows=most)
+    places = durable(prefixes.join(blocks.select("sid", "block", "step"), "sid").select("token", "step", "block").distinct(), rows=most)
     many = places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     crossing = places.join(many, "token")
     near = crossing.select("token", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("block").alias("b"), F.col("step").alias("own"))
@@ -301,11 +302,13 @@ def similarity_groups(documents: DataFrame, width: int = 4, percent: int = 85) -
     keyed = with_key(documents)
     summary = durable(_summaries(keyed, width, percent))
     rows = summary.where("kind = 0").select("key", "doc_id", "sid", "n", "ends")
+    total = rows.count()
     known = durable(
         rows.where("n > 0")
         .groupBy("sid")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key", "n", "ends")).alias("first"), F.count("*").alias("copies"))
-        .select("sid", "first.doc_id", "first.key", "first.n", "first.ends", "copies")
+        .select("sid", "first.doc_id", "first.key", "first.n", "first.ends", "copies"),
+        rows=total,
     )
     limit = max(256, int(FREQUENT * known.count()))
     often = summary.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("sets")).where(F.col("sets") >= limit).select("sid").collect()
@@ -315,7 +318,8 @@ def similarity_groups(documents: DataFrame, width: int = 4, percent: int = 85) -
     hits = dealt.groupBy("part").applyInArrow(_shared_tokens(parts), _HITS)
     by_range = known.mapInArrow(_with_part(parts), "part int, sid long, n long, ends binary")
     prefixes = durable(hits.groupBy("part").cogroup(by_range.groupBy("part")).applyInArrow(_prefixes(percent), "token long, sid long"))
-    shared = durable(prefixes.join(prefixes.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "token"))
+    several = prefixes.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    shared = durable(prefixes.join(several, "token"), rows=prefixes.count())
     found = durable(_links(keyed, known.where("doc_id is not null").select("sid", "key", "doc_id", "n", "copies"), shared, width, percent))
     links = found.groupBy(F.col("u").alias("class_id")).agg(F.sum("links").alias("links"))
     classes = (
