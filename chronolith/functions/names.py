@@ -62,6 +62,19 @@ def similarity(a: str, b: str) -> float:
     return min(max(jaro_winkler(sorted_a, sorted_b), jaro_winkler(bare_a, bare_b)), edit_similarity(bare_a, bare_b))
 
 
+def similarity_bound(a: Column, b: Column) -> Column:
+    """At least ``similarity``, in the engine: the edit measure, or 1 for names that are equal but for punctuation, spaces
+    or word order."""
+    a, b = F.lower(a), F.lower(b)
+    bare_a, bare_b = (F.regexp_replace(s, r"[^\p{L}\p{N}]", "") for s in (a, b))
+    words_a, words_b = (F.array_sort(F.split(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")) for s in (a, b))
+
+    def edit(x: Column, y: Column) -> Column:
+        return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
+
+    return F.when((bare_a == "") | (bare_b == ""), edit(a, b)).when((bare_a == bare_b) | (words_a == words_b), F.lit(1.0)).otherwise(edit(bare_a, bare_b))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """``similarity`` as a column."""
 

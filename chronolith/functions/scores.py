@@ -27,8 +27,9 @@ def unit(value: Column) -> Column:
 
 
 def ranked_score(raw: Column, observed_at: Column, confidence: Column, importance: Column, now: int, rate: float) -> Column:
-    """raw * decay * confidence * (1 + 0.25 * importance), the last two within [0, 1]."""
-    weight = F.coalesce(F.when(~F.isnan(importance), unit(importance)), F.lit(0.0))
+    """raw * decay * confidence * (1 + 0.25 * importance), the last two within [0, 1]; an importance that is no finite number is 0."""
+    finite = ~F.isnan(importance) & (F.abs(importance) < F.lit(float("inf")))
+    weight = F.coalesce(F.when(finite, unit(importance)), F.lit(0.0))
     return raw * decay(observed_at, now, rate) * unit(confidence) * (F.lit(1.0) + F.lit(IMPORTANCE_WEIGHT) * weight)
 
 

@@ -66,8 +66,8 @@ def intent(query: Column) -> Column:
 
 
 def answer_leaks(query: Column, key: Column) -> Column:
-    """The query names its answer: it holds the last path part of the key, when that has four bytes or more."""
-    tail = F.lower(F.element_at(F.split(key, "[/:#]"), -1))
+    """The query names its answer: it holds the key's last path part before any ``#``, when that has four bytes or more."""
+    tail = F.lower(F.trim(F.substring_index(F.substring_index(key, "/", -1), "#", 1)))
     return (F.octet_length(tail) >= 4) & F.contains(F.lower(query), tail)
 
 

@@ -13,21 +13,25 @@ MAX_HOPS = 8
 ENGAGE_AT = 200
 
 
-def traverse(seeds: DataFrame, relations: DataFrame, now: int, expand: int = 4, neighbours: int = 6) -> DataFrame:
-    """(query_id, place, entity_id): the first ``expand`` seeds and up to ``neighbours`` of each, first seen first.
+def traverse(seeds: DataFrame, relations: DataFrame, now: int, expand: int = 4, neighbours: int = 6, shown: int = 8) -> DataFrame:
+    """(query_id, place, entity_id): the first ``shown`` seeds, then up to ``neighbours`` neighbours of the first ``expand``.
 
-    ``seeds`` are (query_id, rank, entity_id). A neighbour reached by part_of comes after the others.
+    ``seeds`` are (query_id, rank, entity_id). The neighbours of all expanded seeds are one list, each where it is
+    met first (by seed, then heavier relations first); those met by part_of come after the others. Neighbours
+    that are shown as seeds already use up their place.
     """
     top = seeds.groupBy("query_id", "entity_id").agg(F.min("rank").alias("rank"))
-    first = top_k(top, [F.col("rank"), F.col("entity_id")], expand, ["query_id"], "seed_no")
+    first = top_k(top, [F.col("rank"), F.col("entity_id")], shown, ["query_id"], "seed_no")
     live = relations.where(unexpired(now))
-    edges = live.select(F.col("from_entity").alias("entity_id"), F.col("to_entity").alias("near"), "relation_type", "weight").unionByName(live.select(F.col("to_entity").alias("entity_id"), F.col("from_entity").alias("near"), "relation_type", "weight"))
-    met = first.join(edges, "entity_id")
-    last = (F.col("relation_type") == "part_of").cast("int")
-    some = top_k(met, [last, F.desc("weight"), F.col("near")], neighbours, ["query_id", "entity_id"], "near_no")
-    every = top.select("query_id", "entity_id", F.lit(0).alias("wave"), F.col("rank").alias("a"), F.lit(0).alias("b")).unionByName(some.select("query_id", F.col("near").alias("entity_id"), F.lit(1).alias("wave"), F.col("seed_no").alias("a"), F.col("near_no").alias("b")))
-    once = every.groupBy("query_id", "entity_id").agg(F.min(F.struct("wave", "a", "b")).alias("at"))
-    return once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "entity_id"))).select("query_id", "place", "entity_id")
+    there = live.select(F.col("from_entity").alias("entity_id"), F.col("to_entity").alias("near"), "relation_type", "weight")
+    back = live.select(F.col("to_entity").alias("entity_id"), F.col("from_entity").alias("near"), "relation_type", "weight")
+    met = first.where(F.col("seed_no") <= expand).join(there.unionByName(back), "entity_id")
+    once = met.groupBy("query_id", "near").agg(F.min(F.struct("seed_no", (-F.col("weight")).alias("lighter"), "relation_type")).alias("first"))
+    last = (F.col("first.relation_type") == "part_of").cast("int")
+    some = top_k(once, [last, F.col("first"), F.col("near")], neighbours, ["query_id"], "near_no")
+    waves = first.select("query_id", "entity_id", F.lit(0).alias("wave"), F.col("seed_no").alias("nth")).unionByName(some.select("query_id", F.col("near").alias("entity_id"), F.lit(1).alias("wave"), F.col("near_no").alias("nth")))
+    every = waves.groupBy("query_id", "entity_id").agg(F.min(F.struct("wave", "nth")).alias("at"))
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "entity_id"))).select("query_id", "place", "entity_id")
 
 
 def supersession_chain(links: DataFrame, starts: DataFrame, hops: int = MAX_HOPS) -> DataFrame:

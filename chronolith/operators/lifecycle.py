@@ -27,35 +27,48 @@ class Consolidation:
     ttl: int = TOMBSTONE_TTL
 
 
+def word_classes(observations: DataFrame) -> DataFrame:
+    """(entity_id, id, observed_at, words, leader): live observations; those of one entity with equal word sets share as
+    leader the freshest of them, of several the smallest id."""
+    live = observations.where(~F.col("tombstoned")).select("entity_id", "id", "observed_at", F.array_sort(word_set(F.col("content"))).alias("words"))
+    live = live.withColumn("same", F.sha2(F.array_join("words", "\n"), 256))
+    first = live.groupBy("entity_id", "same").agg(F.min(F.struct((-F.col("observed_at")).alias("age"), "id"))["id"].alias("leader"))
+    return live.join(first, ["entity_id", "same"]).drop("same")
+
+
 def similar_pairs(observations: DataFrame, threshold: float) -> DataFrame:
-    """(entity_id, a, b, similarity) of live observations of one entity, a being the fresher.
+    """(entity_id, a, b, similarity) of live observations of one entity, a being the fresher, between different word sets.
 
-    Exact prefix filter: two word sets of Jaccard t share one of their rarest
-    ``n - ceil(t n) + 1`` words within the entity, so candidates meet on (entity, word) and not
-    in all pairs of an entity; sets are compared only where sizes allow t.
+    Equal word sets are one class, represented by its leader (``word_classes`` has the members), so copies make
+    no pairs. Exact prefix filter: two word sets of Jaccard t share one of their rarest ``n - ceil(t n) + 1``
+    words within the entity, so candidates meet on (entity, word) and not in all pairs of an entity; sets are
+    compared only where sizes allow t.
     """
-    live = observations.where(~F.col("tombstoned")).select("entity_id", "id", "observed_at", word_set(F.col("content")).alias("words"))
+    live = word_classes(observations).where("id = leader").drop("leader")
     words = live.select("entity_id", "id", F.explode("words").alias("word"))
     df = words.groupBy("entity_id", "word").agg(F.count("*").alias("df"))
     ranked = words.join(df, ["entity_id", "word"]).groupBy("entity_id", "id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
     n = F.size("ranked")
-    prefix = ranked.select("entity_id", "id", n.alias("n"), F.explode(F.slice("ranked", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("r")).select("entity_id", "id", "n", "r.word")
+    length = (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
+    prefix = ranked.select("entity_id", "id", n.alias("n"), F.explode(F.slice("ranked", F.lit(1), length)).alias("r")).select("entity_id", "id", "n", "r.word")
     other = prefix.select("entity_id", "word", F.col("id").alias("other"), F.col("n").alias("m"))
-    near = prefix.join(other, ["entity_id", "word"]).where((F.col("id") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)).select("entity_id", "id", "other").distinct()
-    empty = live.where(F.size("words") == 0).select("entity_id", "id")
-    blank = empty.join(empty.withColumnRenamed("id", "other"), "entity_id").where("id < other")
+    fits = F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9
+    near = prefix.join(other, ["entity_id", "word"]).where((F.col("id") < F.col("other")) & fits).select("entity_id", "id", "other").distinct()
     left = live.select("entity_id", "id", F.col("words").alias("w1"), F.col("observed_at").alias("t1"))
     right = live.select("entity_id", F.col("id").alias("other"), F.col("words").alias("w2"), F.col("observed_at").alias("t2"))
-    measured = near.unionByName(blank).join(left, ["entity_id", "id"]).join(right, ["entity_id", "other"]).withColumn("similarity", set_jaccard(F.col("w1"), F.col("w2"))).where(F.col("similarity") >= threshold)
+    met = near.join(left, ["entity_id", "id"]).join(right, ["entity_id", "other"])
+    measured = met.withColumn("similarity", set_jaccard(F.col("w1"), F.col("w2"))).where(F.col("similarity") >= threshold)
     fresher = (F.col("t1") > F.col("t2")) | ((F.col("t1") == F.col("t2")) & (F.col("id") < F.col("other")))
-    return measured.select("entity_id", F.when(fresher, F.col("id")).otherwise(F.col("other")).alias("a"), F.when(fresher, F.col("other")).otherwise(F.col("id")).alias("b"), F.round("similarity", 6).alias("similarity"))
+    a, b = F.when(fresher, F.col("id")).otherwise(F.col("other")), F.when(fresher, F.col("other")).otherwise(F.col("id"))
+    return measured.select("entity_id", a.alias("a"), b.alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
 def duplicates(observations: DataFrame, threshold: float) -> DataFrame:
     """(entity_id, survivor, loser): the greedy leader pass, freshest first.
 
-    Only candidate pairs enter the sequential kernel, one group per entity: a leader takes every
-    later row that is similar to it and not yet taken.
+    Only candidate pairs of different word sets enter the sequential kernel, one group per entity: a leader
+    takes every later row that is similar to it and not yet taken. Copies of a row go where its class goes:
+    to the class's own leader, or to the survivor that took it.
     """
     order = observations.select(F.col("id").alias("a"), "observed_at")
     pairs = similar_pairs(observations, threshold).join(order, "a")
@@ -74,7 +87,10 @@ def duplicates(observations: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame(out, columns=["entity_id", "survivor", "loser"])
 
     kinds = dict(observations.dtypes)
-    return pairs.groupBy("entity_id").applyInPandas(lead, f"entity_id {kinds['entity_id']}, survivor {kinds['id']}, loser {kinds['id']}")
+    led = pairs.groupBy("entity_id").applyInPandas(lead, f"entity_id {kinds['entity_id']}, survivor {kinds['id']}, loser {kinds['id']}")
+    copies = word_classes(observations).where("id <> leader").select("entity_id", "id", "leader")
+    gone = copies.join(led.withColumnRenamed("loser", "leader"), ["entity_id", "leader"], "left")
+    return led.unionByName(gone.select("entity_id", F.coalesce("survivor", "leader").alias("survivor"), F.col("id").alias("loser")))
 
 
 def access_rollup(observations: DataFrame, losers: DataFrame) -> DataFrame:

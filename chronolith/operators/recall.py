@@ -17,7 +17,7 @@ ENTITY_TYPES = ("person", "project", "concept", "tool", "preference", "fact", "e
 
 @dataclass(frozen=True)
 class Filters:
-    """What a recalled observation must satisfy; ``as_of`` replaces now in the validity test."""
+    """What a recalled observation must satisfy; ``as_of`` replaces now, for validity and for ages."""
 
     entity_type: str | None = None
     source: str | None = None
@@ -27,9 +27,14 @@ class Filters:
     as_of: int | None = None
 
 
+def instant(filters: Filters, now: int) -> int:
+    """The time at which a recall looks at the store."""
+    return filters.as_of if filters.as_of is not None else now
+
+
 def kept(rows: DataFrame, filters: Filters, now: int) -> DataFrame:
     """Observation rows with entity_name and entity_type that pass the filters."""
-    out = rows.where(valid_at(filters.as_of if filters.as_of is not None else now))
+    out = rows.where(valid_at(instant(filters, now)))
     if filters.entity_type:
         out = out.where(F.col("entity_type") == filters.entity_type)
     if filters.source:
@@ -59,8 +64,9 @@ def recall(hits: DataFrame, observations: DataFrame, entities: DataFrame, k: int
 
     ``hits`` are search results fetched deep enough for the filters (``search.fetch_bound``).
     """
+    at = instant(filters, now)
     rows = kept(hydrate(hits, observations, entities), filters, now)
-    scored = rows.withColumn("score", F.round(ranked_score(F.col("raw"), F.col("observed_at"), F.col("confidence"), F.col("importance"), now, rate), 6))
+    scored = rows.withColumn("score", F.round(ranked_score(F.col("raw"), F.col("observed_at"), F.col("confidence"), F.col("importance"), at, rate), 6))
     found = scored.where(F.col("score") >= SCORE_FLOOR).select("query_id", "id", "entity_id", "raw", "score")
     return top_k(found, [F.desc("score"), F.col("id")], k, ["query_id"])
 
@@ -78,15 +84,16 @@ def spread(seeds: DataFrame, relations: DataFrame, observations: DataFrame, enti
     the order is (seed score desc, seed, weight desc, neighbour, observed_at desc, id), and an
     observation counts once, at its first place.
     """
+    at = instant(filters, now)
     best = seeds.groupBy("query_id", "entity_id").agg(F.max("score").alias("seed_score")).withColumnRenamed("entity_id", "seed")
-    edges = both_directions(relations, now).withColumnRenamed("a", "seed")
+    edges = both_directions(relations, at).withColumnRenamed("a", "seed")
     near = best.join(edges, "seed")
     own = best.select("query_id", F.col("seed").alias("b"))
     near = near.join(own, ["query_id", "b"], "left_anti")
 
     named = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), known_type().alias("entity_type"))
     pool = observations.join(small(near.select(F.col("b").alias("entity_id")).distinct()), "entity_id", "left_semi").join(named, "entity_id")
-    live = pool.where(~F.col("tombstoned") & unexpired(now))
+    live = pool.where(~F.col("tombstoned") & unexpired(at))
     if filters.tier:
         live = live.where(F.col("memory_tier") == filters.tier)
     latest = top_k(live, [F.desc("observed_at"), F.col("id")], slots, ["entity_id"], "nth")
@@ -94,7 +101,7 @@ def spread(seeds: DataFrame, relations: DataFrame, observations: DataFrame, enti
 
     met = near.join(latest, F.col("b") == F.col("entity_id")).drop("b")
     raw = F.lit(SPREAD_DECAY) * unit(F.col("weight")) * F.col("seed_score")
-    scored = met.withColumn("raw", F.round(raw, 6)).withColumn("score", F.round(ranked_score(raw, F.col("observed_at"), F.col("confidence"), F.col("importance"), now, rate), 6))
+    scored = met.withColumn("raw", F.round(raw, 6)).withColumn("score", F.round(ranked_score(raw, F.col("observed_at"), F.col("confidence"), F.col("importance"), at, rate), 6))
     fine = scored.where(F.col("score") >= SCORE_FLOOR / 2).join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
     order = [F.desc("seed_score"), F.col("seed"), F.desc("weight"), F.col("entity_id"), F.desc("observed_at"), F.col("id")]
     once = fine.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(*order))).where("first = 1")

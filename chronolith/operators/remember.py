@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.functions.names import name_similarity
+from chronolith.functions.names import name_similarity, similarity_bound
 from chronolith.functions.text import stripped
+from chronolith.functions.time import no_stub
 from chronolith.operators.frames import small, top_k
 
 MERGE_AT, FLAG_AT, RECENT = 0.95, 0.85, 100
 
 
 def valid_request() -> Column:
-    """A request needs a name, a type and, where it has observations, non-empty ones."""
-    return (stripped(F.col("name")) != "") & (stripped(F.col("entity_type")) != "") & ~F.exists("observations", lambda o: stripped(o) == "")
+    """A request needs a name, a type and, where it has observations, non-empty ones; nulls count as missing."""
+    empty = F.exists("observations", lambda o: F.coalesce(stripped(o), F.lit("")) == "")
+    named = (F.coalesce(stripped(F.col("name")), F.lit("")) != "") & (F.coalesce(stripped(F.col("entity_type")), F.lit("")) != "")
+    return named & ~F.coalesce(empty, F.lit(False))
 
 
 def natural_id(*parts: Column) -> Column:
@@ -23,16 +26,19 @@ def natural_id(*parts: Column) -> Column:
 
 
 def fuzzy_matches(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """(name, entity_type, id, score, action): each name's best match among the ``RECENT`` latest of its type.
+    """(name, entity_type, id, score, action): each name's best match among the ``RECENT`` latest of its type, if it
+    reaches ``FLAG_AT``; else the name is new, and id and score are null.
 
-    Names meet candidates of one type only; the candidate side is bounded to 100 per type. Ties go to
-    the most recently updated, then the smallest id.
+    Pairs whose edit measure, an upper bound that the engine computes, is below that never reach Python. Names meet candidates of one type only; the candidate side is bounded to 100 per type. Ties go to
+    the most recently updated, then the smallest id. Structural placeholders are no candidates.
     """
-    recent = top_k(entities, [F.desc("updated_at"), F.col("id")], RECENT, ["entity_type"], "nth").select("entity_type", "id", F.col("name").alias("known"), "nth")
-    met = names.join(small(recent), "entity_type").withColumn("score", name_similarity(F.col("name"), F.col("known")))
+    real = entities.where(no_stub()) if "source" in entities.columns else entities
+    recent = top_k(real, [F.desc("updated_at"), F.col("id")], RECENT, ["entity_type"], "nth").select("entity_type", "id", F.col("name").alias("known"), "nth")
+    near = names.join(small(recent), "entity_type").where(similarity_bound(F.col("name"), F.col("known")) >= FLAG_AT - 1e-9)
+    met = near.withColumn("score", name_similarity(F.col("name"), F.col("known"))).where(F.col("score") >= FLAG_AT)
     best = met.groupBy("name", "entity_type").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("nth"))).alias("best")).select("name", "entity_type", "best.*")
     action = F.when(F.col("score") >= MERGE_AT, "merge").when(F.col("score") >= FLAG_AT, "flag").otherwise("new")
-    return best.select("name", "entity_type", "id", F.round("score", 6).alias("score"), action.alias("action"))
+    return names.select("name", "entity_type").distinct().join(best, ["name", "entity_type"], "left").select("name", "entity_type", "id", F.round("score", 6).alias("score"), action.alias("action"))
 
 
 def resolve_requests(requests: DataFrame, entities: DataFrame) -> DataFrame:
@@ -42,7 +48,9 @@ def resolve_requests(requests: DataFrame, entities: DataFrame) -> DataFrame:
     a new entity. New names of one batch that are equal get one id.
     """
     asked = requests.where(valid_request()).select("name", "entity_type").distinct()
-    exact = asked.join(entities.select("name", "entity_type", F.col("id").alias("exact")), ["name", "entity_type"], "left")
+    age = "created_at" if "created_at" in entities.columns else "id"
+    oldest = entities.groupBy("name", "entity_type").agg(F.min_by("id", F.struct(age, "id")).alias("exact"))  # names may be shared
+    exact = asked.join(oldest, ["name", "entity_type"], "left")
     open_names = exact.where("exact is null").select("name", "entity_type")
     fuzzy = fuzzy_matches(open_names, entities).withColumnRenamed("id", "near")
     new = natural_id(F.col("name"), F.col("entity_type"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from chronolith.functions.scores import bm25_term, cosine, idf, norm
+from chronolith.functions.scores import K1, B, bm25_term, cosine, idf, norm
 from chronolith.functions.text import tokens
 from chronolith.operators.frames import small, top_k
 
@@ -82,6 +82,115 @@ def keyword_topk(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int
     return top_k(scored, [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
 
 
+#: (query, term) rows that are collected for scoring in blocks, and entries of the term-by-query matrix a task holds
+#: (32 MB); larger query sets are joined with postings instead.
+HELD_TERMS, HELD_WEIGHTS = 1_000_000, 4_000_000
+#: Entries of the document-by-term matrix that a task works on at once (16 MB).
+HELD_COUNTS = 2_000_000
+
+
+def text_topk(chunks: DataFrame, queries: DataFrame, k: int, key: tuple[str, ...] = ("uri", "chunk_index"), fields: dict[str, float] | None = None) -> DataFrame:
+    """``keyword_topk`` from the texts themselves: (query_id, rank, *key, score).
+
+    A stated query set against all rows: two scans of the texts and no shuffle of postings. The first
+    counts in how many documents each query word occurs, and their lengths; the second multiplies every
+    batch's term matrix with the queries' weights and passes on the batch's k best rows per query and their
+    ties. ``fields`` are weighted as in ``fielded_postings``; without them the column ``text`` is searched.
+    """
+    terms = query_terms(queries).where("query_id is not null")
+    held = terms.limit(HELD_TERMS + 1).collect()
+    vocabulary = sorted({r["term"] for r in held})
+    asked = list(dict.fromkeys(r["query_id"] for r in held))
+    if not held or len(held) > HELD_TERMS or len(vocabulary) * len(asked) > HELD_WEIGHTS:
+        posted = postings(chunks, key=key) if fields is None else fielded_postings(chunks, fields, key)
+        return keyword_topk(posted, document_stats(chunks) if fields is None else corpus_stats(posted, key), queries, k, key)
+    weights = fields or {"text": 1.0}
+    words = chunks.select(*key, *[tokens(F.col(f)).alias(f"words_{i}") for i, f in enumerate(weights)])
+    counts = _Counts(vocabulary, list(weights), [1.0 if fields is None else float(round(w * 2)) for w in weights.values()])
+    seen = words.mapInArrow(counts.documents, "number int, df long, dl double").groupBy("number").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).collect()  # a row for each query word
+    total = next((r for r in seen if r["number"] < 0), None)
+    n_docs, avg_dl = (total["df"], total["dl"] / total["df"]) if total and total["df"] else (0, 1.0)
+    df = np.zeros(len(vocabulary))
+    for r in seen:
+        if r["number"] >= 0:
+            df[r["number"]] = r["df"]
+    matrix, place = np.zeros((len(vocabulary), len(asked))), {q: i for i, q in enumerate(asked)}
+    number = {t: i for i, t in enumerate(vocabulary)}
+    for r in held:
+        matrix[number[r["term"]], place[r["query_id"]]] = r["times"]
+    matrix *= np.log((n_docs - df + 0.5) / (df + 0.5) + 1)[:, None]
+    schema = StructType([terms.schema["query_id"], *(chunks.schema[c] for c in key), StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(asked, arrow.field("query_id").type)
+        for batch in batches:
+            step = max(1, HELD_COUNTS // len(vocabulary))
+            for lo in range(0, batch.num_rows, step):
+                piece = batch.slice(lo, step)
+                tf, dl = counts.matrix(piece)
+                tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl)[:, None])
+                score = np.round(tf @ matrix, 6)
+                row, query = _best(score, k, score > 0)
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), *(piece.column(c).take(taken) for c in key), pa.array(score[row, query])], schema=arrow)
+
+    return top_k(words.mapInArrow(run, schema), [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
+
+
+def _best(score: np.ndarray, k: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each column's k largest values and their ties."""
+    if len(score) > k:
+        allowed = allowed & (score >= np.partition(score, len(score) - k, axis=0)[len(score) - k])
+    return np.nonzero(allowed)
+
+
+class _Counts:
+    """Term counts of batches of token arrays, over a fixed vocabulary."""
+
+    def __init__(self, vocabulary: list[str], fields: list[str], times: list[float]):
+        self.vocabulary, self.times = vocabulary, times
+        self.text = fields.index("text") if "text" in fields and len(fields) > 1 else None
+
+    def _found(self, batch: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """(row, term, weight) of each field's tokens that are in the vocabulary, and the rows' weighted lengths."""
+        known = pa.array(self.vocabulary, pa.string())
+        lists = [batch.column(f"words_{i}") for i in range(len(self.times))]
+        sizes = [np.diff(np.asarray(x.offsets)).astype(np.float64) for x in lists]
+        weights = [np.full(batch.num_rows, t) for t in self.times]
+        if self.text is not None:  # body text alone counts once
+            alone = sum(s for i, s in enumerate(sizes) if i != self.text) == 0
+            weights[self.text] = np.where(alone, 1.0, weights[self.text])
+        out = []
+        for x, size, weight in zip(lists, sizes, weights, strict=True):
+            row = np.repeat(np.arange(batch.num_rows), size.astype(np.int64))
+            term = pc.index_in(x.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            hit = term >= 0
+            out.append((row[hit], term[hit], weight[row[hit]]))
+        return out, sum(s * w for s, w in zip(sizes, weights, strict=True))
+
+    def matrix(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted term counts (rows, vocabulary), and lengths."""
+        found, dl = self._found(batch)
+        width = len(self.vocabulary)
+        cells = np.concatenate([row * width + term for row, term, _ in found])
+        return np.bincount(cells, np.concatenate([w for _, _, w in found]), batch.num_rows * width).reshape(-1, width), dl
+
+    def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(number, df, dl): documents with each word; number -1 has all documents with words, and their length."""
+        df, n, length = np.zeros(len(self.vocabulary), np.int64), 0, 0.0
+        for batch in batches:
+            found, dl = self._found(batch)
+            pairs = np.unique(np.concatenate([row * len(self.vocabulary) + term for row, term, _ in found]))
+            df += np.bincount(pairs % len(self.vocabulary), minlength=len(self.vocabulary))
+            n, length = n + int((dl > 0).sum()), length + float(dl.sum())
+        number = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[-1, number].astype(np.int32)), pa.array(np.r_[n, df[number]]), pa.array(np.r_[length, np.zeros(len(number))])],
+            names=["number", "df", "dl"],
+        )
+
+
 def prefix_terms(posted: DataFrame, queries: DataFrame, least: int = 4) -> DataFrame:
     """(query_id, term, times) with every vocabulary word that a query word of ``least`` letters or more begins."""
     terms = query_terms(queries)
@@ -135,11 +244,7 @@ def _matrix_scores(rows: DataFrame, asked: DataFrame, held: list, k: int, key: t
             unit[same] = np.divide(flat, length[:, None], out=np.zeros_like(flat), where=length[:, None] > 0)
             for lo in range(0, len(ids), 128):
                 score = np.round(unit @ matrix[lo : lo + 128].T, 6) + 0.0
-                if batch.num_rows > k:
-                    least = np.partition(score, batch.num_rows - k, axis=0)[batch.num_rows - k]
-                    row, query = np.nonzero(score >= least)
-                else:
-                    row, query = np.nonzero(np.ones_like(score, bool))
+                row, query = _best(score, k, np.ones_like(score, bool))
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(query + lo)), *(batch.column(c).take(taken) for c in key), pa.array(score[row, query])], schema=arrow)
 
@@ -161,14 +266,18 @@ def rrf_fuse(vector: DataFrame, keyword: DataFrame, k: int, alpha: float = 0.7,
     return top_k(fused, [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
 
 
-def hybrid_search(chunks: DataFrame, posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int, mode: str = "hybrid", alpha: float = 0.7, rrf_k: float = 60.0, key: tuple[str, ...] = ("uri", "chunk_index")) -> DataFrame:
-    """Search in one of three modes; each arm of a hybrid search fetches 3 k. A hybrid search without a vector
+def hybrid_search(chunks: DataFrame, posted: DataFrame | None, stats: DataFrame | None, queries: DataFrame, k: int, mode: str = "hybrid", alpha: float = 0.7, rrf_k: float = 60.0, key: tuple[str, ...] = ("uri", "chunk_index")) -> DataFrame:
+    """Search in one of three modes, over kept postings or, without any, the chunks' own text; each arm of a hybrid search fetches 3 k. A hybrid search without a vector
     column is a keyword search with its own scores, and so is that of a query whose vector is null."""
     if mode == "vector":
         return vector_topk(chunks, queries, k, key)
+
+    def keyword(most: int) -> DataFrame:
+        return text_topk(chunks, queries, most, key) if posted is None or stats is None else keyword_topk(posted, stats, queries, most, key)
+
     if mode == "keyword" or "vector" not in queries.columns:
-        return keyword_topk(posted, stats, queries, k, key)
-    return rrf_fuse(vector_topk(chunks, queries, 3 * k, key), keyword_topk(posted, stats, queries, 3 * k, key), k, alpha, rrf_k, key, queries.where("vector is null"))
+        return keyword(k)
+    return rrf_fuse(vector_topk(chunks, queries, 3 * k, key), keyword(3 * k), k, alpha, rrf_k, key, queries.where("vector is null"))
 
 
 def search(hits: DataFrame, k: int, prefix: str | None = None, min_score: float | None = None) -> DataFrame:

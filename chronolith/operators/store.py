@@ -57,12 +57,15 @@ def keyset_page(rows: DataFrame, order: tuple[str, str], after: tuple | None, li
 
 
 def resolve(entities: DataFrame, names: DataFrame, most: int = 64) -> DataFrame:
-    """(name, outcome, id, candidates, truncated): not_found, unique or ambiguous; of several the oldest is named."""
-    asked = names.select("name", F.lower("name").alias("low")).distinct()
-    found = asked.join(entities.where(no_stub()).select(F.lower("name").alias("low"), "id", "created_at"), "low", "left")
-    counted = found.groupBy("name").agg(F.count("id").alias("n"), F.min_by("id", F.struct("created_at", "id")).alias("id"))
-    outcome = F.when(F.col("n") == 0, "not_found").when(F.col("n") == 1, "unique").otherwise("ambiguous")
-    return counted.select("name", outcome.alias("outcome"), "id", F.least("n", F.lit(most)).alias("candidates"), (F.col("n") > most).alias("truncated"))
+    """(name, outcome, id, candidates, truncated) by exact name: not_found, unique or ambiguous; of several the oldest is
+    named, and ``candidates`` are the ids of the first ``most``, oldest first."""
+    asked = names.select("name").distinct()
+    found = asked.join(entities.select("name", "id", "created_at"), "name")
+    first = top_k(found, [F.col("created_at"), F.col("id")], most + 1, ["name"], "nth")
+    listed = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("few"))
+    outcome = F.when(F.col("few").isNull(), "not_found").when(F.size("few") == 1, "unique").otherwise("ambiguous")
+    ids = F.coalesce(F.slice(F.col("few.id"), 1, most), F.array().cast(f"array<{dict(entities.dtypes)['id']}>"))
+    return asked.join(listed, "name", "left").select("name", outcome.alias("outcome"), F.get("few.id", F.lit(0)).alias("id"), ids.alias("candidates"), F.coalesce(F.size("few") > most, F.lit(False)).alias("truncated"))
 
 
 def entity_records(resolved: DataFrame, observations: DataFrame, relations: DataFrame, now: int, latest: int = 10) -> DataFrame:
@@ -80,10 +83,10 @@ def entity_records(resolved: DataFrame, observations: DataFrame, relations: Data
 
 
 def upsert_sources(sources: DataFrame, updates: DataFrame) -> DataFrame:
-    """Latest row per uri, keeping the first created_at."""
+    """Latest row per uri, keeping the first created_at; of several at one time the largest in column order."""
     every = sources.unionByName(updates)
     rest = [c for c in sources.columns if c not in ("uri", "created_at")]
-    latest = every.groupBy("uri").agg(F.max_by(F.struct(*rest), F.col("updated_at")).alias("row"), F.min("created_at").alias("created_at"))
+    latest = every.groupBy("uri").agg(F.max_by(F.struct(*rest), F.struct("updated_at", *rest)).alias("row"), F.min("created_at").alias("created_at"))
     return latest.select("uri", "row.*", "created_at").select(*sources.columns)
 
 

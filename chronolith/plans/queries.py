@@ -56,8 +56,7 @@ def _item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
   s as (select query_id, p.doc_id, round({_SCORE}, 6) as score from q join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id)
   select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10""")
 def bm25_topk(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return search.keyword_topk(search.postings(docs, key=_KEY), search.document_stats(docs), _item_queries(spark, sf_dir), 10, _KEY)
+    return search.text_topk(_docs(spark, sf_dir), _item_queries(spark, sf_dir), 10, _KEY)
 
 
 @query("""with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0),
@@ -69,10 +68,14 @@ def vector_topk(spark, sf_dir):
     return search.vector_topk(rows, asked, 10, ("vec_id",))
 
 
-_HYBRID_Q = f"""qt as (select doc_id as query_id, term, count(*) as times from (select doc_id, unnest(({_TOKENS.format("text")})[1:8]) as term from documents where doc_id % 100 = 0 and doc_id in (select vec_id from embeddings)) group by all),
-  kw as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from (select query_id, p.doc_id, round({_SCORE}, 6) as score from qt join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id)),
-  ve as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from (select b.vec_id as query_id, a.vec_id as doc_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join documents d on d.doc_id = a.vec_id cross join embeddings b where b.vec_id % 100 = 0 and b.vec_id in (select doc_id from documents))),
-  fused as (select query_id, doc_id, round(sum(part), 6) as score from (select query_id, doc_id, 0.7e0 * 61e0 / (60e0 + r) as part from ve where r <= 30 union all select query_id, doc_id, 0.3e0 * 61e0 / (60e0 + r) from kw where r <= 30) group by query_id, doc_id)"""
+_HYBRID_Q = f"""qt as (select doc_id as query_id, term, count(*) as times from (select doc_id, unnest({_TOKENS.format("text")}) as term from documents where doc_id % 100 = 0) group by all),
+  kw as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as r from
+    (select query_id, p.doc_id, round({_SCORE}, 6) as score from qt join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id)),
+  ve as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from
+    (select b.vec_id as query_id, a.vec_id as doc_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
+     from embeddings a join documents d on d.doc_id = a.vec_id cross join embeddings b where b.vec_id % 100 = 0 and b.vec_id in (select doc_id from documents))),
+  fused as (select query_id, doc_id, round(sum(part), 6) as score from (select query_id, doc_id, 0.7e0 * 61e0 / (60e0 + r) as part from ve where r <= 30
+    union all select query_id, doc_id, case when query_id in (select vec_id from embeddings) then 0.3e0 * 61e0 / (60e0 + r) else score end from kw where r <= 30) group by query_id, doc_id)"""
 
 
 def _asked(rows: DataFrame) -> DataFrame:
@@ -82,9 +85,7 @@ def _asked(rows: DataFrame) -> DataFrame:
 
 def _hybrid(spark, sf_dir, mode="hybrid", k=10):
     rows = fx.chunks(spark, sf_dir)
-    posted = search.postings(rows, key=_KEY)
-    asked = _asked(rows)
-    return search.hybrid_search(rows, posted, search.document_stats(rows), asked, k, mode, key=_KEY)
+    return search.hybrid_search(rows, None, None, _asked(rows), k, mode, key=_KEY)
 
 
 @query(f"with {_BM25}, {_HYBRID_Q} select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from fused) where rank <= 10")
@@ -101,9 +102,17 @@ def hybrid_rrf(spark, sf_dir):
   select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 5""")
 def fielded_bm25(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
-    posted = search.fielded_postings(docs, {"source": 1.5, "lang": 1.0, "text": 1.0}, _KEY)
     asked = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" src"), "item_id").alias("text"))
-    return search.keyword_topk(posted, search.corpus_stats(posted, _KEY), asked, 5, _KEY)
+    return search.text_topk(docs, asked, 5, _KEY, {"source": 1.5, "lang": 1.0, "text": 1.0})
+
+
+@query(f"""with {_BM25}, q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({_TOKENS.format("text")}) as term from benchmark) group by all),
+  s as (select query_id, p.doc_id, round({_SCORE}, 6) as score from q join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id)
+  select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10""")
+def postings_topk(spark, sf_dir):
+    """The same search over postings, as a kept index holds them."""
+    docs = _docs(spark, sf_dir)
+    return search.keyword_topk(search.postings(docs, key=_KEY), search.document_stats(docs), _item_queries(spark, sf_dir), 10, _KEY)
 
 
 @query(f"""with {_BM25}, q0(query_id, term) as (values (1, 'than'), (1, 'er'), (2, 'lett'), (3, 'unge')),
@@ -127,9 +136,8 @@ def search_prefix(spark, sf_dir):
 
 def _deep(spark, sf_dir):
     rows = fx.chunks(spark, sf_dir)
-    posted = search.postings(rows, key=_KEY)
     asked = _asked(rows)
-    fused = search.rrf_fuse(search.vector_topk(rows, asked, 30, _KEY), search.keyword_topk(posted, search.document_stats(rows), asked, 30, _KEY), 30, key=_KEY, bare=asked.where("vector is null"))
+    fused = search.rrf_fuse(search.vector_topk(rows, asked, 30, _KEY), search.text_topk(rows, asked, 30, _KEY), 30, key=_KEY, bare=asked.where("vector is null"))
     return fused.select("query_id", F.concat(F.lit("doc://"), "doc_id").alias("uri"), F.lit(0).alias("chunk_index"), "score", "rank")
 
 
@@ -176,9 +184,11 @@ def intent_classify(spark, sf_dir):
     return asked.select("query_id", intent(F.col("text")).alias("intent"))
 
 
-@query("""select page_id, strlen(lower(regexp_extract(url, '[^/:#]*$'))) >= 4 and contains(lower(html), lower(regexp_extract(url, '[^/:#]*$'))) as leaks from pages""")
+@query("""with k as (select page_id, html, lower(trim(split_part(regexp_extract(url || '/notes.md#3', '[^/]*$'), '#', 1))) as given, lower(trim(split_part(regexp_extract(url, '[^/]*$'), '#', 1))) as tail from pages)
+  select page_id, strlen(tail) >= 4 and contains(lower(html), tail) as leaks, strlen(given) >= 4 and contains(lower(html || ' see NOTES.MD'), given) as named from k""")
 def answer_leak_guard(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select("page_id", answer_leaks(F.col("html"), F.col("url")).alias("leaks"))
+    named = answer_leaks(F.concat("html", F.lit(" see NOTES.MD")), F.concat("url", F.lit("/notes.md#3")))
+    return fx.table(spark, sf_dir, "pages").select("page_id", answer_leaks(F.col("html"), F.col("url")).alias("leaks"), named.alias("named"))
 
 
 @query("select page_id, sha256(html) as digest, strlen(html) as bytes, html[1:40] as preview from pages")

@@ -16,20 +16,32 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_notes(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, observations, relations): the first H1 names an event, each H2 section is an observation,
-    and an ``Attendees:`` line gives has_participant edges."""
-    text = F.col("text")
-    titled = files.select("uri", "text", stripped(F.regexp_extract(text, r"(?m)^#[ \t]+(.+)$", 1)).alias("title")).where("title <> ''")
-    entities = titled.select(F.col("title").alias("name"), F.lit("event").alias("entity_type"), F.col("uri").alias("source"))
-    sections = titled.select("title", "uri", F.posexplode(F.slice(F.split(text, r"(?m)^##[ \t]+"), F.lit(2), F.lit(1_000_000))).alias("place", "section"))
-    head = stripped(F.substring_index("section", "\n", 1))
-    body = stripped(F.regexp_replace(F.col("section"), r"^[^\n]*\n?", ""))
-    observations = sections.select(F.col("title").alias("entity"), "place", head.alias("section"), F.concat_ws(": ", head, F.when(body != "", body)).alias("content"), F.col("uri").alias("source"))
-    people = titled.select("title", F.explode(F.split(F.regexp_extract(text, r"(?mi)^Attendees:[ \t]*(.+)$", 1), ",")).alias("who"))
-    relations = people.where(stripped(F.col("who")) != "").select(F.col("title").alias("from_entity"), F.lit("has_participant").alias("relation_type"), stripped(F.col("who")).alias("to_entity"))
+    """(entities, observations, relations): an event named by the first H1, else by the file; an observation for the text
+    before the first H2 (section null) and for each H2 section that has text; and ``Attendees:`` lines as
+    has_participant edges. H1 and attendee lines belong to no section; a file without any of the two is skipped."""
+    text = F.regexp_replace(F.col("text"), r"\r\n?", "\n")
+    heading = stripped(F.regexp_extract(text, r"(?m)^[ \t]*# +(\S.*)$", 1))
+    stem = F.regexp_extract(F.col("uri"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    body = F.regexp_replace(text, r"(?mi)^[ \t]*(?:# .*|attendees:.*)$\n?", "")
+    people = F.transform(F.regexp_extract_all(text, F.lit(r"(?mi)^[ \t]*attendees:(.*)$"), F.lit(1)), lambda line: F.split(line, ","))
+    people = F.filter(F.transform(F.flatten(people), lambda who: F.regexp_replace(stripped(who), "^@+", "")), lambda who: who != "")
+    parts = F.transform(F.split(body, r"(?m)^[ \t]*## "), _section)
+    read = files.select("uri", F.when(heading != "", heading).otherwise(stem).alias("title"), people.alias("people"), F.filter(parts, lambda p: p["content"] != "").alias("parts"))
+    read = read.where((F.size("people") > 0) | (F.size("parts") > 0))
+    entities = read.select(F.col("title").alias("name"), F.lit("event").alias("entity_type"), F.col("uri").alias("source"))
+    found = read.select("title", "uri", F.explode("parts").alias("part"))
+    observations = found.select(F.col("title").alias("entity"), "part.place", "part.section", "part.content", F.col("uri").alias("source"))
+    relations = read.select(F.col("title").alias("from_entity"), F.lit("has_participant").alias("relation_type"), F.explode("people").alias("to_entity"))
     return entities, observations, relations
 
 
+def _section(part: Column, place: Column) -> Column:
+    """The part behind a heading, whose first line it begins with; before the first heading there is none."""
+    titled = F.struct(place.alias("place"), stripped(F.substring_index(part, "\n", 1)).alias("section"), stripped(F.regexp_replace(part, r"^[^\n]*\n?", "")).alias("content"))
+    intro = F.struct(place.alias("place"), F.lit(None).cast("string").alias("section"), stripped(part).alias("content"))
+    return F.when(place == 0, intro).otherwise(titled)
+
+
 def chat(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Chat lines from JSON files with a fixed schema; strict reading fails on a broken line."""
     return spark.read.schema(CHAT_SCHEMA).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)

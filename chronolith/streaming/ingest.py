@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chronolith.operators.frames import small
 from chronolith.operators.remember import natural_id, valid_request
 
 REQUEST_SCHEMA = "seq long, name string, entity_type string, observations array<string>, source string, at long"
@@ -42,10 +43,13 @@ def start(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
 
 
 def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Rows of batches that the ledger completes, latest version of each id."""
+    """Rows of batches that the ledger completes; where rows have an id, the latest batch's row of each."""
     done = spark.read.parquet(f"{folder}/ledger").select("batch")
-    rows = spark.read.parquet(f"{folder}/{name}").join(F.broadcast(done), "batch", "left_semi")  # one long per batch
-    return rows
+    rows = spark.read.parquet(f"{folder}/{name}").join(small(done), "batch", "left_semi")
+    if "id" not in rows.columns:
+        return rows
+    latest = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), F.struct("batch", *[c for c in rows.columns if c != "batch"])).alias("row"))
+    return latest.select("row.*")
 
 
 def durability(query: StreamingQuery) -> dict:

@@ -10,11 +10,13 @@ from chronolith.streaming import ingest
 
 
 def test_notes(spark, tmp_path):
-    (tmp_path / "a.md").write_text("# Kick off\n\nAttendees: Ann, Bo ,\n\n## Goals\nShip it\n## Empty\n")
-    (tmp_path / "b.md").write_text("no title\n## x\n")
+    (tmp_path / "a.md").write_text("# Kick off\n\nAttendees: Ann, @Bo ,\nBefore it all\n## Goals\nShip it\n# Not a name\nsoon\n## Empty\n")
+    (tmp_path / "plan.v2.md").write_text("no title\n## x\n")
+    (tmp_path / "blank.md").write_text("# Only a name\n\n")
     ents, obs, rels = adapters.parse_notes(adapters.notes(spark, str(tmp_path)))
-    assert [r["name"] for r in ents.collect()] == ["Kick off"]
-    assert sorted(r["content"] for r in obs.collect()) == ["Empty", "Goals: Ship it"]
+    assert sorted(r["name"] for r in ents.collect()) == ["Kick off", "plan.v2"]
+    got = sorted((r["entity"], r["place"], r["section"], r["content"]) for r in obs.collect())
+    assert got == [("Kick off", 0, None, "Before it all"), ("Kick off", 1, "Goals", "Ship it\nsoon"), ("plan.v2", 0, None, "no title")]
     assert sorted(r["to_entity"] for r in rels.collect()) == ["Ann", "Bo"]
 
 
