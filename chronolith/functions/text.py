@@ -77,6 +77,17 @@ def json_preview(value: Column, length: int = 120) -> Column:
     return F.struct(F.sha2(text, 256).alias("digest"), F.octet_length(text).alias("bytes"), F.substring(text, 1, length).alias("preview"))
 
 
+def framed_digest(*parts: Column) -> Column:
+    """SHA-256 of the parts, each framed by its length in bytes, so that no two lists of parts run together; null is a part of its own."""
+    framed = [F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.sha2(F.concat(*framed), 256)
+
+
+def qualified_id(space: Column, logical: Column) -> Column:
+    """One id for a logical id within a space."""
+    return F.substring(framed_digest(space, logical), 1, 32)
+
+
 def path_allowed(path: Column, extensions: list[str], ignored_dirs: list[str], max_bytes: int | None = None, size: Column | None = None) -> Column:
     """A file belongs to a scan: its extension is listed (any case), no folder on its path is ignored, it is not too large."""
     end = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))

@@ -6,6 +6,7 @@ judgments_complete; ceilings come from ``evaluation.recall_ceiling``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -77,6 +78,42 @@ def abstention_gate(current: DataFrame, baseline: DataFrame, limits: Limits = Li
     return both.select(*_row(F.lit("abstention"), F.when(drop.isNull(), "indeterminate").when(drop > limits.abstention_drop, "fail").otherwise("pass"), F.round(drop, 6)))
 
 
+def unresolved_gate(judgments: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Judged keys that no row of the corpus has make a run undecidable from a regression: fail."""
+    lost = judgments.select("key").distinct().join(corpus.select("key").distinct(), "key", "left_anti").agg(F.count("*").alias("n"))
+    return lost.select(*_row(F.lit("judgments_resolve"), F.when(F.col("n") == 0, "pass").otherwise("fail"), F.col("n")))
+
+
+def abstention_sanity_gate(current: DataFrame) -> DataFrame:
+    """A share of abstentions outside 0 to 1 over some queries is impossible; current is one row (n_queries, abstained)."""
+    fine = (F.col("n_queries") == 0) | F.coalesce(F.col("abstained").between(0.0, 1.0), F.lit(False))
+    return current.select(*_row(F.lit("abstention_wellformed"), F.when(fine, "pass").otherwise("fail"), F.col("abstained")))
+
+
+def judgment_source_gates(current: DataFrame, baseline: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row per judgment source (source, ndcg, n) of the baseline: a slice that vanished or regressed fails."""
+    old = baseline.where("source is not null and n > 0").select("source", F.col("ndcg").alias("before"))
+    both = old.join(current.where("source is not null and n > 0").select("source", F.col("ndcg").alias("after")), "source", "left")
+    drop = F.round(F.col("before") - F.col("after"), 9)
+    verdict = F.when(F.col("after").isNull() | (drop > limits.category_drop), "fail").otherwise("pass")
+    return both.select(*_row(F.concat(F.lit("judgment_source:"), "source"), verdict, F.round(drop, 6)))
+
+
+def wellformed_gate(current: DataFrame, baseline: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """No metric of either report, and no limit, is missing or not a finite number; no limit is negative."""
+
+    def odd(df: DataFrame, side: str) -> DataFrame:
+        long = df.select(F.coalesce("category", F.lit("overall")).alias("c"), F.explode(F.create_map(*[x for m in ("recall", "mrr", "ndcg") for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
+        broken = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+        return long.where(broken).select(F.concat_ws(" ", F.lit(side), "c", "metric").alias("problem"))
+
+    settings = {"category_drop": limits.category_drop, "aggregate_drop": limits.aggregate_drop, "recall_ceiling": limits.recall_ceiling, "query_ceiling": limits.query_ceiling, "abstention_drop": limits.abstention_drop}
+    bad = [f"limit {n}" for n, v in settings.items() if not math.isfinite(v) or v < 0]
+    found = odd(current, "current").unionByName(odd(baseline, "baseline")).unionByName(current.sparkSession.createDataFrame([(b,) for b in bad], "problem string"))
+    one = found.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("problem")), ",").alias("names"))  # a few metrics of a few categories
+    return one.select(*_row(F.lit("report_wellformed"), F.when(F.col("n") == 0, "pass").otherwise("fail"), F.col("names")))
+
+
 def comparability_gate(current: dict[str, str] | None, baseline: dict[str, str] | None, spark) -> DataFrame:
     """Whether both runs describe one experiment: every entry of their contracts is equal."""
     if not current or not baseline:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolith.operators.store import keyset_page
 
+# The fields that a revision holds.
 REVISION_FIELDS = ("entity_id", "content", "title", "summary", "concepts", "source_files", "observed_at", "valid_from", "valid_until", "confidence", "source", "source_kind", "importance", "memory_tier", "lifecycle")
 MAX_OPERATIONS = 256
 MAX_CONTENT_BYTES = 1 << 20
@@ -56,6 +57,36 @@ def folded_changesets(events: DataFrame) -> DataFrame:
     return opened.join(done, "changeset_id", "left").select("changeset_id", state.alias("state"), (F.col("open.row_version") + F.col("first").isNotNull().cast("int")).alias("row_version"))
 
 
+def apply_changesets(observations: DataFrame, operations: DataFrame, approved: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(observations, outcomes): approved changesets applied whole or not at all.
+
+    ``operations`` are (changeset_id, op, id, expected_version, content), op being create, revise or retire;
+    ``approved`` are (changeset_id, seq). A create needs a free id, the others a live row of the expected
+    version; of several changesets that touch one row the first by seq claims it and the others conflict. One failing
+    operation makes its changeset a conflict. Outcomes are (changeset_id, outcome, failing).
+    """
+    asked = operations.join(approved.select("changeset_id", "seq"), "changeset_id")
+    state = observations.select("id", F.col("row_version").alias("version"), F.col("tombstoned").alias("gone"))
+    claim = asked.groupBy("id").agg(F.min("seq").alias("claimed"), F.count("*").alias("n"))
+    met = asked.join(claim, "id").join(state, "id", "left")
+    live = F.col("version").isNotNull() & ~F.col("gone") & F.col("version").eqNullSafe(F.col("expected_version"))
+    fine = F.when(F.col("op") == "create", F.col("version").isNull()).when(F.col("op").isin("revise", "retire"), live).otherwise(F.lit(False))
+    checked = met.withColumn("fine", fine & (F.col("seq") == F.col("claimed")))
+    outcomes = checked.groupBy("changeset_id").agg(F.count_if(~F.col("fine")).alias("failing"))
+    outcomes = outcomes.select("changeset_id", F.when(F.col("failing") == 0, "applied").otherwise("conflict").alias("outcome"), "failing")
+    work = asked.join(outcomes.where("outcome = 'applied'").select("changeset_id"), "changeset_id", "left_semi")
+    last = work.groupBy("id").agg(F.max_by(F.struct("op", "content"), F.struct("seq", "op")).alias("change"))
+    both = observations.join(last, "id", "full_outer")
+    op = F.col("change.op")
+    changed = {
+        "content": F.when(op.isin("create", "revise"), F.col("change.content")).otherwise(F.col("content")),
+        "row_version": F.when(op.isNotNull(), F.coalesce("row_version", F.lit(0)) + 1).otherwise(F.col("row_version")),
+        "tombstoned": F.coalesce(F.col("tombstoned"), F.lit(False)) | F.coalesce(op == "retire", F.lit(False)),
+        "observed_at": F.coalesce("observed_at", F.lit(now).cast("long")),
+    }
+    return both.withColumns(changed).select(*observations.columns), outcomes
+
+
 def once_by_key(requests: DataFrame) -> DataFrame:
     """The first of the requests that share an idempotency key; requests without a key all stay."""
     keyed = requests.where("idempotency_key is not null")
@@ -64,11 +95,12 @@ def once_by_key(requests: DataFrame) -> DataFrame:
 
 
 def apply_changes(state: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Rows after a change feed (key, row_version, deleted, ...): the highest version of each key, unless deleted."""
+    """Rows after a change feed (key, row_version, deleted, ...): the highest version of each key (of equal
+    versions the largest row), unless deleted."""
     marked = state.withColumn("deleted", F.lit(False)) if "deleted" not in state.columns else state
     every = marked.unionByName(changes)
     rest = [c for c in marked.columns if c != key]
-    last = every.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("row_version")).alias("row")).select(key, "row.*")
+    last = every.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("row_version", *rest)).alias("row")).select(key, "row.*")
     return last.where("not deleted").select(*state.columns)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.text import normalized_label
+from chronolith.functions.text import framed_digest, normalized_label
+from chronolith.operators.frames import small
 
 # Signals by priority.
 SIGNALS = ("lineage", "verified_identifier", "exact_label", "alias")
@@ -79,7 +80,7 @@ def kind_compatible(pairs: DataFrame, policy: DataFrame) -> DataFrame:
     """Pairs (left_kind, right_kind, ...) whose kinds are equal, unknown on a side, or listed together in the policy."""
     listed = policy.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().withColumn("listed", F.lit(True))
     keyed = pairs.withColumns({"x": F.least("left_kind", "right_kind"), "y": F.greatest("left_kind", "right_kind")})
-    joined = keyed.join(F.broadcast(listed), ["x", "y"], "left")  # the policy is a short fixed table
+    joined = keyed.join(small(listed), ["x", "y"], "left")
     fine = F.col("left_kind").isNull() | F.col("right_kind").isNull() | (F.col("left_kind") == F.col("right_kind")) | F.coalesce("listed", F.lit(False))
     return joined.withColumn("compatible", fine).drop("x", "y", "listed")
 
@@ -120,3 +121,64 @@ def plan_digest(plan: DataFrame) -> DataFrame:
     """One row (rows, digest): an order-free digest, each task reducing its own rows to a sum."""
     value = F.conv(F.substring(F.sha2(F.concat_ws("\0", *plan.columns), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return plan.agg(F.count("*").alias("rows"), F.sha2(F.sum(value).cast("string"), 256).alias("digest"))
+
+
+def verify_plan(plan: DataFrame, target: DataFrame, source: DataFrame) -> DataFrame:
+    """(problem, id): what keeps a plan from being carried out on these snapshots, which may be newer than the plan."""
+    mine = source.select(F.col("id").alias("source_id")).distinct()
+    there = target.select(F.col("id").alias("target_id")).distinct()
+    rows = plan.groupBy("source_id").agg(F.count("*").alias("n"))
+
+    def found(df: DataFrame, problem: str, column: str) -> DataFrame:
+        return df.select(F.lit(problem).alias("problem"), F.col(column).cast("string").alias("id"))
+
+    parts = [
+        found(rows.where("n > 1"), "planned twice", "source_id"),
+        found(mine.join(rows, "source_id", "left_anti"), "not planned", "source_id"),
+        found(rows.join(mine, "source_id", "left_anti"), "no longer in the source", "source_id"),
+        found(plan.where("action in ('merge', 'keep')").join(there, "target_id", "left_anti"), "target is gone", "source_id"),
+        found(plan.where("action = 'add'").join(there, "target_id", "left_semi"), "id is taken", "source_id"),
+        found(plan.where("action not in ('merge', 'keep', 'add') or action is null or target_id is null"), "no such action", "source_id"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def identity_packets(pairs: DataFrame, identifiers: DataFrame, lineages: DataFrame, generation: int) -> DataFrame:
+    """(left_id, right_id, supports, contradicts, claimed, same_lineage, trusted): all evidence on reviewed pairs.
+
+    Identifiers are (id, namespace, value, verified, generation), lineages (id, lineage). ``claimed`` counts namespaces
+    with an equal value that one side has not verified; a pair is trusted when some namespace agrees by
+    verifications of this generation on both sides.
+    """
+    left = pairs.join(identifiers.select(F.col("id").alias("left_id"), "namespace", F.col("value").alias("lv"), F.col("verified").alias("lok"), F.col("generation").alias("lg")), "left_id")
+    both = left.join(identifiers.select(F.col("id").alias("right_id"), "namespace", F.col("value").alias("rv"), F.col("verified").alias("rok"), F.col("generation").alias("rg")), ["right_id", "namespace"])
+    equal, sure = F.col("lv") == F.col("rv"), F.col("lok") & F.col("rok")
+    current = (F.col("lg") == generation) & (F.col("rg") == generation)
+    by_space = both.groupBy("left_id", "right_id", "namespace").agg(
+        F.bool_or(equal & sure).alias("agrees"), F.bool_or(sure).alias("known"), F.bool_or(equal & ~sure).alias("claims"), F.bool_or(equal & sure & current).alias("fresh")
+    )
+    sums = by_space.groupBy("left_id", "right_id").agg(
+        F.count_if("agrees").alias("supports"), F.count_if(F.col("known") & ~F.col("agrees")).alias("contradicts"), F.count_if("claims").alias("claimed"), F.bool_or("fresh").alias("trusted")
+    )
+    one = lineages.where("lineage is not null").select("id", "lineage").distinct()
+    same = pairs.join(one.withColumnRenamed("id", "left_id"), "left_id").join(one.withColumnRenamed("id", "right_id"), ["right_id", "lineage"]).select("left_id", "right_id", F.lit(True).alias("same_lineage")).distinct()
+    rows = pairs.select("left_id", "right_id").distinct().join(sums, ["left_id", "right_id"], "left").join(same, ["left_id", "right_id"], "left")
+    return rows.na.fill(0, ["supports", "contradicts", "claimed"]).na.fill(False, ["trusted", "same_lineage"]).select("left_id", "right_id", "supports", "contradicts", "claimed", "same_lineage", "trusted")
+
+
+def discovery_digest(candidates: DataFrame) -> DataFrame:
+    """Candidates with a digest of the pair and the signals it was found by: what a review receipt is bound to."""
+    return candidates.withColumn("digest", framed_digest(F.col("source_id").cast("string"), F.col("target_id").cast("string"), F.col("signals")))
+
+
+def reviewed(candidates: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(source_id, target_id, state): same, different or distinct by the last receipt (source_id, target_id, decision,
+    digest, seq) that is bound to the pair as it is found now; stale where only older findings were reviewed; else open."""
+    now = discovery_digest(candidates).select("source_id", "target_id", F.col("digest").alias("now"))
+    met = now.join(receipts.where(F.col("decision").isin("same", "different", "distinct")), ["source_id", "target_id"], "left")
+    fits = F.col("digest") == F.col("now")
+    last = met.groupBy("source_id", "target_id").agg(F.max_by(F.when(fits, F.col("decision")), F.when(fits, F.col("seq"))).alias("decision"), F.count("seq").alias("n"))
+    return last.select("source_id", "target_id", F.coalesce("decision", F.when(F.col("n") > 0, "stale").otherwise("open")).alias("state"))

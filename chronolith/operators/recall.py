@@ -118,6 +118,12 @@ def recall_with_spread(hits: DataFrame, observations: DataFrame, entities: DataF
     return direct.select(*columns).unionByName(fill.select("query_id", (F.col("n") + F.col("place")).cast("int").alias("rank"), "id", "entity_id", "raw", "score"))
 
 
+def require_repaired(outbox: DataFrame, applied: int) -> None:
+    """Refuse to recall while the index lacks committed work: any entry of the outbox beyond the applied generation."""
+    if outbox.where(F.col("generation") > applied).limit(1).count():
+        raise RuntimeError("the search index is behind the store: repair it before recalling")
+
+
 def access_events(hits: DataFrame, now: int) -> DataFrame:
     """The access log that a recall leaves: an explicit write, never a side effect of reading."""
     return hits.select("id", F.lit(now).cast("long").alias("accessed_at"))

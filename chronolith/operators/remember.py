@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.functions.names import name_similarity, similarity_bound
+from chronolith.functions.names import name_similarity, similarity, similarity_bound
 from chronolith.functions.text import stripped
 from chronolith.functions.time import no_stub
 from chronolith.operators.frames import small, top_k
@@ -65,9 +68,56 @@ def resolve_requests(requests: DataFrame, entities: DataFrame) -> DataFrame:
     return done.unionByName(rest)
 
 
+_HOMES = "name string, entity_type string, entity_id string, action string, same_as string"
+
+
+def resolve_batch(requests: DataFrame, entities: DataFrame) -> DataFrame:
+    """``resolve_requests`` for requests with a ``seq``, one after the other: a name may also match one that an earlier
+    request of the batch has created or touched, which counts as most recent.
+
+    Resolution within a type is sequential by its nature, so a type's distinct new names of one batch are one
+    group, which a batch's size bounds; types are independent.
+    """
+    asked = requests.where(valid_request()).groupBy("name", "entity_type").agg(F.min("seq").alias("seq"))
+    age = "created_at" if "created_at" in entities.columns else "id"
+    oldest = entities.groupBy("name", "entity_type").agg(F.min_by("id", F.struct(age, "id")).cast("string").alias("exact"))
+    asked = asked.join(oldest, ["name", "entity_type"], "left").select("entity_type", "name", "seq", "exact")
+    real = entities.where(no_stub()) if "source" in entities.columns else entities
+    recent = top_k(real, [F.desc("updated_at"), F.col("id")], RECENT, ["entity_type"], "nth").select("entity_type", F.col("id").cast("string").alias("id"), F.col("name").alias("known"), "nth")
+
+    def resolve(names: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        front = list(known.sort_values("nth")[["id", "known"]].itertuples(index=False, name=None))
+        out = []
+        for row in names.sort_values("seq").itertuples(index=False):
+            place, same_as = row.exact, None
+            if place is not None:
+                action = "exact"
+            else:
+                scored = [(similarity(row.name_, other), -i) for i, (_, other) in enumerate(front[:RECENT])]
+                score, at = max(scored, default=(0.0, 0))
+                action = "merge" if score >= MERGE_AT else "flag" if score >= FLAG_AT else "new"
+                new = hashlib.sha256(f"{row.name_}\0{row.entity_type}".encode()).hexdigest()[:32]
+                place, same_as = (front[-at][0], None) if action == "merge" else (new, front[-at][0] if action == "flag" else None)
+            label = next((n for i, n in front if i == place), row.name_)
+            front = [(place, label), *((i, n) for i, n in front if i != place)]
+            out.append((row.name_, row.entity_type, place, action, same_as))
+        return pd.DataFrame(out, columns=["name", "entity_type", "entity_id", "action", "same_as"])
+
+    named = asked.withColumnRenamed("name", "name_")
+    return named.groupBy("entity_type").cogroup(recent.groupBy("entity_type")).applyInPandas(resolve, _HOMES)
+
+
+def remember_batch(requests: DataFrame, entities: DataFrame, now: int) -> dict[str, DataFrame]:
+    """``remember`` with names resolved in the order of the requests' ``seq``."""
+    return _written(requests, resolve_batch(requests, entities), now)
+
+
 def remember(requests: DataFrame, entities: DataFrame, now: int) -> dict[str, DataFrame]:
     """New rows of a batch of requests (name, entity_type, observations, source): entities, observations, relations, rejected."""
-    homes = resolve_requests(requests, entities)
+    return _written(requests, resolve_requests(requests, entities), now)
+
+
+def _written(requests: DataFrame, homes: DataFrame, now: int) -> dict[str, DataFrame]:
     placed = requests.where(valid_request()).join(homes, ["name", "entity_type"])
     created = homes.where("action in ('new', 'flag')").select(F.col("entity_id").alias("id"), "name", "entity_type", F.lit(now).cast("long").alias("created_at"), F.lit(now).cast("long").alias("updated_at"))
     facts = placed.select("entity_id", "source", "name", F.posexplode("observations").alias("pos", "content"))

@@ -300,6 +300,23 @@ def insert_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
     return chunks.unionByName(new, allowMissingColumns=True)
 
 
+def check_chunks(new: DataFrame) -> DataFrame:
+    """New chunks with a reason why they are refused: no uri or text, or a uri with the reserved prefix; null where they are fine."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    reserved = F.startswith(F.col("uri"), F.lit(RESERVED_PREFIX))
+    return new.withColumn("reason", F.when(blank("uri"), "no uri").when(reserved, "reserved uri").when(blank("text"), "no text"))
+
+
+def clamped(limit: int | None, most: int = 50, default: int = 10) -> int:
+    """A caller's limit within 1 and the most that is answered."""
+    return max(1, min(default if limit is None else limit, most))
+
+
+def export_all(chunks: DataFrame, key: tuple[str, ...] = ("uri", "chunk_index")) -> tuple[DataFrame, DataFrame]:
+    """(texts, vectors): every row of either index, keyed as it is searched."""
+    return chunks.where("text is not null").select(*key, "text"), chunks.where("vector is not null").select(*key, "vector")
+
+
 def delete_by_uri(chunks: DataFrame, uris: DataFrame) -> DataFrame:
     return chunks.join(small(uris.select("uri").distinct()), "uri", "left_anti")
 

@@ -50,7 +50,7 @@ def readable(rows: DataFrame, roles: DataFrame, principal: str, spaces: list[str
 def upsert_jobs(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     """Latest state of each job, by updated_at; created_at is the first one's."""
     rest = [c for c in jobs.columns if c not in ("id", "created_at")]
-    every = jobs.unionByName(updates).groupBy("id").agg(F.max_by(F.struct(*rest), "updated_at").alias("row"), F.min("created_at").alias("created_at"))
+    every = jobs.unionByName(updates).groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", *rest)).alias("row"), F.min("created_at").alias("created_at"))
     return every.select("id", "row.*", "created_at").select(*jobs.columns)
 
 

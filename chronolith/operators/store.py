@@ -95,6 +95,16 @@ def source_stats(sources: DataFrame) -> DataFrame:
     return sources.groupBy("kind").agg(F.count("*").alias("n"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
 
 
+def get_sources(sources: DataFrame, uris: DataFrame) -> DataFrame:
+    """(uri, found, ...): the asked sources, with nulls for those that are not known."""
+    asked = uris.select("uri").distinct()
+    return asked.join(sources.withColumn("found", F.lit(True)), "uri", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def delete_sources(sources: DataFrame, uris: DataFrame) -> DataFrame:
+    return sources.join(uris.select("uri").distinct(), "uri", "left_anti")
+
+
 def list_sources(sources: DataFrame, kind: str | None = None) -> DataFrame:
     return (sources.where(F.col("kind") == kind) if kind else sources).orderBy("uri")
 
