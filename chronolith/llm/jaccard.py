@@ -15,8 +15,8 @@ Equal sets are one set with a count from the start, so a group of copies costs a
 document. Sets that share prefix tokens meet in pairs of bounded blocks: a candidate group of any
 size is cut into blocks, and a pair of blocks is one task's work, verified there without emitting
 pairs; what leaves is a spanning forest and each document's number of links. Tokens held by a
-large share of all sets are recognised in a first pass and rank behind the others of their class,
-so their posting lists are never gathered.
+large share of all sets are recognised in a first pass (every task counts, none samples) and rank behind
+the others of their class, so their posting lists are never gathered.
 
 Defined results: null or empty text has the empty set, is linked with nothing and is its own
 component; with fewer words than a shingle the whole sequence is the one shingle; rows without
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.components import components
-from chronolith.llm.dealing import chosen, deal, joined, key_bitmap, owners_of, part_of, split, with_key
-from chronolith.llm.frames import durable, map_batches, parts_for
+from chronolith.llm.dealing import FLUSH, chosen, deal, joined, key_bitmap, owners_of, part_of, rows, split, with_key
+from chronolith.llm.frames import arrow_schema, durable, map_batches, parts_for, release, slices
 from chronolith.llm.kernels import U64, mix, shingles, text_bytes, whole_sequence, words_of
 
 #: Bytes of input files for each hash range.
@@ -85,28 +85,65 @@ def _reach(tokens: np.ndarray, percent: int) -> int:
 
 
 _SUMMARY = "kind int, key long, doc_id long, sid long, n long, ends binary"
+#: Tokens that a task counts at a time (2 MB). Those with the least counts make room for others.
+COUNTED = 1 << 17
+
+
+class _Counts:
+    """Counts of the most frequent tokens of a task's sets, each too low by ``lost`` at most.
+
+    When there are more tokens than room, the count of the first one beyond it is taken off all; what is left by then
+    is dropped. So a token in more than ``lost`` sets is always kept.
+    """
+
+    def __init__(self):
+        self.token, self.count, self.lost, self.sets = np.zeros(0, U64), np.zeros(0, np.int64), 0, 0
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        self.sets += len(sets)
+        token, place = np.unique(np.concatenate([self.token, *sets]), return_inverse=True)
+        count = np.bincount(place, np.r_[self.count, np.ones(len(place) - len(self.count), np.int64)]).astype(np.int64)
+        if len(token) > COUNTED:
+            least = int(np.partition(count, len(count) - COUNTED - 1)[len(count) - COUNTED - 1])
+            token, count, self.lost = token[count > least], count[count > least] - least, self.lost + least
+        self.token, self.count = token, count
+
+    def often(self, share: float) -> tuple[list[int], list[int]]:
+        """Tokens that may be in this share of the sets, and their counts."""
+        mine = self.count + self.lost >= max(2, share * self.sets)
+        return self.token[mine].view(np.int64).tolist(), (self.count[mine] + self.lost).tolist()
 
 
 def _summaries(keyed: DataFrame, width: int, percent: int) -> DataFrame:
-    """kind 0: each row's set (id, size, class ends); kind 1: tokens in many sets of one flush, with that number."""
+    """kind 0: each row's set (id, size, class ends); kind 1: tokens in many of one task's sets, with that number.
 
-    def kernel(batch: pa.RecordBatch) -> list:
-        sets = sets_of(batch, width)
-        return [joined(sets, U64), sets, batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()]
+    A token in a share ``FREQUENT`` of all sets has at least half of its sets in tasks where its share is at least half of
+    that; so the sums of what tasks tell reach half of its number.
+    """
+    target = arrow_schema(keyed, _SUMMARY)
 
-    def emit(gathered: list[list]):
-        once: dict[int, np.ndarray] = {}
-        for _, sets, keys, docs in gathered:
-            for own, key, doc in zip(sets, keys, docs, strict=True):
+    def run(batches):
+        counts, once, size = _Counts(), {}, 0
+        for batch in slices(batches):
+            out = []
+            for own, key, doc in zip(sets_of(batch, width), batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
                 sid = _set_id(own) if len(own) else None
-                yield 0, key, doc, sid, len(own), _class_ends(own).tobytes()
-                if len(own):
+                out.append((0, key, doc, sid, len(own), _class_ends(own).tobytes()))
+                if len(own) and sid not in once:
                     once[sid] = own[: _reach(own, percent)]
-        token, count = np.unique(joined(list(once.values()), U64), return_counts=True)
-        for t, c in zip(token[count >= 8].view(np.int64).tolist(), count[count >= 8].tolist(), strict=True):
-            yield 1, None, None, t, c, None
+                    size += len(once[sid])
+            yield rows(target, out)
+            if size >= FLUSH:
+                counts.add(list(once.values()))
+                once, size = {}, 0
+        if once:
+            counts.add(list(once.values()))
+        token, number = counts.often(FREQUENT / 2)
+        if token:
+            yield rows(target, [(1, None, None, t, n, None) for t, n in zip(token, number, strict=True)])
+        release()
 
-    return deal(keyed, kernel, emit, _SUMMARY)
+    return keyed.mapInArrow(run, _SUMMARY)
 
 
 def _deal_tokens(keyed: DataFrame, width: int, percent: int, frequent: np.ndarray, parts: int) -> DataFrame:
@@ -301,16 +338,16 @@ def similarity_groups(documents: DataFrame, width: int = 4, percent: int = 85) -
     """
     keyed = with_key(documents)
     summary = durable(_summaries(keyed, width, percent))
-    rows = summary.where("kind = 0").select("key", "doc_id", "sid", "n", "ends")
-    total = rows.count()
+    found_rows = summary.where("kind = 0").select("key", "doc_id", "sid", "n", "ends")
+    total = found_rows.count()
     known = durable(
-        rows.where("n > 0")
+        found_rows.where("n > 0")
         .groupBy("sid")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key", "n", "ends")).alias("first"), F.count("*").alias("copies"))
         .select("sid", "first.doc_id", "first.key", "first.n", "first.ends", "copies"),
         rows=total,
     )
-    limit = max(256, int(FREQUENT * known.count()))
+    limit = max(256, int(FREQUENT / 2 * known.count()))
     often = summary.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("sets")).where(F.col("sets") >= limit).select("sid").collect()
     frequent = np.sort(np.array([r["sid"] for r in often], np.int64).view(U64))
     parts = parts_for(keyed, RANGE_BYTES)
@@ -328,8 +365,8 @@ def similarity_groups(documents: DataFrame, width: int = 4, percent: int = 85) -
         .join(links, "class_id", "left")
         .select("sid", "class_id", F.coalesce("component", "class_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    full = rows.where("n > 0").join(classes, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "class_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
+    full = found_rows.where("n > 0").join(classes, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "class_id")
+    empty = found_rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return full.unionByName(empty)
 
 

@@ -74,8 +74,35 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes that ``words_of`` works on at once: its arrays take some 40 bytes for each.
+CHUNK = 4 << 20
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text, with 64-bit hashes."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every text, with 64-bit hashes.
+
+    A longer buffer (one very long text) is cut between words, so that it takes a few bytes for each of its bytes.
+    """
+    if len(data) <= CHUNK:
+        return _words(data, offsets, lower)
+    parts, lo = [], 0
+    while lo < len(data):
+        hi = min(len(data), lo + CHUNK)
+        while hi < len(data):  # on to the next white space
+            blank = np.flatnonzero(_SPACE[data[hi : hi + CHUNK]])
+            if len(blank):
+                hi += int(blank[0])
+                break
+            hi = min(len(data), hi + CHUNK)
+        inner = offsets[(offsets > lo) & (offsets < hi)] - lo
+        w = _words(data[lo:hi], np.r_[0, inner, hi - lo], lower)
+        parts.append((w.start + lo, w.end + lo, w.hash))
+        lo = hi
+    start, end, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return Words(start, end, value, np.searchsorted(start, offsets))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     n = len(data)
     if n == 0:
         empty = np.zeros(0, dtype=np.int64)

@@ -62,9 +62,29 @@ _PLACE_BITS = 24
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(row, hash, context digest, first window, windows) of every anchor of the batch.
 
-    Windows are numbered within their text. A sliding minimum over (hash, place) packed into 64 bits
+    A longer buffer is worked on in overlapping pieces. Where one ends, an anchor's windows become two contexts,
+    which changes nothing: every window is in one context with all its bytes. Windows are numbered within their text. A sliding minimum over (hash, place) packed into 64 bits
     finds every window's anchor at once; equal consecutive minima are one anchor's windows.
     """
+    if len(data) <= PIECE + length:
+        return _anchors(data, offsets, length)
+    parts = []
+    for lo in range(0, len(data) - length + 1, PIECE):  # windows that start in [lo, lo + PIECE)
+        hi = min(len(data), lo + PIECE + length - 1)
+        inner = offsets[(offsets > lo) & (offsets < hi)] - lo
+        row, value, digest, at, windows = _anchors(data[lo:hi], np.r_[0, inner, hi - lo], length)
+        # texts of the piece are counted from the one that holds its first byte; empty ones count too
+        begin = np.r_[lo, inner + lo][row]
+        whole = np.searchsorted(offsets, begin, side="right") - 1
+        parts.append((whole, value, digest, at + begin - offsets[whole], windows))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+#: Bytes whose windows are anchored at once: the arrays take some 60 bytes for each.
+PIECE = 4 << 20
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     n, many = len(data), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import contamination, dealing, debruijn, jaccard, suffixes
+from chronolith.llm import contamination, dealing, debruijn, jaccard, kernels, suffixes
 from chronolith.llm.components import components
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
@@ -238,3 +238,43 @@ def test_sketches_never_miss():
     for largest in (1, 3, 7, 15, 31, 63, 127):
         for n in range(largest // 2 + 1, largest + 1):
             assert contamination.sketch_size(largest) > n - -(-80 * n // 100)
+
+
+def test_frequent_tokens_are_never_missed(monkeypatch):
+    """A token in a share of the sets that is spread evenly is told by its task, however little room there is."""
+    monkeypatch.setattr(jaccard, "COUNTED", 600)
+    rng = np.random.default_rng(3)
+    counts, often, total = jaccard._Counts(), np.uint64(42), 0
+    for _ in range(30):
+        sets = []
+        for i in range(100):
+            own = rng.integers(1 << 40, 1 << 60, 20).astype(np.uint64)
+            sets.append(np.sort(np.r_[own, often] if i % 10 == 0 else own))
+            total += i % 10 == 0
+        counts.add(sets)
+    token, number = counts.often(0.1)
+    assert counts.lost <= 3000 * 21 // 600 + 30 and number[token.index(42)] >= total
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("ab é\n", k=rng.randint(0, 3000))) for _ in range(6)] + ["x" * 700, "", "q r"]
+    data, offsets = kernels.text_bytes(pa.array(texts))
+    whole, anchored = kernels.words_of(data, offsets), suffixes.anchors(data, offsets, 60)
+    monkeypatch.setattr(kernels, "CHUNK", 97)
+    monkeypatch.setattr(suffixes, "PIECE", 131)
+    assert all((a == b).all() for a, b in zip(whole, kernels.words_of(data, offsets), strict=True))
+
+    def windows(found):
+        return sorted((int(r), int(f) + i, int(v)) for r, v, _, f, n in zip(*found, strict=True) for i in range(int(n)))
+
+    assert windows(anchored) == windows(suffixes.anchors(data, offsets, 60))
+
+
+def test_operators_with_cut_texts(docs, rows, monkeypatch):
+    whole = {r["doc_id"]: tuple(r) for r in suffixes.remove_matches(docs, 60).collect()}
+    batch = pa.RecordBatch.from_pandas(dealing.with_key(docs).toPandas())
+    monkeypatch.setattr(suffixes, "PIECE", 100)
+    row, value, digest, at, windows = suffixes.anchors(*kernels.text_bytes(batch.column("text")), 60)
+    body = batch.column("text").to_pylist()
+    assert len(whole) == len(rows) and all(a + n - 1 + 60 <= len((body[r] or "").encode()) for r, a, n in zip(row.tolist(), at.tolist(), windows.tolist(), strict=True))
