@@ -58,3 +58,36 @@ def test_registered():
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and "pipeline" in names
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
     assert all(callable(f) for f in (toxicity.with_scores, jaccard.similarity_groups, contamination.clean_documents, pii.pseudonymized_documents))
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, folder, tmp_path):
+    """No rows, columns named like the operators' own, and a long text."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.withColumns({"score": F.lit("mine"), "key": F.lit(1), "component_id": F.lit(2), "copies": F.lit(3), "spans": F.lit("x"), "hash": F.lit(4), "item": F.lit(5), "length": F.lit(6)})
+    long = " ".join(f"long{i}" for i in range(300_000)) + " write to bob@example.org"
+    more = spark.createDataFrame([(900, long, "en", "s", len(long)), (901, long, "en", "s", len(long))], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.unionByName(more, allowMissingColumns=True)
+    for name, frame, least in (("none", odd.where("false"), 0), ("some", odd, 100)):
+        rows = frame
+        for number, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, rows, folder)
+            if number < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == odd.columns
+            path = str(tmp_path / f"{name}-{stage_name}")
+            out.write.parquet(path)
+            rows = spark.read.parquet(path)
+        assert rows.count() >= least
+    kept = spark.read.parquet(str(tmp_path / "some-pii"))
+    assert kept.where("doc_id in (900, 901)").count() == 1 and kept.where("doc_id < 10 and score = 'mine'").count() > 5
+    text = kept.where("doc_id = 900").first()["text"]
+    assert "bob@example.org" not in text and text.startswith(long[:1000]) and len(text.split()) == 300_003
+
+
+def test_run_deletes_its_stage_tables(spark, folder):
+    import glob
+
+    home = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(glob.glob(f"{home}/pipeline-*/*"))
+    out = corpus_pipeline.run(spark, folder)
+    new = set(glob.glob(f"{home}/pipeline-*/*")) - before
+    assert [p.rsplit("/", 1)[1] for p in new] == ["packing"] and out.count() > 100

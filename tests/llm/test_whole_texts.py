@@ -138,6 +138,33 @@ def test_licenses_with_other_words():
             assert aligned >= licenses.COVERAGE * len(words) and [m.aligned for m in found] == [aligned], template.name
 
 
+def test_every_place_of_a_license_by_brute_force():
+    """Changed, cut and repeated templates in noise: each place that aligns well enough, tried at every word, is found."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    body = [rng.choice(words) for _ in range(70)]
+    for i in (3, 30, 55):
+        body[i] = sorted(licenses.KEY_WORDS)[i % len(licenses.KEY_WORDS)]
+    template = licenses.Template("made-up", tuple(body))
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randint(0, 3)):
+            text += [f"noise{rng.randrange(400)}" for _ in range(rng.randint(0, 60))]
+            copy = list(body)
+            for _ in range(rng.randint(0, 22)):
+                copy[rng.randrange(len(copy))] = f"other{rng.randrange(50)}"
+            text += copy[rng.randint(0, 6) : len(copy) - rng.randint(0, 6)]
+        text += [f"noise{rng.randrange(400)}" for _ in range(rng.randint(0, 30))]
+        found = licenses.find_licenses(text, [template])
+        assert all(m.aligned >= licenses.COVERAGE * len(body) and m.last - m.first + 1 <= licenses.SPREAD * len(body) for m in found)
+        covered = {i for m in found for i in range(m.first, m.last + 1)}
+        for at in range(len(text)):
+            window = text[at : at + len(body)]
+            same = sum(a == b for a, b in zip(window, body, strict=False))
+            if same >= 0.9 * len(body):  # aligned word by word, so patience cannot do much worse
+                assert any(at <= i < at + len(body) for i in covered), (at, same)
+
+
 def test_rows_not_ids_decide(spark):
     one, two, item = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two", "item"))
     rows = [(1, one), (1, one), (2, two), (2, one + " tail"), (None, one), (None, "lone words of a row without id"), (None, "lone words of a row without id"), (4, None), (4, None)]
