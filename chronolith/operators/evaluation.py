@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.operators.frames import running_sums, small
+
 
 def first_hits(ranked: DataFrame) -> DataFrame:
     """Each key once per query, at its best rank; ranks close up."""
@@ -64,8 +66,9 @@ def quality(scored: DataFrame, queries: DataFrame) -> DataFrame:
 def latency(times: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
     """Mean, nearest-rank percentiles and maximum; windows run over distinct values with counts, not over rows."""
     counts = times.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("times"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("upto", F.sum("times").over(upto)).withColumn("size", F.sum("times").over(Window.partitionBy(*by)))
+    sizes = counts.groupBy(*by).agg(F.sum("times").alias("size"))
+    sized = counts.join(small(sizes), by) if by else counts.crossJoin(sizes)  # one row
+    run = running_sums(sized, value, ["times"], by).withColumn("upto", F.col("times_before") + F.col("times"))
 
     def nearest(q: float) -> Column:
         return F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(q) * F.col("size")), F.lit(1)), F.col(value)))
@@ -101,8 +104,9 @@ def risk_coverage(negatives: DataFrame, positives: DataFrame, points: int = 12)
     scores = negatives.select(F.round("top_score", 9).alias("t"), F.lit(1).alias("neg"), F.lit(0).alias("pos")).unionByName(positives.select(F.round("top_relevant_score", 9).alias("t"), F.lit(0).alias("neg"), F.lit(1).alias("pos")))
     zero = negatives.limit(1).select(F.lit(0.0).alias("t"), F.lit(0).alias("neg"), F.lit(0).alias("pos"))
     steps = scores.where("t is not null").unionByName(zero).groupBy("t").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.select("t", F.sum("neg").over(upto).alias("neg"), F.sum("pos").over(upto).alias("pos"), F.row_number().over(Window.orderBy("t")).alias("place"), F.count("*").over(Window.partitionBy()).alias("size"))
+    summed = running_sums(steps.withColumn("one", F.lit(1)), "t", ["neg", "pos", "one"])
+    size = steps.agg(F.count("*").alias("size"))
+    run = summed.select("t", (F.col("neg") + F.col("neg_before")).alias("neg"), (F.col("pos") + F.col("pos_before")).alias("pos"), (F.col("one_before") + 1).alias("place")).crossJoin(size)
     total = negatives.agg(F.count("*").alias("negatives")).crossJoin(positives.agg(F.count("*").alias("positives"), F.count("top_relevant_score").alias("found")))
     every = run.where((F.col("place") - 1) % F.greatest(F.floor(F.col("size") / points), F.lit(1)) == 0).crossJoin(total)
     retained = F.coalesce(F.try_divide(F.col("found") - F.col("pos"), F.col("positives")), F.lit(0.0))
@@ -113,8 +117,7 @@ def auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, auc) over (label boolean, score): rank sums with mean ranks for ties, so 0.5 for each tie."""
     by = by or []
     counts = scored.groupBy(*by, "score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("won", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
+    won = running_sums(counts, "score", ["neg"], by).withColumn("won", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return won.groupBy(*by).agg(F.round(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
@@ -126,7 +129,10 @@ def clustered_mean(rows: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(means: list[float], draws: int = 2000) -> tuple[float, float]:
-    """2.5 and 97.5 % bounds of the mean of resampled groups, by a fixed linear congruential sequence (modulo 2**64)."""
+    """2.5 and 97.5 % bounds of the mean of resampled groups, by a fixed linear congruential sequence (modulo 2**64).
+
+    Fixed values: the sequence's first state, multiplier and shift.
+    """
     if not means:
         return 0.0, 0.0
     state, n, sums = 0x2545F4914F6CDD1D, len(means), []

@@ -10,7 +10,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -28,3 +28,22 @@ def top_k(df: DataFrame, by: list[Column], k: int, per: list[str] | None = None,
     if per:
         return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
     return df.orderBy(*by).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*by)))
+
+
+def running_sums(df: DataFrame, order: str, columns: list[str], by: list[str] | None = None, pieces: int = 64) -> DataFrame:
+    """Rows with ``<column>_before``: the sum over all rows of their group that come earlier in the order.
+
+    A window over a whole frame, or over one hot group, is one task. Here the order's value range is cut at
+    quantiles; windows run within a piece, and the pieces' sums (at most ``pieces`` + 1 a group) give what lies before.
+    """
+    by = by or []
+    cuts = sorted(set(df.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.01)))
+    piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    cut = df.withColumn("__piece", piece)
+    own = Window.partitionBy(*by, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "__piece").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    based = sums.select(*by, "__piece", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__base_{c}") for c in columns])
+    inside = cut.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns})
+    joined = inside.join(small(based), [*by, "__piece"])
+    return joined.select(*df.columns, *[(F.col(f"__base_{c}") + F.col(f"__in_{c}")).alias(f"{c}_before") for c in columns])

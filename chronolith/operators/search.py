@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from chronolith.functions.scores import K1, B, bm25_term, cosine, idf, norm
+from chronolith.functions.scores import K1, B, bm25_term, idf
 from chronolith.functions.text import tokens
 from chronolith.operators.frames import small, top_k
 
@@ -202,26 +202,28 @@ def prefix_terms(posted: DataFrame, queries: DataFrame, least: int = 4) -> DataF
     return short.unionByName(found.select("query_id", F.col("word").alias("term"), "times")).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
 
 
-#: Query vectors that a task holds at once; a larger query set is joined block-wise by Spark instead.
+#: Query vectors that a task holds at once; a larger query set is worked through in blocks of so many.
 HELD_QUERIES = 20_000
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: tuple[str, ...] = ("uri", "chunk_index"), vector: str = "vector") -> DataFrame:
     """(query_id, rank, *key, score) by exact cosine similarity.
 
-    A stated query set against all rows. Up to ``HELD_QUERIES`` query vectors are collected (the one action
-    here) and every Arrow batch of rows meets them in matrix products, each batch passing on its k
-    best rows per query and their ties; beyond that, and for vectors of mixed lengths, the pairs are
-    scored by column functions.
+    A stated query set against all rows, in blocks: up to ``HELD_QUERIES`` query vectors of one length are collected
+    at a time and every Arrow batch of rows meets them in matrix products, each batch passing on its k best rows
+    per query and their ties. Rows of another length than the query's score 0.
     """
     rows = vectors.where(F.col(vector).isNotNull()).select(*key, F.col(vector).alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("q"))
-    held = asked.limit(HELD_QUERIES + 1).collect()
-    if 0 < len(held) <= HELD_QUERIES and len({len(r["q"]) for r in held}) == 1:
-        scored = _matrix_scores(rows, asked, held, k, key)
-    else:
-        sized = asked.withColumn("nq", norm(F.col("q")))
-        scored = rows.withColumn("nv", norm(F.col("v"))).crossJoin(small(sized)).select("query_id", *key, F.round(cosine(F.col("v"), F.col("q"), F.col("nv"), F.col("nq")), 6).alias("score"))
+    blocks = -(-max(asked.count(), 1) // HELD_QUERIES)
+    scored = None
+    for block in range(blocks):
+        held = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).collect()
+        for size in sorted({len(r["q"]) for r in held}):
+            part = _matrix_scores(rows, asked, [r for r in held if len(r["q"]) == size], k, key)
+            scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        scored = rows.where("false").select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), *key, F.lit(0.0).alias("score"))
     return top_k(scored, [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
 
 
@@ -239,7 +241,7 @@ def _matrix_scores(rows: DataFrame, asked: DataFrame, held: list, k: int, key: t
             column = batch.column("v")
             same = pc.fill_null(pc.equal(pc.list_value_length(column), matrix.shape[1]), False).to_numpy(zero_copy_only=False)
             unit = np.zeros((batch.num_rows, matrix.shape[1]))
-            flat = np.asarray(column.filter(pa.array(same)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, matrix.shape[1])
+            flat = np.asarray(column.filter(pa.array(same)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(int(same.sum()), matrix.shape[1])
             length = np.sqrt((flat * flat).sum(axis=1))
             unit[same] = np.divide(flat, length[:, None], out=np.zeros_like(flat), where=length[:, None] > 0)
             for lo in range(0, len(ids), 128):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import names
 from chronolith.functions.scores import ranked_score, retention_score
 from chronolith.functions.time import valid_at
+from chronolith.operators.frames import running_sums
 from chronolith.operators import evaluation, graph, history, lifecycle, merge, remember, search, store
 
 
@@ -202,6 +203,21 @@ def test_vector_paths_agree(spark, monkeypatch):
     one = {tuple(r) for r in search.vector_topk(vectors, asked, 5, ("id",)).collect()}
     monkeypatch.setattr(search, "HELD_QUERIES", 2)
     assert {tuple(r) for r in search.vector_topk(vectors, asked, 5, ("id",)).collect()} == one and len(one) == 40
+    mixed = asked.unionByName(spark.createDataFrame([(500, [1.0, 2.0]), (501, [])], "query_id int, v array<float>").withColumnRenamed("v", "vector"))
+    got = {tuple(r) for r in search.vector_topk(vectors, mixed, 5, ("id",)).collect()}
+    assert {r for r in got if r[0] < 500} == one and [r[1] for r in sorted(got) if r[0] == 500 and r[3] == 1] == [92]
+    assert {r[2] for r in got if r[0] == 501} == {0.0} and search.vector_topk(vectors, asked.where("false"), 5, ("id",)).count() == 0
+
+
+def test_running_sums_cut_at_quantiles(spark):
+    rng = random.Random(4)
+    rows = [("a" if rng.random() < 0.9 else "b", rng.randrange(4000) / 7, rng.randrange(9)) for _ in range(3000)]
+    once = {(g, v): n for g, v, n in rows}
+    frame = spark.createDataFrame([(g, v, n) for (g, v), n in once.items()], "g string, v double, n long").repartition(5)
+    got = {(r["g"], r["v"]): r["n_before"] for r in running_sums(frame, "v", ["n"], ["g"]).collect()}
+    assert got == {(g, v): sum(n for (h, w), n in once.items() if h == g and w < v) for g, v in once}
+    assert sum(r["n_before"] for r in running_sums(frame.where("g = 'b'").drop("g"), "v", ["n"]).collect()) == sum(x for (g, _), x in got.items() if g == "b")
+    assert running_sums(frame.where("false"), "v", ["n"]).count() == 0
 
 
 def test_gate_verdicts(spark):
