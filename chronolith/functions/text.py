@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,23 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: F.octet_length(w) >= 2)
 
 
+def _accented() -> tuple[str, str]:
+    """All accented small letters of the Latin, Greek and Cyrillic blocks, and what they are without marks."""
+    pairs = {}
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        plain = unicodedata.normalize("NFD", chr(code))
+        if len(plain) > 1 and chr(code).islower() and all(unicodedata.combining(c) for c in plain[1:]):
+            pairs[chr(code)] = plain[0]
+    return "".join(pairs), "".join(pairs.values())
+
+
+_ACCENTED, _PLAIN = _accented()
+
+
 def folded_tokens(text: Column) -> Column:
-    """Search tokens without Latin accents, for accent-insensitive matching."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return tokens(plain)
+    """Search tokens without accents, written as one letter or as a letter and combining marks."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\u0300-\u036f]", "")
+    return tokens(F.translate(bare, _ACCENTED, _PLAIN))
 
 
 def word_set(text: Column) -> Column:

@@ -9,11 +9,13 @@ from chronolith.functions.time import unexpired
 from chronolith.operators.frames import top_k
 
 MAX_HOPS = 8
+#: Seeds whose neighbours a traversal shows.
+EXPANDED = 4
 #: Observations below which routing stays off.
 ENGAGE_AT = 200
 
 
-def traverse(seeds: DataFrame, relations: DataFrame, now: int, expand: int = 4, neighbours: int = 6, shown: int = 8) -> DataFrame:
+def traverse(seeds: DataFrame, relations: DataFrame, now: int, expand: int = EXPANDED, neighbours: int = 6, shown: int = 8) -> DataFrame:
     """(query_id, place, entity_id): the first ``shown`` seeds, then up to ``neighbours`` neighbours of the first ``expand``.
 
     ``seeds`` are (query_id, rank, entity_id). The neighbours of all expanded seeds are one list, each where it is

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import framed_digest, qualified_id, round2
-from chronolith.operators import evaluation, gates, history, lifecycle, merge, recall, remember, search, spaces, store
+from chronolith.operators import evaluation, gates, history, lifecycle, merge, recall, remember, retrieve, search, spaces, store
 from chronolith.plans import fixtures as fx
 from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _hits, _recall_sql, _room_links, _sources
 from chronolith.plans.queries import _docs, query
@@ -44,6 +44,17 @@ def recall_with_spread(spark, sf_dir):
     return recall.recall_with_spread(_hits(spark, sf_dir), fx.talk(spark, sf_dir), fx.rooms(spark, sf_dir), _room_links(spark, sf_dir), 5, TALK_NOW, filters, 0.01)
 
 
+@query()
+def retrieved(spark, sf_dir):
+    """Benchmark items, every third as a relational question and every third as an identifier, over documents and talk."""
+    n = F.col("item_id")
+    lead = F.when(n % 3 == 0, "what does it depend on ").when(n % 3 == 1, "find read_file ").otherwise("")
+    asked = fx.table(spark, sf_dir, "benchmark").select(n.alias("query_id"), F.concat(lead, "text").alias("text"))
+    talk, links = fx.talk(spark, sf_dir), _room_links(spark, sf_dir)
+    newer = talk.where("id % 1000 = 1").select(F.col("id").alias("newer"), (F.col("id") - 1).alias("older"))
+    return retrieve.retrieve(asked, fx.chunks(spark, sf_dir), talk, fx.rooms(spark, sf_dir), links, newer, 10, TALK_NOW, 0.01)
+
+
 # --- changesets, revisions, outbox ------------------------------------------------------------------
 
 _OPS = """ops as (select o_custkey as changeset_id, case o_orderkey % 3 when 0 then 'create' when 1 then 'revise' else 'retire' end as op, case when o_orderkey % 3 = 0 then -o_orderkey else o_orderkey end as id,

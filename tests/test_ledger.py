@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.names import similarity
 from chronolith.functions.scores import ranked_score
-from chronolith.functions.text import answer_leaks
-from chronolith.operators import graph, history, lifecycle, recall, remember, search, store
+from chronolith.functions.text import answer_leaks, folded_tokens
+from chronolith.operators import graph, history, lifecycle, recall, remember, retrieve, search, store
 from chronolith.sources import kept_index, watch
 
 
@@ -147,3 +147,26 @@ def test_recall_refuses_a_stale_index(spark):
 
 def test_limits_are_clamped():
     assert [search.clamped(x) for x in (None, 0, -3, 7, 500)] == [10, 1, 1, 7, 50] and search.clamped(999, 256, 50) == 256
+
+
+def test_retrieval_takes_the_arm_that_the_question_names(spark, monkeypatch):
+    chunks = spark.createDataFrame([("doc://1", 0, "parser notes", [1.0, 0.0]), ("doc://2", 0, "parser tests", [0.9, 0.1]), ("doc://3", 0, "bread", [0.0, 1.0])], "uri string, chunk_index int, text string, vector array<float>")
+    obs = spark.createDataFrame([(1, "p", "the parser is slow", 0), (2, "q", "parser is fast now", 0), (3, "r", "bread is good", 0)], "id long, entity_id string, content string, observed_at long").selectExpr("*", "cast(null as bigint) valid_from", "cast(null as bigint) valid_until", "1.0d confidence", "'s' source", "false tombstoned", "'semantic' memory_tier", "cast(null as double) importance")
+    ents = spark.createDataFrame([(i, i.upper(), "project") for i in "pqrz"], "id string, name string, entity_type string")
+    rels = spark.createDataFrame([("p", "z", "uses", 1.0, None)], "from_entity string, to_entity string, relation_type string, weight double, valid_until long")
+    links = spark.createDataFrame([(2, 1)], "newer long, older long")
+    asked = spark.createDataFrame([(1, "parser", [1.0, 0.0]), (2, "what does parser use", [1.0, 0.0]), (3, "find my_parser parser", None)], "query_id long, text string, vector array<float>")
+    monkeypatch.setattr(graph, "ENGAGE_AT", 3)
+    got = {}
+    for r in retrieve.retrieve(asked, chunks, obs, ents, rels, links, 6, 100).orderBy("query_id", "place").collect():
+        got.setdefault((r["query_id"], r["intent"], r["low"]), []).append(r["item"])
+    assert got[1, "content", False][:2] == ["doc://1", "doc://2"] and set(got[1, "content", False][-2:]) == {"entity://p", "entity://q"}
+    assert got[2, "relational", False][:3] == ["entity://q", "entity://p", "entity://z"] and got[2, "relational", False][3] == "doc://1"
+    assert got[3, "lookup", None][:2] == ["entity://q", "entity://p"] and set(got[3, "lookup", None][2:]) == {"doc://1", "doc://2"}
+    monkeypatch.setattr(graph, "ENGAGE_AT", 4)
+    assert not [r for r in retrieve.retrieve(asked, chunks, obs, ents, rels, links, 6, 100).collect() if r["item"].startswith("entity")]
+
+
+def test_accents_fold_by_rule(spark):
+    rows = spark.createDataFrame([("Ångström ŽIŽEK Đukić ſ ệ naïve cafe\u0301 ά ё",)], "t string")
+    assert rows.select(folded_tokens(F.col("t"))).first()[0] == ["angstrom", "zizek", "đukic", "ſ", "naive", "cafe", "α", "е"]
