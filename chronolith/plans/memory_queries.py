@@ -324,14 +324,32 @@ def jaccard_pairs(spark, sf_dir):
     return lifecycle.similar_pairs(fx.talk(spark, sf_dir), 0.1)
 
 
-@query()
+#: The greedy pass, leader by leader within an entity: a leader that is not taken takes what it is similar to and is left.
+_LED = f"""every as (select entity_id, id, observed_at, {_WORDS} as ws from talk where not tombstoned),
+  named as (select *, first_value(id) over (partition by entity_id, list_sort(ws) order by observed_at desc, id) as class from every), w as (select * from named where id = class),
+  p as (select a.entity_id, a.id as i, b.id as j, a.observed_at as t1, b.observed_at as t2, len(list_intersect(a.ws, b.ws)) as n, len(a.ws) + len(b.ws) as m from w a join w b on a.entity_id = b.entity_id and a.id < b.id),
+  near as (select entity_id, case when t1 >= t2 then i else j end as a, case when t1 >= t2 then j else i end as b, greatest(t1, t2) as t from p where n / (m - n)::double >= 0.1),
+  heads as (select entity_id, a, list(b order by b) as bs, row_number() over (partition by entity_id order by max(t) desc, a) as n from near group by entity_id, a),
+  walk as (select distinct entity_id, 0::bigint as n, cast([] as bigint[]) as taken, cast(null as bigint) as a, cast([] as bigint[]) as got from heads
+    union all select w.entity_id, h.n, case when list_contains(w.taken, h.a) then w.taken else list_concat(w.taken, h.bs) end, h.a, case when list_contains(w.taken, h.a) then [] else list_filter(h.bs, lambda b: not list_contains(w.taken, b)) end
+    from walk w join heads h on h.entity_id = w.entity_id and h.n = w.n + 1),
+  led as (select entity_id, a as survivor, unnest(got) as loser from walk where a is not null),
+  lost as (select * from led union all select x.entity_id, coalesce(led.survivor, x.class), x.id from named x left join led on led.loser = x.class where x.id <> x.class)"""
+
+
+@query(f"with recursive {T('talk').removeprefix('with ')}, {_LED} select * from lost")
 def duplicate_leaders(spark, sf_dir):
     return lifecycle.duplicates(fx.talk(spark, sf_dir), 0.1)
 
 
-@query()
+_LATER = TALK_NOW + 10**8
+_OLD = _KEPT.replace(f"{NOW} - observed_at", f"{_LATER} - observed_at").replace("-0.001e0", "-0.01e0")
+
+
+@query(f"""with recursive {T('talk').removeprefix('with ')}, {_LED}, old as (select id from talk where not tombstoned and {_LATER} - observed_at >= 86400 and round({_OLD}, 6) < 0.05)
+  select coalesce(l.loser, old.id) as id, l.loser is not null as duplicate, old.id is not null as pruned from (select distinct loser from lost) l full join old on old.id = l.loser""")
 def consolidation(spark, sf_dir):
-    return lifecycle.consolidate(fx.talk(spark, sf_dir), TALK_NOW + 10**8, lifecycle.Consolidation(threshold=0.1))
+    return lifecycle.consolidate(fx.talk(spark, sf_dir), _LATER, lifecycle.Consolidation(threshold=0.1))
 
 
 @query(f"""{T('observations')} select id, tombstoned or id % 10 = 0 as tombstoned, case when id % 10 = 0 then least(coalesce(valid_until, {NOW}), {NOW}) else valid_until end as valid_until from observations""")
