@@ -103,7 +103,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, width: int = WID
     rows = sketch.count()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     held = texts.select("key", F.explode(_sketched(shingle_hashes(F.col("text"), width), _bitmap(sketch, rows))).alias("hash"))
-    candidates = durable(held.join(_bounded(sketch.select("item", "hash"), rows), "hash").select("key", "item").distinct())
+    candidates = durable(held.join(_bounded(sketch.select("item", "hash"), rows), "hash").select("key", "item").distinct(), of=documents)
 
     pairs = candidates.count()
     suspects = texts.join(_bounded(candidates.select("key").distinct(), pairs), "key", "left_semi").dropDuplicates(["key"])

@@ -384,15 +384,15 @@ def _kept(width: int, covered: bool):
 
 
 def _found(keyed: DataFrame, width: int) -> DataFrame:
-    answers = durable(repeated_windows(keyed, width))
-    return durable(pieces(keyed, answers, key_bitmap(answers.select(F.col("doc_id").alias("key"))), width))
+    answers = durable(repeated_windows(keyed, width), of=keyed)
+    return durable(pieces(keyed, answers, key_bitmap(answers.select(F.col("doc_id").alias("key"))), width), of=keyed)
 
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     keyed = with_key(documents)
     found = _found(keyed, width)
-    removed = durable(repeated_spans(found).groupBy("key").agg(F.collect_list(F.struct("path", "runs")).alias("items")))
+    removed = durable(repeated_spans(found).groupBy("key").agg(F.collect_list(F.struct("path", "runs")).alias("items")), of=keyed)
     members = key_bitmap(removed.select("key"))
     plain = map_batches(keyed, _kept(width, False), _result_columns(), only=only_chosen(members, False))
     cut = map_batches(chosen(keyed, members, True).join(removed.hint("shuffle_hash"), "key", "left"), _kept(width, True), _result_columns())

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes a kernel works on at once; bounds a Python worker's memory at every input size.
@@ -47,18 +48,25 @@ def shared_folder(spark: SparkSession) -> str:
     return home
 
 
-def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+#: Bytes of an operator's input for each checkpoint file, where there are more files than four for each core.
+INPUT_A_FILE = 16 << 20
+
+
+def durable(df: DataFrame, rows: int | None = None, of: DataFrame | None = None) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that all executors share.
 
     The shuffle files that led to it go at once, so the disk holds one step's shuffle and not
-    those of all steps. ``rows`` is an upper bound of the frame's rows, where one is known: it bounds
-    the number of files. The result's plan knows nothing of what it was made from; the
+    those of all steps. Two things bound the number of files, and of tasks that write them: ``rows``, an upper
+    bound of the frame's rows, and ``of``, the operator's input (one file for each ``INPUT_A_FILE`` bytes, or four for
+    each core); so a small input that lies in many partitions does not become many small files. The result's plan knows nothing of what it was made from; the
     optimizer's estimates of a loop's frames would otherwise double their digits in every round.
     """
     spark = df.sparkSession
     shared_folder(spark)
     if rows is not None:
         df = df.coalesce(-(-max(rows, 1) // ROWS_A_FILE))
+    elif of is not None:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-input_bytes(of) // INPUT_A_FILE)))
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -70,8 +78,15 @@ def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the frame's size; for a plain scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of the frame's size; for a plain scan, the bytes of its files.
+
+    Where the optimizer knows nothing (frames made from rows, checkpoints), the strings are measured in one pass.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 60:
+        return size
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
+    return df.agg(F.sum(functools.reduce(Column.__add__, strings, F.lit(16)).cast("long"))).first()[0] or 0
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:

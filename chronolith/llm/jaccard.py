@@ -337,7 +337,7 @@ def similarity_groups(documents: DataFrame, width: int = 4, percent: int = 85) -
     the smallest doc_id with an equal set, n_links the number of other rows this row is linked with.
     """
     keyed = with_key(documents)
-    summary = durable(_summaries(keyed, width, percent))
+    summary = durable(_summaries(keyed, width, percent), of=keyed)
     found_rows = summary.where("kind = 0").select("key", "doc_id", "sid", "n", "ends")
     total = found_rows.count()
     known = durable(
@@ -354,10 +354,10 @@ def similarity_groups(documents: DataFrame, width: int = 4, percent: int = 85) -
     dealt = _deal_tokens(keyed, width, percent, frequent, parts)
     hits = dealt.groupBy("part").applyInArrow(_shared_tokens(parts), _HITS)
     by_range = known.mapInArrow(_with_part(parts), "part int, sid long, n long, ends binary")
-    prefixes = durable(hits.groupBy("part").cogroup(by_range.groupBy("part")).applyInArrow(_prefixes(percent), "token long, sid long"))
+    prefixes = durable(hits.groupBy("part").cogroup(by_range.groupBy("part")).applyInArrow(_prefixes(percent), "token long, sid long"), of=keyed)
     several = prefixes.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     shared = durable(prefixes.join(several, "token"), rows=prefixes.count())
-    found = durable(_links(keyed, known.where("doc_id is not null").select("sid", "key", "doc_id", "n", "copies"), shared, width, percent))
+    found = durable(_links(keyed, known.where("doc_id is not null").select("sid", "key", "doc_id", "n", "copies"), shared, width, percent), of=keyed)
     links = found.groupBy(F.col("u").alias("class_id")).agg(F.sum("links").alias("links"))
     classes = (
         known.select("sid", F.col("doc_id").alias("class_id"), "copies")

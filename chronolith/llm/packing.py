@@ -168,7 +168,7 @@ def _layout(patterns: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 
 def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, closing: int = CLOSING_ID) -> DataFrame:
     """Pieces with the sequence and the offset each one has there (gapless from 0)."""
-    cut = durable(pieces(documents, tokenizer, window, closing))
+    cut = durable(pieces(documents, tokenizer, window, closing), of=documents)
     sizes = cut.groupBy("length").count().collect()  # at most `window` rows
     layout = _layout(plan({r["length"]: r["count"] for r in sizes}, window))
     most = max([0, *(r["count"] for r in sizes)])

@@ -290,17 +290,18 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
         return entities.select("kind", "entity", "attempt").mapInArrow(kernel, "kind string, entity string, attempt int, surrogate string")
 
     entities = found.groupBy("kind", "entity").agg(F.lit(0).alias("attempt"))
-    now = durable(propose(entities))
+    most = found.count()  # of all frames below
+    now = durable(propose(entities), rows=most)
     real = now.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
     while True:
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct(F.col("attempt") * -1, "entity"))["entity"].alias("keeper"))
         checked = now.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        marked = durable(checked.withColumn("clash", (F.col("entity") != F.col("keeper")) | F.coalesce("real", F.lit(False))))
+        marked = durable(checked.withColumn("clash", (F.col("entity") != F.col("keeper")) | F.coalesce("real", F.lit(False))), rows=most)
         if not marked.where("clash").limit(1).count():
             return marked.select("kind", "entity", "surrogate")
         fine = marked.where("not clash").select("kind", "entity", "attempt", "surrogate")
         again = propose(marked.where("clash").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
-        now = durable(fine.unionByName(again))
+        now = durable(fine.unionByName(again), rows=most)
 
 
 _RESULT = "key long, doc_id long, text string, n_entities int, spans string"
@@ -323,9 +324,9 @@ def _replace(batch: pa.RecordBatch) -> dict:
 def pseudonymize(documents: DataFrame, key: str) -> DataFrame:
     """(key, doc_id, text, n_entities, spans) of every row: spans are kind:start:end in the original text."""
     keyed = with_key(documents)
-    found = durable(mentions(keyed).dropDuplicates(["key", "start"]))
+    found = durable(mentions(keyed).dropDuplicates(["key", "start"]), of=keyed)
     table = surrogates(found, key)
-    items = durable(found.join(table, ["kind", "entity"]).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind", "surrogate")).alias("items")))
+    items = durable(found.join(table, ["kind", "entity"]).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind", "surrogate")).alias("items")), of=keyed)
     members = key_bitmap(items.select("key"))
     plain = chosen(keyed, members, False).withColumns({"n_entities": F.lit(0), "spans": F.lit("")})
     changed = map_batches(chosen(keyed, members, True).join(items.hint("shuffle_hash"), "key", "left"), _replace, _RESULT)

@@ -398,12 +398,12 @@ def matched_spans(keyed: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     parts = parts_for(keyed, RANGE_BYTES)
     dealt = deal(keyed, _anchor_kernel(length), _emit_anchors(parts), _ANCHOR_ROWS)
     answers = dealt.groupBy("part").applyInArrow(_repeated_anchors(parts), _ANSWER_ROWS)
-    answers = durable(answers.groupBy("part").applyInArrow(_by_key([("places", U64), ("flags", np.uint8), ("anchors", U64)], "key long, places binary, flags binary, anchors binary"), "key long, places binary, flags binary, anchors binary"))
+    answers = durable(answers.groupBy("part").applyInArrow(_by_key([("places", U64), ("flags", np.uint8), ("anchors", U64)], "key long, places binary, flags binary, anchors binary"), "key long, places binary, flags binary, anchors binary"), of=keyed)
     texts = chosen(keyed, key_bitmap(answers.select("key")), True).join(answers.hint("shuffle_hash"), "key")
     contexts = deal(texts, *_send_contexts(length, parts), _CONTEXT_ROWS)
     spans = contexts.groupBy("part").applyInArrow(_match_contexts(length, keep_first, parts), _SPAN_ROWS)
     spans = spans.groupBy("part").applyInArrow(_by_key([("starts", np.int64), ("counts", np.int64)], "key long, starts binary, counts binary"), "key long, starts binary, counts binary")
-    return durable(answers.select("key", "places", "flags").join(spans, "key", "left"))
+    return durable(answers.select("key", "places", "flags").join(spans, "key", "left"), of=keyed)
 
 
 def covered(size: int, length: int, places: bytes, flags: bytes, starts: bytes | None, counts: bytes | None, keep_first: bool) -> np.ndarray:
