@@ -18,6 +18,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
 
 
+def dealt(union: DataFrame, *keys: str) -> DataFrame:
+    """A union dealt by the keys of the aggregate that follows, in an exchange of its own: the planner may take a union of
+    frames that are dealt alike for dealt already, which fails when they are coalesced differently at run time."""
+    return union.repartition(*keys)
+
+
 def top_k(df: DataFrame, by: list[Column], k: int, per: list[str] | None = None, rank: str = "rank") -> DataFrame:
     """The first k rows, of the frame or of each group, with their rank from 1.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.time import unexpired
-from chronolith.operators.frames import top_k
+from chronolith.operators.frames import dealt, top_k
 
 MAX_HOPS = 8
 #: Seeds whose neighbours a traversal shows.
@@ -32,7 +32,7 @@ def traverse(seeds: DataFrame, relations: DataFrame, now: int, expand: int = EXP
     last = (F.col("first.relation_type") == "part_of").cast("int")
     some = top_k(once, [last, F.col("first"), F.col("near")], neighbours, ["query_id"], "near_no")
     waves = first.select("query_id", "entity_id", F.lit(0).alias("wave"), F.col("seed_no").alias("nth")).unionByName(some.select("query_id", F.col("near").alias("entity_id"), F.lit(1).alias("wave"), F.col("near_no").alias("nth")))
-    every = waves.groupBy("query_id", "entity_id").agg(F.min(F.struct("wave", "nth")).alias("at"))
+    every = dealt(waves, "query_id", "entity_id").groupBy("query_id", "entity_id").agg(F.min(F.struct("wave", "nth")).alias("at"))
     return every.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "entity_id"))).select("query_id", "place", "entity_id")
 
 
@@ -53,7 +53,7 @@ def supersession_chain(links: DataFrame, starts: DataFrame, hops: int = MAX_HOPS
 
 def append_dedup(routes: DataFrame, k: int) -> DataFrame:
     """(query_id, place, item): items of several routes (query_id, route, rank, item), primary first, each item once."""
-    once = routes.groupBy("query_id", "item").agg(F.min(F.struct("route", "rank")).alias("at"))
+    once = dealt(routes, "query_id", "item").groupBy("query_id", "item").agg(F.min(F.struct("route", "rank")).alias("at"))
     return top_k(once, [F.col("at"), F.col("item")], k, ["query_id"], "place").select("query_id", "place", "item")
 
 
@@ -72,7 +72,7 @@ def promote_successors(hits: DataFrame, chain: DataFrame, k: int) -> DataFrame:
     headed = hits.join(last, hits["item"] == last["start"], "left")
     first = headed.select("query_id", "rank", F.lit(0).alias("behind"), F.coalesce("head", "item").alias("item"))
     then = headed.where("head is not null and head <> item").select("query_id", "rank", F.lit(1).alias("behind"), "item")
-    once = first.unionByName(then).groupBy("query_id", "item").agg(F.min(F.struct("rank", "behind")).alias("at"))
+    once = dealt(first.unionByName(then), "query_id", "item").groupBy("query_id", "item").agg(F.min(F.struct("rank", "behind")).alias("at"))
     return top_k(once, [F.col("at"), F.col("item")], k, ["query_id"], "place").select("query_id", "place", "item")
 
 

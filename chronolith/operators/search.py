@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronolith.functions.scores import K1, B, bm25_term, idf
 from chronolith.functions.text import tokens
-from chronolith.operators.frames import small, top_k
+from chronolith.operators.frames import dealt, small, top_k
 
 RESERVED_PREFIX = "memory://"
 MAX_FETCH = 4096
@@ -264,7 +264,7 @@ def rrf_fuse(vector: DataFrame, keyword: DataFrame, k: int, alpha: float = 0.7,
 
     if bare is not None:
         keyword = keyword.join(small(bare.select("query_id").distinct().withColumn("own", F.lit(True))), "query_id", "left")
-    fused = part(vector, alpha).unionByName(part(keyword, 1 - alpha)).groupBy("query_id", *key).agg(F.round(F.sum("part"), 6).alias("score"))
+    fused = dealt(part(vector, alpha).unionByName(part(keyword, 1 - alpha)), "query_id", *key).groupBy("query_id", *key).agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(fused, [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
 
 
