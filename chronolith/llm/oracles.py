@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolith.llm import contamination
+from chronolith.llm import audit, contamination, manifest
 
 _SPLIT = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -49,4 +49,17 @@ def removed_bytes(length: int = 200) -> str:
     from h left join sums s on s.doc_id = h.doc_id left join kept k on k.doc_id = h.doc_id"""
 
 
-ORACLE_SQL = {"op1_ngram_jaccard": similarity_groups(), "op5_substring_dedup": removed_windows(), "op8_suffix_dedup": removed_bytes(), "op10_decontamination": contamination.oracle_sql()}
+def near_duplicates(width: int = 3, percent: int = 85) -> str:
+    """The same links as ``similarity_groups`` counts, whatever found them."""
+    return f"select doc_id, n_shingles, component_id, doc_id = component_id as kept from ({similarity_groups(width, percent)})"
+
+
+ORACLE_SQL = {
+    "op1_ngram_jaccard": similarity_groups(),
+    "op5_substring_dedup": removed_windows(),
+    "op8_suffix_dedup": removed_bytes(),
+    "op10_decontamination": contamination.oracle_sql(),
+    "op11_merkle_manifest": manifest.oracle_sql(),
+    "op12_filter_audit": audit.oracle_sql(),
+    "op13_minhash_dedup": near_duplicates(),
+}
