@@ -7,11 +7,13 @@ few samples differ, and the number of differing bits tells high similarities apa
 the number of common bands. Candidates whose sketches differ too much are dropped before any text moves.
 
 A bucket's pairs are never listed. First each bucket's sets meet one of them, its leader, which differs
-among ``LEADERS`` kinds of bands, so that a group of near copies grows together from several centres. What these
-stars link is merged into components; only buckets whose sets still lie in several components are
-looked at again, exhaustively but only across components, as bounded blocks of sketches.
-Candidates are confirmed as stars of bounded chunks: one set against at most ``STAR_SETS`` others, with the exact
-number of common shingles.
+among ``LEADERS`` kinds of bands, so that a group of near copies grows together from several centres; each such
+star is cut into chunks of at most ``STAR_SETS`` sets, and full sets confirm it. What stars link is merged into
+components. Only buckets whose sets still lie in several components are looked at again, exhaustively but only across
+components: their sets are gathered in bounded blocks, blocks that share a band meet as blocks of
+sketches, and where two sketches are near, the full sets of just these documents meet in the same block. There a pair is
+counted out only if nothing links its components yet, and only a spanning forest leaves. Near copies that stay apart from
+their group (more edits than the threshold allows) are what this costs for: each is compared with the group's others.
 
 No link is lost but by chance: a pair at the threshold shares no band with probability
 ``missed_by_bands`` (under 1e-12), and is sifted out with ``SIFT_RISK`` (1e-9). Both shrink fast above the threshold.
@@ -49,8 +51,9 @@ _LONGS = SKETCH_BITS // 64
 SIFT_RISK = 1e-9
 #: Leaders that a group of sets may have in the first round.
 LEADERS = 4
-#: Sets that meet all of each other as one block of sketches.
-BLOCK_SETS = 512
+#: Sets, and shingles, of a block.
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 1 << 18
 #: Sets, and shingles, that one set is compared with in one star.
 STAR_SETS = 128
 STAR_SHINGLES = 1 << 18
@@ -180,54 +183,121 @@ def _confirmed(found: DataFrame, keyed: DataFrame, width: int, percent: int) ->
     others = stars.select("star", F.col("v").alias("key"), F.col("v_doc").alias("doc_id"), "n", F.lit(False).alias("leads"))
     needs = durable(leaders.unionByName(others), of=keyed)
     lots = 1 + (needs.agg(F.sum("n")).first()[0] or 0) // LOT_SHINGLES
-    texts = chosen(keyed, key_bitmap(needs.select("key")), True).groupBy("key").agg(F.any_value("text").alias("text"))
-    rows = needs.join(texts, "key").select(F.pmod("star", F.lit(lots)).alias("lot"), "star", "leads", "doc_id", "text")
+    rows = needs.join(_texts(needs, keyed), "key").select(F.pmod("star", F.lit(lots)).alias("lot"), "star", "leads", "doc_id", "text")
     return durable(rows.groupBy("lot").applyInArrow(_common(width, percent), "u long, v long"), of=keyed)
 
 
-def _across(percent: int):
-    """Pairs of a lot's blocks whose components differ and whose sizes and sketches fit."""
+_SKETCH = [f"s{i}" for i in range(_LONGS)]
+_MEMBER = "task long, block long, key long, doc_id long, component long, n long, " + ", ".join(f"{c} long" for c in _SKETCH)
+
+
+def _fitting(table: pa.Table, percent: int) -> np.ndarray:
+    """Which pairs of a task's sets may be linked: another component, another block if there are two, size and sketch."""
     most = most_differing_bits(percent)
+    block, group, n = (table.column(c).to_numpy() for c in ("block", "component", "n"))
+    sketch = np.stack([table.column(c).to_numpy() for c in _SKETCH], axis=1).view(U64)
+    fits = np.triu(group[:, None] != group[None, :], 1) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    if block.min() != block.max():
+        fits &= block[:, None] != block[None, :]
+    for i in np.flatnonzero(fits.any(axis=1)).tolist():
+        others = np.flatnonzero(fits[i])
+        fits[i, others] = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1) <= most
+    return fits
+
+
+def _tasks(table: pa.Table):
+    """The table cut into its tasks."""
+    table = table.take(pa.array(np.argsort(table.column("task").to_numpy(), kind="stable"))).combine_chunks()
+    task = table.column("task").to_numpy()
+    cut = np.flatnonzero(np.r_[True, task[1:] != task[:-1], True])
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield table.slice(a, b - a)
+
+
+def _near_sketches(percent: int):
+    """Of a lot of tasks, the sets that have a fitting partner in their task."""
 
     def reduce(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("block").to_numpy(), kind="stable")
-        table = table.take(pa.array(order)).combine_chunks()
-        block, key, group, n = (table.column(c).to_numpy() for c in ("block", "key", "component", "n"))
-        sketch = np.stack([s.to_numpy() for s in (table.column(f"s{i}") for i in range(_LONGS))], axis=1).view(U64)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            for i in range(a, b - 1):
-                others = slice(i + 1, b)
-                fits = (group[others] != group[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
-                fits[fits] = np.bitwise_count(sketch[others][fits] ^ sketch[i]).sum(axis=1) <= most
-                found = key[others][fits]
-                us.append(np.minimum(found, key[i]))
-                vs.append(np.maximum(found, key[i]))
-        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+        out = [table.slice(0, 0)]
+        for part in _tasks(table):
+            fits = _fitting(part, percent)
+            out.append(part.filter(pa.array(fits.any(axis=0) | fits.any(axis=1))))
+        return pa.concat_tables(out).select([c.split()[0] for c in _MEMBER.split(", ")])
+
+    return reduce
+
+
+def _forest(width: int, percent: int):
+    """Edges that join the components of a lot of tasks, from the exact number of common shingles."""
+
+    def edges(part: pa.Table, us: list, vs: list) -> None:
+        fits = _fitting(part, percent)
+        sets, docs, group = sets_of(part.combine_chunks(), width), part.column("doc_id").to_numpy(), part.column("component").to_numpy()
+        n = np.array([len(s) for s in sets])
+        _, number = np.unique(joined(sets, U64), return_inverse=True)
+        number, mark = np.split(number, np.cumsum(n)[:-1]), np.zeros(int(number.max()) + 1, bool)
+        _, root = np.unique(group, return_inverse=True)  # grows together as links are found
+        for i in np.flatnonzero(fits.any(axis=1)).tolist():
+            mark[number[i]] = True
+            others = np.flatnonzero(fits[i] & (root != root[i]))
+            for lot in np.split(others, np.arange(64, len(others), 64)):
+                lot = lot[root[lot] != root[i]]
+                if not len(lot):
+                    continue
+                starts = np.cumsum(n[lot]) - n[lot]
+                both = np.add.reduceat(mark[np.concatenate([number[j] for j in lot])].astype(np.int64), starts)
+                for j in lot[100 * both >= percent * (n[i] + n[lot] - both)].tolist():
+                    if root[i] != root[j]:
+                        us.append(docs[i])
+                        vs.append(docs[j])
+                        root[root == root[j]] = root[i]
+            mark[number[i]] = False
+
+    def reduce(table: pa.Table) -> pa.Table:
+        us, vs = [], []
+        for part in _tasks(table):
+            edges(part, us, vs)
+        release()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return reduce
 
 
-def _blocked(rows: DataFrame) -> DataFrame:
-    """(block, key, component): every pair of a bucket's sets from two components is in one block at least.
+def _met(rest: DataFrame, sets: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Tasks, as rows of ``_MEMBER``: every pair of sets of two components that share a band is in one task at least.
 
-    A bucket of at most ``BLOCK_SETS`` sets is a block. A larger one is cut by hashes: components that fill half a chunk
-    on their own make chunks of their own, which needn't meet each other; all other pairs of chunks are blocks.
+    ``rest`` is (band, key, component, leader). Sets are gathered by their smallest leader and cut into blocks;
+    components that fill a quarter of a block on their own make blocks of their own, which needn't meet each other.
     """
-    sizes = rows.groupBy("band").agg(F.count("*").alias("size"))
-    small = rows.join(sizes.where(F.col("size") <= BLOCK_SETS), "band").select(F.col("band").alias("block"), "key", "component")
-    large = durable(rows.join(sizes.where(F.col("size") > BLOCK_SETS).select("band"), "band"))
-    own = large.groupBy("band", "component").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK_SETS // 4)
-    named = large.join(own, ["band", "component"], "left").withColumn("label", F.when(F.col("k").isNotNull(), F.col("component")))
-    whole = named.groupBy("band", "label").agg(F.ceil(F.count("*") / (BLOCK_SETS // 2)).alias("chunks"))
-    cut = whole.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("at", F.xxhash64("label", "chunk"))
-    left, right = cut.select("band", F.col("label").alias("l"), F.col("at").alias("a")), cut.select("band", F.col("label").alias("m"), F.col("at").alias("b"))
-    meets = left.join(right, "band").where((F.col("a") <= F.col("b")) & ~F.coalesce(F.col("l") == F.col("m"), F.lit(False)))
-    sides = meets.select("band", F.xxhash64("band", "a", "b").alias("block"), F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
-    placed = named.drop("k").join(whole.withColumnRenamed("band", "band_").withColumnRenamed("label", "label_"), (F.col("band") == F.col("band_")) & F.col("label").eqNullSafe(F.col("label_")))
-    held = placed.select("band", "key", "component", F.xxhash64("label", F.pmod(F.xxhash64("key"), F.col("chunks"))).alias("at"))
-    return small.unionByName(held.join(sides, ["band", "at"]).select("block", "key", "component"))
+    homes = rest.groupBy("key", "component").agg(F.min("leader").alias("home"))
+    homes = durable(homes.join(sets.select("key", "doc_id", "n", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)]), "key"), of=keyed)
+    own = homes.groupBy("home", "component").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK_SETS // 4).drop("k")
+    named = homes.join(own.withColumn("label", F.col("component")), ["home", "component"], "left").withColumn("family", F.xxhash64("home", "label"))
+    whole = named.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("chunks"))
+    placed = named.join(whole, "family").withColumn("block", F.xxhash64("family", F.pmod(F.xxhash64("key"), F.col("chunks"))))
+    placed = durable(placed.select("block", "label", "key", "doc_id", "component", "n", *_SKETCH), of=keyed)
+    spots = durable(rest.select("band", "key").join(placed.select("key", "block", "label"), "key").select("band", "block", "label").distinct(), of=keyed)
+    left, right = (spots.select("band", F.col("block").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
+    apart = left.join(right, "band").where("a < b and not coalesce(a_label = b_label, false)").select("a", "b").distinct()
+    alone = placed.where("label is null").groupBy(F.col("block").alias("a")).agg(F.count("*").alias("k")).where("k > 1").select("a", F.col("a").alias("b"))
+    sides = apart.unionByName(alone).select(F.xxhash64("a", "b").alias("task"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    return sides.join(placed.drop("label"), "block").select(*[c.split()[0] for c in _MEMBER.split(", ")])
+
+
+def _across(rest: DataFrame, sets: DataFrame, keyed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (u, v) between documents of components that stars left apart."""
+    met = durable(_met(rest, sets, keyed), of=keyed)
+    lots = 1 + met.count() // LOT_SKETCHES
+    near = met.withColumn("lot", F.pmod("task", F.lit(lots))).groupBy("lot").applyInArrow(_near_sketches(percent), _MEMBER)
+    near = durable(near, of=keyed)
+    lots = 1 + (near.agg(F.sum("n")).first()[0] or 0) // LOT_SHINGLES
+    rows = near.join(_texts(near, keyed), "key").withColumn("lot", F.pmod("task", F.lit(lots)))
+    return durable(rows.groupBy("lot").applyInArrow(_forest(width, percent), "u long, v long"), of=keyed)
+
+
+def _texts(needs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(key, text) of the keys that are needed, once each."""
+    return chosen(keyed, key_bitmap(needs.select("key").distinct()), True).groupBy("key").agg(F.any_value("text").alias("text"))
 
 
 def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -251,15 +321,13 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85) ->
     linked = components(edges)
     # what no leader told apart: buckets whose other sets still lie in several components
     component = known.where("doc_id is not null").select("key", "doc_id").join(linked, F.col("doc_id") == F.col("node"), "left").select("key", F.coalesce("component", "doc_id").alias("component"))
-    rest = placed.where("size > 2").select("band", "key").join(component, "key")
+    rest = placed.where("size > 2").select("band", "key", "leader").join(component, "key")
     mixed = rest.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-    blocks = durable(_blocked(durable(rest.join(mixed, "band"), of=keyed)), of=keyed)
-    lots = 1 + blocks.count() // LOT_SKETCHES
-    words = sets.select("key", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(_LONGS)])
-    crossed = blocks.join(words, "key").withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(lots))).groupBy("lot").applyInArrow(_across(percent), "u long, v long").distinct()
-    crossed = durable(_sifted(crossed, sets, percent), of=keyed)
-    if crossed.head(1):
-        linked = components(durable(edges.unionByName(_confirmed(crossed, keyed, width, percent)), of=keyed))
+    rest = durable(rest.join(mixed, "band"), of=keyed)
+    if rest.head(1):
+        more = _across(rest, sets, keyed, width, percent)
+        if more.head(1):
+            linked = components(edges.unionByName(more))
     classes = known.select("sid", "doc_id").join(linked, F.col("doc_id") == F.col("node"), "left").select("sid", F.coalesce("component", "doc_id").alias("component_id"))
     full = rows.select("sid", "doc_id", F.col("n").alias("n_shingles")).join(classes, "sid").drop("sid")
     empty = summary.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -238,7 +238,7 @@ def minhash_rows():
     return [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, texts[5], "en", "s", 1), (None, "nobody else has this", "en", "s", 1)]
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [256, 8])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK_SETS", block)
     monkeypatch.setattr(minhash, "STAR_SETS", 16)
