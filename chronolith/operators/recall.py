@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.scores import SCORE_FLOOR, SPREAD_DECAY, ranked_score, unit
 from chronolith.functions.time import unexpired, valid_at
+from chronolith.operators import search
 from chronolith.operators.frames import small, top_k
 
 # The known entity types.
@@ -32,20 +33,25 @@ def instant(filters: Filters, now: int) -> int:
     return filters.as_of if filters.as_of is not None else now
 
 
-def kept(rows: DataFrame, filters: Filters, now: int) -> DataFrame:
-    """Observation rows with entity_name and entity_type that pass the filters."""
-    out = rows.where(valid_at(instant(filters, now)))
+def keeps(filters: Filters, now: int) -> Column:
+    """Whether an observation row with entity_name and entity_type passes the filters; never null."""
+    fine = valid_at(instant(filters, now))
     if filters.entity_type:
-        out = out.where(F.col("entity_type") == filters.entity_type)
+        fine &= F.col("entity_type") == filters.entity_type
     if filters.source:
-        out = out.where(F.col("source") == filters.source)
+        fine &= F.col("source") == filters.source
     if filters.min_confidence is not None:
-        out = out.where(F.col("confidence") >= filters.min_confidence)
+        fine &= F.col("confidence") >= filters.min_confidence
     if filters.tier:
-        out = out.where(F.col("memory_tier") == filters.tier)
+        fine &= F.col("memory_tier") == filters.tier
     if filters.entity_names:
-        out = out.where(F.lower("entity_name").isin([n.lower() for n in filters.entity_names]))
-    return out
+        fine &= F.lower("entity_name").isin([n.lower() for n in filters.entity_names])
+    return F.coalesce(fine, F.lit(False))
+
+
+def kept(rows: DataFrame, filters: Filters, now: int) -> DataFrame:
+    """Observation rows with entity_name and entity_type that pass the filters."""
+    return rows.where(keeps(filters, now))
 
 
 def known_type(column: str = "entity_type"):
@@ -62,10 +68,27 @@ def hydrate(hits: DataFrame, observations: DataFrame, entities: DataFrame) -> Da
 def recall(hits: DataFrame, observations: DataFrame, entities: DataFrame, k: int, now: int, filters: Filters = Filters(), rate: float = 0.0) -> DataFrame:
     """(query_id, rank, id, entity_id, raw, score): the k best observations at or above the floor.
 
-    ``hits`` are search results fetched deep enough for the filters (``search.fetch_bound``).
+    ``hits`` (query_id, id, raw) are all matches of the queries; where they come from a search, ``recalled`` filters within it.
+    """
+    return _ranked(kept(hydrate(hits, observations, entities), filters, now), k, instant(filters, now), rate)
+
+
+def recalled(queries: DataFrame, observations: DataFrame, entities: DataFrame, k: int, now: int, filters: Filters = Filters(), rate: float = 0.0) -> DataFrame:
+    """``recall`` of the queries (query_id, text) among all observations: filters, ages and confidences hold before the limit.
+
+    Which observations may answer, and by what factor their score changes, goes into the scan of their texts, so
+    that no answer is lost behind better matches that the filters refuse. An observation without an entity is no answer.
     """
     at = instant(filters, now)
-    rows = kept(hydrate(hits, observations, entities), filters, now)
+    named = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), known_type().alias("entity_type"), F.lit(True).alias("known"))
+    factor = ranked_score(F.lit(1.0), F.col("observed_at"), F.col("confidence"), F.col("importance"), at, rate)
+    rows = observations.join(named, "entity_id", "left").withColumn("factor", F.when(F.col("known") & keeps(filters, now), factor))
+    key = ("id", "entity_id", "observed_at", "confidence", "importance")
+    best = search.best_matches(rows.select(*key, F.col("content").alias("text"), "factor"), queries, k, key, boost="factor")
+    return _ranked(best.withColumnRenamed("score", "raw"), k, at, rate)
+
+
+def _ranked(rows: DataFrame, k: int, at: int, rate: float) -> DataFrame:
     scored = rows.withColumn("score", F.round(ranked_score(F.col("raw"), F.col("observed_at"), F.col("confidence"), F.col("importance"), at, rate), 6))
     found = scored.where(F.col("score") >= SCORE_FLOOR).select("query_id", "id", "entity_id", "raw", "score")
     return top_k(found, [F.desc("score"), F.col("id")], k, ["query_id"])
@@ -108,9 +131,9 @@ def spread(seeds: DataFrame, relations: DataFrame, observations: DataFrame, enti
     return top_k(once, order, slots, ["query_id"], "place").select("query_id", "place", "id", "entity_id", "raw", "score")
 
 
-def recall_with_spread(hits: DataFrame, observations: DataFrame, entities: DataFrame, relations: DataFrame, k: int, now: int, filters: Filters = Filters(), rate: float = 0.0) -> DataFrame:
+def recall_with_spread(queries: DataFrame, observations: DataFrame, entities: DataFrame, relations: DataFrame, k: int, now: int, filters: Filters = Filters(), rate: float = 0.0) -> DataFrame:
     """Direct hits, and where they are fewer than k, spread rows appended behind them (never re-sorted)."""
-    direct = recall(hits, observations, entities, k, now, filters, rate)
+    direct = recalled(queries, observations, entities, k, now, filters, rate)
     extra = spread(direct, relations, observations, entities, k, now, filters, rate)
     count = direct.groupBy("query_id").agg(F.count("*").alias("n"))
     fill = extra.join(count, "query_id").where(F.col("place") <= F.lit(k) - F.col("n"))

@@ -22,7 +22,6 @@ from chronolith.functions.text import tokens
 from chronolith.operators.frames import dealt, small, top_k
 
 RESERVED_PREFIX = "memory://"
-MAX_FETCH = 4096
 
 
 def postings(chunks: DataFrame, text: str = "text", key: tuple[str, ...] = ("uri", "chunk_index")) -> DataFrame:
@@ -82,79 +81,104 @@ def keyword_topk(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int
     return top_k(scored, [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
 
 
-#: (query, term) rows that are collected for scoring in blocks, and entries of the term-by-query matrix a task holds
-#: (32 MB); larger query sets are joined with postings instead.
-HELD_TERMS, HELD_WEIGHTS = 1_000_000, 4_000_000
-#: Entries of the document-by-term matrix that a task works on at once (16 MB).
-HELD_COUNTS = 2_000_000
+#: (query, term) rows that a task holds at once; a larger query set is worked through in blocks of about so many.
+HELD_TERMS = 250_000
+#: Entries of the document-by-query matrix that a task works on at once (16 MB).
+HELD_SCORES = 2_000_000
+#: Scores are rounded to six digits after a product; what lies this near the k-th best may tie with it.
+SLACK = 2e-6
 
 
 def text_topk(chunks: DataFrame, queries: DataFrame, k: int, key: tuple[str, ...] = ("uri", "chunk_index"), fields: dict[str, float] | None = None) -> DataFrame:
-    """``keyword_topk`` from the texts themselves: (query_id, rank, *key, score).
+    """``keyword_topk`` from the texts themselves: (query_id, rank, *key, score), by ``best_matches``."""
+    best = best_matches(chunks, queries, k, key, fields)
+    return top_k(best, [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
+
+
+def best_matches(chunks: DataFrame, queries: DataFrame, k: int, key: tuple[str, ...] = ("uri", "chunk_index"), fields: dict[str, float] | None = None, boost: str | None = None) -> DataFrame:
+    """(query_id, *key, score): a superset of each query's k best rows, with all ties, in no order.
 
     A stated query set against all rows: two scans of the texts and no shuffle of postings. The first
     counts in how many documents each query word occurs, and their lengths; the second multiplies every
-    batch's term matrix with the queries' weights and passes on the batch's k best rows per query and their
-    ties. ``fields`` are weighted as in ``fielded_postings``; without them the column ``text`` is searched.
+    batch's term counts with the queries' weights, both sparse, and passes on the batch's k best rows per query and
+    their ties. ``fields`` are weighted as in ``fielded_postings``; without them the column ``text`` is searched.
+    With ``boost``, a column of factors, rows are best by score times factor, and rows whose factor is null are no
+    answers, though they count in the statistics: so filters and priors hold before the limit, not after it.
     """
     terms = query_terms(queries).where("query_id is not null")
-    held = terms.limit(HELD_TERMS + 1).collect()
-    vocabulary = sorted({r["term"] for r in held})
-    asked = list(dict.fromkeys(r["query_id"] for r in held))
-    if not held or len(held) > HELD_TERMS or len(vocabulary) * len(asked) > HELD_WEIGHTS:
-        posted = postings(chunks, key=key) if fields is None else fielded_postings(chunks, fields, key)
-        return keyword_topk(posted, document_stats(chunks) if fields is None else corpus_stats(posted, key), queries, k, key)
+    schema = StructType([terms.schema["query_id"], *(chunks.schema[c] for c in key), StructField("score", DoubleType())])
     weights = fields or {"text": 1.0}
-    words = chunks.select(*key, *[tokens(F.col(f)).alias(f"words_{i}") for i, f in enumerate(weights)])
-    counts = _Counts(vocabulary, list(weights), [1.0 if fields is None else float(round(w * 2)) for w in weights.values()])
+    factor = [] if boost is None else [F.col(boost).cast("double").alias("boost_by")]
+    words = chunks.select(*key, *factor, *[tokens(F.col(f)).alias(f"words_{i}") for i, f in enumerate(weights)])
+    times = [1.0 if fields is None else float(round(w * 2)) for w in weights.values()]
+    held = terms.limit(HELD_TERMS + 1).toArrow()
+    blocks = 1 if held.num_rows <= HELD_TERMS else -(-terms.count() // HELD_TERMS)
+    best = None
+    for block in range(blocks):
+        mine = held if blocks == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if mine.num_rows:
+            part = _block_matches(words, mine, k, key, list(weights), times, schema)
+            best = part if best is None else best.unionByName(part)
+    return chunks.sparkSession.createDataFrame([], schema) if best is None else best
+
+
+def _block_matches(words: DataFrame, held: pa.Table, k: int, key: tuple[str, ...], fields: list[str], times: list[float], schema: StructType) -> DataFrame:
+    arrow = to_arrow_schema(schema)
+    asked = held.column("query_id").combine_chunks().dictionary_encode()
+    vocabulary = held.column("term").combine_chunks().dictionary_encode()
+    names, counts = asked.dictionary, _Counts(vocabulary.dictionary, fields, times)
     seen = words.mapInArrow(counts.documents, "number int, df long, dl double").groupBy("number").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).collect()  # a row for each query word
     total = next((r for r in seen if r["number"] < 0), None)
     n_docs, avg_dl = (total["df"], total["dl"] / total["df"]) if total and total["df"] else (0, 1.0)
-    df = np.zeros(len(vocabulary))
+    df = np.zeros(len(vocabulary.dictionary))
     for r in seen:
         if r["number"] >= 0:
             df[r["number"]] = r["df"]
-    matrix, place = np.zeros((len(vocabulary), len(asked))), {q: i for i, q in enumerate(asked)}
-    number = {t: i for i, t in enumerate(vocabulary)}
-    for r in held:
-        matrix[number[r["term"]], place[r["query_id"]]] = r["times"]
-    matrix *= np.log((n_docs - df + 0.5) / (df + 0.5) + 1)[:, None]
-    schema = StructType([terms.schema["query_id"], *(chunks.schema[c] for c in key), StructField("score", DoubleType())])
-    arrow = to_arrow_schema(schema)
+    term, query = vocabulary.indices.to_numpy(), asked.indices.to_numpy()
+    weight = held.column("times").to_numpy() * np.log((n_docs - df + 0.5) / (df + 0.5) + 1)[term]
+    order = np.argsort(term, kind="stable")
+    query, weight, starts = query[order].astype(np.int64), weight[order], np.searchsorted(term[order], np.arange(len(df) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(asked, arrow.field("query_id").type)
+        step = max(1, HELD_SCORES // len(names))
         for batch in batches:
-            step = max(1, HELD_COUNTS // len(vocabulary))
             for lo in range(0, batch.num_rows, step):
                 piece = batch.slice(lo, step)
-                tf, dl = counts.matrix(piece)
-                tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl)[:, None])
-                score = np.round(tf @ matrix, 6)
-                row, query = _best(score, k, score > 0)
-                taken = pa.array(row)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), *(piece.column(c).take(taken) for c in key), pa.array(score[row, query])], schema=arrow)
-
-    return top_k(words.mapInArrow(run, schema), [F.desc("score"), *(F.col(c) for c in key)], k, ["query_id"])
-
-
-def _best(score: np.ndarray, k: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each column's k largest values and their ties."""
+                row, found, tf, dl = counts.cells(piece)
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avg_dl))
+                many = starts[found + 1] - starts[found]  # queries that ask for each cell's term
+                at = np.arange(int(many.sum())) + np.repeat(starts[found] - np.cumsum(many) + many, many)
+                cell = np.repeat(row * len(names), many) + query[at]
+                score = np.round(np.bincount(cell, np.repeat(part, many) * weight[at], piece.num_rows * len(names)).reshape(-1, len(names)), 6)
+                allowed, by, slack = score > 0, score, 0.0
+                if "boost_by" in piece.schema.names:
+                    factor = piece.column("boost_by").to_numpy(zero_copy_only=False)
+                    known = ~np.isnan(factor)
+                    allowed, by, slack = allowed & known[:, None], score * np.where(known, factor, 0.0)[:, None], SLACK
+                taken, place = _best(by, k, allowed, slack)
+                rows = pa.array(taken)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(place)).cast(arrow.field("query_id").type), *(piece.column(c).take(rows) for c in key), pa.array(score[taken, place])], schema=arrow)
+
+    return words.mapInArrow(run, schema)
+
+
+def _best(score: np.ndarray, k: int, allowed: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each column's k largest allowed values and their ties."""
     if len(score) > k:
-        allowed = allowed & (score >= np.partition(score, len(score) - k, axis=0)[len(score) - k])
+        own = np.where(allowed, score, -np.inf)
+        allowed = allowed & (own >= np.partition(own, len(own) - k, axis=0)[len(own) - k] - slack)
     return np.nonzero(allowed)
 
 
 class _Counts:
     """Term counts of batches of token arrays, over a fixed vocabulary."""
 
-    def __init__(self, vocabulary: list[str], fields: list[str], times: list[float]):
+    def __init__(self, vocabulary: pa.Array, fields: list[str], times: list[float]):
         self.vocabulary, self.times = vocabulary, times
         self.text = fields.index("text") if "text" in fields and len(fields) > 1 else None
 
     def _found(self, batch: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
         """(row, term, weight) of each field's tokens that are in the vocabulary, and the rows' weighted lengths."""
-        known = pa.array(self.vocabulary, pa.string())
         lists = [batch.column(f"words_{i}") for i in range(len(self.times))]
         sizes = [np.diff(np.asarray(x.offsets)).astype(np.float64) for x in lists]
         weights = [np.full(batch.num_rows, t) for t in self.times]
@@ -164,25 +188,25 @@ class _Counts:
         out = []
         for x, size, weight in zip(lists, sizes, weights, strict=True):
             row = np.repeat(np.arange(batch.num_rows), size.astype(np.int64))
-            term = pc.index_in(x.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            flat = x.flatten()
+            term = pc.index_in(flat, value_set=self.vocabulary.cast(flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
             hit = term >= 0
             out.append((row[hit], term[hit], weight[row[hit]]))
         return out, sum(s * w for s, w in zip(sizes, weights, strict=True))
 
-    def matrix(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Weighted term counts (rows, vocabulary), and lengths."""
+    def cells(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weighted count) of the terms that occur, and all rows' lengths."""
         found, dl = self._found(batch)
         width = len(self.vocabulary)
-        cells = np.concatenate([row * width + term for row, term, _ in found])
-        return np.bincount(cells, np.concatenate([w for _, _, w in found]), batch.num_rows * width).reshape(-1, width), dl
+        cell, place = np.unique(np.concatenate([row * width + term for row, term, _ in found]), return_inverse=True)
+        return cell // width, cell % width, np.bincount(place, np.concatenate([w for _, _, w in found]), len(cell)), dl
 
     def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(number, df, dl): documents with each word; number -1 has all documents with words, and their length."""
         df, n, length = np.zeros(len(self.vocabulary), np.int64), 0, 0.0
         for batch in batches:
-            found, dl = self._found(batch)
-            pairs = np.unique(np.concatenate([row * len(self.vocabulary) + term for row, term, _ in found]))
-            df += np.bincount(pairs % len(self.vocabulary), minlength=len(self.vocabulary))
+            _, term, _, dl = self.cells(batch)
+            df += np.bincount(term, minlength=len(self.vocabulary))
             n, length = n + int((dl > 0).sum()), length + float(dl.sum())
         number = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
@@ -292,11 +316,6 @@ def search(hits: DataFrame, k: int, prefix: str | None = None, min_score: float
     return top_k(kept.drop("rank"), [F.desc("score"), F.col("uri"), F.col("chunk_index")], k, ["query_id"])
 
 
-def fetch_bound(k: int, corpus: int, filtered: bool) -> int:
-    """Rows that the filtered paths fetch before they filter."""
-    return min(max(3 * k, 32 * k), corpus, MAX_FETCH) if filtered else 3 * k
-
-
 def insert_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """Add chunks; rows without a vector take part in keyword search only."""
     return chunks.unionByName(new, allowMissingColumns=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.text import framed_digest, qualified_id, round2
 from chronolith.operators import evaluation, gates, history, lifecycle, merge, recall, remember, retrieve, search, spaces, store
 from chronolith.plans import fixtures as fx
-from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _hits, _recall_sql, _room_links, _sources
+from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _recall_sql, _room_links, _sources, _turns_asked
 from chronolith.plans.queries import _docs, query
 from chronolith.sources import adapters, watch
 
@@ -41,7 +41,7 @@ def added_relations(spark, sf_dir):
   select query_id, cast(rank as int) as rank, id, entity_id, raw, score from rec where rank <= 5 union all select p.query_id, cast(n + place as int), id, entity_id, raw, score from placed p join n using (query_id) where place <= 5 - n""")
 def recall_with_spread(spark, sf_dir):
     filters = recall.Filters(min_confidence=0.6)
-    return recall.recall_with_spread(_hits(spark, sf_dir), fx.talk(spark, sf_dir), fx.rooms(spark, sf_dir), _room_links(spark, sf_dir), 5, TALK_NOW, filters, 0.01)
+    return recall.recall_with_spread(_turns_asked(spark, sf_dir), fx.talk(spark, sf_dir), fx.rooms(spark, sf_dir), _room_links(spark, sf_dir), 5, TALK_NOW, filters, 0.01)
 
 
 @query()

@@ -20,7 +20,7 @@ _HITS = f"""toks as (select id, {_TOKENS.format("content")} as ws from talk),
   lens as (select id as doc_id, len(ws)::double as dl from toks where len(ws) > 0), st as (select count(*) as n, avg(dl) as a from lens), dfs as (select term, count(*) as df from post group by term),
   q as (select id as query_id, term, count(*) as times from (select id, unnest({_TOKENS.format("content")}) as term from talk where id % 100 = 0) group by all),
   hs as (select query_id, p.doc_id as id, round({_SCORE}, 6) as raw from q join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id),
-  hits as (select query_id, id, raw from (select *, row_number() over (partition by query_id order by raw desc, id) as r from hs) where r <= 160)"""
+  hits as (select query_id, id, raw from hs)"""
 _RANKED = "round(raw * exp(-0.01e0 * greatest({now} - observed_at, 0) / 86400e0) * least(greatest(confidence, 0e0), 1e0) * (1e0 + 0.25e0 * coalesce(least(greatest(importance, 0e0), 1e0), 0e0)), 6)"
 
 
@@ -33,12 +33,8 @@ def _recall_sql(where: str, now: int = TALK_NOW) -> str:
 _VALID = "not tombstoned and coalesce(valid_from, observed_at) <= {t} and (valid_until is null or valid_until > {t})"
 
 
-def _hits(spark, sf_dir):
-    talk = fx.talk(spark, sf_dir)
-    rows = talk.select("id", F.col("content").alias("text"))
-    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
-    found = search.text_topk(rows, asked, search.fetch_bound(5, 1 << 30, True), ("id",))
-    return found.select("query_id", "id", F.col("score").alias("raw"))
+def _turns_asked(spark, sf_dir):
+    return fx.talk(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("text"))
 
 
 _FILTERED = _VALID.format(t=TALK_NOW) + " and r.entity_type = 'project' and t.confidence >= 0.5 and t.memory_tier = 'semantic' and t.source = 'assistant'"
@@ -47,7 +43,7 @@ _FILTERED = _VALID.format(t=TALK_NOW) + " and r.entity_type = 'project' and t.co
 @query(f"{T('talk', 'rooms')}, {_HITS}, {_recall_sql(_FILTERED)} select query_id, rank, id, entity_id, raw, score from rec where rank <= 5")
 def recall_filtered(spark, sf_dir):
     filters = recall.Filters(entity_type="project", min_confidence=0.5, tier="semantic", source="assistant")
-    return recall.recall(_hits(spark, sf_dir), fx.talk(spark, sf_dir), fx.rooms(spark, sf_dir), 5, TALK_NOW, filters, 0.01)
+    return recall.recalled(_turns_asked(spark, sf_dir), fx.talk(spark, sf_dir), fx.rooms(spark, sf_dir), 5, TALK_NOW, filters, 0.01)
 
 
 _AS_OF = 1_700_005_000
@@ -56,7 +52,7 @@ _AS_OF = 1_700_005_000
 @query(f"{T('talk', 'rooms')}, {_HITS}, {_recall_sql(_VALID.format(t=_AS_OF) + ' and lower(r.name) in (' + ', '.join(repr(f'room {i}') for i in range(30)) + ')', _AS_OF)} select query_id, rank, id, entity_id, raw, score from rec where rank <= 5")
 def recall_as_of(spark, sf_dir):
     filters = recall.Filters(entity_names=tuple(f"ROOM {i}" for i in range(30)), as_of=_AS_OF)
-    return recall.recall(_hits(spark, sf_dir), fx.talk(spark, sf_dir), fx.rooms(spark, sf_dir), 5, TALK_NOW, filters, 0.01)
+    return recall.recalled(_turns_asked(spark, sf_dir), fx.talk(spark, sf_dir), fx.rooms(spark, sf_dir), 5, TALK_NOW, filters, 0.01)
 
 
 def _room_links(spark, sf_dir):
@@ -80,7 +76,7 @@ _SPREAD = f"""seeds as (select query_id, id, entity_id, score from rec where ran
 @query(f"{T('talk', 'rooms')}, {_HITS}, {_recall_sql(_VALID.format(t=TALK_NOW))}, {_LINKS}, {_SPREAD} select query_id, place, id, entity_id, raw, score from placed where place <= 4")
 def spread_one_hop(spark, sf_dir):
     talk, rooms = fx.talk(spark, sf_dir), fx.rooms(spark, sf_dir)
-    seeds = recall.recall(_hits(spark, sf_dir), talk, rooms, 5, TALK_NOW, rate=0.01)
+    seeds = recall.recalled(_turns_asked(spark, sf_dir), talk, rooms, 5, TALK_NOW, rate=0.01)
     return recall.spread(seeds, _room_links(spark, sf_dir), talk, rooms, 4, TALK_NOW, rate=0.01)
 
 

@@ -121,7 +121,7 @@ def test_kept_index_equals_texts(spark, tmp_path):
     assert kept_index.read(spark, str(tmp_path / "small"))[0].count() == kept_index.read(spark, folder)[0].count()
 
 
-def test_text_search_falls_back_to_postings(spark, monkeypatch):
+def test_text_search_in_blocks_of_queries(spark, monkeypatch):
     docs = spark.createDataFrame([("a", 0, "red fox"), ("b", 0, "blue fox fox"), ("c", 0, None), ("d", 0, "")], "uri string, chunk_index int, text string")
     asked = spark.createDataFrame([(1, "red fox fox"), (2, "fox"), (3, ""), (4, "absent")], "query_id int, text string")
     whole = sorted(map(tuple, search.text_topk(docs, asked, 1).collect()))

@@ -10,7 +10,7 @@ from chronolith.functions import names
 from chronolith.functions.scores import ranked_score, retention_score
 from chronolith.functions.time import valid_at
 from chronolith.operators.frames import running_sums
-from chronolith.operators import evaluation, graph, history, lifecycle, merge, remember, search, store
+from chronolith.operators import evaluation, graph, history, lifecycle, merge, recall, remember, search, store
 
 
 def test_fusion_hand_values(spark):
@@ -263,3 +263,22 @@ def test_destruction_needs_the_shown_digest(spark):
     signed = shown.select("entity_id", "digest")
     later = lifecycle.destruction_preview(obs.unionByName(spark.createDataFrame([(3, "a")], obs.schema)), rels, ids)
     assert {r["id"] for r in lifecycle.confirmed(later, signed).collect()} == {"b"}
+
+
+def test_recall_filters_before_the_limit(spark):
+    """Hundreds of better matches that the filters refuse hide no answer, and priors hold before the limit."""
+    rows = [(i, "e1" if i % 2 else "e2", "fox " * (1 + i % 5) + f"w{i}", 100, None, None, 0.9, "chat", False, "episodic", None) for i in range(600)]
+    rows += [(3000 + i, "e1", f"hare {i}", 100, None, None, 0.9, "chat", False, "episodic", None) for i in range(3000)]
+    rows += [(1000 + i, "e3", "a fox among " + "many other words " * 9, 100 - i, None, None, 0.5 + i / 100, "note", False, "semantic", 0.5) for i in range(12)]
+    rows += [(2000, "nobody", "fox", 100, None, None, 1.0, "note", False, "semantic", None), (2001, "e3", "fox", 100, None, None, 1.0, "note", True, "semantic", None), (2002, "e3", None, 100, None, None, 1.0, "note", False, "semantic", None)]
+    schema = "id long, entity_id string, content string, observed_at long, valid_from long, valid_until long, confidence double, source string, tombstoned boolean, memory_tier string, importance double"
+    observations = spark.createDataFrame(rows, schema).repartition(4)
+    entities = spark.createDataFrame([("e1", "A", "person"), ("e2", "B", "person"), ("e3", "C", "project")], "id string, name string, entity_type string")
+    asked = spark.createDataFrame([(1, "fox"), (2, "absent"), (3, None)], "query_id int, text string")
+    filters = recall.Filters(entity_type="project", source="note", min_confidence=0.55)
+    got = recall.recalled(asked, observations, entities, 4, 10_000_000, filters, 1.0).collect()
+    assert [r["query_id"] for r in got] == []  # so old that all are below the floor
+    got = recall.recalled(asked, observations, entities, 4, 100, filters, 0.0).orderBy("rank").collect()
+    every = search.text_topk(observations.select("id", F.col("content").alias("text")), asked, 10_000, ("id",)).select("query_id", "id", F.col("score").alias("raw"))
+    assert got == recall.recall(every, observations, entities, 4, 100, filters, 0.0).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [1011, 1010, 1009, 1008]
