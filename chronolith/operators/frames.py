@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a side that may be broadcast without asking the optimizer again.
@@ -53,3 +56,14 @@ def running_sums(df: DataFrame, order: str, columns: list[str], by: list[str] |
     inside = cut.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns})
     joined = inside.join(small(based), [*by, "__piece"])
     return joined.select(*df.columns, *[(F.col(f"__base_{c}") + F.col(f"__in_{c}")).alias(f"{c}_before") for c in columns])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below the checkpoint folder, or on a local master a temporary one."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    home = held.get() if held.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if home is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return tempfile.mkdtemp(prefix="chronolith-")
+    return f"{home}/{uuid.uuid4().hex}"

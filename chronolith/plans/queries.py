@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.scores import CONFIDENCE_MARGIN_FLOOR, CONFIDENCE_TOP_FLOOR
 from chronolith.functions.text import answer_leaks, folded_tokens, intent, json_preview, snippet
-from chronolith.operators import search
+from chronolith.operators import search, vector_index
+from chronolith.operators.frames import shared_folder
 from chronolith.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,26 @@ def vector_topk(spark, sf_dir):
     return search.vector_topk(rows, asked, 10, ("vec_id",))
 
 
+def _vector_index(spark, sf_dir, cells=None):
+    rows = fx.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return rows, asked, vector_index.build(rows, shared_folder(spark), ("vec_id",), cells=cells)
+
+
+@query()
+def vector_index_topk(spark, sf_dir):
+    """Approximate search: as many of the nearest cells as calibration says. Tests hold its recall against the exact search's results."""
+    _, asked, index = _vector_index(spark, sf_dir)
+    return vector_index.index_topk(index, asked, 10)
+
+
+@query(ORACLE_SQL["vector_topk"])
+def vector_index_whole(spark, sf_dir):
+    """The same index where every cell is probed and enough candidates are re-ranked: the exact search's results."""
+    _, asked, index = _vector_index(spark, sf_dir, cells=12)
+    return vector_index.index_topk(index, asked, 10, probes=12, rerank=20)
+
+
 _HYBRID_Q = f"""qt as (select doc_id as query_id, term, count(*) as times from (select doc_id, unnest({_TOKENS.format("text")}) as term from documents where doc_id % 100 = 0) group by all),
   kw as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as r from
     (select query_id, p.doc_id, round({_SCORE}, 6) as score from qt join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id)),
