@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.scores import CONFIDENCE_MARGIN_FLOOR, CONFIDENCE_TOP_FLOOR
 from chronolith.functions.text import answer_leaks, folded_tokens, intent, json_preview, snippet
-from chronolith.operators import search, vector_index
+from chronolith.operators import phrases, search, vector_index
 from chronolith.operators.frames import shared_folder
 from chronolith.plans import fixtures as fx
 
@@ -89,6 +89,38 @@ def vector_index_whole(spark, sf_dir):
     return vector_index.index_topk(index, asked, 10, probes=12, rerank=20)
 
 
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+#: Every benchmark item asks for its words 3 to 5 as a phrase, for word 2 (also as a prefix), and for "not".
+_PHRASES = f"""asked as (select item_id as query_id, {_WORDS.format("text")} as w from benchmark),
+  v as (select query_id, 0 as clause, false as prefix, w[3:5] as p from asked union all select query_id, 0, true, [w[3] || w[4] || w[5]] from asked where length(w[3] || w[4] || w[5]) >= 4
+    union all select query_id, 1, false, [w[2]] from asked where strlen(w[2]) >= 2 union all select query_id, 1, true, [w[2]] from asked where length(w[2]) >= 4 and w[2] not in ('and', 'or', 'not', 'near')
+    union all select query_id, 2, false, ['not'] from asked),
+  docs as (select doc_id, {_WORDS.format("text")} as ws from documents), spots as (select doc_id, ws, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from docs),
+  voc as (select word, query_id, clause, prefix from (select distinct word from spots) a join v on case when prefix and len(p) = 1 then starts_with(a.word, p[1]) else a.word = p[1] end),
+  tfs as (select v.query_id, v.clause, v.prefix, doc_id, len(any_value(ws))::double as dl, count(*)::double as tf from spots join voc using (word) join v on v.query_id = voc.query_id and v.clause = voc.clause and v.prefix = voc.prefix
+    where len(p) = 1 or ws[i:i + len(p) - 1] = p group by all)"""
+
+
+def _phrase_queries(spark, sf_dir):
+    w = phrases.words(F.col("text"))
+    asked = F.concat_ws(" ", F.concat_ws("-", F.slice(w, 3, 3)), F.get(w, F.lit(1)), F.lit("not"))
+    return fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("text"))
+
+
+@query(f"with {_PHRASES} select query_id, clause, prefix, doc_id, tf from tfs")
+def phrase_counts(spark, sf_dir):
+    posted = phrases.positions(_docs(spark, sf_dir), _KEY)
+    return phrases.phrase_counts(posted, phrases.variants(_phrase_queries(spark, sf_dir)), _KEY).drop("dl")
+
+
+@query(f"""with {_PHRASES}, st as (select count(*) as n, avg(len(ws)::double) as a from docs where len(ws) > 0), dfs as (select query_id, clause, prefix, count(*) as df from tfs group by all),
+  s as (select query_id, doc_id, round(sum(ln((st.n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / a))), 6) as score from tfs join dfs using (query_id, clause, prefix) cross join st group by all)
+  select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10""")
+def phrase_topk(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return phrases.phrase_topk(phrases.positions(docs, _KEY), phrases.statistics(docs), _phrase_queries(spark, sf_dir), 10, _KEY)
+
+
 _HYBRID_Q = f"""qt as (select doc_id as query_id, term, count(*) as times from (select doc_id, unnest({_TOKENS.format("text")}) as term from documents where doc_id % 100 = 0) group by all),
   kw as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as r from
     (select query_id, p.doc_id, round({_SCORE}, 6) as score from qt join post p using (term) join dfs using (term) join lens using (doc_id) cross join st group by query_id, p.doc_id)),
