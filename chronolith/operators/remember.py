@@ -107,6 +107,44 @@ def resolve_batch(requests: DataFrame, entities: DataFrame) -> DataFrame:
     return named.groupBy("entity_type").cogroup(recent.groupBy("entity_type")).applyInPandas(resolve, _HOMES)
 
 
+_PLACED = "seq long, name string, entity_type string, entity_id string, action string, same_as string"
+
+
+def resolve_in_order(requests: DataFrame, entities: DataFrame) -> DataFrame:
+    """(seq, name, entity_type, entity_id, action, same_as): where every single valid request goes, one after the other.
+
+    Every request makes its entity its type's most recent one, and the next request sees that; so a sequence of requests
+    has one result, however it is cut into batches, if ``entities`` (id, name, entity_type, touched) tell by
+    ``touched``, a request's ``seq``, when each was last asked for. Exact names are found by a join beforehand; what passes
+    through a type's one group, by nature a sequence, is each request's name and number. ``seq`` is unique.
+    """
+    asked = requests.where(valid_request()).select("seq", "name", "entity_type")
+    oldest = entities.groupBy("name", "entity_type").agg(F.min_by("id", F.struct("created", "id")).alias("exact"))
+    asked = asked.join(oldest, ["name", "entity_type"], "left").select("entity_type", "seq", F.col("name").alias("name_"), "exact")
+    recent = top_k(entities, [F.desc("touched"), F.col("id")], RECENT, ["entity_type"], "nth").select("entity_type", "id", F.col("name").alias("known"), "nth")
+
+    def resolve(names: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        front = list(known.sort_values("nth")[["id", "known"]].itertuples(index=False, name=None))
+        made: dict[str, str] = {}
+        out = []
+        for row in names.sort_values("seq").itertuples(index=False):
+            place, action, same_as, label = row.exact or made.get(row.name_), "exact", None, row.name_
+            if place is None:
+                scored = [(similarity(row.name_, other), -i) for i, (_, other) in enumerate(front)]
+                score, at = max(scored, default=(0.0, 0))
+                action = "merge" if score >= MERGE_AT else "flag" if score >= FLAG_AT else "new"
+                if action == "merge":
+                    place, label = front[-at]
+                else:
+                    place = made[row.name_] = hashlib.sha256(f"{row.name_}\0{row.entity_type}".encode()).hexdigest()[:32]
+                    same_as = front[-at][0] if action == "flag" else None
+            front = [(place, label), *((i, n) for i, n in front if i != place)][:RECENT]
+            out.append((row.seq, row.name_, row.entity_type, place, action, same_as))
+        return pd.DataFrame(out, columns=["seq", "name", "entity_type", "entity_id", "action", "same_as"])
+
+    return asked.groupBy("entity_type").cogroup(recent.groupBy("entity_type")).applyInPandas(resolve, _PLACED)
+
+
 def remember_batch(requests: DataFrame, entities: DataFrame, now: int) -> dict[str, DataFrame]:
     """``remember`` with names resolved in the order of the requests' ``seq``."""
     return _written(requests, resolve_batch(requests, entities), now)

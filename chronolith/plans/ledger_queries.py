@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import framed_digest, qualified_id, round2
-from chronolith.operators import evaluation, gates, history, lifecycle, merge, recall, remember, retrieve, search, spaces, store
+from chronolith.operators import evaluation, gates, history, lifecycle, merge, merge_plan, recall, remember, retrieve, search, spaces, store
 from chronolith.plans import fixtures as fx
 from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _recall_sql, _room_links, _sources, _turns_asked
 from chronolith.plans.queries import _docs, query
@@ -342,3 +342,65 @@ _CATALOG_ROLES = "select principal_id, sha256(array_to_string(list_sort(list_dis
 def authority_digests(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
     return spaces.authority_digest(o.select(F.concat(F.lit("p"), "o_custkey").alias("principal_id"), F.concat(F.lit("s"), F.col("o_orderkey") % 5).alias("space_id"), F.col("o_orderstatus").alias("role")))
+
+
+# --- the whole merge plan: customers as two stores know them, their orders dealt to either store
+
+_NAMED = "substr(sha256('2:sp' || strlen({0}) || ':' || {0}), 1, 32)"
+_CASCADE = f"""ks as (select c_custkey as k from customer), pairs as (select 's' || k as source_id, 'c' || k as target_id from ks where k % 5 > 0 and k % 7 > 0
+    union all select 's' || k, 'c' || (k - 1) from ks where k % 7 = 0 and k - 1 in (select k from ks)),
+  re as (select 's' || k as id, min(target_id) as t from ks left join pairs on source_id = 's' || k group by k),
+  res as (select id, coalesce(t, {_NAMED.format("id")}) as r, case when t is null then 'add' else 'coalesce' end as action from re),
+  obs as (select (o_orderkey % 2)::int as side, 'o' || o_orderkey as id, case when o_orderkey % 2 = 0 then 'c' || o_custkey else r end as e, o_orderstatus as l, o_orderpriority as x from orders left join res on res.id = 's' || o_custkey),
+  rel as (select 0 as side, 'k' || k as id, 'c' || k as a, 'knows' as p, 'c' || (k + 1) as b from ks where k % 2 = 0 and k + 1 in (select k from ks)
+    union all select 1, 'l' || x.k, f.r, case when x.k % 14 = 6 then 'near' else 'knows' end, g.r from ks x join ks y on y.k = x.k + 1 join res f on f.id = 's' || x.k join res g on g.id = 's' || y.k),
+  keyed as (select 'observation' as kind, side, id, (e, l, x) as key from obs union all select 'relation', side, id, (a, p, b) from rel where side = 0 or a <> b or p = 'near'),
+  fst as (select *, first_value((side, id)) over (partition by kind, key order by side, id) as f from keyed),
+  acts as (select 'entity' as kind, 0 as side, 'keep' as action, 'c' || k as id, 'c' || k as result_id from ks union all select 'entity', 1, action, id, r from res
+    union all select kind, side, case when side = 0 then 'keep' when f = (side, id) then 'add' else 'merge origin' end, id, case when side = 0 then id when f[1] = 0 then f[2] else {_NAMED.format("f[2]")} end from fst)"""
+
+
+def _stores(spark, sf_dir):
+    """Two snapshots and the reviewed pairs between them."""
+    k, o = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), fx.table(spark, sf_dir, "orders")
+
+    def name(letter, number):
+        return F.concat(F.lit(letter), number.cast("string"))
+
+    pairs = k.where("k % 5 > 0 and k % 7 > 0").select(name("s", F.col("k")).alias("source_id"), name("c", F.col("k")).alias("target_id"))
+    shifted = k.where("k % 7 = 0").withColumn("before", F.col("k") - 1).join(k.select(F.col("k").alias("before")), "before")
+    same = pairs.unionByName(shifted.select(name("s", F.col("k")).alias("source_id"), name("c", F.col("before")).alias("target_id")))
+    after = k.withColumn("after", F.col("k") + 1).join(k.select(F.col("k").alias("after")), "after")
+
+    def store(letter, mine, relations):
+        said = o.where(mine).select(name("o", F.col("o_orderkey")).alias("id"), name(letter, F.col("o_custkey")).alias("entity_id"), F.col("o_orderstatus").alias("lifecycle"), F.col("o_orderpriority").alias("content"))
+        return merge_plan.Snapshot(k.select(name(letter, F.col("k")).alias("id")), said, relations)
+
+    def linked(letter, mark, predicate, rows):
+        return rows.select(name(mark, F.col("k")).alias("id"), name(letter, F.col("k")).alias("from_entity"), predicate.alias("relation_type"), name(letter, F.col("after")).alias("to_entity"), F.lit("live").alias("lifecycle"))
+
+    target = store("c", "o_orderkey % 2 = 0", linked("c", "k", F.lit("knows"), after.where("k % 2 = 0")))
+    source = store("s", "o_orderkey % 2 = 1", linked("s", "l", F.when(F.col("k") % 14 == 6, "near").otherwise("knows"), after))
+    return target, source, same
+
+
+@query(f"with {_CASCADE} select kind, side, action, id, result_id from acts")
+def merge_cascade(spark, sf_dir):
+    return merge_plan.cascade(*_stores(spark, sf_dir), "sp", ("near",)).drop("key")
+
+
+@query(f"""with {_CASCADE} select 'self-loop' as problem, id from rel where side = 1 and a = b and p <> 'near'""")
+def merge_cascade_problems(spark, sf_dir):
+    return merge_plan.cascade_problems(*_stores(spark, sf_dir), "sp", ("near",))
+
+
+# --- requests one after the other: every order asks for its customer by name, and names of one type all exist
+
+
+@query("""select o_orderkey as seq, c_name as name, case when c_custkey % 41 = 0 then 'martian' else 'person' end as entity_type, 'c' || c_custkey as entity_id, 'exact' as action
+  from orders join customer on c_custkey = o_custkey""")
+def requests_in_order(spark, sf_dir):
+    known = fx.entities(spark, sf_dir).select("id", "name", "entity_type", F.col("created_at").alias("created"), F.col("updated_at").alias("touched"))
+    c = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 41 == 0, "martian").otherwise("person").alias("entity_type"))
+    asked = fx.table(spark, sf_dir, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("seq"), "name", "entity_type", F.array(F.lit("order")).alias("observations"))
+    return remember.resolve_in_order(asked, known).drop("same_as")

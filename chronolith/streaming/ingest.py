@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chronolith.operators.frames import small
-from chronolith.operators.remember import natural_id, valid_request
+from chronolith.operators.remember import _PLACED, natural_id, resolve_in_order, valid_request
 
 REQUEST_SCHEMA = "seq long, name string, entity_type string, observations array<string>, source string, at long"
 
@@ -19,16 +19,58 @@ def requests(spark: SparkSession, folder: str, files_per_batch: int = 64) -> Dat
     return spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
+_ENTITY = "id string, name string, entity_type string, created long, touched long, created_at long, updated_at long"
+
+
+def known_entities(spark: SparkSession, folder: str, before: int) -> DataFrame:
+    """(id, name, entity_type, created, touched, created_at, updated_at) as the batches before ``before`` left them.
+
+    A batch notes the entities it touched; an entity is what its notes say together.
+    """
+    ledger = f"{folder}/ledger"
+    place = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], _ENTITY)
+    done = spark.read.parquet(ledger).where(F.col("batch") < before).select("batch")
+    notes = spark.read.schema(_ENTITY + ", batch int").parquet(f"{folder}/entities").join(small(done), "batch", "left_semi")
+    return merged_notes(notes)
+
+
+def merged_notes(notes: DataFrame) -> DataFrame:
+    first, last = [F.min(c).alias(c) for c in ("created", "created_at")], [F.max(c).alias(c) for c in ("touched", "updated_at")]
+    out = notes.groupBy("id").agg(F.min_by("name", "created").alias("name"), F.min_by("entity_type", "created").alias("entity_type"), *first, *last)
+    return out.select("id", "name", "entity_type", "created", "touched", "created_at", "updated_at")
+
+
 def write_batch(folder: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer. Each batch overwrites only its own partition folder, so a replayed batch
-    leaves what it left before; ids come from natural keys, not from the run."""
+    """A foreachBatch writer. Names are resolved in the order of ``seq`` against what earlier batches left, exactly or by
+    likeness, so that any cut of a stream into batches, in that order, leaves the same store.
+
+    Each batch overwrites only its own partition folder and reads only earlier batches, so a replayed batch
+    leaves what it left before; ids come from natural keys, not from the run.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = known_entities(spark, folder, batch_id)
         ok = batch.where(valid_request())
-        facts = ok.select(natural_id(F.col("name"), F.col("entity_type")).alias("entity_id"), "at", "source", F.explode("observations").alias("content"))
-        entities = ok.groupBy("name", "entity_type").agg(F.min("at").alias("created_at"), F.max("at").alias("updated_at")).withColumn("id", natural_id(F.col("name"), F.col("entity_type")))
+        # the resolution is read several times: kept as a table of this batch, not computed again
+        resolve_in_order(ok, known).write.mode("overwrite").parquet(f"{folder}/homes/batch={batch_id}")
+        homes = spark.read.schema(_PLACED).parquet(f"{folder}/homes/batch={batch_id}")
+        placed = ok.join(homes.select("seq", "entity_id", "action", "same_as"), "seq")
+        own = F.col("action").isin("new", "flag")
+        touched = placed.groupBy(F.col("entity_id").alias("id")).agg(
+            F.min_by("name", F.when(own, F.col("seq"))).alias("name"),
+            F.min_by("entity_type", "seq").alias("entity_type"),
+            F.min(F.when(own, F.col("seq"))).alias("created"),
+            F.max("seq").alias("touched"),
+            F.min(F.when(own, F.col("at"))).alias("created_at"),
+            F.max("at").alias("updated_at"),
+        )
+        facts = placed.select("entity_id", "at", "source", F.explode("observations").alias("content"))
         observations = facts.withColumn("id", natural_id(F.col("entity_id"), F.col("content"), F.col("at").cast("string"))).dropDuplicates(["id"])
-        for name, df in (("entities", entities), ("observations", observations), ("rejected", batch.where(~valid_request()))):
+        same = placed.where("same_as is not null").select(F.col("entity_id").alias("from_entity"), F.lit("same_as").alias("relation_type"), F.col("same_as").alias("to_entity"))
+        for name, df in (("entities", touched), ("observations", observations), ("relations", same), ("rejected", batch.where(~valid_request()))):
             df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
         # the ledger row is last: readers join on it and see whole batches only
         done = batch.agg(F.count("*").alias("rows"), F.max("seq").alias("last_seq")).withColumn("id", F.lit(batch_id))
@@ -43,8 +85,10 @@ def start(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
 
 
 def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Rows of batches that the ledger completes; where rows have an id, the latest batch's row of each."""
+    """Rows of batches that the ledger completes: entities as all their notes say together, else of rows with an id the latest batch's."""
     done = spark.read.parquet(f"{folder}/ledger").select("batch")
+    if name == "entities":
+        return merged_notes(spark.read.schema(_ENTITY + ", batch int").parquet(f"{folder}/entities").join(small(done), "batch", "left_semi"))
     rows = spark.read.parquet(f"{folder}/{name}").join(small(done), "batch", "left_semi")
     if "id" not in rows.columns:
         return rows

@@ -1,6 +1,8 @@
 """Sources, sinks and streaming, over temporary folders."""
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +97,56 @@ def test_stream_windows(spark, tmp_path):
     assert spark.table("fresh").count() == 3
     got = ingest.access_sessions(events).collect()
     assert sorted(r["events"] for r in got) == [1, 3]
+
+
+def _spelled(rng, n):
+    """Requests whose names recur, in several spellings, and push each other out of the recent ones."""
+    base = ["Alice Johnson", "Bob Miller", "Carla Gómez", "Northwind Traders", "Zürich Office"]
+    out = []
+    for seq in range(n):
+        name = rng.choice(base) if rng.random() < 0.4 else f"Person {rng.randrange(40)} of {rng.choice(['Ulm', 'Rome', 'Oslo'])}"
+        change = rng.random()
+        name = name.upper() if change < 0.15 else name.replace("o", "0", 1) if change < 0.3 else name + "." if change < 0.4 else name
+        out.append((seq, name, rng.choice(["person", "person", "project"]), [f"fact {rng.randrange(20)}"], "chat", 1000 + seq // 3))
+    return out + [(n, None, "person", ["x"], "chat", 5), (n + 1, "Bob", "", ["x"], "chat", 5)]
+
+
+def _one_by_one(requests):
+    """(entity ids with names and last touch, same-as edges) by the plain loop over requests."""
+    from chronolith.functions.names import similarity
+
+    entities, front, edges, homes = {}, {}, set(), {}
+    for seq, name, kind, *_ in requests:
+        if not name or not kind:
+            continue
+        recent = front.setdefault(kind, [])
+        home = next((i for i, (n, k) in entities.items() if n == name and k == kind), None)
+        if home is None:
+            best = max(((similarity(name, entities[i][0]), -p) for p, i in enumerate(recent[:100])), default=(0, 0))
+            if best[0] >= 0.95:
+                home = recent[-best[1]]
+            else:
+                home = hashlib.sha256(f"{name}\0{kind}".encode()).hexdigest()[:32]
+                entities[home] = (name, kind)
+                if best[0] >= 0.85:
+                    edges.add((home, recent[-best[1]]))
+        front[kind] = [home, *(i for i in recent if i != home)]
+        homes[seq] = home
+    return entities, edges, homes
+
+
+@pytest.mark.parametrize("cuts", [[0, 90], [0, 1, 2, 30, 31, 60, 90]])
+def test_any_cut_of_a_stream_leaves_the_same_store(spark, tmp_path, monkeypatch, cuts):
+    monkeypatch.setattr("chronolith.operators.remember.RECENT", 100)
+    requests = _spelled(random.Random(8), 88)
+    write = ingest.write_batch(str(tmp_path))
+    for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        write(spark.createDataFrame(requests[a:b], ingest.REQUEST_SCHEMA), number)
+    write(spark.createDataFrame(requests[cuts[-2] : cuts[-1]], ingest.REQUEST_SCHEMA), len(cuts) - 2)  # a replay
+    entities, edges, homes = _one_by_one(requests)
+    got = {r["id"]: (r["name"], r["entity_type"]) for r in ingest.committed(spark, str(tmp_path), "entities").collect()}
+    assert got == entities and len(edges) > 0
+    assert {(r["from_entity"], r["to_entity"]) for r in ingest.committed(spark, str(tmp_path), "relations").collect()} == edges
+    facts = {(r["entity_id"], r["content"], r["at"]) for r in ingest.committed(spark, str(tmp_path), "observations").collect()}
+    assert facts == {(homes[seq], obs[0], at) for seq, _, _, obs, _, at in requests if seq in homes}
+    assert ingest.committed(spark, str(tmp_path), "rejected").count() == 2
