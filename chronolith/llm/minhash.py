@@ -52,7 +52,7 @@ SIFT_RISK = 1e-9
 #: Leaders that a group of sets may have in the first round.
 LEADERS = 4
 #: Sets, and shingles, of a block.
-BLOCK_SETS = 256
+BLOCK_SETS = 512
 BLOCK_SHINGLES = 1 << 18
 #: Sets, and shingles, that one set is compared with in one star.
 STAR_SETS = 128
@@ -266,10 +266,13 @@ def _forest(width: int, percent: int):
 def _met(rest: DataFrame, sets: DataFrame, keyed: DataFrame) -> DataFrame:
     """Tasks, as rows of ``_MEMBER``: every pair of sets of two components that share a band is in one task at least.
 
-    ``rest`` is (band, key, component, leader). Sets are gathered by their smallest leader and cut into blocks;
+    ``rest`` is (band, key, component, leader). Sets are gathered by the smallest leader near them and cut into blocks;
     components that fill a quarter of a block on their own make blocks of their own, which needn't meet each other.
     """
     homes = rest.groupBy("key", "component").agg(F.min("leader").alias("home"))
+    for _ in range(2):  # bands hand the smallest home on, so that a group of near copies fills few blocks
+        nearest = rest.join(homes.select("key", "home"), "key").groupBy("band").agg(F.min("home").alias("home"))
+        homes = durable(rest.join(nearest, "band").groupBy("key", "component").agg(F.min("home").alias("home")), of=keyed)
     homes = durable(homes.join(sets.select("key", "doc_id", "n", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)]), "key"), of=keyed)
     own = homes.groupBy("home", "component").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK_SETS // 4).drop("k")
     named = homes.join(own.withColumn("label", F.col("component")), ["home", "component"], "left").withColumn("family", F.xxhash64("home", "label"))
