@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import framed_digest, qualified_id, round2
-from chronolith.operators import evaluation, gates, history, lifecycle, merge, merge_plan, recall, remember, retrieve, search, spaces, store
+from chronolith.operators import evaluation, gates, history, lifecycle, maintenance, merge, merge_plan, recall, remember, retrieve, search, spaces, store
+from chronolith.operators.frames import shared_folder
 from chronolith.plans import fixtures as fx
 from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _recall_sql, _room_links, _sources, _turns_asked
-from chronolith.plans.queries import _docs, query
+from chronolith.plans.queries import ORACLE_SQL, _docs, query
 from chronolith.sources import adapters, watch
 
 NOW, TALK_NOW = fx.NOW, fx.TALK_NOW
@@ -404,3 +405,26 @@ def requests_in_order(spark, sf_dir):
     c = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 41 == 0, "martian").otherwise("person").alias("entity_type"))
     asked = fx.table(spark, sf_dir, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("seq"), "name", "entity_type", F.array(F.lit("order")).alias("observations"))
     return remember.resolve_in_order(asked, known).drop("same_as")
+
+
+# --- maintenance in two ticks: the store as it was at an instant, then what was written since
+
+
+def _two_ticks(spark, sf_dir):
+    folder, then = shared_folder(spark), 890_000_000
+    entities, observations, relations = fx.entities(spark, sf_dir), fx.observations(spark, sf_dir), fx.relations(spark, sf_dir)
+    log = entities.select(F.col("id").alias("entity_id"), F.lit(1).cast("long").alias("version"))
+    maintenance.tick(folder, 0, log, entities, observations.where(F.col("observed_at") < then), relations)
+    fresh = observations.where(F.col("observed_at") >= then).select("entity_id").distinct().select("entity_id", F.lit(2).cast("long").alias("version"))
+    maintenance.tick(folder, 1, log.unionByName(fresh), entities, observations, relations)
+    return folder
+
+
+@query(ORACLE_SQL["retention_scores"])
+def maintained_retention(spark, sf_dir):
+    return maintenance.stored_retention(spark, _two_ticks(spark, sf_dir), NOW, 0.001)
+
+
+@query(f"select id from ({ORACLE_SQL['orphan_entities']}) x")
+def maintained_orphans(spark, sf_dir):
+    return maintenance.stored_orphans(spark, _two_ticks(spark, sf_dir), NOW)
