@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import framed_digest, qualified_id, round2
-from chronolith.operators import evaluation, gates, history, lifecycle, maintenance, merge, merge_plan, recall, remember, retrieve, search, spaces, store
+from chronolith.operators import cache, evaluation, gates, history, lifecycle, maintenance, merge, merge_plan, recall, remember, retrieve, search, spaces, store
 from chronolith.operators.frames import shared_folder
 from chronolith.plans import fixtures as fx
 from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _recall_sql, _room_links, _sources, _turns_asked
@@ -428,3 +428,13 @@ def maintained_retention(spark, sf_dir):
 @query(f"select id from ({ORACLE_SQL['orphan_entities']}) x")
 def maintained_orphans(spark, sf_dir):
     return maintenance.stored_orphans(spark, _two_ticks(spark, sf_dir), NOW)
+
+
+@query(ORACLE_SQL["status_counts"])
+def cached_status(spark, sf_dir):
+    """A stored result's second reading."""
+    results = cache.Results(shared_folder(spark))
+    read = [fx.entities(spark, sf_dir), fx.observations(spark, sf_dir), fx.relations(spark, sf_dir), fx.chunks(spark, sf_dir)]
+    for _ in range(2):
+        out = cache.cached(spark, results, "status", {"now": NOW}, {sf_dir: 1}, lambda: store.status(*read, NOW), 1)
+    return out
