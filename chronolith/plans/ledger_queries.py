@@ -11,7 +11,7 @@ from chronolith.operators.frames import shared_folder
 from chronolith.plans import fixtures as fx
 from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _recall_sql, _room_links, _sources, _turns_asked
 from chronolith.plans.queries import ORACLE_SQL, _docs, query
-from chronolith.sources import adapters, watch
+from chronolith.sources import adapters, ignore, watch
 
 NOW, TALK_NOW = fx.NOW, fx.TALK_NOW
 T = fx.with_tables
@@ -438,3 +438,23 @@ def cached_status(spark, sf_dir):
     for _ in range(2):
         out = cache.cached(spark, results, "status", {"now": NOW}, {sf_dir: 1}, lambda: store.status(*read, NOW), 1)
     return out
+
+
+# --- ignore files over the pages' paths (host, language, number): one at the root, one in each mobile host
+
+
+def _page_paths(spark, sf_dir):
+    bare = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    return fx.table(spark, sf_dir, "pages").select(F.regexp_replace(bare, "/+$", "").alias("path"))
+
+
+@query("""with p as (select distinct rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') as path from pages),
+  s as (select path, split_part(path, '/', 1) as h, split_part(path, '/', 2) as l, split_part(path, '/', 3) as n from p)
+  select path, (h like '%.example.net' and h not like 'www.%') or (h like 'blog.%' and l = 'de') or (h like 'm.%' and l <> 'en')
+    or case when h like 'm.%' then not (length(n) = 2 and n like '%7') when n like '%00' then false else n[1] in ('1', '2', '3') or l = 'es' end as ignored from s""")
+def ignored_paths(spark, sf_dir):
+    paths = _page_paths(spark, sf_dir)
+    root = ["# hosts", "*.example.net", "!www.*", "", "/blog.*/de/", "**/es/**", "[1-3]*", "!*00"]
+    mobile = paths.select(F.substring_index("path", "/", 1).alias("folder")).where("folder like 'm.%'").distinct()
+    lines = spark.createDataFrame([("", i, t) for i, t in enumerate(root)], "folder string, line int, text string")
+    return ignore.ignored(paths, lines.unionByName(mobile.select("folder", F.posexplode(F.array(*map(F.lit, ["*", "!en/", "!?7"]))).alias("line", "text"))))
