@@ -119,29 +119,40 @@ def _leaves(actions: DataFrame) -> DataFrame:
     return actions.select(place.alias("place"), leaf.alias("leaf")).groupBy("place", "leaf").agg(F.count("*").alias("times"))
 
 
-def plan_buckets(actions: DataFrame, depth: int) -> DataFrame:
-    """(bucket, digest): the range of hashes is cut into 16 ** depth buckets; each is the digest of its actions in hash order."""
+def buckets(leaves: DataFrame, depth: int) -> DataFrame:
+    """(bucket, digest): the range of hashes is cut into 16 ** depth buckets; each is the digest of its leaves in hash order."""
     said = F.concat_ws(":", "place", "leaf", F.col("times").cast("string"))
-    return _leaves(actions).groupBy(F.substring("place", 1, depth).alias("bucket")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(said)), "\n"), 256).alias("digest"))
+    return leaves.groupBy(F.substring("place", 1, depth).alias("bucket")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(said)), "\n"), 256).alias("digest"))
 
 
-def plan_digest(actions: DataFrame) -> DataFrame:
-    """One row (rows, depth, digest): a Merkle tree over the actions in the order of their hashes.
+def tree_digest(leaves: DataFrame, rows: int) -> DataFrame:
+    """One row (rows, depth, digest): a Merkle tree over (place, leaf, times) in the order of places, which are hashes in hex.
 
     Buckets of hashes are range-sorted leaves; a node is the digest of its sixteen children, level by level to the
-    root. The tree's depth follows from the number of actions, so one set of actions has one digest, wherever its rows lie, and a
-    swapped, dropped, changed or doubled action another. No task holds more than some buckets.
+    root. The tree's depth follows from the number of rows, so one set of rows has one digest, wherever they lie. No
+    task holds more than some buckets.
     """
-    rows, depth = actions.count(), 1
+    depth = 1
     while BUCKET * 16**depth < rows:
         depth += 1
-    level = plan_buckets(actions, depth)
+    level = buckets(leaves, depth)
     node = F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "digest"))), "\n"), 256).alias("digest")
     for d in range(depth - 1, 0, -1):
         level = level.groupBy(F.substring("bucket", 1, d).alias("up")).agg(node).withColumnRenamed("up", "bucket")
     return level.agg(node).select(F.lit(rows).cast("long").alias("rows"), F.lit(depth).alias("depth"), "digest")
 
 
+def plan_digest(actions: DataFrame) -> DataFrame:
+    """``tree_digest`` of a plan: a swapped, dropped, changed or doubled action makes another."""
+    return tree_digest(_leaves(actions), actions.count())
+
+
+def table_digest(rows: DataFrame) -> DataFrame:
+    """``tree_digest`` of any table, over its columns by name; the order of rows and columns does not matter."""
+    said = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
+    return tree_digest(rows.select(said.alias("place")).groupBy("place").agg(F.count("*").alias("times")).withColumn("leaf", F.lit("")), rows.count())
+
+
 def plan_differences(plan: DataFrame, actual: DataFrame) -> DataFrame:
     """(problem, kind, side, id): where a stored plan differs from the one that the snapshots give now."""
     fields = ["kind", "side", "action", "id", "result_id", "key"]

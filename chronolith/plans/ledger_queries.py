@@ -9,9 +9,9 @@ from chronolith.functions.text import framed_digest, qualified_id, round2
 from chronolith.operators import cache, evaluation, gates, history, lifecycle, maintenance, merge, merge_plan, recall, remember, retrieve, search, spaces, store
 from chronolith.operators.frames import shared_folder
 from chronolith.plans import fixtures as fx
-from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _recall_sql, _room_links, _sources, _turns_asked
+from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _left, _recall_sql, _room_links, _sources, _turns_asked
 from chronolith.plans.queries import ORACLE_SQL, _docs, query
-from chronolith.sources import adapters, ignore, watch
+from chronolith.sources import adapters, ignore, store_versions, watch
 
 NOW, TALK_NOW = fx.NOW, fx.TALK_NOW
 T = fx.with_tables
@@ -458,3 +458,14 @@ def ignored_paths(spark, sf_dir):
     mobile = paths.select(F.substring_index("path", "/", 1).alias("folder")).where("folder like 'm.%'").distinct()
     lines = spark.createDataFrame([("", i, t) for i, t in enumerate(root)], "folder string, line int, text string")
     return ignore.ignored(paths, lines.unionByName(mobile.select("folder", F.posexplode(F.array(*map(F.lit, ["*", "!en/", "!?7"]))).alias("line", "text"))))
+
+
+# --- a commit of three tables from which some people are gone
+
+
+@query(f"""{T('entities', 'observations', 'relations')}, there as (select id from entities where id not like 'c%7')
+  select 'entity_id is not there' as problem, 'observations' as "table", id::varchar as id from observations where entity_id not in (select id from there)
+  union all select 'from_entity is not there', 'relations', id from relations where from_entity not in (select id from there)
+  union all select 'to_entity is not there', 'relations', id from relations where to_entity not in (select id from there)""")
+def commit_problems(spark, sf_dir):
+    return store_versions.problems({"entities": _left(spark, sf_dir), "observations": fx.observations(spark, sf_dir), "relations": fx.relations(spark, sf_dir)})
