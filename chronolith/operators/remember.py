@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +108,41 @@ def resolve_batch(requests: DataFrame, entities: DataFrame) -> DataFrame:
     return named.groupBy("entity_type").cogroup(recent.groupBy("entity_type")).applyInPandas(resolve, _HOMES)
 
 
+class _Letters:
+    """Letter counts of the recent names: what bounds their likeness to another name from above, for all at once.
+
+    An edit changes one letter, so names that differ in many letters can't be alike enough; names without letters or digits are
+    never ruled out. Letters share bins, which only loosens the bound.
+    """
+
+    def __init__(self):
+        self.row, self.free = {}, list(range(RECENT + 1))
+        self.bins, self.size = np.zeros((RECENT + 1, 128), np.int16), np.zeros(RECENT + 1)
+        self.size[:] = -1
+
+    @staticmethod
+    def counts(name: str) -> tuple[np.ndarray, int]:
+        letters = [ord(c) % 128 for c in name.lower() if c.isalnum()]
+        return np.bincount(letters, minlength=128).astype(np.int16), len(letters)
+
+    def keep(self, ident: str, name: str) -> None:
+        if ident not in self.row:
+            self.row[ident] = at = self.free.pop()
+            self.bins[at], self.size[at] = self.counts(name)
+
+    def drop(self, ident: str) -> None:
+        at = self.row.pop(ident)
+        self.size[at] = -1
+        self.free.append(at)
+
+    def near(self, name: str) -> set[int]:
+        bins, size = self.counts(name)
+        apart = self.bins - bins
+        least = np.maximum(np.where(apart > 0, apart, 0).sum(axis=1), np.where(apart < 0, -apart, 0).sum(axis=1))
+        fits = (least <= (1 - FLAG_AT + 1e-9) * np.maximum(self.size, size)) | (self.size == 0) | (size == 0)
+        return set(np.flatnonzero(fits & (self.size >= 0)).tolist())
+
+
 _PLACED = "seq long, name string, entity_type string, entity_id string, action string, same_as string"
 
 
@@ -126,11 +162,15 @@ def resolve_in_order(requests: DataFrame, entities: DataFrame) -> DataFrame:
     def resolve(names: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         front = list(known.sort_values("nth")[["id", "known"]].itertuples(index=False, name=None))
         made: dict[str, str] = {}
+        letters = _Letters()
+        for i, label in front:
+            letters.keep(i, label)
         out = []
         for row in names.sort_values("seq").itertuples(index=False):
             place, action, same_as, label = row.exact or made.get(row.name_), "exact", None, row.name_
             if place is None:
-                scored = [(similarity(row.name_, other), -i) for i, (_, other) in enumerate(front)]
+                near = letters.near(row.name_)
+                scored = [(similarity(row.name_, other), -i) for i, (ident, other) in enumerate(front) if letters.row[ident] in near] if near else []
                 score, at = max(scored, default=(0.0, 0))
                 action = "merge" if score >= MERGE_AT else "flag" if score >= FLAG_AT else "new"
                 if action == "merge":
@@ -138,7 +178,10 @@ def resolve_in_order(requests: DataFrame, entities: DataFrame) -> DataFrame:
                 else:
                     place = made[row.name_] = hashlib.sha256(f"{row.name_}\0{row.entity_type}".encode()).hexdigest()[:32]
                     same_as = front[-at][0] if action == "flag" else None
-            front = [(place, label), *((i, n) for i, n in front if i != place)][:RECENT]
+            front = [(place, label), *((i, n) for i, n in front if i != place)]
+            letters.keep(place, label)
+            if len(front) > RECENT:
+                letters.drop(front.pop()[0])
             out.append((row.seq, row.name_, row.entity_type, place, action, same_as))
         return pd.DataFrame(out, columns=["seq", "name", "entity_type", "entity_id", "action", "same_as"])
 
