@@ -5,11 +5,13 @@ longest increasing subsequence of their places keeps the order, and every gap be
 is aligned in the same way, where other words have become unique; equal words next to an anchor or
 a gap's border extend it. Coverage is the share of the template's words that are aligned. A match
 must reach ``coverage``, lie within ``SPREAD`` times the template's length, and hold one of the
-template's key words; it is looked for where each occurrence of a key word would place the template, so several licenses,
+template's key words; it is looked for where each occurrence of a key word would place the template: there
+exactly, in a window around it, and in one as wide as a compact match can reach. Aligned words at the ends of a match
+are left out where more foreign words lie between them and the rest than they are. So several licenses,
 and several copies of one, are found in one text.
 
 Defined results: null or empty text has no match; overlapping matches are resolved by aligned words,
-then coverage, then place; offsets are code points of the text.
+then coverage, then the shorter stretch, then place; offsets are code points of the text.
 """
 
 from __future__ import annotations
@@ -117,34 +119,57 @@ def patience(text: list[str], template: list[str] | tuple[str, ...]) -> list[tup
     return sorted(pairs)
 
 
+def _core(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretch of pairs with most aligned words after one is taken off for every word that the text has in between beyond the template's."""
+    best, begins, ends, run, first = 0, 0, 0, 0, 0
+    for n, (i, j) in enumerate(pairs):
+        run -= max(0, i - pairs[n - 1][0] - (j - pairs[n - 1][1])) if n else 0
+        if run < 0:
+            run, first = 0, n
+        run += 1
+        if run >= best:
+            best, begins, ends = run, first, n + 1
+    return pairs[begins:ends]
+
+
 def find_licenses(words: list[str], known: list[Template], coverage: float = COVERAGE) -> list[Match]:
     """Non-overlapping matches in a text's words."""
     keys = [i for i, w in enumerate(words) if w in KEY_WORDS]
     found: set[Match] = set()
     for template in known if keys else []:
         size = len(template.words)
-        vocabulary, slack = set(template.words), int((SPREAD - 1) * size / 2) + 2
+        vocabulary = set(template.words)
+        # a compact match reaches at most this far beyond where the template would lie
+        wide = int(SPREAD * size) - ceil(coverage * size) + 1
         # a match may lack this many words of the template, each of which may be the only one of its kind
         least = len(vocabulary) - (size - ceil(coverage * size))
         places: dict[str, list[int]] = {}
         for j, w in enumerate(template.words):
             if w in KEY_WORDS:
                 places.setdefault(w, []).append(j)
-        done = -1
+        windows: set[tuple[int, int]] = set()
         # where the template would start, for each key word of the text and each of its places in the template
         for start in sorted({key - j for key in keys for j in places.get(words[key], ())}):
-            lo, hi = max(0, start - slack), min(len(words), start + size + slack)
-            if start < done or len(vocabulary.intersection(words[lo:hi])) < least:
+            lo, hi = max(0, start - wide), min(len(words), start + size + wide)
+            if len(vocabulary.intersection(words[lo:hi])) < least:
+                continue
+            if start >= 0 and tuple(words[start : start + size]) == template.words:
+                found.add(Match(template.name, 1.0, size, start, start + size - 1))
+                continue
+            windows |= {(max(0, start - slack), min(len(words), start + size + slack)) for slack in (0, wide // 3, wide)}
+        for lo, hi in windows:
+            if len(vocabulary.intersection(words[lo:hi])) < least:
                 continue
             pairs = patience(words[lo:hi], template.words)
             # drop outliers at the ends until the match is compact
             while pairs and pairs[-1][0] - pairs[0][0] + 1 > SPREAD * size:
                 pairs = pairs[1:] if pairs[1][0] - pairs[0][0] >= pairs[-1][0] - pairs[-2][0] else pairs[:-1]
+            core = _core(pairs)
+            pairs = core if len(core) >= coverage * size else pairs
             if len(pairs) >= coverage * size and any(words[lo + i] in KEY_WORDS for i, _ in pairs):
                 found.add(Match(template.name, round(len(pairs) / size, 6), len(pairs), lo + pairs[0][0], lo + pairs[-1][0]))
-                done = lo + pairs[-1][0]
     out: list[Match] = []
-    for match in sorted(found, key=lambda m: (-m.aligned, -m.coverage, m.first, m.name)):
+    for match in sorted(found, key=lambda m: (-m.aligned, -m.coverage, m.last - m.first, m.first, m.name)):
         if all(match.last < m.first or m.last < match.first for m in out):
             out.append(match)
     return sorted(out, key=lambda m: m.first)

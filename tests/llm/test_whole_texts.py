@@ -138,6 +138,22 @@ def test_licenses_with_other_words():
             assert aligned >= licenses.COVERAGE * len(words) and [m.aligned for m in found] == [aligned], template.name
 
 
+def test_a_part_of_a_license_before_the_whole():
+    known = licenses.templates()
+    for name in ("MIT", "Apache-2.0", "GPL-3.0"):
+        whole = next(list(t.words) for t in known if t.name == name)
+        for part in (p for p in (1, 20, 60, 100, 130) if p < licenses.COVERAGE * len(whole)):  # more would be a match of its own
+            head = whole[:part]
+            for between in ([], ["and", "then"]):
+                first = len(head) + len(between)
+                found = licenses.find_licenses(head + between + whole + ["end"] * 5, known)
+                assert (name, 1.0, first, first + len(whole) - 1) in {(m.name, m.coverage, m.first, m.last) for m in found}, (name, part)
+                changed = whole[: len(whole) // 2] + ["other"] + whole[len(whole) // 2 + 1 :]
+                found = licenses.find_licenses(head + between + changed, known)
+                best = next(m for m in found if m.name == name and m.last == first + len(whole) - 1)
+                assert best.first == first and best.aligned >= len(whole) - 3, (name, part, best)
+
+
 def test_every_place_of_a_license_by_brute_force():
     """Changed, cut and repeated templates in noise: each place that aligns well enough, tried at every word, is found."""
     rng = random.Random(11)
