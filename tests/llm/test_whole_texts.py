@@ -3,6 +3,7 @@
 import base64
 import gzip
 import random
+import re
 import textwrap
 import urllib.parse
 import zlib
@@ -190,3 +191,55 @@ def test_rows_not_ids_decide(spark):
     held = spark.createDataFrame([(1, item), (1, one), (None, item), (None, two)], "doc_id long, text string")
     clean = contamination.clean_documents(held, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert sorted(map(tuple, clean.collect()), key=repr) == sorted([(1, one), (None, two)], key=repr)
+
+
+def test_nested_escapes_against_one_level_at_a_time():
+    """Every layer of single steps is a layer, and spans point at what was escaped."""
+
+    def step(text):
+        text = re.sub(r"\\u([0-9a-fA-F]{4})|%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1] or m[2], 16)), text)
+        return text
+
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "x y=" + "".join(rng.choice("aZ%\\u 25") for _ in range(6)) + "password=hunter2secret"
+        for _ in range(rng.randrange(1, 4)):
+            text = "".join(
+                c if rng.random() < 0.7 else f"%{ord(c):02x}" if rng.random() < 0.5 else f"\\u{ord(c):04X}" for c in text
+            )
+        wanted, now = set(), text
+        while now != step(now):
+            now = step(now)
+            wanted.add(now)
+        got = {layer.text for layer in secrets.layers(text)}
+        assert wanted <= got, (text, wanted - got)
+        at = now.index("password=")
+        assert any(secrets.KINDS[k] == "assign" and b - a >= 22 for a, k, b in secrets.find_secrets(text)[1]), (text, at)
+
+
+def test_deep_nests_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for text in ("%" + "25" * 50_000 + "41KIA" + "Z" * 20, "\\" + "u005c" * 20_000 + "u0041KIA" + "Z" * 20, "%" + "5Cu0025" * 10_000 + "41KIA" + "Z" * 20):
+        base, every = secrets.find_secrets(text)
+        assert (0, 1, len(text)) in every and (0, 1, len(text)) not in base
+    assert time.process_time() - began < 30
+
+
+def test_large_unpacked_layers_are_not_held():
+    import tracemalloc
+
+    packer, parts = zlib.compressobj(6), []
+    for i in range(40):
+        parts.append(packer.compress(b"".join(b"%d words of a longer text\n" % (i * 40_000 + j) for j in range(40_000))))
+    raw = b"".join([*parts, packer.compress(b"password=hunter2secret"), packer.flush()])
+    text = "data " + base64.b64encode(raw).decode()
+    tracemalloc.start()
+    try:
+        _, every = secrets.find_secrets(text)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (5, 0, len(text)) in every or any(k == 0 for _, k, _ in every)
+    assert peak < 250 << 20
