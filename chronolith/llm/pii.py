@@ -5,7 +5,8 @@ addresses, national identity numbers written 123-45-6789 or 123 45 6789, account
 after a form of address, however many words and initials they have, and every other place of the
 text where a word of such a name stands alone. In scripts without case nothing marks a name's end but
 the first sign other than a letter or a space. Every mention is reduced to entities (a name to its given name and its
-surname), so "Dr. Ann Poe" and "Ms. Poe" share a surname's surrogate. A surrogate is made from an
+surname), so "Dr. Ann Poe" and "Ms. Poe" share a surname's surrogate. Within a text a word of a name has one surrogate,
+that of a given name where it is one anywhere. A surrogate is made from an
 HMAC of (type, entity, attempt) under a secret key:
 
 * letters become letters of the same script and case, digits digits, all else stays; card numbers keep
@@ -13,7 +14,9 @@ HMAC of (type, entity, attempt) under a secret key:
   ones private, account numbers get valid check digits;
 * given names follow the gender that the form of address or the name's ending tells.
 
-Collision checks run over all distinct entities of the corpus: where two entities of a type would
+Initials are mapped one to one within their alphabet, in an order that the key decides, and stay initials.
+
+Collision checks run over all other distinct entities of the corpus: where two entities of a type would
 share a surrogate, or a surrogate equals an entity that occurs, the entity gets the next attempt,
 until all are distinct. Later attempts draw from wider spaces, so none is ever full: names and e-mail
 addresses grow, numbers take letters (cards, another first digit), and private addresses other private ranges, then public ones. Equal entities have equal surrogates everywhere.
@@ -29,6 +32,7 @@ import hmac
 import re
 import unicodedata
 from bisect import bisect_left
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -135,15 +139,18 @@ def find_mentions(text: str) -> list[Mention]:
                 if kind != "iban" or _iban_ok(entity) or entity[:2] in IBAN_COUNTRIES and sum(c.isdigit() for c in entity) >= 10:
                     found.append(Mention(start, m.end(), kind, entity))
     named: dict[str, str] = {}
+    names: list[Mention] = []
     for m in _NAME.finditer(text):
         words = _name_words(text, m.end())
         for i, w in enumerate(words):
             word = w.group().casefold()
             initial = len(word) == 1 and not _uncased(word)
             kind = "initial" if initial else "surname" if i == len(words) - 1 else "given_" + _gender(m.group(1), words[0].group())
-            found.append(Mention(w.start(), w.end(), kind, word))
-            if not initial:
-                named.setdefault(word, kind)
+            names.append(Mention(w.start(), w.end(), kind, word))
+            if not initial and named.get(word, "surname") == "surname":  # a given name wherever it is one once
+                named[word] = kind
+    # a word of a name is one entity in its text, whatever part of a name it is at one place
+    found += [m._replace(kind=named.get(m.entity, m.kind)) for m in names]
     if named:
         found += _bare(text, named)
     rank = {kind: i for i, (kind, _) in enumerate(_PATTERNS)}
@@ -210,8 +217,19 @@ def _grown(like: str, attempt: int, stream: _Stream) -> str:
     return "".join(_letter("ba"[i % 2] if like.isascii() else last or "a", stream) for i in range(max(0, attempt - 3)))
 
 
+@lru_cache(maxsize=256)
+def _initials(first: str, last: str, key: str) -> dict[str, str]:
+    """Each letter of a range to the next in an order that the key decides, so that letters and surrogates are one to one."""
+    letters = [c for c in map(chr, range(ord(first), ord(last) + 1)) if c.isalpha() and c == c.lower() and len(c.upper()) == 1]
+    letters.sort(key=lambda c: hmac.new(key.encode(), f"initial\0{c}".encode(), hashlib.sha256).digest())
+    return dict(zip(letters, [*letters[1:], *letters[:1]], strict=True))
+
+
 def surrogate(kind: str, entity: str, attempt: int, key: str) -> str:
     """The canonical surrogate of an entity at one attempt; later attempts of names may grow longer."""
+    if kind == "initial":
+        near = (chr(ord(entity) & ~63), chr(ord(entity) | 63))
+        return _initials(*next(((a, b) for a, b in (("a", "z"), *_SCRIPTS) if a <= entity <= b), near), key).get(entity, entity)
     stream = _Stream(key, kind, entity, attempt)
     if kind == "email":
         name, _, domain = entity.partition("@")
@@ -279,7 +297,9 @@ def mentions(keyed: DataFrame) -> DataFrame:
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, surrogate), distinct within each kind and apart from all entities of the kind."""
+    """(kind, entity, surrogate), distinct within each kind (all names count as one) and apart from all entities of the kind.
+    Initials are permuted: they are distinct as they are, and may stand for letters that occur."""
+    among = F.when(F.col("kind").startswith("given_"), "surname").otherwise(F.col("kind"))
 
     def propose(entities: DataFrame) -> DataFrame:
         def kernel(batches):
@@ -292,11 +312,14 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     entities = found.groupBy("kind", "entity").agg(F.lit(0).alias("attempt"))
     most = found.count()  # of all frames below
     now = durable(propose(entities), rows=most)
-    real = now.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
+    real = now.select(among.alias("among"), F.col("entity").alias("surrogate"), F.lit(True).alias("real")).distinct()
     while True:
-        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct(F.col("attempt") * -1, "entity"))["entity"].alias("keeper"))
-        checked = now.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        marked = durable(checked.withColumn("clash", (F.col("entity") != F.col("keeper")) | F.coalesce("real", F.lit(False))), rows=most)
+        each = now.withColumn("among", among)
+        first = each.groupBy("among", "surrogate").agg(F.min(F.struct(F.col("attempt") * -1, "entity", "kind")).alias("keeper"))
+        checked = each.join(first, ["among", "surrogate"]).join(real, ["among", "surrogate"], "left")
+        other = (F.col("entity") != F.col("keeper.entity")) | (F.col("kind") != F.col("keeper.kind"))
+        clash = (F.col("kind") != "initial") & (other | F.coalesce("real", F.lit(False)))
+        marked = durable(checked.select("kind", "entity", "attempt", "surrogate", clash.alias("clash")), rows=most)
         if not marked.where("clash").limit(1).count():
             return marked.select("kind", "entity", "surrogate")
         fine = marked.where("not clash").select("kind", "entity", "attempt", "surrogate")
