@@ -12,6 +12,7 @@ from chronolith.plans import fixtures as fx
 from chronolith.plans.memory_queries import _HITS, _LINKS, _SPREAD, _VALID, _left, _recall_sql, _room_links, _sources, _turns_asked
 from chronolith.plans.queries import ORACLE_SQL, _docs, query
 from chronolith.sources import adapters, ignore, store_versions, watch
+from chronolith.streaming import journal
 
 NOW, TALK_NOW = fx.NOW, fx.TALK_NOW
 T = fx.with_tables
@@ -469,3 +470,34 @@ def ignored_paths(spark, sf_dir):
   union all select 'to_entity is not there', 'relations', id from relations where to_entity not in (select id from there)""")
 def commit_problems(spark, sf_dir):
     return store_versions.problems({"entities": _left(spark, sf_dir), "observations": fx.observations(spark, sf_dir), "relations": fx.relations(spark, sf_dir)})
+
+
+# --- a journal of order lines: shards by supplier, an order's number is written once for each of its lines
+
+_JOURNAL = """j as (select (l_suppkey % 7)::int as shard, l_orderkey as seq, l_partkey as part, l_linenumber as line from lineitem),
+  marks as (select shard, max(seq) as done from (select (l_suppkey % 7)::int as shard, (sum(l_orderkey) // count(*))::bigint as seq from lineitem
+    group by shard, l_returnflag) where shard > 0 group by shard),
+  once as (select shard, seq, min(struct_pack(part := part, line := line)) as r from j left join marks using (shard)
+    where done is null or seq > done group by shard, seq)"""
+
+
+def _journal(spark, sf_dir):
+    lines = fx.table(spark, sf_dir, "lineitem")
+    shard = (F.col("l_suppkey") % 7).cast("int").alias("shard")
+    held = lines.select(shard, F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"))
+    # shard 0 has no checkpoint, the others one of each of several writers
+    reached = lines.groupBy(shard, "l_returnflag").agg(F.expr("sum(l_orderkey) div count(*)").alias("seq"))
+    return held, reached.where("shard > 0").select("shard", "seq")
+
+
+@query(f"with {_JOURNAL} select shard, seq, r.part as part, r.line as line from once")
+def journal_replay(spark, sf_dir):
+    held, marks = _journal(spark, sf_dir)
+    return journal.replayable(held, journal.merged_checkpoints(marks))
+
+
+@query(f"""with {_JOURNAL}, steps as (select shard, seq, coalesce(lag(seq) over (partition by shard order by seq), done) as before from once left join marks using (shard))
+  select shard, before + 1 as first, seq - 1 as last from steps where seq > before + 1""")
+def journal_gaps(spark, sf_dir):
+    held, marks = _journal(spark, sf_dir)
+    return journal.gaps(held, journal.merged_checkpoints(marks))
