@@ -56,7 +56,7 @@ def test_run_equals_stages(spark, folder):
 def test_registered():
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert all(callable(f) for f in (toxicity.with_scores, jaccard.similarity_groups, contamination.clean_documents, pii.pseudonymized_documents))
 
 
