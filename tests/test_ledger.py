@@ -170,3 +170,46 @@ def test_retrieval_takes_the_arm_that_the_question_names(spark, monkeypatch):
 def test_accents_fold_by_rule(spark):
     rows = spark.createDataFrame([("Ångström ŽIŽEK Đukić ſ ệ naïve cafe\u0301 ά ё",)], "t string")
     assert rows.select(folded_tokens(F.col("t"))).first()[0] == ["angstrom", "zizek", "đukic", "ſ", "naive", "cafe", "α", "е"]
+
+
+def test_names_without_a_home_see_what_came_before_them(spark):
+    """Exact requests are left out of the sequence but for what the next name without a home can see; against the plain loop."""
+    words = ("Smith", "Jones", "Miller", "Adams", "Baker", "Clark", "Davis")
+    known = [(f"{t}{i}", f"Person {i * 37:04d} {words[i % 7]}", t, i, i) for t in ("a", "b") for i in range(130)]
+    asked = []
+    for n in range(1, 600):
+        _, name, kind, _, _ = known[n * 53 % 260]
+        if n % 11 == 0:
+            name = name.replace(" ", "" if n % 2 else "  ") + "x" * (n % 4)
+        asked.append((n, name, kind))
+    got = remember.resolve_in_order(
+        spark.createDataFrame([(*r, ["x"]) for r in asked], "seq long, name string, entity_type string, observations array<string>"),
+        spark.createDataFrame(known, "id string, name string, entity_type string, created long, touched long"),
+    )
+    want = []
+    for kind in ("a", "b"):
+        front = [(i, n) for i, n, t, _, at in sorted(known, key=lambda r: -r[4]) if t == kind][:100]
+        exact = {n: i for i, n, t, _, _ in known if t == kind}
+        for seq, name, _ in (r for r in asked if r[2] == kind):
+            place, label, action, same = exact.get(name), name, "exact", None
+            if place is None:
+                score, at = max((similarity(name, n), -i) for i, (_, n) in enumerate(front))
+                action = "merge" if score >= 0.95 else "flag" if score >= 0.85 else "new"
+                place, label, same = (*front[-at], None) if action == "merge" else (name, name, front[-at][0] if action == "flag" else None)
+                if action != "merge":
+                    exact[name] = name
+            front = [(place, label), *[x for x in front if x[0] != place]][:100]
+            want.append((seq, name, action, place, same))
+    rows = {r["seq"]: r for r in got.collect()}
+    made = {rows[s]["entity_id"]: n for s, n, a, *_ in want if a in ("new", "flag")}
+    assert {a for *_, a, _, _ in want} == {"exact", "merge", "flag", "new"}
+    assert [(s, rows[s]["name"], rows[s]["action"], made.get(rows[s]["entity_id"], rows[s]["entity_id"]), made.get(rows[s]["same_as"], rows[s]["same_as"])) for s, *_ in sorted(want)] == sorted(want, key=lambda r: r[0])
+
+
+def test_closest_is_the_best_of_all():
+    from chronolith.functions.names import closest
+
+    names = [f"Customer{'# '[i % 2]}{i * 7919 % 3000:06d}" for i in range(300)] + ["", "--", "Customer"]
+    for name in names[::7]:
+        best = max((s, -i) for i, n in enumerate(names) if n != name and (s := similarity(name, n)) >= 0.85 or i == 0 and (s := 0.0) == 0.0)
+        assert closest(name, [(1.0, i, n) for i, n in enumerate(names) if n != name], 0.85) == (best[0], -best[1])
