@@ -206,6 +206,14 @@ def test_names_without_a_home_see_what_came_before_them(spark):
     assert [(s, rows[s]["name"], rows[s]["action"], made.get(rows[s]["entity_id"], rows[s]["entity_id"]), made.get(rows[s]["same_as"], rows[s]["same_as"])) for s, *_ in sorted(want)] == sorted(want, key=lambda r: r[0])
 
 
+def test_a_batch_is_no_group_in_memory(spark):
+    """Requests with exact homes do not go through Python, and names without one are a stream."""
+    known = spark.createDataFrame([("k", "Ann", "person", 1, 1)], "id string, name string, entity_type string, created long, touched long")
+    asked = spark.createDataFrame([(1, "Ann", "person", ["x"]), (2, "Bo", "person", ["x"])], "seq long, name string, entity_type string, observations array<string>")
+    plan = remember.resolve_in_order(asked, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
+
+
 def test_closest_is_the_best_of_all():
     from chronolith.functions.names import closest
 
