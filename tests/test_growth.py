@@ -26,3 +26,10 @@ def test_places_are_gathered_within_a_document(spark):
     found = phrases.positions(docs, ("doc_id",))
     assert "Exchange" not in plan(found) and "Aggregate" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [("a", 1, 5.0, [1, 3]), ("b", 1, 5.0, [0, 2, 4]), ("é", 4, 1.0, [0])]
+
+
+def test_terms_are_counted_within_a_document(spark):
+    docs = spark.createDataFrame([(1, "bb aa, bb-aa bb c"), (2, ""), (3, None), (4, "é")], "doc_id long, text string")
+    found = search.postings(docs, key=("doc_id",))
+    assert "Exchange" not in plan(found) and "Aggregate" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("aa", 1, 5.0, 2.0), ("bb", 1, 5.0, 3.0), ("é", 4, 1.0, 1.0)]
