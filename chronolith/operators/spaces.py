@@ -30,7 +30,24 @@ def effective_roles(spaces: DataFrame, principals: DataFrame, teams: DataFrame,
     own = spaces.where("owner_kind = 'user'").select(F.col("owner_id").alias("principal_id"), F.col("id").alias("space_id"), F.lit("maintainer").alias("role")).join(people, "principal_id", "left_semi")
     live = memberships.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).join(teams.where("state = 'active'").select(F.col("id").alias("team_id")), "team_id", "left_semi").join(people, "principal_id", "left_semi")
     shared = spaces.where("owner_kind = 'team'").select(F.col("owner_id").alias("team_id"), F.col("id").alias("space_id"))
-    return own.unionByName(live.join(shared, "team_id").select("principal_id", "space_id", "role"))
+    return own.unionByName(_shared_roles(live, shared))
+
+
+#: Roles that a task writes, about.
+ROLES_A_TASK = 2_000_000
+
+
+def _shared_roles(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """Every member's role in every space of the team. Few teams may have most members and spaces, so members are dealt in
+    pieces, as many as the number of roles asks for, and each piece meets the team's spaces."""
+    sizes = members.groupBy("team_id").agg(F.count("*").alias("members")).join(shared.groupBy("team_id").agg(F.count("*").alias("spaces")), "team_id")
+    roles, most = sizes.select(F.sum(F.col("members") * F.col("spaces")), F.max(F.col("members") * F.col("spaces"))).first()
+    tasks, pieces = -(-(roles or 0) // ROLES_A_TASK), -(-(most or 0) // ROLES_A_TASK)
+    if tasks <= 1:
+        return members.join(shared, "team_id").select("principal_id", "space_id", "role")
+    dealt = members.withColumn("piece", F.pmod(F.xxhash64("principal_id"), F.lit(2 * pieces)).cast("int")).repartition(2 * tasks, "team_id", "piece")
+    every = shared.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(2 * pieces - 1))))
+    return dealt.join(every, ["team_id", "piece"]).select("principal_id", "space_id", "role")
 
 
 def authority_digest(roles: DataFrame) -> DataFrame:

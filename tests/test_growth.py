@@ -33,3 +33,13 @@ def test_terms_are_counted_within_a_document(spark):
     found = search.postings(docs, key=("doc_id",))
     assert "Exchange" not in plan(found) and "Aggregate" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [("aa", 1, 5.0, 2.0), ("bb", 1, 5.0, 3.0), ("é", 4, 1.0, 1.0)]
+
+
+def test_a_large_team_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spaces, "ROLES_A_TASK", 500)
+    sp = spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit("team").alias("owner_kind"), F.lit("t").alias("owner_id"))
+    people = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit("active").alias("state"))
+    members = people.select(F.lit("t").alias("team_id"), F.col("id").alias("principal_id"), F.lit("reader").alias("role"), F.lit(None).cast("long").alias("expires_at"))
+    roles = spaces.effective_roles(sp, people, spark.createDataFrame([("t", "active")], "id string, state string"), members, 1)
+    sizes = roles.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert roles.distinct().count() == roles.count() == 5000 and max(r["count"] for r in sizes) <= 2500
