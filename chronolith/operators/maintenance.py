@@ -16,6 +16,8 @@ from chronolith.functions.scores import decay, retention_score
 from chronolith.operators.frames import small
 from chronolith.operators.lifecycle import Consolidation, duplicates
 
+#: What a tick stores: duplicates cost a comparison of pairs, retention a row for each observation, facts one for each entity.
+RESULTS = ("duplicates", "retention", "facts")
 _LEDGER = "number int, upto long, entities long, scanned long, total long"
 
 
@@ -27,10 +29,10 @@ def _ledger(spark: SparkSession, folder: str, before: int | None = None) -> Data
     return rows if before is None else rows.where(F.col("number") < before)
 
 
-def tick(folder: str, number: int, changes: DataFrame, entities: DataFrame, observations: DataFrame, relations: DataFrame, settings: Consolidation = Consolidation()) -> dict[str, int]:
+def tick(folder: str, number: int, changes: DataFrame, entities: DataFrame, observations: DataFrame, relations: DataFrame, settings: Consolidation = Consolidation(), results: tuple[str, ...] = RESULTS) -> dict[str, int]:
     """Bring the stored results up to the log (entity_id, version); returns the tick's ledger row.
 
-    ``scanned`` of ``total`` observations were worked on. An observation that moves must be logged for both its entities.
+    ``results`` are those that the store keeps, the same in all of its ticks. ``scanned`` of ``total`` observations were worked on. An observation that moves must be logged for both its entities.
     """
     spark = changes.sparkSession
     since = _ledger(spark, folder, number).agg(F.max("upto")).first()[0]
@@ -46,8 +48,9 @@ def tick(folder: str, number: int, changes: DataFrame, entities: DataFrame, obse
     tied = ends.groupBy("entity_id").agg(F.max("until").alias("tied_until"))
     there = entities.select(F.col("id").alias("entity_id")).join(small(touched), "entity_id", "left_semi")
     facts = there.join(held, "entity_id", "left").join(tied, "entity_id", "left").select("entity_id", F.coalesce("observations", F.lit(0)).alias("observations"), "tied_until")
-    for name, df in (("duplicates", duplicates(mine, settings.threshold)), ("retention", kept), ("facts", facts)):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}/tick={number}")
+    made = {"duplicates": lambda: duplicates(mine, settings.threshold), "retention": lambda: kept, "facts": lambda: facts}
+    for name in results:
+        made[name]().write.mode("overwrite").parquet(f"{folder}/{name}/tick={number}")
     row = (number, since if upto is None else upto, touched.count(), mine.count(), observations.count())
     spark.createDataFrame([row], _LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/tick={number}")
     return dict(zip(("number", "upto", "entities", "scanned", "total"), row, strict=True))

@@ -43,3 +43,10 @@ def test_a_large_team_is_dealt_over_tasks(spark, monkeypatch):
     roles = spaces.effective_roles(sp, people, spark.createDataFrame([("t", "active")], "id string, state string"), members, 1)
     sizes = roles.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     assert roles.distinct().count() == roles.count() == 5000 and max(r["count"] for r in sizes) <= 2500
+
+
+@pytest.mark.parametrize("name, results", [("maintained_retention", ["retention"]), ("maintained_orphans", ["facts"])])
+def test_a_tick_stores_what_is_read(spark, tables, tmp_path, monkeypatch, name, results):
+    monkeypatch.setattr(ledger_queries, "shared_folder", lambda _: str(tmp_path))
+    queries.QUERIES[name](spark, tables).count()
+    assert sorted(os.listdir(tmp_path)) == sorted(["ledger", "touched", *results])
