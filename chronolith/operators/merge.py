@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import framed_digest, normalized_label
-from chronolith.operators.frames import small
+from chronolith.operators.frames import small, top_k
 
 # Signals by priority.
 SIGNALS = ("lineage", "verified_identifier", "exact_label", "alias")
@@ -35,7 +35,9 @@ def identity_candidates(target: DataFrame, source: DataFrame, cap: int = 128) ->
     """(source_id, rank, target_id, signals, priority, total, truncated).
 
     Both sides are (id, label, kind, aliases, lineage, identifiers as structs of namespace, value, verified).
-    Four equality joins, one per signal, meet in one aggregate; candidates rank by best signal, then id.
+    Records with the same label, kind, aliases and verified identifiers are one class on either side. Classes meet by equality joins,
+    one per signal; a source takes the first candidates of the classes that its own class meets, and their number, so the work grows
+    with pairs of classes and not of records. Candidates rank by best signal, then id.
     """
     if not 1 <= cap <= 128:
         raise ValueError("cap must be within 1..128")
@@ -56,11 +58,31 @@ def identity_candidates(target: DataFrame, source: DataFrame, cap: int = 128) ->
 
     have = lineage(target, "target_id").unionByName(verified(target, "target_id")).unionByName(label(target, "target_id", 2)).unionByName(label(target, "target_id", 3)).unionByName(alias(target, "target_id"))
     want = lineage(source, "source_id").unionByName(verified(source, "source_id")).unionByName(label(source, "source_id", 2)).unionByName(alias(source, "source_id"))
-    met = want.join(have, "k").groupBy("source_id", "target_id").agg(F.array_sort(F.collect_set("k.signal")).alias("codes"))
-    by = Window.partitionBy("source_id")
-    ranked = met.withColumn("priority", F.col("codes")[0]).withColumn("rank", F.row_number().over(by.orderBy("priority", "target_id"))).withColumn("total", F.count("*").over(by))
+    of_source, source_keys = _classes(want.where("k.signal > 0"), "source_id", "wants")
+    of_target, target_keys = _classes(have.where("k.signal > 0"), "target_id", "has")
+    pairs = source_keys.join(target_keys, "k").groupBy("wants", "has").agg(F.array_sort(F.collect_set("k.signal")).alias("codes"))
+    totals = pairs.join(of_target.groupBy("has").agg(F.count("*").alias("n")), "has").groupBy("wants").agg(F.sum("n").alias("total"))
+    least = top_k(of_target, [F.col("target_id")], cap, ["has"], "nth").select("has", "target_id")
+    first = top_k(pairs.join(least, "has"), [F.col("codes")[0], F.col("target_id")], cap, ["wants"], "nth").select("wants", "target_id", "codes")
+    # lineage is a candidate's own: it comes before what its class has, and adds to the total where the class has nothing
+    kin = want.where("k.signal = 0").join(have.where("k.signal = 0"), "k").select("source_id", "target_id").distinct()
+    placed = kin.join(of_source, "source_id").join(of_target, "target_id").join(pairs, ["wants", "has"], "left")
+    kin = placed.select("source_id", "target_id", F.array_insert(F.coalesce("codes", F.array().cast("array<int>")), 1, F.lit(0)).alias("codes"), F.col("codes").isNull().cast("long").alias("more"))
+    others = of_source.join(first, "wants").join(kin.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
+    near = others.select("source_id", "target_id", "codes").unionByName(kin.select("source_id", "target_id", "codes"))
+    ranked = top_k(near.withColumn("priority", F.col("codes")[0]), [F.col("priority"), F.col("target_id")], cap, ["source_id"])
+    more = kin.groupBy("source_id").agg(F.sum("more").alias("more"))
+    counted = of_source.join(totals, "wants", "left").join(more, "source_id", "left").select("source_id", (F.coalesce("total", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("total"))
     names = F.array(*[F.lit(s) for s in SIGNALS])
-    return ranked.where(F.col("rank") <= cap).select("source_id", "rank", "target_id", F.array_join(F.transform("codes", lambda c: F.get(names, c)), ",").alias("signals"), "priority", "total", (F.col("total") > cap).alias("truncated"))
+    rows = ranked.join(counted, "source_id")
+    return rows.select("source_id", "rank", "target_id", F.array_join(F.transform("codes", lambda c: F.get(names, c)), ",").alias("signals"), "priority", "total", (F.col("total") > cap).alias("truncated"))
+
+
+def _classes(keys: DataFrame, name: str, cls: str) -> tuple[DataFrame, DataFrame]:
+    """(id, class) of each id of (id, k), where equal sets of keys are one class, and (class, k)."""
+    sets = keys.groupBy(name).agg(F.array_sort(F.collect_set("k")).alias("keys"))
+    named = sets.withColumn(cls, F.sha2(F.to_json("keys"), 256))
+    return named.select(name, cls), named.groupBy(cls).agg(F.any_value("keys").alias("keys")).select(cls, F.explode("keys").alias("k"))
 
 
 def pair_evidence(pairs: DataFrame, identifiers: DataFrame) -> DataFrame:

@@ -45,6 +45,30 @@ def test_a_large_team_is_dealt_over_tasks(spark, monkeypatch):
     assert roles.distinct().count() == roles.count() == 5000 and max(r["count"] for r in sizes) <= 2500
 
 
+def test_alike_records_meet_as_classes(spark):
+    def rows(side, n):
+        return [(side * 1000 + i, f"Name {i % 3}", "k" if i % 7 else None, [f"name {i % 4}"], f"L{i % 5}" if i % 2 else None, [("crm", f"v{i % 3}", i % 4 == 0)]) for i in range(n)]
+
+    schema = "id long, label string, kind string, aliases array<string>, lineage string, identifiers array<struct<namespace string, value string, verified boolean>>"
+    target, source = rows(0, 60), rows(1, 40)
+
+    def keys(r, wants):
+        out = {(0, "", r[4])} if r[4] else set()
+        out |= {(1, s, v) for s, v, ok in r[5] if ok} | {(2, r[2], r[1].lower())} | {(3, r[2], a.lower()) for a in r[3]}
+        return out if wants else out | {(3, r[2], r[1].lower())}
+
+    want = []
+    for s in source:
+        met = sorted((sorted({k[0] for k in keys(s, True) & keys(t, False)}), t[0]) for t in target if keys(s, True) & keys(t, False))
+        met.sort(key=lambda m: (m[0][0], m[1]))
+        want += [(s[0], i, t, ",".join(merge.SIGNALS[c] for c in codes), codes[0], len(met), len(met) > 4) for i, (codes, t) in enumerate(met[:4], 1)]
+    got = merge.identity_candidates(spark.createDataFrame(target, schema), spark.createDataFrame(source, schema), 4)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {w[4] for w in want} >= {0, 1, 2}
+    sets = spark.createDataFrame([(i, i % 3) for i in range(90)], "id long, k long")
+    ids, classes = merge._classes(sets, "id", "c")
+    assert ids.count() == 90 and classes.count() == 3
+
+
 @pytest.mark.parametrize("name, results", [("maintained_retention", ["retention"]), ("maintained_orphans", ["facts"])])
 def test_a_tick_stores_what_is_read(spark, tables, tmp_path, monkeypatch, name, results):
     monkeypatch.setattr(ledger_queries, "shared_folder", lambda _: str(tmp_path))
