@@ -74,3 +74,24 @@ def test_a_tick_stores_what_is_read(spark, tables, tmp_path, monkeypatch, name,
     monkeypatch.setattr(ledger_queries, "shared_folder", lambda _: str(tmp_path))
     queries.QUERIES[name](spark, tables).count()
     assert sorted(os.listdir(tmp_path)) == sorted(["ledger", "touched", *results])
+
+
+def test_matches_are_worked_out_a_few_rows_at_a_time(spark, monkeypatch):
+    """Expanded (row, term, query) entries of a piece are bounded; the scores do not depend on it."""
+    import numpy as np
+
+    sizes = np.array([3, 9, 2, 2, 0, 7])
+    assert list(search._cuts(sizes, 5)) == [(0, 1), (1, 2), (2, 5), (5, 6)] and list(search._cuts(sizes[:0], 5)) == []
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 7}x" for j in range(i, i * 3 % 17 + i + 2)), 1.0 if i % 3 else None) for i in range(60)], "doc_id long, text string, f double").coalesce(1)
+    asked = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")
+
+    def rows():
+        return sorted(map(tuple, search.top_k(search.best_matches(docs, asked, 5, ("doc_id",), boost="f"), [F.desc("score"), F.col("doc_id")], 5, ["query_id"]).collect()))
+
+    whole, held = rows(), search._Counts.cells
+    assert whole and all(r[1] % 3 for r in whole)
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"words_0": [["a", "b", "a"], [], ["b"]] * 50})
+    counts = search._Counts(__import__("pyarrow").array(["a", "b"]), ["text"], [1.0])
+    full = [x.tolist() for x in held(counts, batch)]
+    monkeypatch.setattr(search, "HELD_WORDS", 4)
+    assert [x.tolist() for x in held(counts, batch)] == full
