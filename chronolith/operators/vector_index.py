@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from chronolith.functions.scores import cosine
 from chronolith.operators.frames import small, top_k
-from chronolith.operators.search import HELD_QUERIES, _best, vector_topk
+from chronolith.operators.search import HELD_QUERIES, SLACK, _best, vector_topk
 
 #: Vectors below which an exact scan answers.
 LEAST_ROWS = 4096
@@ -132,7 +132,7 @@ def add(index: Index, vectors: DataFrame, vector: str = "vector", mode: str = "a
 
 
 def _coded(index: Index, rows: DataFrame) -> DataFrame:
-    schema = StructType([*rows.schema.fields, StructField("cell", IntegerType())]).add("code", "binary")
+    schema = StructType([*rows.schema.fields, StructField("cell", IntegerType())]).add("code", "binary").add("off", "double")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,8 @@ def _coded(index: Index, rows: DataFrame) -> DataFrame:
             kept = batch.filter(pa.array(same))
             cell = np.argmin(_distances(unit, index.centres), axis=1)
             code = np.clip(np.round((unit - index.centres[cell]) * (_LEVELS / index.scale)), -_LEVELS, _LEVELS).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], schema=arrow)
+            off = np.sqrt(((unit - index.centres[cell] - code * (index.scale / _LEVELS)) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off)], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
@@ -157,7 +158,7 @@ def probed(index: Index, queries: np.ndarray, probes: int) -> np.ndarray:
 
 def index_topk(index: Index, queries: DataFrame, k: int, probes: int | None = None, rerank: int = 4, vector: str = "vector") -> DataFrame:
     """(query_id, rank, *key, score): of the rows in each query's nearest ``probes`` cells (as calibrated where not given), the k best by exact cosine
-    similarity among the ``rerank * k`` best by code.
+    similarity among the ``rerank * k`` best by code and all others that their codes, known to be ``off`` by so much, cannot rule out.
 
     A stated query set, in blocks of at most ``HELD_QUERIES``; each block reads the partitions it probes and no others.
     """
@@ -165,35 +166,44 @@ def index_topk(index: Index, queries: DataFrame, k: int, probes: int | None = No
     blocks, scored = -(-max(asked.count(), 1) // HELD_QUERIES), None
     for block in range(blocks):
         held = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toArrow()
-        part = _block_topk(index, asked, held, k * rerank, index.probes if probes is None else probes)
+        part = _block_topk(index, asked, held, k, k * rerank, index.probes if probes is None else probes)
         scored = part if scored is None else scored.unionByName(part)
     return top_k(scored, [F.desc("score"), *(F.col(c) for c in index.key)], k, ["query_id"])
 
 
-def _block_topk(index: Index, asked: DataFrame, held: pa.Table, most: int, probes: int) -> DataFrame:
+def _block_topk(index: Index, asked: DataFrame, held: pa.Table, k: int, most: int, probes: int) -> DataFrame:
     column = held.column("q").combine_chunks()
     same, unit = _unit(column, index.centres.shape[1])
     ids = held.column("query_id").combine_chunks().filter(pa.array(same))
     looks = probed(index, unit, probes)
     rows = index.rows(asked.sparkSession).where(F.col("cell").isin(np.flatnonzero(looks.any(axis=0)).tolist()))
     key = index.key
-    schema = StructType([asked.schema["query_id"], *(rows.schema[c] for c in key), StructField("cell", IntegerType()), StructField("near", DoubleType())])
+    schema = StructType([asked.schema["query_id"], *(rows.schema[c] for c in key), StructField("cell", IntegerType()), StructField("near", DoubleType()), StructField("off", DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(batch.num_rows, -1).astype(np.float64)
+            off = batch.column("off").to_numpy()
             about = index.centres[cell] + code * (index.scale / _LEVELS)
             for lo in range(0, len(ids), 128):
                 allowed = looks[lo : lo + 128, cell].T
-                row, query = _best(np.where(allowed, about @ unit[lo : lo + 128].T, -np.inf), most, allowed)
+                score = np.where(allowed, about @ unit[lo : lo + 128].T, -np.inf)
+                least = score - off[:, None]
+                floor = np.partition(least, len(least) - k, axis=0)[len(least) - k] if len(least) > k else -np.inf
+                open_ = np.zeros_like(allowed)
+                open_[_best(score, most, allowed)] = True
+                row, query = np.nonzero(open_ | allowed & (score + off[:, None] >= floor - SLACK))
                 taken = pa.array(row)
                 near = (about[row] * unit[query + lo]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query + lo)), *(batch.column(c).take(taken) for c in key), batch.column("cell").take(taken), pa.array(near)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query + lo)), *(batch.column(c).take(taken) for c in key), batch.column("cell").take(taken), pa.array(near), batch.column("off").take(taken)], schema=arrow)
 
-    found = rows.select(*key, "cell", "code").mapInArrow(run, schema)
-    best = top_k(found, [F.desc("near"), *(F.col(c) for c in key)], most, ["query_id"]).select("query_id", "cell", *key)
+    found = rows.select(*key, "cell", "code", "off").mapInArrow(run, schema)
+    by, least = Window.partitionBy("query_id"), F.col("near") - F.col("off")
+    ranked = found.withColumns({"nth": F.row_number().over(by.orderBy(F.desc("near"), *key)), "sure": F.row_number().over(by.orderBy(least.desc()))})
+    floor = F.coalesce(F.max(F.when(F.col("sure") == k, least)).over(by), F.lit(float("-inf")))
+    best = ranked.withColumn("floor", floor).where((F.col("nth") <= most) | (F.col("near") + F.col("off") >= F.col("floor") - SLACK)).select("query_id", "cell", *key)
     met = rows.select(*key, "cell", "vector").join(small(best), ["cell", *key]).join(small(asked), "query_id")
     return met.select("query_id", *key, F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score"))
 

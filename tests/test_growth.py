@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.operators import maintenance, merge, phrases, search, spaces
+from chronolith.operators import maintenance, merge, phrases, search, spaces, vector_index
 from chronolith.plans import ledger_queries, memory_queries, queries  # noqa: F401
 
 
@@ -95,3 +95,14 @@ def test_matches_are_worked_out_a_few_rows_at_a_time(spark, monkeypatch):
     full = [x.tolist() for x in held(counts, batch)]
     monkeypatch.setattr(search, "HELD_WORDS", 4)
     assert [x.tolist() for x in held(counts, batch)] == full
+
+
+def test_codes_rule_nothing_out_that_may_be_among_the_best(spark, tmp_path):
+    """Vectors closer to each other than codes can tell, and more copies than candidates."""
+    near = [(i, [1.0, 0.5 + (i * 37 % 400) * 1e-5, 0.2]) for i in range(400)]
+    far = [(1000 + i, [float(i % 7) - 3, float(i % 5) - 2, float(i % 3) - 1.5]) for i in range(100)]
+    rows = spark.createDataFrame(near + far + [(2000 + i, [0.0, 1.0, 0.0]) for i in range(60)], "vec_id long, vector array<double>")
+    asked = rows.where("vec_id in (0, 100, 2059)").select(F.col("vec_id").alias("query_id"), "vector")
+    index = vector_index.build(rows, str(tmp_path), ("vec_id",), cells=4)
+    got = vector_index.index_topk(index, asked, 10, probes=4, rerank=1)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(map(tuple, search.vector_topk(rows, asked, 10, ("vec_id",)).select("query_id", "rank", "vec_id", "score").collect()))
