@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned for base patterns. The text is then the first item of a worklist: an item's
-URL escapes, ``\\uXXXX`` escapes (both level by level, by one stack that reads nested ones in linear time; of nests deeper
-than 8 levels the middle ones make one layer, and differ from it only in digits of the escapes themselves), base64 runs and zlib or gzip data are unwrapped into new layers,
+URL escapes, ``\\uXXXX`` escapes (both level by level, by one stack that reads nested ones in linear time; beyond
+the first levels only the stretches that a level changes are layers, up to where no match can reach), base64 runs and zlib or gzip data are unwrapped into new layers,
 each layer is scanned in turn and unwrapped further, until nothing new appears. Base64 may be wrapped:
 its lines are decoded each alone and joined; and other letters may be glued to it by a separator of its
 alphabet: a run is also read from behind its separators. Compressed data is looked for in decoded base64,
@@ -28,6 +28,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from itertools import chain
 from typing import NamedTuple
 
@@ -73,12 +74,19 @@ class Layer(NamedTuple):
     ends: array | int | None
     depth: int
     escaped: bool = True  # escapes are still to be unwrapped
+    known: int | None = None  # no text, but a span of this kind over the range
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
         return (self.starts, self.ends) if isinstance(self.starts, int) else (self.starts[start], self.ends[end - 1])
 
+    def spans(self) -> list[Span]:
+        """Spans of the text that the layer came from."""
+        if self.known is not None:
+            return [(self.starts, self.known, self.ends)]
+        return [(a, kind, b) for start, kind, end in scan(self.text) for a, b in (self.origin(start, end),)]
+
 
 #: A character or what an escape stands for, as (value, start, end, height, parts): the value is a character, a byte of 128
 #: and more (URL) or half of a pair (Unicode). Plain tuples, since deep nests have many.
@@ -87,8 +95,8 @@ Node = tuple[str | int, int, int, int, tuple]
 _HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 _OPENERS = frozenset("%\\")
 _OF_ESCAPES = _HEX_DIGITS | _OPENERS | {"u"}
-#: Levels of a nest that become layers of their own: so many innermost and so many outermost ones.
-INNERMOST, OUTERMOST = 4, 4
+#: So many levels of a nest are layers of the whole text, and so is the last; those between are layers of stretches.
+WHOLE = 8
 
 
 def _meaning(digits: str, url: bool) -> str | int:
@@ -140,18 +148,11 @@ def _nodes(text: str, start: int, end: int):
     yield from stack
 
 
-def _level(height: int, most: int) -> int:
-    """The layer from which on an escape of a nest of ``most`` levels is unwrapped: in deep nests all middle levels at once."""
-    if most <= INNERMOST + OUTERMOST or height <= INNERMOST:
-        return height
-    return INNERMOST + max(1, 1 + height - (most - OUTERMOST + 1))
-
-
 def _at_level(node: Node, level: int):
-    most, work = node[3], [node]
+    work = [node]
     while work:
         value, start, end, height, parts = work.pop()
-        if not parts or _level(height, most) <= level:
+        if height <= level:
             yield value, start, end
         else:
             work.extend(reversed(parts))
@@ -194,9 +195,10 @@ def _characters(items):
         yield first()
 
 
-def _unescaped(layer: Layer, level: int) -> tuple[Layer | None, int]:
-    """The layer with the innermost ``level`` levels of URL and Unicode escapes unwrapped, and how many levels there are."""
-    text, starts, ends, last, most = [], array("q"), array("q"), 0, 0
+def _unescaped(layer: Layer, level: int, first: int = 0, behind: int | None = None) -> tuple[Layer | None, int]:
+    """The layer, or a stretch of it, with the innermost ``level`` levels of URL and Unicode escapes unwrapped, and how many levels there are."""
+    behind = len(layer.text) if behind is None else behind
+    text, starts, ends, last, most = [], array("q"), array("q"), first, 0
     whole = isinstance(layer.starts, int)
 
     def keep(a: int, b: int) -> None:
@@ -208,10 +210,10 @@ def _unescaped(layer: Layer, level: int) -> tuple[Layer | None, int]:
     def values(a: int, b: int):
         nonlocal most
         for node in _nodes(layer.text, a, b):
-            most = max(most, _level(node[3], node[3]))
+            most = max(most, node[3])
             yield from _at_level(node, level)
 
-    for m in _NEST.finditer(layer.text):
+    for m in _NEST.finditer(layer.text, first, behind):
         if not _ONE_ESCAPE.search(layer.text, m.start(), m.end()):
             continue
         keep(last, m.start())
@@ -224,7 +226,7 @@ def _unescaped(layer: Layer, level: int) -> tuple[Layer | None, int]:
         last = m.end()
     if not most:
         return None, 0
-    keep(last, len(layer.text))
+    keep(last, behind)
     where = (layer.starts, layer.ends) if whole else (starts, ends)
     return Layer("".join(text), *where, layer.depth + level, False), most
 
@@ -345,15 +347,158 @@ def _behind(raw: bytes):
         yield from _texts(inner)
 
 
-def _below(layer: Layer):
-    """The layers right below one, made when they are asked for."""
-    text = layer.text
-    level = most = 1 if layer.escaped and ("%" in text or "\\u" in text) else 0
-    while 0 < level <= most:
+#: What no match of a base pattern, base64 or URL escapes crosses: a character of none of them, or a blank between words.
+_BARRIER = re.compile(r"""[^A-Za-z0-9+/_.=~"':%\\\r\n\t\x20-]|(?<![\x20:=])\x20(?![\x20:=])""")
+#: Where a stretch needs all patterns, and not only the runs of digits and of base64 that a change touches.
+_LOUD = re.compile(r"password|passwd|secret|token|api_?key|AKIA|\n|(?:x|%78)%(?:01|5E|9C|DA)|%1F%8B", re.IGNORECASE)
+#: Compressed data in characters reaches as far as these go, over any barrier.
+_FAR = re.compile("x[\x01\x5e\x9c\xda]|\x1f\x8b\x08")
+#: Bytes without any of these say nothing, and nothing does that they end with: no pattern, no layer below. Two zeros: UTF-16 has no two plain characters without.
+_SAYING = re.compile(rb"(?s:\0.\0)|x(?:[\x01\x5e\x9c\xda]|\xc2\x9c|\xc3\x9a)|\x1f(?:\xc2)?\x8b\x08|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}|(?i:password|passwd|secret|token|api_?key)")
+_DIGITS, _LETTERS = re.compile(r"[0-9a-f]*"), re.compile(r"[A-Za-z0-9+/_-]*")
+_NEAR = 12  # characters around a change in which it can make one of the marks above
+
+
+class _Silence:
+    """Base64 runs of which no level has anything to tell, by where they end: what a run ends with says no more than it does."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, int], int] = {}  # by end and alignment, the longest that says nothing
+        self.asked: dict[tuple[int, int], int] = {}  # where that failed, the length to ask again from
+
+    def of(self, run: str, end: int) -> bool:
+        size = len(run)
+        key = end, size % 4
+        if size <= self.known.get(key, 0):
+            return True
+        if size > self.asked.get(key, size):
+            return False
+        parted = _SEPARATOR.search(run) is not None  # then it is read from behind separators too, in any alignment
+        body = run.replace("-", "+").replace("_", "/")
+        for start in range(4 if parted else 1):
+            piece = body[start : size - ((size - start) % 4 == 1)]
+            if _SAYING.search(base64.b64decode(piece + "=" * (-len(piece) % 4))):
+                self.asked[key] = size // 2
+                return False
+        self.known.update({(end, i): size for i in range(4)} if parted else {key: size})
+        return True
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Stretches that hold nests deeper than ``WHOLE``, between barriers which no level of a nest touches."""
+    barriers, out = [m.start() for m in _BARRIER.finditer(text)], []
+    for m in _NEST.finditer(text):
+        if max((n[3] for n in _nodes(text, m.start(), m.end())), default=0) > WHOLE:
+            before, behind = bisect_left(barriers, m.start() - 1), bisect_left(barriers, m.end() + 1)
+            lo, hi = barriers[before - 1] + 1 if before else 0, barriers[behind] if behind < len(barriers) else len(text)
+            if out and lo < out[-1][1]:
+                lo, hi = out[-1][0], max(hi, out.pop()[1])
+            out.append((lo, hi))
+    return out
+
+
+def _between(layer: Layer, most: int):
+    """What the levels between ``WHOLE`` and the last add: layers of the stretches that they change."""
+    if _FAR.search(_unescaped(layer, WHOLE)[0].text):
+        yield from (_unescaped(layer, level)[0] for level in range(WHOLE + 1, most))
+        return
+    for lo, hi in _stretches(layer.text):
+        yield from _stretch_levels(layer, lo, hi, most)
+
+
+def _stretch_levels(layer: Layer, lo: int, hi: int, most: int):
+    """One stretch, level by level. A level is made from the one before by the escapes of its height.
+
+    What a level has new touches a character that it changed. Characters of a run are only taken away at its left end, by the
+    escape before it, so where a run ends is known from the level before, and base64 that said nothing is not decoded again.
+    """
+    text, starts, at, now, changes, plain = layer.text, array("q"), lo, [], {}, True
+    for m in _NEST.finditer(text, lo, hi):
+        now.append(text[at : m.start()])
+        starts.extend(range(at, m.start()))
+        nodes, at = list(_nodes(text, m.start(), m.end())), m.end()
+        for char, start, _ in _characters(x for n in nodes for x in _at_level(n, WHOLE)):
+            now.append(char)
+            starts.append(start)
+        for nest in nodes:
+            work = [nest]
+            while work:
+                value, start, end, height, parts = work.pop()
+                if height > WHOLE:
+                    changes.setdefault(height, []).append((start, end, value, nest[1]))
+                    plain = plain and isinstance(value, str)
+                    work.extend(parts)
+    now = "".join(now) + text[at:hi]
+    starts.extend(range(at, hi + 1))
+    loud, far, ends, silence = _LOUD.search(now) is not None, False, {}, _Silence()
+
+    def origin(first: int, last: int) -> tuple[int, int]:
+        return layer.origin(starts[first], starts[last])
+
+    def run(kind: re.Pattern, i: int, nest: int) -> tuple[int, int]:
+        """The run of this kind at a changed character, else right behind it."""
+        first = i if kind.match(now, i, i + 1).end() > i else i + 1
+        while i == first > 0 and kind.match(now, i - 1, i).end() == i:
+            i = first = i - 1
+        if first == len(now):
+            return first, first
+        start, end = ends.get((kind, nest), (0, 0))
+        last = kind.match(now, bisect_left(starts, end) if start <= starts[first] < end else first).end()
+        ends[kind, nest] = starts[first], starts[last]
+        return first, last
+
+    for level in range(WHOLE + 1, max(changes)):
+        changed = sorted(changes[level], reverse=True)
+        depth = layer.depth + level
+        if not plain:
+            yield _unescaped(layer, level, lo, hi)[0] if not far else _unescaped(layer, level)[0]
+        for start, end, value, _ in changed if plain else ():
+            i, j = bisect_left(starts, start), bisect_left(starts, end)
+            now = now[:i] + value + now[j:]
+            del starts[i + 1 : j]
+            near = now[max(0, i - _NEAR) : i + _NEAR]
+            loud, far = loud or _LOUD.search(near) is not None, far or _FAR.search(near) is not None
+        if not plain:
+            continue
+        if far:
+            yield _unescaped(layer, level)[0]
+        elif loud:
+            whole = isinstance(layer.starts, int)
+            places = (layer.starts, layer.ends) if whole else (starts[:-1], starts[1:])
+            if not whole and layer.starts is not None:
+                places = array("q", (layer.starts[x] for x in places[0])), array("q", (layer.ends[x - 1] for x in places[1]))
+            yield Layer(now, *places, depth, False)
+        else:
+            for start, _, _, nest in changed:
+                i = bisect_left(starts, start)
+                first, last = run(_DIGITS, i, nest)
+                if last - first >= 24:
+                    yield Layer("", *origin(first, last), depth, False, 2)
+                first, last = run(_LETTERS, i, nest)
+                if last - first >= 16 and not silence.of(now[first:last], starts[last]):
+                    behind = last + len(now[last : last + 2]) - len(now[last : last + 2].lstrip("="))
+                    for inner in _decoded_run(now[first:behind]):
+                        yield Layer(inner, *origin(first, behind), depth + 1)
+
+
+def _unwrapped(layer: Layer):
+    """The layers behind all levels of a layer's escapes."""
+    level, most = 1, 1
+    while level <= min(most, WHOLE):
         new, most = _unescaped(layer, level)
         if new is not None:
             yield new
         level += 1
+    if most > WHOLE:
+        yield from _between(layer, most)
+        yield _unescaped(layer, most)[0]
+
+
+def _below(layer: Layer):
+    """The layers right below one, made when they are asked for."""
+    text = layer.text
+    if layer.escaped and ("%" in text or "\\u" in text):
+        yield from _unwrapped(layer)
     runs = [(m.start(), m.end()) for m in _BASE64.finditer(text)]
     wrapped = _wrapped_runs(text) if runs and "\n" in text else ()
     for start, end, run in chain(((a, b, text[a:b]) for a, b in runs), wrapped):
@@ -373,6 +518,9 @@ def layers(text: str):
         if layer is None:
             work.pop()
             continue
+        if layer.known is not None:
+            yield layer
+            continue
         if layer.depth:
             key = (_digest(layer.text), *layer.origin(0, len(layer.text))) if layer.text else None
             if key is None or key[0] == origin or key in seen:
@@ -387,12 +535,10 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
     base: list[Span] = []
     every: set[Span] = set()
     for layer in layers(text):
-        found = scan(layer.text)
+        found = layer.spans()
         if layer.depth == 0:
             base = found
-        for start, kind, end in found:
-            a, b = layer.origin(start, end)
-            every.add((a, kind, b))
+        every.update(found)
     return base, sorted(every)
 
 
@@ -425,8 +571,7 @@ def secret_rows(documents: DataFrame) -> DataFrame:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             least: dict[Span, int] = {}
             for layer in layers(text or ""):
-                for start, kind, end in scan(layer.text):
-                    a, b = layer.origin(start, end)
+                for a, kind, b in layer.spans():
                     least[a, kind, b] = min(layer.depth, least.get((a, kind, b), layer.depth))
             for (a, kind, b), depth in sorted(least.items()):
                 for name, value in (("doc_id", doc), ("kind", KINDS[kind]), ("start", a), ("end", b), ("depth", depth)):
