@@ -37,13 +37,16 @@ def merged_checkpoints(*frames: DataFrame) -> DataFrame:
     return out.where("seq is not null").groupBy("shard").agg(F.max("seq").alias("seq"))
 
 
-def replayable(journal: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Rows of (shard, seq, ...) beyond their shard's checkpoint, one for each seq: of several the least by all columns.
-
-    Checkpoints are as many as shards, so their side is small by what it is; no hint is needed for AQE to see that.
-    """
+def _beyond(journal: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Rows beyond their shard's checkpoint. Checkpoints are as many as shards, which are folders, so their side is small by
+    what it is; AQE would see that only when all rows had been dealt by shard, a task for each."""
     done = merged_checkpoints(checkpoints).withColumnRenamed("seq", "done")
-    beyond = journal.where("seq is not null").join(done, "shard", "left").where("done is null or seq > done").drop("done")
+    return journal.where("seq is not null").join(F.broadcast(done), "shard", "left").where("done is null or seq > done").drop("done")
+
+
+def replayable(journal: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Rows of (shard, seq, ...) beyond their shard's checkpoint, one for each seq: of several the least by all columns."""
+    beyond = _beyond(journal, checkpoints)
     rest = [c for c in beyond.columns if c not in ("shard", "seq")]
     return beyond.groupBy("shard", "seq").agg(F.min(F.struct(*rest)).alias("row")).select("shard", "seq", *[F.col(f"row.`{c}`").alias(c) for c in rest]) if rest else beyond.distinct()
 
@@ -51,16 +54,24 @@ def replayable(journal: DataFrame, checkpoints: DataFrame) -> DataFrame:
 def gaps(journal: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """(shard, first, last) of numbers that are missing between a shard's checkpoint and its last entry.
 
-    A shard's numbers are cut into ranges of 2^16, each sorted by itself; ranges are then compared by their ends only,
-    so a hot shard is many tasks.
+    Numbers are bits of blocks of 64, put together before the shuffle: exchanges are coalesced by their compressed size, and
+    single numbers compress so well that a task would sort tens of millions. A shard's blocks are cut into ranges of 2^16
+    numbers, each sorted by itself; ranges are then compared by their ends only, so a hot shard is many tasks.
     """
-    seqs = replayable(journal.select("shard", "seq"), checkpoints).select("shard", "seq", F.shiftright("seq", 16).alias("part"))
-    inner = seqs.withColumn("before", F.lag("seq").over(Window.partitionBy("shard", "part").orderBy("seq")))
-    ends = seqs.groupBy("shard", "part").agg(F.min("seq").alias("seq"), F.max("seq").alias("top"))
+    numbers = _beyond(journal.select("shard", "seq"), checkpoints)
+    bits = numbers.groupBy("shard", F.shiftright("seq", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, cast(seq & 63 as int)))").alias("bits"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    blocks = bits.select("shard", "block", F.shiftright("block", 10).alias("part"), F.transform(held, lambda i: F.col("block") * 64 + i).alias("seqs"))
+    spans = blocks.select("shard", "block", "part", "seqs", F.get("seqs", F.lit(0)).alias("seq"), F.element_at("seqs", -1).alias("top"))
+    before = F.lag("top").over(Window.partitionBy("shard", "part").orderBy("block"))
+    within = spans.select("shard", "seqs", F.concat(F.array(before), F.slice("seqs", 1, F.size("seqs") - 1)).alias("befores"))
+    pairs = F.zip_with("befores", "seqs", lambda a, b: F.struct(b.alias("seq"), a.alias("before")))
+    inner = within.select("shard", F.inline(F.filter(pairs, lambda x: x["seq"] > x["before"] + 1)))
+    ends = spans.groupBy("shard", "part").agg(F.min("seq").alias("seq"), F.max("top").alias("top"))
     done = merged_checkpoints(checkpoints).withColumnRenamed("seq", "done")
     above = Window.partitionBy("shard").orderBy("part")
     outer = ends.withColumn("before", F.lag("top").over(above)).join(done, "shard", "left").select("shard", "seq", F.coalesce("before", "done").alias("before"))
-    steps = inner.where("before is not null").select("shard", "seq", "before").unionByName(outer)
+    steps = inner.unionByName(outer)
     return steps.where("seq > before + 1").select("shard", (F.col("before") + 1).alias("first"), (F.col("seq") - 1).alias("last"))
 
 

@@ -99,3 +99,21 @@ def test_without_rows(spark):
     assert journal.merged_checkpoints(marks, marks).count() == 0
     clash = spark.createDataFrame([(0, 1, 2)], "shard int, seq long, row int").withColumn("value", F.lit("x"))
     assert journal.replayable(clash, marks).columns == ["shard", "seq", "row", "value"]
+
+
+def test_gaps_shuffle_blocks_and_not_numbers(spark):
+    """A long run of numbers is a row for every 64; gaps in blocks, between them and between ranges are as counted."""
+    import random
+
+    rng = random.Random(4)
+    numbers = {s: sorted(rng.sample(range(-500, 140_000), 600) + list(range(1000, 1300)) + [65_535, 65_536]) for s in (0, 1)}
+    held = spark.createDataFrame([(s, n) for s in numbers for n in numbers[s] * 2], "shard int, seq long")
+    marks = spark.createDataFrame([(1, 40)], "shard int, seq long")
+    want = set()
+    for s, seqs in numbers.items():
+        seqs = [40] + [n for n in seqs if n > 40] if s else seqs
+        want |= {(s, a + 1, b - 1) for a, b in zip(seqs, seqs[1:]) if b > a + 1}
+    assert {tuple(r) for r in journal.gaps(held, marks).collect()} == want
+    dense = spark.range(64_000).select(F.lit(0).alias("shard"), F.col("id").alias("seq"))
+    plan = journal.gaps(dense, marks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "lag(seq" not in plan
