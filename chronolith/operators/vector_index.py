@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from chronolith.functions.scores import cosine
 from chronolith.operators.frames import small, top_k
-from chronolith.operators.search import HELD_QUERIES, SLACK, _best, vector_topk
+from chronolith.operators.search import HELD_QUERIES, SLACK, _Floors, vector_topk
 
 #: Vectors below which an exact scan answers.
 LEAST_ROWS = 4096
@@ -182,6 +182,7 @@ def _block_topk(index: Index, asked: DataFrame, held: pa.Table, k: int, most: in
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_code, sure = _Floors(len(ids), most), _Floors(len(ids), k)
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(batch.num_rows, -1).astype(np.float64)
@@ -190,11 +191,11 @@ def _block_topk(index: Index, asked: DataFrame, held: pa.Table, k: int, most: in
             for lo in range(0, len(ids), 128):
                 allowed = looks[lo : lo + 128, cell].T
                 score = np.where(allowed, about @ unit[lo : lo + 128].T, -np.inf)
-                least = score - off[:, None]
-                floor = np.partition(least, len(least) - k, axis=0)[len(least) - k] if len(least) > k else -np.inf
-                open_ = np.zeros_like(allowed)
-                open_[_best(score, most, allowed)] = True
-                row, query = np.nonzero(open_ | allowed & (score + off[:, None] >= floor - SLACK))
+                sure.cut(score - off[:, None], allowed, 0.0, lo)
+                floor = sure.held[:, lo : lo + 128].min(axis=0)
+                open_ = allowed & (score + off[:, None] >= floor - SLACK)
+                open_[by_code.cut(score, allowed, 0.0, lo)] = True
+                row, query = np.nonzero(open_)
                 taken = pa.array(row)
                 near = (about[row] * unit[query + lo]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(query + lo)), *(batch.column(c).take(taken) for c in key), batch.column("cell").take(taken), pa.array(near), batch.column("off").take(taken)], schema=arrow)
