@@ -7,6 +7,8 @@ engine's tables by space id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,21 +35,31 @@ def effective_roles(spaces: DataFrame, principals: DataFrame, teams: DataFrame,
     return own.unionByName(_shared_roles(live, shared))
 
 
-#: Roles that a task writes, about.
+#: Roles that a task writes, about; and tasks, beyond which each writes more of them, since the driver keeps figures of every task.
 ROLES_A_TASK = 2_000_000
+MOST_TASKS = 2_000
 
 
 def _shared_roles(members: DataFrame, shared: DataFrame) -> DataFrame:
-    """Every member's role in every space of the team. Few teams may have most members and spaces, so members are dealt in
-    pieces, as many as the number of roles asks for, and each piece meets the team's spaces."""
+    """Every member's role in every space of the team. Few teams may have most members and spaces, so a large team's members and
+    spaces are both cut in pieces of about the root of a task's roles, and each two pieces meet: a row is dealt out once
+    for each piece of the other side, and no side is broadcast, however small the planner takes it for."""
     sizes = members.groupBy("team_id").agg(F.count("*").alias("members")).join(shared.groupBy("team_id").agg(F.count("*").alias("spaces")), "team_id")
-    roles, most = sizes.select(F.sum(F.col("members") * F.col("spaces")), F.max(F.col("members") * F.col("spaces"))).first()
-    tasks, pieces = -(-(roles or 0) // ROLES_A_TASK), -(-(most or 0) // ROLES_A_TASK)
-    if tasks <= 1:
+    roles = sizes.select(F.sum(F.col("members") * F.col("spaces"))).first()[0] or 0
+    if roles <= ROLES_A_TASK:
         return members.join(shared, "team_id").select("principal_id", "space_id", "role")
-    dealt = members.withColumn("piece", F.pmod(F.xxhash64("principal_id"), F.lit(2 * pieces)).cast("int")).repartition(2 * tasks, "team_id", "piece")
-    every = shared.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(2 * pieces - 1))))
-    return dealt.join(every, ["team_id", "piece"]).select("principal_id", "space_id", "role")
+    side, tasks = math.isqrt(ROLES_A_TASK), min(-(-2 * roles // ROLES_A_TASK), MOST_TASKS)
+    large = sizes.where(F.col("members") * F.col("spaces") > ROLES_A_TASK)  # no more teams than tasks were asked for
+    cut = F.broadcast(large.select("team_id", *[F.ceil(F.col(c) / side).cast("int").alias(c) for c in ("members", "spaces")]))
+
+    def pieces(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        numbered = rows.join(cut, "team_id", "left").fillna(1, ["members", "spaces"]).withColumn(f"{own}_piece", F.pmod(F.xxhash64(by), F.col(own)).cast("int"))
+        met = numbered.withColumn(f"{other}_piece", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        # one key, so that the join asks for the same dealing even where the planner knows one of the parts
+        return met.withColumn("cell", F.concat("members_piece", F.lit("/"), "spaces_piece", F.lit("/"), "team_id")).repartition(tasks, "cell")
+
+    dealt = pieces(members, "principal_id", "members", "spaces").select("cell", "principal_id", "role")
+    return dealt.hint("merge").join(pieces(shared, "space_id", "spaces", "members").select("cell", "space_id"), "cell").select("principal_id", "space_id", "role")
 
 
 def authority_digest(roles: DataFrame) -> DataFrame:

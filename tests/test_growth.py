@@ -45,6 +45,19 @@ def test_a_large_team_is_dealt_over_tasks(spark, monkeypatch):
     assert roles.distinct().count() == roles.count() == 5000 and max(r["count"] for r in sizes) <= 2500
 
 
+def test_spaces_are_not_broadcast_once_for_each_piece(spark, monkeypatch):
+    """A large team's spaces and members meet piece by piece; a small team's rows are dealt once."""
+    monkeypatch.setattr(spaces, "ROLES_A_TASK", 100)
+    monkeypatch.setattr(spaces, "MOST_TASKS", 7)
+    team = F.when(F.col("id") < 90, "t").otherwise("u").alias("team_id")
+    members = spark.range(100).select(team, F.concat(F.lit("p"), "id").alias("principal_id"), F.lit("reader").alias("role"))
+    shared = spark.range(60, 95).select(team, F.concat(F.lit("s"), "id").alias("space_id"))
+    met = spaces._shared_roles(members, shared)
+    joins = [line for line in plan(met).split("\n") if "cell" in line and "Join" in line]
+    assert met.rdd.getNumPartitions() <= 7 and joins and all("SortMergeJoin" in line for line in joins)
+    assert met.distinct().count() == met.count() == 90 * 30 + 10 * 5
+
+
 def test_alike_records_meet_as_classes(spark):
     def rows(side, n):
         return [(side * 1000 + i, f"Name {i % 3}", "k" if i % 7 else None, [f"name {i % 4}"], f"L{i % 5}" if i % 2 else None, [("crm", f"v{i % 3}", i % 4 == 0)]) for i in range(n)]
