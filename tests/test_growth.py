@@ -119,3 +119,32 @@ def test_codes_rule_nothing_out_that_may_be_among_the_best(spark, tmp_path):
     index = vector_index.build(rows, str(tmp_path), ("vec_id",), cells=4)
     got = vector_index.index_topk(index, asked, 10, probes=4, rerank=1)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(map(tuple, search.vector_topk(rows, asked, 10, ("vec_id",)).select("query_id", "rank", "vec_id", "score").collect()))
+
+
+def test_texts_are_not_dealt_out_to_meet_vectors(spark, tables, monkeypatch):
+    """Both fused searches scan the texts themselves, not a join with vectors, also where vectors are too many for a broadcast."""
+    scans, block = [], search._block_matches
+    monkeypatch.setattr(search, "_block_matches", lambda words, *rest: (scans.append(plan(words)), block(words, *rest))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("hybrid_rrf", "search_prefix"):
+            queries.QUERIES[name](spark, tables)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(scans) == 2 and not any("Exchange" in s for s in scans)
+
+
+def test_a_task_passes_on_its_best_rows_only(spark, monkeypatch):
+    """Each row is better than the one before, so each batch's best were passed on; words that many share as dense matrices or not."""
+    docs = spark.createDataFrame([(i, "aa bb " + "aa " * i + ("cc" if i % 9 else "dd")) for i in range(300)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "aa cc"), (2, "dd bb bb"), (3, "zz")], "query_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found = []
+        for share in (0.005, 0.0, 2.0):
+            monkeypatch.setattr(search, "DENSE_SHARE", share)
+            found.append(sorted((r["query_id"], r["doc_id"], r["score"]) for r in search.best_matches(docs, asked, 5, ("doc_id",)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = sorted((r["query_id"], r["doc_id"], r["score"]) for r in search.keyword_topk(search.postings(docs, key=("doc_id",)), search.document_stats(docs), asked, 5, ("doc_id",)).collect())
+    assert found[0] == found[1] == found[2] and len(found[0]) <= 12 and set(best) <= set(found[0])
